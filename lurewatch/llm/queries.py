@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, sharding, url_filter
+from . import exact_dedup, mixing, near_dedup, quality, sharding, url_filter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(url_filter.labelled_urls(spark)))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_sharding, op6_quality, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op5_sharding, op6_quality, op9_exact_dedup)}
 
 SQL: dict[str, str] = {}
 SQL["op9_exact_dedup"] = """
