@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, quality, sharding, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, url_filter
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -28,11 +32,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op5_sharding, op6_quality, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op4_packing, op5_sharding, op6_quality, op7_substring_dedup, op9_exact_dedup)}
 
 SQL: dict[str, str] = {}
 SQL["op9_exact_dedup"] = """
