@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, url_filter
+from . import exact_dedup, language_model, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -40,7 +41,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op4_packing, op5_sharding, op6_quality, op7_substring_dedup, op9_exact_dedup)}
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels").withColumn("label", F.col("toxic"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op4_packing, op5_sharding, op6_quality, op7_substring_dedup, op8_language_model, op9_exact_dedup, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 SQL["op9_exact_dedup"] = """
