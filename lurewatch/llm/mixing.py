@@ -28,7 +28,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, own_name, written
+from .common import SPACE, attach, own_name, written
 
 HEX = 3
 #: Target weights: domains, languages, sources; what isn't listed weighs 1.
@@ -60,8 +60,12 @@ def _weight(level: str, weights) -> Column:
     return out
 
 
+def _leaf() -> Column:
+    return F.concat_ws("\x1f", *(F.coalesce(F.col(c), F.lit("\0")) for c in LEVELS)).alias("leaf")
+
+
 def budgets(leaves: DataFrame, budget: Column, weights=WEIGHTS, max_epochs: int = 4) -> DataFrame:
-    """``leaves(domain, lang, source, tokens)`` with each leaf's token budget (column ``budget``, long)."""
+    """``leaves(domain, lang, source, tokens, n_docs)`` with each leaf's token budget (column ``budget``, long)."""
     filled = leaves.withColumn("cap", F.col("tokens") * F.lit(max_epochs).cast("double")).withColumn("given", budget.cast("double"))
     for depth, level in enumerate(LEVELS):
         parents, node = LEVELS[:depth], LEVELS[: depth + 1]
@@ -75,8 +79,8 @@ def budgets(leaves: DataFrame, budget: Column, weights=WEIGHTS, max_epochs: int
         children = children.withColumn("share", F.least("room", F.coalesce(F.greatest(water, F.lit(0.0)) * F.col("w"), F.col("room"))))
         shares = children.select(*(F.col(c).alias(f"node_{c}") for c in node), "share")
         same = [F.col(c).eqNullSafe(F.col(f"node_{c}")) for c in node]
-        filled = filled.join(shares, same).select(*LEVELS, "tokens", "cap", F.col("share").alias("given"))
-    return filled.select(*LEVELS, "tokens", F.floor(F.col("given")).cast("long").alias("budget"))
+        filled = filled.join(shares, same).select(*LEVELS, "tokens", "n_docs", "cap", F.col("share").alias("given"))
+    return filled.select(*LEVELS, "tokens", "n_docs", F.floor(F.round("given", 6)).cast("long").alias("budget"))
 
 
 def plan(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = 4, budget_share: float = 1.0, seed: int = 17, domain_of=domain) -> DataFrame:
@@ -92,19 +96,19 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = 4, budget_share:
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     shares = written(budgets(leaves, F.lit(int(total * budget_share)), weights, max_epochs), "mix-budgets")
-    shares = shares.select(*(F.coalesce(F.col(c), F.lit("\0")).alias(f"leaf_{c}") for c in LEVELS), F.col("budget").alias("leaf_budget"), F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("epochs"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("rest"))
-    keys = [f"leaf_{c}" for c in LEVELS]
-    keyed = rows.withColumns({k: F.coalesce(F.col(c), F.lit("\0")) for k, c in zip(keys, LEVELS, strict=True)})
-    # the join's hot keys are split at run time as skewed partitions; the leaves' side has one row a key
-    keyed = keyed.join(shares, keys).withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
+    part = F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0)
+    shares = shares.select(_leaf(), F.col("budget").alias("leaf_budget"), whole.alias("epochs"), part.alias("rest"), "n_docs")
+    keyed = attach(rows.withColumn("leaf", _leaf()), shares, "leaf", "n_docs", F.col("doc_id"))
+    keyed = keyed.withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     keyed = keyed.withColumn("bin", F.substring("order", 1, HEX))
-    sums = keyed.groupBy(*keys, "bin").agg(F.sum("n_tokens").alias("bin_tokens"), F.first("rest").alias("rest"))
-    upto = F.sum("bin_tokens").over(Window.partitionBy(*keys).orderBy("bin"))
-    sums = sums.withColumn("bin_room", F.col("rest") - (upto - F.col("bin_tokens"))).select(*keys, "bin", "bin_room", "bin_tokens")
-    placed = keyed.join(sums, [*keys, "bin"])
+    sums = keyed.groupBy("leaf", "bin").agg(F.sum("n_tokens").alias("bin_tokens"), F.first("rest").alias("rest"))
+    upto = F.sum("bin_tokens").over(Window.partitionBy("leaf").orderBy("bin"))
+    sums = sums.withColumn("bin_room", F.col("rest") - (upto - F.col("bin_tokens"))).select("leaf", "bin", "bin_room", "bin_tokens")
+    placed = keyed.join(sums, ["leaf", "bin"])
     edge = (F.col("bin_room") > 0) & (F.col("bin_room") < F.col("bin_tokens"))
     last = placed.filter(edge)
-    before = F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n_tokens").over(Window.partitionBy("leaf").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
     last = last.withColumn("prefix_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("bin_room") - F.coalesce(before, F.lit(0)))))
     rest = placed.filter(~edge).withColumn("prefix_tokens", F.when(F.col("bin_room") > 0, F.col("n_tokens")).otherwise(0))
     return last.unionByName(rest).select("doc_id", *LEVELS, "n_tokens", "leaf_budget", "epochs", F.col("prefix_tokens").cast("long").alias("prefix_tokens"))

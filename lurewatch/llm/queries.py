@@ -58,3 +58,48 @@ WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documen
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
+
+
+def _mixing_sql(max_epochs: int = 4, seed: int = 17) -> str:
+    """The same budgets by window functions, and the prefixes by a running sum over each whole leaf."""
+    weight = lambda level: "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in mixing.WEIGHTS[level].items()) + " ELSE 1.0 END"
+    k = "try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS INT)"
+    out = f"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN {k} < 6 THEN 'web' WHEN {k} < 12 THEN 'books' WHEN {k} < 16 THEN 'code' ELSE 'other' END AS domain,
+         lang, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+l0 AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {max_epochs} AS DOUBLE) AS cap,
+         CAST((SELECT sum(n_tokens) FROM d) AS DOUBLE) AS given
+  FROM d GROUP BY ALL)"""
+    for i, level in enumerate(mixing.LEVELS):
+        node = ", ".join(mixing.LEVELS[: i + 1])
+        parent = ", ".join(mixing.LEVELS[:i]) or "1"
+        same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in mixing.LEVELS[: i + 1])
+        out += f""",
+c{i} AS (SELECT {node}, sum(cap) AS room, any_value(given) AS given, {weight(level)} AS w FROM l{i} GROUP BY {node}),
+f{i} AS (
+  SELECT *, coalesce(sum(room) OVER (PARTITION BY {parent} ORDER BY room / w, {node} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(w) OVER (PARTITION BY {parent} ORDER BY room / w, {node} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w
+  FROM c{i}),
+w{i} AS (SELECT *, max(CASE WHEN (given - before) / left_w <= room / w THEN (given - before) / left_w END) OVER (PARTITION BY {parent}) AS water FROM f{i}),
+l{i + 1} AS (
+  SELECT a.domain, a.lang, a.source, a.tokens, a.cap, least(b.room, coalesce(greatest(b.water, 0) * b.w, b.room)) AS given
+  FROM l{i} a JOIN w{i} b ON {same})"""
+    return out + f""",
+p AS (
+  SELECT domain, lang, source, CAST(floor(round(given, 6)) AS BIGINT) AS leaf_budget,
+         CASE WHEN tokens > 0 THEN CAST(floor(round(given, 6)) AS BIGINT) // tokens ELSE 0 END AS epochs,
+         CASE WHEN tokens > 0 THEN CAST(floor(round(given, 6)) AS BIGINT) % tokens ELSE 0 END AS rest
+  FROM l3),
+o AS (
+  SELECT d.*, p.leaf_budget, p.epochs, p.rest,
+         sum(d.n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('{seed}:' || p.epochs || ':' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.doc_id, d.n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, CAST(epochs AS BIGINT) AS epochs,
+       CAST(greatest(0, least(n_tokens, rest - (upto - n_tokens))) AS BIGINT) AS prefix_tokens
+FROM o"""
+
+
+SQL["op1_mixing"] = _mixing_sql()
