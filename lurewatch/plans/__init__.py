@@ -1,5 +1,5 @@
 """Registered queries with their SQL."""
 
-from . import campaigns
+from . import campaigns, columns
 
-PLANS = (campaigns,)
+PLANS = (campaigns, columns)
