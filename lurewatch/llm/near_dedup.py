@@ -10,8 +10,11 @@ band keys; (2) equal sets collapse to their smallest doc_id; (3) in every band
 bucket the members are compared with the smallest one on full sets; (4) the
 links' components are formed, and in buckets that still hold several
 components the pairs across components that were not compared yet are compared
-too, so large groups of near copies cost a star and not all pairs, and no pair
-that shares a bucket is left open; (5) components over all links.
+too, unless a bound rules them out: the common bits of two 1024-bit marks of the
+sets, plus the smaller number of collisions within a set, are at least the
+intersection.  The bound is part of the join's condition, so only pairs close to
+the threshold come out of it, and no pair that shares a bucket is left open;
+(5) components over all links.
 
 With BANDS x ROWS = 48 x 7 a pair with similarity 0.75 shares no bucket with
 probability 0.001, one with 0.8 with 1e-5.
@@ -39,6 +42,8 @@ from .textarrays import Texts, U, lists, mix, pieces, signed, windows
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 48, 7
+#: Longs of a set's mark.
+MARK = 16
 UNIVERSE = 1 << 20
 SEED = 20
 
@@ -91,18 +96,29 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists(flat, per, pa.int64())], ["doc_id", "n_shingles", "print", "bands"])
 
 
+def _mark(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """A bit for each shingle, and the number of shingles whose bit another one had set."""
+    bits = np.zeros(MARK * 64, bool)
+    bits[((shingles >> U(7)) % U(MARK * 64)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64), len(shingles) - int(bits.sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         sets = list(_shingles(Texts(batch.column("text"))))
         flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(flat, np.array([len(s) for s in sets]), pa.int64())], ["rep", "shingles"])
+        marks = [_mark(s) for s in sets]
+        mark = lists(np.concatenate([m for m, _ in marks]) if sets else np.zeros(0, np.int64), np.full(len(sets), MARK), pa.int64())
+        columns = [batch.column("doc_id"), lists(flat, np.array([len(s) for s in sets]), pa.int64()), mark, pa.array([k for _, k in marks], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["rep", "shingles", "mark", "spare"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs(a, b)`` whose full sets are similar enough; a hot side a is salted."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("size"))
-    right = sets.withColumnsRenamed({"rep": "a", "shingles": "set_a"}).join(counts, "a")
-    left = pairs.join(sets.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
+    full = sets.select("rep", "shingles")
+    right = full.withColumnsRenamed({"rep": "a", "shingles": "set_a"}).join(counts, "a")
+    left = pairs.join(full.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
     both = attach(left, right, "a", "size", F.col("b")).withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
     union = F.size("set_a") + F.size("set_b") - F.col("shared")
     return both.filter((F.col("shared") > 0) & (100 * F.col("shared") >= PERCENT * union)).select("a", "b").distinct()
@@ -124,18 +140,21 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
     members = written(keyed.join(leaders, "key"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>, mark array<long>, spare int")
     sets = written(sets, "sets")
     star = written(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
     found = written(_confirmed(star, sets), "star-links")
     placed = members.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = written(placed.drop("leader"), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_ = placed.join(mixed, "key")
-    x = open_.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-    y = open_.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    across = x.join(y, "key").filter((F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    open_ = placed.join(mixed, "key").join(sets.select("rep", "mark", "spare"), "rep")
+    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "component", "mark", "spare"))) for s in "xy")
+    common = sum((F.bit_count(F.col("mark_x")[i].bitwiseAND(F.col("mark_y")[i])) for i in range(MARK)), F.least("spare_x", "spare_y"))
+    most = F.least(common, "n_shingles_x", "n_shingles_y")  # of the intersection
+    near = 100 * most >= PERCENT * (F.col("n_shingles_x") + F.col("n_shingles_y") - most)
+    ahead = (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y"))
+    same = x["key"] == y["key"]
+    across = x.join(y, same & ahead & near).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
     across = written(across.join(star, ["a", "b"], "left_anti"), "cross-pairs")
     return found.unionByName(_confirmed(across, sets))
 
