@@ -36,8 +36,8 @@ from .textarrays import pieces
 
 LENGTH, END = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words and word parts remembered by a Python worker.
-REMEMBERED = 300_000
+#: Words, and parts of words, that a Python worker remembers: a part is tokenized, a word is put together of parts.
+MOST_WORDS, MOST_PARTS = 350_000, 700_000
 #: Latin letters, then ASCII signs other than the apostrophe: the splitter cuts between the two, and lower case is per letter.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -51,7 +51,7 @@ class _Parts(dict):
         self.encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= MOST_PARTS:
             self.clear()
         self[part] = ids = np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         return ids
@@ -64,7 +64,7 @@ class _Words(dict):
         self.parts = _Parts(path)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= MOST_WORDS:
             self.clear()
         text = word.decode()
         if plain := _PLAIN.fullmatch(text):
@@ -81,7 +81,9 @@ _words: dict[str, _Words] = {}
 
 def encode(text: str | None, path: str) -> bytes:
     """Ids of a text, without the end id."""
-    known = _words.setdefault(path, _Words(path)) if path not in _words else _words[path]
+    if path not in _words:
+        _words[path] = _Words(path)
+    known = _words[path]
     return b"".join(map(known.__getitem__, (text or "").encode().split()))
 
 
