@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +37,13 @@ COVER = (0, 1, 3, 9)
 BLOCK = 16 << 20
 
 #: One row per block and bucket: the texts concerned, and per entry the text's index, the place, two hashes and whether it is settled.
-_ENTRIES = "bucket int, ids array<long>, keys array<long>, text array<int>, place array<int>, hash array<long>, more array<int>, settled boolean"
+_ENTRIES = "bucket int, block long, ids array<long>, keys array<long>, text array<int>, place array<int>, hash array<long>, more array<int>, settled boolean"
+#: What a bucket finds in a block: the texts concerned, and per entry the text's index and the place.
+_FOUND = "block long, ids array<long>, keys array<long>, text array<int>, place array<int>"
 _PLACES = "id long, key long, places array<int>"
 
 
-def _rows(n_buckets: int, ids, keys, text, place, hashes, more, settled: bool) -> Iterator[pa.RecordBatch]:
+def _rows(n_buckets: int, block: int, ids, keys, text, place, hashes, more, settled: bool) -> Iterator[pa.RecordBatch]:
     """The entries as rows by bucket; ``settled`` ones need no bucket of their own."""
     if not len(text):
         return
@@ -51,26 +54,55 @@ def _rows(n_buckets: int, ids, keys, text, place, hashes, more, settled: bool) -
     per_row = np.bincount(pair // len(ids), minlength=len(used))
     local = local - (np.cumsum(per_row) - per_row)[row]
     which = pair % len(ids)
-    columns = [pa.array(used, pa.int32()), lists(ids[which], per_row, pa.int64()), lists(keys[which], per_row, pa.int64()), lists(local.astype(np.int32), counts, pa.int32()), lists(c["place"].astype(np.int32), counts, pa.int32()), lists(signed(c["hash"]), counts, pa.int64()), lists(c["more"].view(np.int32), counts, pa.int32()), pa.array(np.full(len(used), settled))]
-    yield pa.RecordBatch.from_arrays(columns, ["bucket", "ids", "keys", "text", "place", "hash", "more", "settled"])
+    columns = [pa.array(used, pa.int32()), pa.array(np.full(len(used), block), pa.int64()), lists(ids[which], per_row, pa.int64()), lists(keys[which], per_row, pa.int64()), lists(local.astype(np.int32), counts, pa.int32()), lists(c["place"].astype(np.int32), counts, pa.int32()), lists(signed(c["hash"]), counts, pa.int64()), lists(c["more"].view(np.int32), counts, pa.int32()), pa.array(np.full(len(used), settled))]
+    yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "ids", "keys", "text", "place", "hash", "more", "settled"])
+
+
+def _flat(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Values of list columns end to end."""
+    return [np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(c).chunks]) for c in names]
+
+
+def _sizes(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([x.value_lengths().to_numpy() for x in table.column(name).chunks])
 
 
 def _entries(table: pa.Table):
-    """The rows' entries end to end: ids, keys, text (index into those), place, hash, more, settled."""
-    flat = {c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(c).chunks]) for c in ("ids", "keys", "text", "place", "hash", "more")}
-    n_texts = np.concatenate([x.value_lengths().to_numpy() for x in table.column("ids").chunks])
-    n = np.concatenate([x.value_lengths().to_numpy() for x in table.column("text").chunks])
-    settled = np.repeat(np.concatenate([x.to_numpy(zero_copy_only=False) for x in table.column("settled").chunks]), n)
-    text = flat["text"] + np.repeat(np.cumsum(n_texts) - n_texts, n)
-    return flat["ids"], flat["keys"], text, flat["place"], flat["hash"].view(U), flat["more"].view(np.uint32), settled.astype(bool)
-
-
-def _places(ids, keys, text, place) -> pa.Table:
-    """One row per text with the places."""
-    order = np.lexsort((place, text))
+    """The rows' entries end to end: block, ids, keys, text (index into those two), place."""
+    n, n_texts = _sizes(table, "text"), _sizes(table, "ids")
+    ids, keys, text, place = _flat(table, "ids", "keys", "text", "place")
+    return np.repeat(table.column("block").to_numpy(), n), ids, keys, text + np.repeat(np.cumsum(n_texts) - n_texts, n), place
+
+
+def _hashed(table: pa.Table):
+    """Of the entries: hash, more, settled."""
+    hashes, more = _flat(table, "hash", "more")
+    return hashes.view(U), more.view(np.uint32), np.repeat(table.column("settled").to_numpy(), _sizes(table, "text")).astype(bool)
+
+
+def _found(block, ids, keys, text, place) -> pa.Table:
+    """One row per block."""
+    order = np.lexsort((place, text, block))
+    block, text, place = block[order], text[order], place[order]
+    new = np.ones(len(block), bool)
+    new[1:] = (block[1:] != block[:-1]) | (text[1:] != text[:-1])
+    blocks, first, counts = np.unique(block, return_index=True, return_counts=True)
+    number = np.cumsum(new) - 1
+    local = number - np.repeat(number[first], counts)
+    which, n_texts = text[new], np.add.reduceat(new, first) if len(first) else counts
+    return pa.Table.from_arrays([pa.array(blocks, pa.int64()), lists(ids[which], n_texts, pa.int64()), lists(keys[which], n_texts, pa.int64()), lists(local.astype(np.int32), counts, pa.int32()), lists(place.astype(np.int32), counts, pa.int32())], ["block", "ids", "keys", "text", "place"])
+
+
+def _places(table: pa.Table) -> pa.Table:
+    """What all buckets found in a block, one row per text with the places."""
+    _, ids, keys, text, place = _entries(table)
+    order = np.lexsort((place, keys[text], ids[text]))
     text, place = text[order], place[order]
-    used, counts = np.unique(text, return_counts=True)
-    return pa.Table.from_arrays([pa.array(ids[used], pa.int64()), pa.array(keys[used], pa.int64()), lists(place.astype(np.int32), counts, pa.int32())], ["id", "key", "places"])
+    i, k = ids[text], keys[text]
+    new = np.ones(len(text), bool)
+    new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
+    counts = np.diff(np.append(np.flatnonzero(new), len(text)))
+    return pa.Table.from_arrays([pa.array(i[new], pa.int64()), pa.array(k[new], pa.int64()), lists(place.astype(np.int32), counts, pa.int32())], ["id", "key", "places"])
 
 
 def _run_ids(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -89,7 +121,8 @@ def _layout(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=BLOCK):
+        for i, batch in enumerate(pieces(batches, limit=BLOCK)):
+            block = (TaskContext.get().partitionId() << 32) + i
             texts = Texts(batch.column("text"))
             ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             text, place = _layout(texts)
@@ -103,27 +136,29 @@ def _anchors(n_buckets: int):
             again = order[size > 1]
             first = np.ones(len(order), bool)
             first[1:] = runs[1:] != runs[:-1]
-            yield from _rows(n_buckets, ids, keys, text[again], place[again], found[again], np.zeros(len(again), np.uint32), True)
+            yield from _rows(n_buckets, block, ids, keys, text[again], place[again], found[again], np.zeros(len(again), np.uint32), True)
             for shared, part in ((0, order[first & (size == 1)]), (1, order[first & (size > 1)])):
-                yield from _rows(n_buckets, ids, keys, text[part], place[part], found[part], np.full(len(part), shared, np.uint32), False)
+                yield from _rows(n_buckets, block, ids, keys, text[part], place[part], found[part], np.full(len(part), shared, np.uint32), False)
 
     return run
 
 
 def _recurring(table: pa.Table) -> pa.Table:
     """Of a bucket's anchors, those that occur again; ``more`` 1: a block settled its own."""
-    ids, keys, text, place, hashes, more, settled = _entries(table)
+    block, ids, keys, text, place = _entries(table)
+    hashes, more, settled = _hashed(table)
     open_ = np.flatnonzero(~settled)
     order = open_[np.argsort(hashes[open_], kind="stable")]
     runs = _run_ids(hashes[order]) if len(order) else order
     size = np.bincount(runs, minlength=1)[runs] if len(order) else order
     out = np.concatenate([np.flatnonzero(settled), order[(size > 1) & (more[order] == 0)]])
-    return _places(ids, keys, text[out], place[out])
+    return _found(block[out], ids, keys, text[out], place[out])
 
 
 def _runs(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=BLOCK):
+        for i, batch in enumerate(pieces(batches, limit=BLOCK)):
+            block = (TaskContext.get().partitionId() << 32) + i
             texts = Texts(batch.column("text"))
             ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             text, place = _layout(texts)
@@ -150,15 +185,16 @@ def _runs(n_buckets: int):
                 a, b = text[at], text[at[least]]
                 same = (ids[a] == ids[b]) & (keys[a] == keys[b]) & (place[at] == place[at[least]])
                 later = ~first & ~same
-                yield from _rows(n_buckets, ids, keys, text[at[later]], place[at[later]], hashes[later], more[later], True)
-            yield from _rows(n_buckets, ids, keys, text[at[first]], place[at[first]], hashes[first], more[first], False)
+                yield from _rows(n_buckets, block, ids, keys, text[at[later]], place[at[later]], hashes[later], more[later], True)
+            yield from _rows(n_buckets, block, ids, keys, text[at[first]], place[at[first]], hashes[first], more[first], False)
 
     return run
 
 
 def _later(table: pa.Table) -> pa.Table:
     """Of a bucket's runs, those that also begin at an earlier place."""
-    ids, keys, text, place, hashes, more, settled = _entries(table)
+    block, ids, keys, text, place = _entries(table)
+    hashes, more, settled = _hashed(table)
     open_ = np.flatnonzero(~settled)
     t = text[open_]
     order = open_[np.lexsort((place[open_], keys[t], ids[t], more[open_], hashes[open_]))]
@@ -172,7 +208,7 @@ def _later(table: pa.Table) -> pa.Table:
         same = (ids[a] == ids[b]) & (keys[a] == keys[b]) & (place[order] == place[least])
         out.append(order[~same])
     at = np.concatenate(out)
-    return _places(ids, keys, text[at], place[at])
+    return _found(block[at], ids, keys, text[at], place[at])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +234,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_text(found: DataFrame) -> DataFrame:
-    """All places of a text in one row; their number is bounded by the text's words."""
+    """All places of a text in one row, whichever block its rows were in; their number is bounded by the text's words."""
+    found = found.groupBy("block").applyInArrow(_places, _PLACES)
     return found.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
@@ -207,9 +244,9 @@ def cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("key"), "text")
     n = max(fanout(docs.sparkSession), keyed.rdd.getNumPartitions())
     bare = keyed.select("id", "key", "text")
-    anchors = bare.mapInArrow(_anchors(n), _ENTRIES).groupBy("bucket").applyInArrow(_recurring, _PLACES)
+    anchors = bare.mapInArrow(_anchors(n), _ENTRIES).groupBy("bucket").applyInArrow(_recurring, _FOUND)
     texts = written(bare.join(_by_text(anchors), ["id", "key"]), "anchored")
-    later = texts.mapInArrow(_runs(n), _ENTRIES).groupBy("bucket").applyInArrow(_later, _PLACES)
+    later = texts.mapInArrow(_runs(n), _ENTRIES).groupBy("bucket").applyInArrow(_later, _FOUND)
     lost = texts.drop("places").join(_by_text(later), ["id", "key"])
     return keyed, lost.mapInArrow(_cut, "id long, key long, n_removed long, kept_sha string, kept_text string").dropDuplicates(["id", "key"])
 
