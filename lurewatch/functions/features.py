@@ -137,7 +137,7 @@ def features(mails: DataFrame) -> dict[str, Column]:
     text = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in mails.columns else F.lit("") for c in TEXTS}
     number = {c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in mails.columns else F.lit(0.0) for c in NUMBERS}
     none = F.array().cast("array<string>")
-    urls = F.filter(F.transform(F.coalesce(F.col("urls"), none), F.trim), lambda u: u != "") if "urls" in mails.columns else none
+    urls = F.filter(F.transform(F.coalesce(F.col("urls"), none), lambda u: F.trim(u)), lambda u: u != "") if "urls" in mails.columns else none
     out = {
         **_text_features(text["body"], text["subject"]),
         **_url_features(urls),

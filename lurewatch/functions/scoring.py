@@ -89,17 +89,17 @@ def assessment(p: dict[str, Column], f=F.col, intel: dict[str, Column] | None =
     return F.struct(label.alias("label"), confidence.alias("confidence"), score.alias("score"), level(score).alias("level"), F.when(F.size(found) > 0, found).otherwise(none).alias("reasons"))
 
 
-def tally_score(tally: Column, most: float = 100.0) -> Column:
+def tally_score(tally: Column, most: float = 100.0, digits: int = 2) -> Column:
     """struct(score, category) of an evidence tally."""
     score = F.greatest(F.lit(0.0), F.least(F.lit(most), tally))
-    return F.struct(F.round(score, 2).alias("score"), level(score).alias("category"))
+    return F.struct(F.round(score, digits).alias("score"), level(score).alias("category"))
 
 
-def fused_score(probability: Column, tally: Column, most: float = 100.0, model: float = 0.5, evidence: float = 0.5) -> Column:
+def fused_score(probability: Column, tally: Column, most: float = 100.0, model: float = 0.5, evidence: float = 0.5, digits: int = 2) -> Column:
     """struct(score, category) of model and evidence together."""
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (model * unit(probability) + evidence * unit(tally / max(most, 1.0))) * 100))
-    return F.struct(F.round(score, 2).alias("score"), level(score).alias("category"))
+    return F.struct(F.round(score, digits).alias("score"), level(score).alias("category"))
 
 
 def techniques(label: Column, executable: Column) -> Column:

@@ -1,5 +1,5 @@
 """Registered queries with their SQL."""
 
-from . import campaigns, columns
+from . import campaigns, columns, graph
 
-PLANS = (campaigns, columns)
+PLANS = (campaigns, columns, graph)

@@ -84,7 +84,7 @@ def d6_normalize_timestamp(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", norm.iso(raw).alias("iso"), norm.timestamp(raw).alias("ts"))
 
 
-@_query(f"{BASE_SQL} SELECT email_id, lower(regexp_extract(sender, '@([A-Za-z0-9.-]+)[^@]*$', 1)) AS domain, CASE WHEN reply_to = '' THEN ['a@x.org'] ELSE list_distinct(['a@x.org', reply_to]) END AS recipients, CASE WHEN trim(spf) = '' THEN 'unknown' ELSE lower(trim(spf)) END AS spf FROM emails", )
+@_query(f"{BASE_SQL} SELECT email_id, lower(regexp_extract(sender, '@([A-Za-z0-9.-]+)[^@]*$', 1)) AS domain, CASE WHEN reply_to = '' THEN ['a@x.org'] ELSE ['a@x.org', reply_to] END AS recipients, CASE WHEN trim(spf) = '' THEN 'unknown' ELSE lower(trim(spf)) END AS spf FROM emails", )
 def d7_d8_email_defaults(spark, sf_dir):
     mails = emails(spark, sf_dir)
     to = norm.recipients(F.array(F.lit("a@x.org")), F.col("reply_to"))
@@ -296,9 +296,9 @@ def g8_reasons(spark, sf_dir):
     return f.select("email_id", sc.assessment({k: F.col(k) for k in sc.CLASSES})["reasons"].alias("reasons"))
 
 
-@_query(f"SELECT event_id, round(least(100.0, greatest(0.0, value)), 2) AS score, {_LEVEL.format('least(100.0, greatest(0.0, value))')} AS category, {_LEVEL.format('fused')} AS fused_category, round(fused, 2) AS fused FROM (SELECT event_id, value, least(100.0, greatest(0.0, (0.5::DOUBLE * ((event_id % 100) / 100) + 0.5::DOUBLE * least(1.0, greatest(0.0, value / 100.0::DOUBLE))) * 100)) AS fused FROM events)")
+@_query(f"SELECT event_id, round(least(100.0, greatest(0.0, value)), 6) AS score, {_LEVEL.format('least(100.0, greatest(0.0, value))')} AS category, {_LEVEL.format('fused')} AS fused_category, round(fused, 6) AS fused FROM (SELECT event_id, value, least(100.0, greatest(0.0, (0.5::DOUBLE * ((event_id % 100) / 100) + 0.5::DOUBLE * least(1.0, greatest(0.0, value / 100.0::DOUBLE))) * 100)) AS fused FROM events)")
 def g13_tally(spark, sf_dir):
-    t = table(spark, sf_dir, "events").select("event_id", sc.tally_score(F.col("value")).alias("t"), sc.fused_score((F.col("event_id") % 100) / 100, F.col("value")).alias("f"))
+    t = table(spark, sf_dir, "events").select("event_id", sc.tally_score(F.col("value"), digits=6).alias("t"), sc.fused_score((F.col("event_id") % 100) / 100, F.col("value"), digits=6).alias("f"))
     return t.select("event_id", "t.score", "t.category", F.col("f.category").alias("fused_category"), F.col("f.score").alias("fused"))
 
 
