@@ -133,4 +133,8 @@ def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD)
 def passing(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns."""
     judged = judge(docs, train(docs, trusted), threshold)
-    return judged.filter(F.col(own_name(docs, "quality"))["kept"]).select(*docs.columns)
+    # a row number that the condition reads keeps the optimizer from moving the condition below the steps of ``judge``
+    # and repeating their expressions inside lambdas
+    row = own_name(judged, "row")
+    kept = F.col(own_name(docs, "quality"))["kept"] & (F.col(row) >= 0)
+    return judged.withColumn(row, F.monotonically_increasing_id()).filter(kept).select(*docs.columns)
