@@ -49,7 +49,7 @@ def test_levels(spark):
 
 
 def test_html_links(spark):
-    html = '<a href="hxxp://a[.]b/x?p=1&amp;q=2">t</a> <img src=\'https://c.d/e\'> http://a.b/x plain'
+    html = '<a href="hxxp://a[.]b/x?p=1&amp;q=2">t</a> <img src="https://c.d/e"> http://a.b/x plain'
     assert ask(spark, ind.urls_in_html, html) == [["http://a.b/x?p=1&q=2", "https://c.d/e"]]
     assert ask(spark, ind.defang_url, "https://a.b/c.d") == ["hxxps://a[.]b/c.d"]
 
