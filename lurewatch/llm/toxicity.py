@@ -29,6 +29,8 @@ from .textarrays import Texts, U, lists, pieces, signed
 PREFIXES = (4, 5, 6)
 #: Labelled documents used for training, at most, of each label; and the features kept.
 SAMPLE, FEATURES = 1500, 2048
+#: Probability of any toxicity from which a document counts as toxic; the weights are shrunk, so it lies under one half.
+THRESHOLD = 0.35
 
 
 def _present(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     return Model(wanted, weights, thresholds)
 
 
-def judge(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, severity (expected grade), p_any (P(grade > 0)), grade (rounded severity), toxic for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
