@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..operators.tables import attach, own_name, work_path, written
+
+__all__ = ["SPACE", "attach", "components", "fanout", "lower_ascii", "own_name", "table", "words", "work_path", "written"]
+
 #: Characters that separate words; a word is a maximal run of others.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -16,22 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else one beside the warehouse's tables."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lurewatch/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
@@ -41,31 +28,5 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def own_name(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have yet, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def fanout(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def attach(left: DataFrame, right: DataFrame, key: str, size: str, spread: Column, *, heavy: int = 1000, salts: int = 64) -> DataFrame:
-    """Inner join of ``left`` with ``right`` (one row per ``key``), safe when one key holds most of ``left``.
-
-    ``right[size]`` is the number of ``left`` rows of the key.  Keys with over
-    1/``heavy`` of all rows -- at most ``heavy`` of them, so marking them by a
-    broadcast has a proven bound -- are dealt over ``salts`` partitions by
-    ``spread``; their single right row is repeated for each salt.
-    """
-    salt, hot = own_name(left, "salt"), own_name(left, "hot")
-    total = right.agg(F.sum(size)).first()[0] or 0
-    is_hot = F.col(size) > max(1000, total // heavy)
-    many = right.filter(is_hot).select(F.col(key).alias(hot))
-    marked = left.join(F.broadcast(many), left[key].eqNullSafe(many[hot]), "left")
-    marked = marked.withColumn(salt, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop(hot)
-    copies = right.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return marked.join(copies.drop(size), [key, salt]).drop(salt)

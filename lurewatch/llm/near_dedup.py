@@ -36,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, own_name, written
-from .components import components
+from .common import attach, components, own_name, written
 from .textarrays import Texts, U, lists, mix, pieces, signed, windows
 
 WORDS, PERCENT = 5, 75
