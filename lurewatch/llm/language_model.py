@@ -6,14 +6,18 @@ maximisation on a part of the training documents that is deleted from the
 counts while doing so.  Tokens are words and one end per document; the end is
 also the context of a document's first word.
 
-Words are divided by relative frequency: those that make up at least 1/WORDS of
-the training tokens -- at most WORDS of them, so their counts can be broadcast --
-are classes of their own; the rarer ones share one class within which they are
-equally likely.  Likewise at most BIGRAMS frequent bigrams are broadcast.  What
-is rarer goes by hash bucket to a task that counts and scores it there, so no
-key holds more than a bounded share of a bucket and the exact count of every
-token and bigram enters.  Three passes over the texts: word counts, bigram
-counts (giving the frequent bigrams and the statistics for EM), scores.
+Words are divided by relative frequency: the counts of those that make up at
+least 1/WORDS of the training tokens -- at most WORDS of them -- are broadcast, and
+likewise those of at most BIGRAMS frequent bigrams of such words.  What is rarer
+goes by hash bucket to a task that counts and scores it there: other bigrams of
+broadcast words by the bigram, bigrams with one rare word by that word, so that
+its count is at hand too.  A bigram of two rare words goes to the bucket of its
+context and, with the counts found there, on to that of its second word.  No key
+holds more than a bounded share of a bucket, and the exact count of every token,
+context and bigram enters the weights' training and both scores; what is
+broadcast changes where a count is looked up, not its value.  Three passes over
+the texts: word counts, bigram counts (giving the frequent bigrams and the
+statistics for EM), scores.
 
 Defined cases: null, empty and blank texts consist of the end; a null doc_id is
 trained on; rows that repeat an id or text are trained on and scored row by
@@ -37,7 +41,7 @@ from .textarrays import Texts, U, lists, mix, pieces, scatter, signed
 
 WORDS, BIGRAMS = 1 << 18, 1 << 20
 FOLDS, TEST_FOLD, DELETED_FOLD = 7, 2, 3
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 _END = np.array([0x454E44], U)
 _SHIFT = U(20)
 #: Log-ratios enter EM rounded to steps of this size.
@@ -68,21 +72,19 @@ class Table:
 
 @dataclass
 class Words:
-    """Counts of the frequent words; class 0 is all others, class i + 1 is key i."""
+    """Counts of the frequent words; class i + 1 is key i, class 0 marks all others."""
 
     table: Table
     counts: np.ndarray  #: by class, in all training documents
     deleted: np.ndarray  #: by class, in the deleted part
     n: int
     vocabulary: int
-    rare: int  #: distinct words in class 0
+    rare: int  #: distinct words that are not broadcast
 
     @property
-    def uniform(self) -> np.ndarray:
-        """Share of each class if all words, and one unseen, were equally likely."""
-        out = np.full(len(self.counts), 1.0 / (self.vocabulary + 1))
-        out[0] = (self.rare + 1) / (self.vocabulary + 1)
-        return out
+    def uniform(self) -> float:
+        """Share of each word if all words, and one unseen, were equally likely."""
+        return 1.0 / (self.vocabulary + 1)
 
 
 def _folded(docs: DataFrame) -> DataFrame:
@@ -106,56 +108,111 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys[s])), pa.array(c[s]), pa.array(d[s])], ["h", "c", "d"])
 
 
-def count_words(docs: DataFrame) -> Words:
+def count_words(docs: DataFrame) -> tuple[Words, DataFrame]:
+    """The frequent words; and (h, c, d) of the others."""
     counts = _folded(docs).mapInArrow(_count_words, "h long, c long, d long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
     counts = written(counts, "word-counts")
     n, vocabulary, deleted = counts.agg(F.sum("c"), F.count("*"), F.sum("d")).first()
     n, deleted = n or 0, deleted or 0
     end = int(_END[0])
-    frequent = counts.filter((F.col("c") * WORDS >= n) | (F.col("h") == end)).toArrow()  # at most WORDS + 1 rows
+    often = (F.col("c") * WORDS >= n) | (F.col("h") == end)
+    frequent = counts.filter(often).toArrow()  # at most WORDS + 1 rows
     keys = frequent.column("h").to_numpy().astype(np.int64).view(U)
     order = np.argsort(keys)
     c, d = frequent.column("c").to_numpy()[order], frequent.column("d").to_numpy()[order]
     with_rest = lambda x, total: np.concatenate([[total - x.sum()], x]).astype(np.int64)
-    return Words(Table(keys[order]), with_rest(c, n), with_rest(d, deleted), n, vocabulary, vocabulary - len(c))
+    return Words(Table(keys[order]), with_rest(c, n), with_rest(d, deleted), n, vocabulary, vocabulary - len(c)), counts.filter(~often)
 
 
-def _classes(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and the words' classes; and of each token with the ends: the text, the class and the context's class."""
-    h = texts.hashes(lower=True)
-    known = words.table.find(h) + 1
+def _classes(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token with the ends: the text, the word's hash, its class and the context's class (0 is rare; the context's hash is the one before)."""
     n = len(texts.counts)
-    end = int(words.table.find(_END)[0]) + 1
-    token = np.full(len(h) + n, end, np.int64)
-    owner = np.repeat(np.arange(n), texts.counts)
-    token[np.arange(len(h)) + owner] = known
+    at = np.arange(len(texts.starts)) + np.repeat(np.arange(n), texts.counts)
+    name = np.full(len(at) + n, _END[0], U)
+    name[at] = texts.hashes(lower=True)
+    token = words.table.find(name) + 1
     context = np.empty_like(token)
-    context[:1], context[1:] = end, token[:-1]
-    return h, known, np.repeat(np.arange(n), texts.counts + 1), token, context
+    context[:1], context[1:] = int(words.table.find(_END)[0]) + 1, token[:-1]
+    return np.repeat(np.arange(n), texts.counts + 1), name, token, context
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((mix(keys) >> U(33)) % U(n)).astype(np.int64)
 
 
+#: Kinds of bigrams: of two frequent words (keys: both classes); of a rare word (its hash) after a frequent one (others: its class); of a rare
+#: word (its hash) before a frequent one (its class) or a rare one (its hash).  COUNTED: rare words (keys), their counts (others) and deleted counts.
+FREQUENT, RARE_TOKEN, RARE_CONTEXT, RARE_BOTH, COUNTED = range(5)
+#: Results of a bucket: frequent bigrams; deleted tokens by code; and, of a bigram of two rare words, the second's hash, the code without its count.
+FOUND, CODES, PENDING = range(3)
+_COUNTS = "bucket int, kind int, keys array<long>, others array<long>, counts array<int>"
+
+
+def _listed(bucket: np.ndarray, kind: int, per: np.ndarray, keys: np.ndarray, others: np.ndarray | None, counts: np.ndarray | None) -> pa.RecordBatch:
+    none = np.zeros(len(bucket), np.int64)
+    some = lambda x, of: lists(np.zeros(0, np.int64), none, of) if x is None else lists(x, per, of)
+    columns = [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), kind), pa.int32()), lists(keys, per, pa.int64()), some(others, pa.int64()), some(counts, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "keys", "others", "counts"])
+
+
+def _kinds(name: np.ndarray, token: np.ndarray, context: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Kind, places, keys and others of the bigrams with a rare word."""
+    for kind, there in ((RARE_TOKEN, (token == 0) & (context > 0)), (RARE_CONTEXT, (token > 0) & (context == 0)), (RARE_BOTH, (token == 0) & (context == 0))):
+        at = np.flatnonzero(there)
+        others = context[at] if kind == RARE_TOKEN else token[at] if kind == RARE_CONTEXT else signed(name[at])
+        yield kind, at, name[at] if kind == RARE_TOKEN else name[at - 1], others
+
+
 def _count_bigrams(n_buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=BLOCK):
             texts, fold = Texts(batch.column("text")), batch.column("fold").to_numpy()
-            _, _, owner, token, context = _classes(texts, shared.value)
+            owner, name, token, context = _classes(texts, shared.value)
             of = fold[owner]
-            used = of != TEST_FOLD
+            used = (of != TEST_FOLD) & (token > 0) & (context > 0)
             key = (context[used].astype(U) << _SHIFT) | token[used].astype(U)
             both, counts = np.unique((key << U(1)) | (of[used] == DELETED_FOLD), return_counts=True)
             key, deleted = both >> U(1), (both & U(1)).astype(bool)
             names, c, per = scatter(_bucket(key, n_buckets), n_buckets, key=key, count=np.where(deleted, -counts, counts))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), lists(signed(c["key"]), per, pa.int64()), lists(c["count"].astype(np.int32), per, pa.int32())], ["bucket", "keys", "counts"])
+            yield _listed(names, FREQUENT, per, signed(c["key"]), None, c["count"])
+            for kind, at, key, others in _kinds(name, token, context):
+                trained = of[at] != TEST_FOLD
+                key, others, sign = key[trained], others[trained], np.where(of[at[trained]] == DELETED_FOLD, -1, 1)
+                names, c, per = scatter(_bucket(key, n_buckets), n_buckets, key=key, others=others, count=sign)
+                yield _listed(names, kind, per, signed(c["key"]), c["others"], c["count"])
+
+    return run
+
+
+def _rare_by_bucket(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def out():
+            table = pa.Table.from_batches(held)
+            key, c, d = (table.column(x).to_numpy() for x in ("h", "c", "d"))
+            key = key.astype(np.int64).view(U)
+            names, x, per = scatter(_bucket(key, n_buckets), n_buckets, key=key, c=c, d=d)
+            return _listed(names, COUNTED, per, signed(x["key"]), x["c"], x["d"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 19:
+                yield out()
+                held, rows = [], 0
+        if rows:
+            yield out()
 
     return run
 
 
 def _flat(table: pa.Table, column: str) -> np.ndarray:
-    return np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(column).chunks])
+    return np.concatenate([np.zeros(0, np.int64 if pa.types.is_integer(table.schema.field(column).type.value_type) else float), *(x.flatten().to_numpy(zero_copy_only=False) for x in table.column(column).chunks)])
+
+
+def _of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.array(table.column("kind").to_numpy() == kind))
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -163,30 +220,93 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 0) + 1)).astype(np.int64)
 
 
-def _sum_bigrams(shared):
-    """Counts of a bucket's bigrams -> the frequent ones (kind 0), and (kind 1) deleted tokens by level and rounded log-ratios."""
+def _step(ratio: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        x = np.log(ratio)
+    return np.where(np.isfinite(x), np.clip(np.rint(x / _STEP), -500, 500), -512).astype(np.int64) + 512
+
+
+def _context_code(words: Words, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Level and rounded log-ratio of the bigram estimate to the uniform one, by counts outside the deleted part."""
+    return (_level(context) << 20) | (_step(pair / np.maximum(context, 1) / words.uniform) << 10)
+
+
+def _token_code(words: Words, token: np.ndarray) -> np.ndarray:
+    return _step(token / max(1, words.n - int(words.deleted.sum())) / words.uniform)
+
+
+def _left(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of a bucket's rare words and their counts outside the deleted part."""
+    part = _of_kind(table, COUNTED)
+    keys, left = _flat(part, "keys").view(U), _flat(part, "others") - _flat(part, "counts")
+    order = np.argsort(keys)
+    return keys[order], left[order]
+
+
+def _sum_bigrams(n_buckets: int, shared, most: int):
+    """Counts of a bucket's bigrams -> the frequent ones, deleted tokens by level and rounded log-ratios, and what is still to be completed."""
 
     def run(table: pa.Table) -> pa.Table:
         words: Words = shared.value
-        keys, counts = _flat(table, "keys").view(U), _flat(table, "counts").astype(np.int64)
-        names, where = np.unique(keys, return_inverse=True)
-        c = np.bincount(where, np.abs(counts), minlength=len(names)).astype(np.int64)
-        d = np.bincount(where, np.maximum(-counts, 0), minlength=len(names)).astype(np.int64)
-        frequent = c * BIGRAMS >= words.n
-        held = np.flatnonzero(d)
-        context, token = (names[held] >> _SHIFT).astype(np.int64), (names[held] & U((1 << 20) - 1)).astype(np.int64)
-        left, left_n = words.counts - words.deleted, max(1, words.n - int(words.deleted.sum()))
-        with np.errstate(divide="ignore"):
-            low = words.uniform[token]
-            two = np.log((c[held] - d[held]) / np.maximum(left[context], 1) / low)
-            one = np.log(left[token] / left_n / low)
-        steps = [np.where(np.isfinite(x), np.clip(np.rint(x / _STEP), -500, 500), -512).astype(np.int64) + 512 for x in (two, one)]
-        code = (_level(left[context]) << 20) | (steps[0] << 10) | steps[1]
-        codes, at = np.unique(code, return_inverse=True)
-        kinds = np.repeat([0, 1], [int(frequent.sum()), len(codes)])
-        out = np.concatenate([signed(names[frequent]), codes])
-        number = np.concatenate([c[frequent], np.bincount(at, d[held], minlength=len(codes)).astype(np.int64)])
-        return pa.Table.from_arrays([pa.array(kinds, pa.int32()), pa.array(out, pa.int64()), pa.array(number, pa.int64())], ["kind", "key", "number"])
+        left = words.counts - words.deleted
+        rare, rare_left = _left(table)
+        of = lambda hashes: rare_left[np.searchsorted(rare, hashes)]
+        codes, numbers, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+
+        def summed(pair, counts):
+            names, where = np.unique(pair, return_inverse=True)
+            c = np.bincount(where, np.abs(counts), minlength=len(names)).astype(np.int64)
+            return names, c, np.bincount(where, np.maximum(-counts, 0), minlength=len(names)).astype(np.int64)
+
+        def add(context, pair, token, d):
+            codes.append(_context_code(words, context, pair) | _token_code(words, token))
+            numbers.append(d)
+
+        for kind in (FREQUENT, RARE_TOKEN, RARE_CONTEXT, RARE_BOTH):
+            part = _of_kind(table, kind)
+            keys, counts = _flat(part, "keys").view(U), _flat(part, "counts")
+            if kind == FREQUENT:
+                names, c, d = summed(keys, counts)
+                frequent = c * most >= words.n
+                out.append(_listed(np.zeros(1, int), FOUND, np.array([frequent.sum()]), signed(names[frequent]), c[frequent], None))
+                held = np.flatnonzero(d)
+                add(left[(names[held] >> _SHIFT).astype(np.int64)], c[held] - d[held], left[(names[held] & U((1 << 20) - 1)).astype(np.int64)], d[held])
+                continue
+            own, at = np.unique(keys, return_inverse=True)
+            others, width = _flat(part, "others"), 1 << 20
+            if kind == RARE_BOTH:
+                second, others = np.unique(others, return_inverse=True)
+                width = max(1, len(second))
+            names, c, d = summed(at * width + others, counts)
+            held = np.flatnonzero(d)
+            word, other, c, d = of(own[names[held] // width]), names[held] % width, c[held], d[held]
+            if kind == RARE_TOKEN:
+                add(left[other], c - d, word, d)
+            elif kind == RARE_CONTEXT:
+                add(word, c - d, left[other], d)
+            else:
+                b = second[other].view(U)
+                used, x, per = scatter(_bucket(b, n_buckets), n_buckets, b=b, code=_context_code(words, word, c - d), d=d)
+                out.append(_listed(used, PENDING, per, signed(x["b"]), x["code"], x["d"]))
+        out.append(_coded(np.concatenate(codes), np.concatenate(numbers)))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _coded(codes: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    codes, at = np.unique(codes, return_inverse=True)
+    return _listed(np.zeros(1, int), CODES, np.array([len(codes)]), codes, np.bincount(at, numbers, minlength=len(codes)).astype(np.int64), None)
+
+
+def _complete(shared):
+    """Bigrams of two rare words, in the bucket of the second: codes of their deleted tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rare, left = _left(table)
+        part = _of_kind(table, PENDING)
+        at = np.searchsorted(rare, _flat(part, "keys").view(U))
+        return pa.Table.from_batches([_coded(_flat(part, "others") | _token_code(shared.value, left[at]), _flat(part, "counts"))])
 
     return run
 
@@ -214,25 +334,33 @@ class Model:
     counts: np.ndarray
     weights: np.ndarray
 
+    def __post_init__(self):
+        lam = self.weights.copy()
+        lam[0, 0] = 0  # level 0: the context does not occur
+        lam[:, 1] *= self.words.n > 0
+        self.shares = lam / lam.sum(axis=1, keepdims=True)
+
     def log10(self, context: np.ndarray, token: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Of tokens' classes after their contexts' classes, with the bigrams' counts; and of a word within class 0."""
-        w = self.words
-        lam = self.weights[_level(w.counts[context])] * np.stack([w.counts[context] > 0, np.full(len(context), w.n > 0), np.ones(len(context), bool)], axis=1)
-        p = lam[:, 0] * count / np.maximum(w.counts[context], 1) + lam[:, 1] * w.counts[token] / max(w.n, 1) + lam[:, 2] * w.uniform[token]
-        return np.log10(p / lam.sum(axis=1)) - np.where(token == 0, np.log10(w.rare + 1), 0.0)
+        """Of tokens, by the counts of the contexts, of the tokens and of the bigrams."""
+        w, level = self.words, _level(context)
+        p = self.shares[level, 0] * count / np.maximum(context, 1) + self.shares[level, 1] * token / max(w.n, 1) + self.shares[level, 2] * w.uniform
+        return np.log10(p)
 
 
 def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
-    words = count_words(docs)
+    words, rare = count_words(docs)
     shared, n = spark.sparkContext.broadcast(words), _buckets(docs)
-    bigrams = _folded(docs).mapInArrow(_count_bigrams(n, shared), "bucket int, keys array<long>, counts array<int>")
-    sums = written(bigrams.groupBy("bucket").applyInArrow(_sum_bigrams(shared), "kind int, key long, number long"), "bigrams")
-    frequent = sums.filter("kind = 0").toArrow()  # at most BIGRAMS rows
-    key, c = mix(frequent.column("key").to_numpy().astype(np.int64).view(U)), frequent.column("number").to_numpy()
+    rare = rare.mapInArrow(_rare_by_bucket(n), _COUNTS)
+    bigrams = _folded(docs).mapInArrow(_count_bigrams(n, shared), _COUNTS).unionByName(rare)
+    sums = written(bigrams.groupBy("bucket").applyInArrow(_sum_bigrams(n, shared, BIGRAMS), _COUNTS), "bigrams")
+    frequent = sums.filter(F.col("kind") == FOUND).select("keys", "others").toArrow()  # at most BIGRAMS bigrams
+    key, c = mix(_flat(frequent, "keys").view(U)), _flat(frequent, "others")
     order = np.argsort(key)
-    held = sums.filter("kind = 1").groupBy("key").agg(F.sum("number").alias("number")).toArrow()  # bounded by the rounding
-    weights = learn_weights(held.column("key").to_numpy().astype(np.int64), held.column("number").to_numpy())
+    rest = sums.filter(F.col("kind") == PENDING).unionByName(rare).groupBy("bucket").applyInArrow(_complete(shared), _COUNTS)
+    pairs = sums.filter(F.col("kind") == CODES).unionByName(rest).select(F.explode(F.arrays_zip("keys", "others")).alias("x"))
+    held = pairs.groupBy("x.keys").agg(F.sum("x.others").alias("number")).toArrow()  # bounded by the rounding
+    weights = learn_weights(held.column("keys").to_numpy().astype(np.int64), held.column("number").to_numpy())
     return Model(words, Table(key[order]), c[order], weights)
 
 
@@ -240,9 +368,20 @@ def _buckets(docs: DataFrame) -> int:
     return max(fanout(docs.sparkSession), docs.rdd.getNumPartitions())
 
 
-#: kind 0: rare words, 1: rare bigrams (texts: index * 2 + trained on; keys), 2: a block's texts (ids, tokens * 2 + held out, known, base, score); results have kind 3.
-_PARTS = "bucket int, kind int, block long, texts array<int>, keys array<long>, known array<int>, base array<double>, score array<double>"
-_NAMES = ["bucket", "kind", "block", "texts", "keys", "known", "base", "score"]
+#: Kinds above: bigrams to be scored (texts: index * 2 + trained on; RARE_TOKEN has others -1 where the context is rare).  HEAD: a block's texts (ids,
+#: tokens * 2 + held out, known, base, score).  PART: sums by text.  WORD: rare words' counts (others).  PAIR: of bigrams of two rare words the
+#: second (keys), the counts of context << 32 | bigram (others), and blocks.
+HEAD, PART, WORD, PAIR = range(5, 9)
+_PARTS = "bucket int, kind int, block long, texts array<int>, keys array<long>, others array<long>, blocks array<long>, known array<int>, base array<double>, score array<double>"
+_TYPES = {"texts": pa.int32(), "keys": pa.int64(), "others": pa.int64(), "blocks": pa.int64(), "known": pa.int32(), "base": pa.float64(), "score": pa.float64()}
+
+
+def _part(bucket: np.ndarray, kind: int, block: np.ndarray | int, per: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows with a list of each of the columns, the other lists empty."""
+    k = len(bucket)
+    lead = [pa.array(bucket, pa.int32()), pa.array(np.full(k, kind), pa.int32()), pa.array(np.broadcast_to(block, k), pa.int64())]
+    rest = [lists(columns[c], per, t) if c in columns else lists(np.zeros(0, np.int64), np.zeros(k, int), t) for c, t in _TYPES.items()]
+    return pa.RecordBatch.from_arrays([*lead, *rest], ["bucket", "kind", "block", *_TYPES])
 
 
 def _score_blocks(n_buckets: int, shared):
@@ -251,63 +390,117 @@ def _score_blocks(n_buckets: int, shared):
         for i, batch in enumerate(pieces(batches, limit=BLOCK)):
             block = (TaskContext.get().partitionId() << 32) + i
             texts, fold = Texts(batch.column("text")), batch.column("fold").to_numpy()
-            h, known, owner, token, context = _classes(texts, model.words)
-            n, counts = len(fold), model.words.counts
-            of_word, trained = np.repeat(np.arange(n), texts.counts), fold != TEST_FOLD
+            owner, name, token, context = _classes(texts, model.words)
+            n, counts, trained = len(fold), model.words.counts, fold != TEST_FOLD
             base = np.bincount(owner, np.where(token > 0, np.log10(counts[token] + 1.0), 0), minlength=n)
             n_known = np.bincount(owner, (token > 0) & (counts[token] > 0), minlength=n)
-            key = (context.astype(U) << _SHIFT) | token.astype(U)
-            at = model.bigrams.find(mix(key))
-            sure = np.flatnonzero(at >= 0)
-            score = np.bincount(owner[sure], model.log10(context[sure], token[sure], model.counts[at[sure]]), minlength=n)
-            rare, open_ = np.flatnonzero(known == 0), np.flatnonzero(at < 0)
-            for kind, keys, who in ((0, h[rare], of_word[rare]), (1, key[open_], owner[open_])):
-                used, c, per = scatter(_bucket(keys, n_buckets), n_buckets, keys=signed(keys), texts=(who * 2 + trained[who]).astype(np.int32))
-                k = len(used)
-                empty = lists(np.zeros(0), np.zeros(k, int), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(k, kind), pa.int32()), pa.array(np.full(k, block), pa.int64()), lists(c["texts"], per, pa.int32()), lists(c["keys"], per, pa.int64()), lists(np.zeros(0, np.int32), np.zeros(k, int), pa.int32()), empty, empty], _NAMES)
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
+            often = np.flatnonzero((token > 0) & (context > 0))
+            key = (context[often].astype(U) << _SHIFT) | token[often].astype(U)
+            at = model.bigrams.find(mix(key)) if len(model.counts) else np.full(len(key), -1)
+            sure, open_ = often[at >= 0], often[at < 0]
+            score = np.bincount(owner[sure], model.log10(counts[context[sure]], counts[token[sure]], model.counts[at[at >= 0]]), minlength=n)
+            rare = np.flatnonzero(token == 0)
+            rare_token = (RARE_TOKEN, rare, name[rare], np.where(context[rare] > 0, context[rare], -1))
+            for kind, who, keys, others in ((FREQUENT, open_, key[at < 0], None), rare_token, *(x for x in _kinds(name, token, context) if x[0] != RARE_TOKEN)):
+                columns = {"keys": signed(keys), "texts": owner[who] * 2 + trained[owner[who]]} | ({} if others is None else {"others": others})
+                used, c, per = scatter(_bucket(keys, n_buckets), n_buckets, **columns)
+                yield _part(used, kind, block, per, **c)
+            head = _part(np.array([block % n_buckets]), HEAD, block, np.array([n]), texts=(texts.counts + 1) * 2 + ~trained, known=n_known, base=base, score=score)
             ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column("doc_id"))
-            tokens = ((texts.counts + 1) * 2 + ~trained).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([block % n_buckets], pa.int32()), pa.array([2], pa.int32()), pa.array([block], pa.int64()), one(tokens, pa.int32()), ids, one(n_known.astype(np.int32), pa.int32()), one(base, pa.float64()), one(score, pa.float64())], _NAMES)
+            yield head.set_column(head.schema.get_field_index("keys"), "keys", ids)
 
     return run
 
 
-def _score_buckets(shared):
+def _messages(table: pa.Table, kind: int) -> tuple[np.ndarray, ...]:
+    """Blocks, texts, whether trained on, keys and others of a kind; those of a text in one block stand together."""
+    part = _of_kind(table, kind)
+    per = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in part.column("texts").chunks)]).astype(np.int64)
+    texts = _flat(part, "texts")
+    return np.repeat(part.column("block").to_numpy(), per), texts >> 1, texts & 1, _flat(part, "keys").view(U), _flat(part, "others")
+
+
+class _Sums:
+    """Sums of what is known, base and score by block and text."""
+
+    def __init__(self):
+        self.parts = []
+
+    def add(self, block, text, known=None, base=None, score=None):
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (text[1:] != text[:-1])
+        at = np.cumsum(new) - 1
+        n = int(new.sum())
+        self.parts.append((block[new], text[new], *(np.zeros(n) if x is None else np.bincount(at, x, minlength=n) for x in (known, base, score))))
+
+    def rows(self, bucket: int) -> pa.RecordBatch:
+        block, text, *values = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((text, block))
+        block, text = block[order], text[order]
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (text[1:] != text[:-1])
+        at = np.cumsum(new) - 1
+        known, base, score = (np.bincount(at, x[order], minlength=int(new.sum())) for x in values)
+        blocks, per = np.unique(block[new], return_counts=True)
+        return _part(np.full(len(blocks), bucket), PART, blocks, per, texts=text[new], known=np.rint(known).astype(np.int64), base=base, score=score)
+
+
+def _counted(pair: np.ndarray, trained: np.ndarray) -> np.ndarray:
+    """How often each entry's value occurs in the training texts."""
+    _, where = np.unique(pair, return_inverse=True)
+    return np.bincount(where, trained)[where].astype(np.int64) if len(where) else np.zeros(0, np.int64)
+
+
+def _score_buckets(n_buckets: int, shared):
     """Count a bucket's rare words and bigrams in the training texts and sum what they add to each text."""
 
     def run(table: pa.Table) -> pa.Table:
         model: Model = shared.value
-        kinds = table.column("kind").to_numpy()
-        out = [table.filter(pa.array(kinds == 2))]
-        for kind in (0, 1):
-            part = table.filter(pa.array(kinds == kind))
-            if not part.num_rows:
-                continue
-            texts, keys = _flat(part, "texts").astype(np.int64), _flat(part, "keys").view(U)
-            per = np.concatenate([x.value_lengths().to_numpy() for x in part.column("texts").chunks])
-            block = np.repeat(part.column("block").to_numpy(), per)
-            _, where = np.unique(keys, return_inverse=True)
-            count = np.bincount(where, texts & 1)[where] if len(where) else np.zeros(0)
-            text = texts >> 1
-            order = np.lexsort((text, block))
-            b, t = block[order], text[order]
-            new = np.ones(len(b), bool)
-            new[1:] = (b[1:] != b[:-1]) | (t[1:] != t[:-1])
-            sums = np.cumsum(new) - 1
-            zero = np.zeros(int(new.sum()))
-            known, base, score = zero, zero, zero
-            if kind == 0:
-                known, base = np.bincount(sums, count[order] > 0), np.bincount(sums, np.log10(count[order] + 1))
-            else:
-                values = model.log10((keys >> _SHIFT).astype(np.int64), (keys & U((1 << 20) - 1)).astype(np.int64), count)
-                score = np.bincount(sums, values[order])
-            b, t = b[new], t[new]
-            blocks, per = np.unique(b, return_counts=True)
-            k = len(blocks)
-            out.append(pa.Table.from_arrays([pa.array(np.zeros(k), pa.int32()), pa.array(np.full(k, 3), pa.int32()), pa.array(blocks, pa.int64()), lists(t.astype(np.int32), per, pa.int32()), lists(np.zeros(0, np.int64), np.zeros(k, int), pa.int64()), lists(known.astype(np.int32), per, pa.int32()), lists(base, per, pa.float64()), lists(score, per, pa.float64())], _NAMES))
-        return pa.concat_tables([t.cast(out[0].schema) for t in out])
+        counts, sums, out = model.words.counts, _Sums(), []
+        bucket = table.column("bucket")[0].as_py()
+        block, text, trained, keys, _ = _messages(table, FREQUENT)
+        context, token = (keys >> _SHIFT).astype(np.int64), (keys & U((1 << 20) - 1)).astype(np.int64)
+        sums.add(block, text, score=model.log10(counts[context], counts[token], _counted(keys, trained)))
+
+        block, text, trained, keys, others = _messages(table, RARE_TOKEN)
+        own, at = np.unique(keys, return_inverse=True)
+        word = np.bincount(at, trained, minlength=len(own)).astype(np.int64)
+        sums.add(block, text, known=word[at] > 0, base=np.log10(word[at] + 1.0))
+        far = np.unique(at[others < 0])
+        out.append(_part(np.array([bucket]), WORD, 0, np.array([len(far)]), keys=signed(own[far]), others=word[far]))
+        near = others >= 0
+        block, text, trained, at, others = (x[near] for x in (block, text, trained, at, others))
+        sums.add(block, text, score=model.log10(counts[others], word[at], _counted((at << 20) | others, trained)))
+
+        one, two = _messages(table, RARE_CONTEXT), _messages(table, RARE_BOTH)
+        own, at = np.unique(np.concatenate([one[3], two[3]]), return_inverse=True)
+        word = np.bincount(at, np.concatenate([one[2], two[2]]), minlength=len(own)).astype(np.int64)
+        block, text, trained, keys, others = one
+        first, at = at[: len(keys)], at[len(keys) :]
+        sums.add(block, text, score=model.log10(word[first], counts[others], _counted((first << 20) | others, trained)))
+        block, text, trained, _, others = two
+        second, other = np.unique(others, return_inverse=True)
+        count, b = _counted(at * max(1, len(second)) + other, trained), others.view(U)
+        used, c, per = scatter(_bucket(b, n_buckets), n_buckets, keys=others, others=(word[at] << 32) | count, blocks=block, texts=text)
+        out += [_part(used, PAIR, 0, per, **c), sums.rows(bucket)]
+        return pa.concat_tables([pa.Table.from_batches(out), _of_kind(table, HEAD).cast(out[0].schema)])
+
+    return run
+
+
+def _score_pairs(shared):
+    """In the bucket of the second word, what bigrams of two rare words add to each text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        model: Model = shared.value
+        words, pairs = _of_kind(table, WORD), _of_kind(table, PAIR)
+        keys, count = _flat(words, "keys"), _flat(words, "others")
+        order = np.argsort(keys)
+        token = count[order][np.searchsorted(keys, _flat(pairs, "keys"), sorter=order)]
+        others, sums = _flat(pairs, "others"), _Sums()
+        sums.add(_flat(pairs, "blocks"), _flat(pairs, "texts"), score=model.log10(others >> 32, token, others & ((1 << 32) - 1)))
+        rows = sums.rows(table.column("bucket")[0].as_py())
+        return pa.concat_tables([pa.Table.from_batches([rows]), *(_of_kind(table, k).cast(rows.schema) for k in (HEAD, PART))])
 
     return run
 
@@ -315,7 +508,7 @@ def _score_buckets(shared):
 def _gather(n_train: int, vocabulary: int):
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
-        head, rest = table.filter(pa.array(kinds == 2)), table.filter(pa.array(kinds == 3))
+        head, rest = table.filter(pa.array(kinds == HEAD)), table.filter(pa.array(kinds == PART))
         ids = pa.concat_arrays([x.flatten() for x in head.column("keys").chunks])
         tokens, known, base, score = (_flat(head, c) for c in ("texts", "known", "base", "score"))
         if rest.num_rows:
@@ -333,6 +526,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs(doc_id, text)``."""
     model = train(docs)
     shared, n = docs.sparkSession.sparkContext.broadcast(model), _buckets(docs)
-    parts = _folded(docs).mapInArrow(_score_blocks(n, shared), _PARTS).groupBy("bucket").applyInArrow(_score_buckets(shared), _PARTS)
+    parts = _folded(docs).mapInArrow(_score_blocks(n, shared), _PARTS).groupBy("bucket").applyInArrow(_score_buckets(n, shared), _PARTS)
+    parts = parts.groupBy("bucket").applyInArrow(_score_pairs(shared), _PARTS)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parts.groupBy("block").applyInArrow(_gather(model.words.n, model.words.vocabulary), schema)

@@ -354,6 +354,40 @@ def test_op8_rare_words_and_bigrams(docs, texts, monkeypatch):
     check_language_model(by_id(language_model.scores(docs.repartition(3))), texts)
 
 
+@pytest.mark.parametrize("most", [1, 64, 2048])
+def test_op8_rare_words_keep_their_own_statistics(docs, texts, monkeypatch, most):
+    """Score and weights against brute force without any merging of words, whatever is broadcast."""
+    monkeypatch.setattr(language_model, "WORDS", most)
+    monkeypatch.setattr(language_model, "BIGRAMS", most)
+    docs = docs.repartition(3)
+    got = by_id(language_model.scores(docs))
+    tokens, held, c = check_language_model(got, texts)
+    n, v = sum(c.values()), len(c)
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i in tokens}
+    pairs, gone, gone_words = Counter(), Counter(), Counter()
+    for i, t in tokens.items():
+        if not held[i]:
+            both = list(zip(["\0", *t], t, strict=False))
+            pairs.update(both)
+            if fold[i] == 3:
+                gone.update(both)
+                gone_words.update(t)
+    left_n, codes = n - sum(gone_words.values()), Counter()
+    step = lambda p: 512 + max(-500, min(500, round(math.log(p * (v + 1)) / language_model._STEP))) if p else 0
+    for (a, b), k in gone.items():
+        context = c[a] - gone_words[a]
+        codes[int(math.log2(context + 1)), step((pairs[a, b] - k) / max(context, 1)), step((c[b] - gone_words[b]) / left_n)] += k
+    weights = language_model.learn_weights(np.array([(x << 20) | (y << 10) | z for x, y, z in codes]), np.array(list(codes.values())))
+    model = language_model.train(docs)
+    assert model.words.rare > 0.5 * v and np.allclose(model.weights, weights, rtol=0, atol=2e-3)
+    for i, t in tokens.items():
+        total = 0.0
+        for a, b in zip(["\0", *t], t, strict=False):
+            lam = model.weights[int(math.log2(c[a] + 1))] * [c[a] > 0, 1, 1]
+            total += math.log10((lam[0] * pairs[a, b] / max(c[a], 1) + lam[1] * c[b] / n + lam[2] / (v + 1)) / lam.sum())
+        assert math.isclose(got[i].score, total, rel_tol=1e-9)
+
+
 def test_op8_em_finds_the_mixture():
     rng = np.random.default_rng(0)
     ratio = np.array([[8.0, 0.5, 1], [0.1, 4.0, 1], [0.1, 0.1, 1]])
