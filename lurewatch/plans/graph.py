@@ -163,9 +163,9 @@ d2 AS (SELECT DISTINCT centre, b AS node FROM d1 JOIN both_ways ON a = node),
 seen AS (SELECT centre, node, min(d) AS distance FROM (SELECT centre, centre AS node, 0 AS d FROM c0 UNION ALL SELECT centre, node, 1 FROM d1 UNION ALL SELECT centre, node, 2 FROM d2) GROUP BY ALL)"""
 
 
-def _centres(spark, sf_dir):
+def _centres(spark, sf_dir, every=100):
     mails, _, _, edges = _graph(spark, sf_dir)
-    return p.neighbourhood(written(edges, "edges-in"), mails.filter("doc_id % 100 = 0").select(F.lit("Email").alias("label"), F.col("email_id").alias("key")))
+    return p.neighbourhood(written(edges, "edges-in"), mails.filter(F.col("doc_id") % every == 0).select(F.lit("Email").alias("label"), F.col("email_id").alias("key")))
 
 
 @_query(f"{_BFS} SELECT centre, node, distance FROM seen")
@@ -178,6 +178,20 @@ def j29_neighbourhood_edges(spark, sf_dir):
     return _centres(spark, sf_dir)[1].select("centre", "src_key", "rel", "dst_key")
 
 
+#: The whole set of searches: every email whose id is divisible by 20.
+_WHOLE = {name: SQL[name].replace("WHERE doc_id % 100 = 0", "WHERE doc_id % 20 = 0") for name in ("j29_neighbourhood", "j29_neighbourhood_edges")}
+
+
+@_query(_WHOLE["j29_neighbourhood"])
+def j29_neighbourhood_20(spark, sf_dir):
+    return _centres(spark, sf_dir, 20)[0].select("centre", F.concat_ws(":", "label", "key").alias("node"), "distance")
+
+
+@_query(_WHOLE["j29_neighbourhood_edges"])
+def j29_neighbourhood_edges_20(spark, sf_dir):
+    return _centres(spark, sf_dir, 20)[1].select("centre", "src_key", "rel", "dst_key")
+
+
 @_query(f"{_E},{_NODES} SELECT lower(label) || ':' || key AS id, label, CASE WHEN label = 'ASN' THEN 'AS' || key ELSE substr(coalesce(name, key), 1, 35) END AS text FROM (SELECT * FROM nodes ORDER BY label, key LIMIT 100 OFFSET 50)")
 def j30_j31_export_page(spark, sf_dir):
     mails, _, _, edges = _graph(spark, sf_dir)

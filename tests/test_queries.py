@@ -43,3 +43,11 @@ def test_query(spark, data, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["j29_neighbourhood_20", "j29_neighbourhood_edges_20"])
+def test_whole_search_set(spark, data, name):
+    """Every email whose id is divisible by 20 is a centre; neighbourhoods and edges agree with the SQL."""
+    compare(spark, data, name)
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id % 20 = 0")
+    assert {r.centre for r in entry.queries()[name](spark, data).select("centre").distinct().collect()} == {f"Email:email-{r.doc_id}" for r in docs.collect()}
