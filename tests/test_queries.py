@@ -51,3 +51,10 @@ def test_whole_search_set(spark, data, name):
     compare(spark, data, name)
     docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id % 20 = 0")
     assert {r.centre for r in entry.queries()[name](spark, data).select("centre").distinct().collect()} == {f"Email:email-{r.doc_id}" for r in docs.collect()}
+
+
+def test_stored_graph_grows_with_the_table(spark, data):
+    got = {r.label: r for r in entry.queries()["j5_ingest_counts_half"](spark, data).collect()}
+    ids = [r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()]
+    old = sum(i <= (min(ids) + max(ids)) // 2 for i in ids)
+    assert (got["Email"].matched, got["Email"].created) == (old, len(ids) - old) and 0 < old < len(ids)
