@@ -1,4 +1,4 @@
-"""Risk scores, levels and reasons (G4, G8-G15) as column functions over feature columns."""
+"""Risk scores, levels and reasons (G4, G8-G11, G13, G14) as column functions over feature columns."""
 
 from __future__ import annotations
 
