@@ -20,6 +20,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,53 +39,97 @@ LENGTH, END = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and parts of words, that a Python worker remembers: a part is tokenized, a word is put together of parts.
 MOST_WORDS, MOST_PARTS = 350_000, 700_000
-#: Latin letters, then ASCII signs other than the apostrophe: the splitter cuts between the two, and lower case is per letter.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Parts tokenized in one call.
+TOGETHER = 512
+#: ASCII signs other than the apostrophe: the splitter cuts between Latin letters and these, and lower case is per letter.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
-class _Parts(dict):
-    """Ids of a string as little-endian 32-bit numbers, by the tokenizer."""
+class _Recent(dict):
+    """A dict bounded by ``most``: when its half is full it is set aside, and what is asked for again moves back."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode
+    def __init__(self, most: int):
+        self.most, self.old = most // 2, {}
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= MOST_PARTS:
+    def recall(self, keys: set) -> set:
+        """The ``keys`` not known; room is made for them before any is added."""
+        if len(self) + len(keys) > self.most:
+            self.old = dict(self)
             self.clear()
-        self[part] = ids = np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        missing = keys - self.keys()
+        again = missing & self.old.keys()
+        self.update((k, self.old[k]) for k in again)
+        return missing - again
 
 
-class _Words(dict):
-    """The same of a word, given as bytes."""
+class _Words:
+    """Ids of words, given as bytes, as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
-        self.parts = _Parts(path)
+        from tokenizers import Tokenizer
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        text = word.decode()
-        if plain := _PLAIN.fullmatch(text):
-            letters, signs = plain.groups()
-            ids = self.parts[letters.lower()] + (self.parts[signs] if signs else b"")
-        else:
-            ids = self.parts[text]
-        self[word] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        self.ends = np.isin(np.arange(self.tokenizer.get_vocab_size()), list(ends))
+        self.words, self.parts = _Recent(MOST_WORDS), _Recent(MOST_PARTS)
+        # a tokenizer for which the rules of ``_cut`` and of word ends don't hold gets each word as it is
+        self.plain = True
+        probe = ["Lorem", "ipsum", "DOLOR,", "naïve;", "Ünder(", "x!?"]
+        self.plain = all(self._single(x) == b"".join(map(self._single, self._cut(x))) for x in probe)
+        self.ended = bool(ends) and self._joined(["lorem", "ipsum", "naïve"]) == [self._single(x) for x in ("lorem", "ipsum", "naïve")]
+
+    def _single(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of letters only, tokenized as one text and cut behind the tokens that end a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(parts):
+            return list(map(self._single, parts))
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _cut(self, text: str) -> tuple[str, str]:
+        """Lower-cased letters and the signs behind them; a word of another form is kept whole, in the second place."""
+        base = text.rstrip(_SIGNS)
+        if self.plain and base.isalpha() and (base.isascii() or _LATIN.fullmatch(base)):
+            return base.lower(), text[len(base) :]
+        return "", text
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A dict that knows all ``words``."""
+        new, parts = list(self.words.recall(words)), self.parts
+        if not new:
+            return self.words
+        letters, others = [], []
+        for text in b"\n".join(new).decode().split("\n"):
+            a, b = self._cut(text)
+            letters.append(a)
+            others.append(b)
+        wanted, letter = parts.recall({*letters, *others, ""}), set(letters) if self.ended else set()
+        joined = sorted(wanted & letter - {""})
+        for i in range(0, len(joined), TOGETHER):
+            some = joined[i : i + TOGETHER]
+            parts.update(zip(some, self._joined(some), strict=True))
+        for part in wanted - letter | (wanted & {""}):
+            parts[part] = self._single(part)
+        known = parts.__getitem__
+        self.words.update(zip(new, map(operator.add, map(known, letters), map(known, others)), strict=True))
+        return self.words
 
 
 _words: dict[str, _Words] = {}
 
 
-def encode(text: str | None, path: str) -> bytes:
-    """Ids of a text, without the end id."""
+def encode(texts: list[str | None], path: str) -> list[bytes]:
+    """Ids of texts, without the end id."""
     if path not in _words:
         _words[path] = _Words(path)
-    known = _words[path]
-    return b"".join(map(known.__getitem__, (text or "").encode().split()))
+    split = [(t or "").encode().split() for t in texts]
+    known = _words[path].learn(set().union(*split))
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -94,7 +139,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in pieces(batches):
-            ids = [encode(t, path) + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in encode(batch.column("text").to_pylist(), path)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             start = at + np.cumsum(n) - n
             at += int(n.sum())
