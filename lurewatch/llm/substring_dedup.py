@@ -3,13 +3,20 @@
 A repeated run of 20 words is looked for by anchors of 8 words that begin only
 at cover positions: places in the text that are 0, 1, 3 or 9 modulo 13.  For any
 two equal runs there is an offset below 13 at which both have a cover position,
-so they share an aligned anchor inside.  Steps: (1) hash the anchors of every
-text and find those that occur again; (2) extend: hash the runs of 20 words
-around such anchors and find, for each, the earliest place; all later ones are
-removed.  Both steps send hashes in arrays, one row per block of texts and hash
-bucket; a hash that a block holds more often is settled in the block and sent
-once, so a passage in a third of all texts reaches its bucket once per block,
-and no pairs are formed.
+so they share an aligned anchor inside.  Steps: (1) mark the anchors of every
+text and find those that occur again; (2) sort the texts that hold such anchors
+by document, together with the anchors' places; (3) extend: hash the runs of 20
+words around the anchors and find, for each, the earliest place; all later ones
+are removed.
+
+Steps 1 and 3 work on blocks of texts.  A block sends one row to each hash
+bucket, with the word's position in the block for each entry, and one row of its
+own that tells which texts it consists of and what it settled by itself: a mark
+or hash that a block holds more often is sent once, so a passage in a third of
+all texts reaches its bucket once per block, and no pairs are formed.  Step 1
+sends 31 bits of a hash within a bucket, since anchors only nominate; step 3
+sends 96.  In step 3 blocks are numbered in the order of the documents, so the
+earliest place is the least block and position.
 
 Defined cases: null, empty and blank texts have no words; a null doc_id comes
 before all others; texts with equal doc_id are ordered by a hash of the text,
@@ -29,88 +36,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fanout, written
+from .common import fanout, work_path, written
 from .textarrays import Texts, U, lists, mix, pieces, scatter, signed, windows
 
 RUN, ANCHOR, PERIOD = 20, 8, 13
 COVER = (0, 1, 3, 9)
 BLOCK = 16 << 20
+#: Buckets of step 3 for each of step 1: a text that is a copy has all its runs hashed, but only four in thirteen anchors.
+FINER = 4
 
-#: One row per block and bucket: the texts concerned, and per entry the text's index, the place, two hashes and whether it is settled.
-_ENTRIES = "bucket int, block long, ids array<long>, keys array<long>, text array<int>, place array<int>, hash array<long>, more array<int>, settled boolean"
-#: What a bucket finds in a block: the texts concerned, and per entry the text's index and the place.
-_FOUND = "block long, ids array<long>, keys array<long>, text array<int>, place array<int>"
+#: A block's own row has ids, keys and word counts of its texts; a bucket's row has entries.  ``place`` is the position in the block.
+_ENTRIES = "bucket int, block long, ids array<long>, keys array<long>, counts array<int>, place array<int>, mark array<int>, hash array<long>"
+_FOUND = "block long, ids array<long>, keys array<long>, counts array<int>, place array<int>"
 _PLACES = "id long, key long, places array<int>"
 
 
-def _rows(n_buckets: int, block: int, ids, keys, text, place, hashes, more, settled: bool) -> Iterator[pa.RecordBatch]:
-    """The entries as rows by bucket; ``settled`` ones need no bucket of their own."""
-    if not len(text):
-        return
-    bucket = (hashes >> U(33)) % U(n_buckets) if not settled else np.full(len(text), int(keys[text[0]]) % n_buckets)
-    used, c, counts = scatter(bucket.astype(np.int64), n_buckets, text=text, place=place, hash=hashes, more=more)
-    row = np.repeat(np.arange(len(used)), counts)
-    pair, local = np.unique(row * len(ids) + c["text"], return_inverse=True)  # the texts of each row
-    per_row = np.bincount(pair // len(ids), minlength=len(used))
-    local = local - (np.cumsum(per_row) - per_row)[row]
-    which = pair % len(ids)
-    columns = [pa.array(used, pa.int32()), pa.array(np.full(len(used), block), pa.int64()), lists(ids[which], per_row, pa.int64()), lists(keys[which], per_row, pa.int64()), lists(local.astype(np.int32), counts, pa.int32()), lists(c["place"].astype(np.int32), counts, pa.int32()), lists(signed(c["hash"]), counts, pa.int64()), lists(c["more"].view(np.int32), counts, pa.int32()), pa.array(np.full(len(used), settled))]
-    yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "ids", "keys", "text", "place", "hash", "more", "settled"])
+def _no_list(n: int, kind: pa.DataType) -> pa.ListArray:
+    return lists(np.zeros(0, np.int64), np.zeros(n, np.int64), kind)
 
 
-def _flat(table: pa.Table, *names: str) -> list[np.ndarray]:
-    """Values of list columns end to end."""
-    return [np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(c).chunks]) for c in names]
+def _own_row(bucket: int, block: int, batch: pa.RecordBatch, counts: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
+    n = np.array([len(counts)])
+    texts = [pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), batch.column(c)) for c in ("id", "key")]
+    columns = [pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), *texts, lists(counts.astype(np.int32), n, pa.int32()), lists(settled.astype(np.int32), np.array([len(settled)]), pa.int32()), _no_list(1, pa.int32()), _no_list(1, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "ids", "keys", "counts", "place", "mark", "hash"])
 
 
-def _sizes(table: pa.Table, name: str) -> np.ndarray:
-    return np.concatenate([x.value_lengths().to_numpy() for x in table.column(name).chunks])
+def _bucket_rows(n_buckets: int, block: int, bucket: np.ndarray, place: np.ndarray, mark: np.ndarray, hashes: np.ndarray | None) -> pa.RecordBatch:
+    """The entries, in ascending order of place, as one row a bucket."""
+    used, c, per = scatter(bucket, n_buckets, place=place, mark=mark, **({} if hashes is None else {"hash": hashes}))
+    n = len(used)
+    own = [_no_list(n, pa.int64()), _no_list(n, pa.int64()), _no_list(n, pa.int32())]
+    long_ = _no_list(n, pa.int64()) if hashes is None else lists(signed(c["hash"]), per, pa.int64())
+    columns = [pa.array(used, pa.int32()), pa.array(np.full(n, block), pa.int64()), *own, lists(c["place"].astype(np.int32), per, pa.int32()), lists(c["mark"], per, pa.int32()), long_]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "ids", "keys", "counts", "place", "mark", "hash"])
 
 
-def _entries(table: pa.Table):
-    """The rows' entries end to end: block, ids, keys, text (index into those two), place."""
-    n, n_texts = _sizes(table, "text"), _sizes(table, "ids")
-    ids, keys, text, place = _flat(table, "ids", "keys", "text", "place")
-    return np.repeat(table.column("block").to_numpy(), n), ids, keys, text + np.repeat(np.cumsum(n_texts) - n_texts, n), place
+def _flat(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:
+    """Values of a list column end to end."""
+    return np.concatenate([np.zeros(0, kind), *(x.flatten().to_numpy(zero_copy_only=False) for x in table.column(name).chunks)])
 
 
-def _hashed(table: pa.Table):
-    """Of the entries: hash, more, settled."""
-    hashes, more = _flat(table, "hash", "more")
-    return hashes.view(U), more.view(np.uint32), np.repeat(table.column("settled").to_numpy(), _sizes(table, "text")).astype(bool)
+def _blocks(table: pa.Table, name: str) -> np.ndarray:
+    """The block of each value of a list column."""
+    sizes = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in table.column(name).chunks)])
+    return np.repeat(table.column("block").to_numpy(), sizes.astype(np.int64))
 
 
-def _found(block, ids, keys, text, place) -> pa.Table:
-    """One row per block."""
-    order = np.lexsort((place, text, block))
-    block, text, place = block[order], text[order], place[order]
-    new = np.ones(len(block), bool)
-    new[1:] = (block[1:] != block[:-1]) | (text[1:] != text[:-1])
-    blocks, first, counts = np.unique(block, return_index=True, return_counts=True)
-    number = np.cumsum(new) - 1
-    local = number - np.repeat(number[first], counts)
-    which, n_texts = text[new], np.add.reduceat(new, first) if len(first) else counts
-    return pa.Table.from_arrays([pa.array(blocks, pa.int64()), lists(ids[which], n_texts, pa.int64()), lists(keys[which], n_texts, pa.int64()), lists(local.astype(np.int32), counts, pa.int32()), lists(place.astype(np.int32), counts, pa.int32())], ["block", "ids", "keys", "text", "place"])
+def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The blocks' own rows, as ``_FOUND`` has them, and the bucket's entries."""
+    own = np.concatenate([x.value_lengths().to_numpy() for x in table.column("ids").chunks]) > 0
+    return table.filter(pa.array(own)).select(["block", "ids", "keys", "counts", "place"]), table.filter(pa.array(~own))
+
+
+def _answer(own: pa.Table, block: np.ndarray, place: np.ndarray) -> pa.Table:
+    """The own rows, and the places found as one row a block."""
+    order = np.lexsort((place, block))
+    blocks, per = np.unique(block, return_counts=True)
+    n = len(blocks)
+    columns = [pa.array(blocks, pa.int64()), _no_list(n, pa.int64()), _no_list(n, pa.int64()), _no_list(n, pa.int32()), lists(place[order].astype(np.int32), per, pa.int32())]
+    return pa.concat_tables([own, pa.Table.from_arrays(columns, schema=own.schema)])
 
 
 def _places(table: pa.Table) -> pa.Table:
-    """What all buckets found in a block, one row per text with the places."""
-    _, ids, keys, text, place = _entries(table)
-    order = np.lexsort((place, keys[text], ids[text]))
-    text, place = text[order], place[order]
-    i, k = ids[text], keys[text]
-    new = np.ones(len(text), bool)
-    new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
-    counts = np.diff(np.append(np.flatnonzero(new), len(text)))
-    return pa.Table.from_arrays([pa.array(i[new], pa.int64()), pa.array(k[new], pa.int64()), lists(place.astype(np.int32), counts, pa.int32())], ["id", "key", "places"])
-
-
-def _run_ids(*sorted_columns: np.ndarray) -> np.ndarray:
-    """Number of the run of equal values that each entry of sorted columns is in."""
+    """What all buckets found in a block, one row per text with the places in it."""
+    ids, keys, counts = (_flat(table, c) for c in ("ids", "keys", "counts"))
+    first = np.cumsum(counts) - counts
+    place = np.unique(_flat(table, "place"))
+    text = np.searchsorted(first, place, "right") - 1  # of texts without words, which begin at the same position, the last
+    used, per = np.unique(text, return_counts=True)
+    return pa.Table.from_arrays([pa.array(ids[used], pa.int64()), pa.array(keys[used], pa.int64()), lists((place - first[text]).astype(np.int32), per, pa.int32())], ["id", "key", "places"])
+
+
+def _firsts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Whether an entry of sorted columns differs from the one before."""
     new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
     for c in sorted_columns:
         new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
+    return new
+
+
+def _sizes(new: np.ndarray) -> np.ndarray:
+    """Size of the run of equal values that each entry is in."""
+    starts = np.flatnonzero(new)
+    per = np.diff(np.append(starts, len(new)))
+    return np.repeat(per, per)
 
 
 def _layout(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -124,43 +135,73 @@ def _anchors(n_buckets: int):
         for i, batch in enumerate(pieces(batches, limit=BLOCK)):
             block = (TaskContext.get().partitionId() << 32) + i
             texts = Texts(batch.column("text"))
-            ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             text, place = _layout(texts)
             found = windows(texts.hashes(), ANCHOR)
             text, place = text[: len(found)], place[: len(found)]
             n = texts.counts[text]
             at = np.flatnonzero(np.isin(place % PERIOD, COVER) & (place + ANCHOR <= n) & (n >= RUN))
-            order = at[np.argsort(found[at], kind="stable")]
-            runs = _run_ids(found[order]) if len(order) else order
-            size = np.bincount(runs, minlength=1)[runs] if len(order) else order
-            again = order[size > 1]
-            first = np.ones(len(order), bool)
-            first[1:] = runs[1:] != runs[:-1]
-            yield from _rows(n_buckets, block, ids, keys, text[again], place[again], found[again], np.zeros(len(again), np.uint32), True)
-            for shared, part in ((0, order[first & (size == 1)]), (1, order[first & (size > 1)])):
-                yield from _rows(n_buckets, block, ids, keys, text[part], place[part], found[part], np.full(len(part), shared, np.uint32), False)
+            h = found[at]
+            order = np.argsort(h, kind="stable")
+            new = _firsts(h[order])
+            again = np.zeros(len(at), bool)
+            again[order] = _sizes(new) > 1
+            sent = np.zeros(len(at), bool)
+            sent[order[new]] = True
+            yield _own_row(block % n_buckets, block, batch, texts.counts, at[again])
+            at, h, again = at[sent], h[sent], again[sent]
+            mark = (h & U(0x7FFFFFFF)).astype(np.int32)
+            yield _bucket_rows(n_buckets, block, ((h >> U(33)) % U(n_buckets)).astype(np.int64), at, np.where(again, ~mark, mark), None)
 
     return run
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    """Of a bucket's anchors, those that occur again; ``more`` 1: a block settled its own."""
-    block, ids, keys, text, place = _entries(table)
-    hashes, more, settled = _hashed(table)
-    open_ = np.flatnonzero(~settled)
-    order = open_[np.argsort(hashes[open_], kind="stable")]
-    runs = _run_ids(hashes[order]) if len(order) else order
-    size = np.bincount(runs, minlength=1)[runs] if len(order) else order
-    out = np.concatenate([np.flatnonzero(settled), order[(size > 1) & (more[order] == 0)]])
-    return _found(block[out], ids, keys, text[out], place[out])
+    """Of a bucket's anchors, those that occur again; inverted marks are already settled by their block."""
+    own, entries = _split(table)
+    block, place, mark = _blocks(entries, "place"), _flat(entries, "place"), _flat(entries, "mark")
+    plain = np.where(mark < 0, ~mark, mark)
+    order = np.argsort(plain, kind="stable")
+    found = order[(_sizes(_firsts(plain[order])) > 1) & (mark[order] >= 0)]
+    return _answer(own, block[found], place[found])
+
+
+def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by text, the places (kind 0) before the text itself (kind 1) -> each text that has places, once, numbered in order."""
+    part, n, now, held, done = TaskContext.get().partitionId(), 0, None, [], False
+    for batch in batches:
+        lists_ = batch.column("places")
+        rows, places = [], []
+        for r, (i, k, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "key", "kind")), strict=True)):
+            if (i, k) != now:
+                now, held, done = (i, k), [], False
+            if kind == 0:
+                held.append(np.array(lists_[r].as_py(), np.int32))
+            elif held and not done:
+                done = True
+                rows.append(r)
+                places.append(np.unique(np.concatenate(held)))
+        if rows:
+            some = batch.take(pa.array(rows))
+            seq = np.arange(n, n + len(rows))
+            n += len(rows)
+            columns = [pa.array(np.full(len(rows), part), pa.int64()), pa.array(seq, pa.int64()), some.column("id"), some.column("key"), some.column("text"), lists(np.concatenate(places), np.array([len(p) for p in places]), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "id", "key", "text", "places"])
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of consecutive texts."""
+    for batch in batches:
+        part, seq = batch.column("part").to_numpy(), batch.column("seq").to_numpy()
+        cuts = np.flatnonzero((part[1:] != part[:-1]) | (seq[1:] != seq[:-1] + 1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+            yield from pieces([batch.slice(a, b - a)], limit=limit)
 
 
 def _runs(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in enumerate(pieces(batches, limit=BLOCK)):
-            block = (TaskContext.get().partitionId() << 32) + i
+        for batch in _in_order(batches, BLOCK):
+            block = (batch.column("part")[0].as_py() << 40) + batch.column("seq")[0].as_py()
             texts = Texts(batch.column("text"))
-            ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             text, place = _layout(texts)
             anchors = batch.column("places")
             at = anchors.flatten().to_numpy() + np.repeat(texts.first[:-1], anchors.value_lengths().to_numpy())
@@ -172,43 +213,24 @@ def _runs(n_buckets: int):
             found, other = windows(words, RUN), windows(mix(words ^ U(0xA5A5A5A5A5A5A5A5)), RUN)
             m = len(found)
             at = np.flatnonzero((np.cumsum(near)[:m] > 0) & (place[:m] + RUN <= texts.counts[text[:m]]))
-            hashes, more = found[at], (other[at] >> U(32)).astype(np.uint32)
-            rank = np.empty(len(ids), np.int64)
-            rank[np.lexsort((keys, ids))] = np.arange(len(ids))
-            by = np.lexsort((place[at], rank[text[at]], more, hashes))
-            at, hashes, more = at[by], hashes[by], more[by]
-            first = np.ones(len(at), bool)
-            if len(at):
-                runs = _run_ids(hashes, more)
-                first[1:] = runs[1:] != runs[:-1]
-                least = np.flatnonzero(first)[runs]
-                a, b = text[at], text[at[least]]
-                same = (ids[a] == ids[b]) & (keys[a] == keys[b]) & (place[at] == place[at[least]])
-                later = ~first & ~same
-                yield from _rows(n_buckets, block, ids, keys, text[at[later]], place[at[later]], hashes[later], more[later], True)
-            yield from _rows(n_buckets, block, ids, keys, text[at[first]], place[at[first]], hashes[first], more[first], False)
+            hashes, mark = found[at], (other[at] >> U(32)).astype(np.uint32).view(np.int32)
+            order = np.lexsort((at, mark, hashes))
+            new = np.zeros(len(at), bool)
+            new[order] = _firsts(hashes[order], mark[order])
+            yield _own_row(block % n_buckets, block, batch, texts.counts, at[~new])
+            at, hashes, mark = at[new], hashes[new], mark[new]
+            yield _bucket_rows(n_buckets, block, ((hashes >> U(33)) % U(n_buckets)).astype(np.int64), at, mark, hashes)
 
     return run
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Of a bucket's runs, those that also begin at an earlier place."""
-    block, ids, keys, text, place = _entries(table)
-    hashes, more, settled = _hashed(table)
-    open_ = np.flatnonzero(~settled)
-    t = text[open_]
-    order = open_[np.lexsort((place[open_], keys[t], ids[t], more[open_], hashes[open_]))]
-    out = [np.flatnonzero(settled)]
-    if len(order):
-        runs = _run_ids(hashes[order], more[order])
-        first = np.ones(len(order), bool)
-        first[1:] = runs[1:] != runs[:-1]
-        least = order[np.flatnonzero(first)[runs]]
-        a, b = text[order], text[least]
-        same = (ids[a] == ids[b]) & (keys[a] == keys[b]) & (place[order] == place[least])
-        out.append(order[~same])
-    at = np.concatenate(out)
-    return _found(block[at], ids, keys, text[at], place[at])
+    """Of a bucket's runs, those that also begin in an earlier block."""
+    own, entries = _split(table)
+    block, place, mark, hashes = _blocks(entries, "place"), _flat(entries, "place"), _flat(entries, "mark"), _flat(entries, "hash")
+    order = np.lexsort((block, mark, hashes))  # a block sends a run once
+    later = order[~_firsts(hashes[order], mark[order])]
+    return _answer(own, block[later], place[later])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,22 +255,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(removed, pa.int64()), pa.array(digests), pa.array([t.decode() for t in texts])], ["id", "key", "n_removed", "kept_sha", "kept_text"])
 
 
-def _by_text(found: DataFrame) -> DataFrame:
-    """All places of a text in one row, whichever block its rows were in; their number is bounded by the text's words."""
-    found = found.groupBy("block").applyInArrow(_places, _PLACES)
-    return found.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-
-
 def cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keyed rows of ``docs(doc_id, text)``, and for the texts that lose words: id, key, n_removed, kept_sha, kept_text."""
+    spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("key"), "text")
-    n = max(fanout(docs.sparkSession), keyed.rdd.getNumPartitions())
+    n = max(fanout(spark), keyed.rdd.getNumPartitions())
     bare = keyed.select("id", "key", "text")
     anchors = bare.mapInArrow(_anchors(n), _ENTRIES).groupBy("bucket").applyInArrow(_recurring, _FOUND)
-    texts = written(bare.join(_by_text(anchors), ["id", "key"]), "anchored")
-    later = texts.mapInArrow(_runs(n), _ENTRIES).groupBy("bucket").applyInArrow(_later, _FOUND)
-    lost = texts.drop("places").join(_by_text(later), ["id", "key"])
-    return keyed, lost.mapInArrow(_cut, "id long, key long, n_removed long, kept_sha string, kept_text string").dropDuplicates(["id", "key"])
+    anchors = written(anchors.groupBy("block").applyInArrow(_places, _PLACES), "anchors")
+    both = bare.withColumns({"kind": F.lit(1), "places": F.lit(None).cast("array<int>")}).unionByName(anchors.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    both = both.repartitionByRange(n, "id", "key").sortWithinPartitions("id", "key", "kind")
+    schema = "part long, seq long, id long, key long, text string, places array<int>"
+    path = work_path(spark, "anchored")
+    both.mapInArrow(_with_places, schema).write.option("compression", "zstd").parquet(path)
+    texts = spark.read.schema(schema).parquet(path)
+    later = texts.mapInArrow(_runs(FINER * n), _ENTRIES).groupBy("bucket").applyInArrow(_later, _FOUND)
+    later = written(later.groupBy("block").applyInArrow(_places, _PLACES), "later-runs")
+    lost = texts.select("id", "key", "text").join(later, ["id", "key"])
+    return keyed, lost.mapInArrow(_cut, "id long, key long, n_removed long, kept_sha string, kept_text string")
 
 
 def verdicts(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
