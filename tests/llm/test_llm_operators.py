@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lurewatch.llm import exact_dedup, language_model, mixing, near_dedup, packing, quality, queries, sharding, substring_dedup, toxicity, url_filter
@@ -226,6 +228,14 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
 
+def gram_values(text):
+    """Hash values of the words and of the pairs of adjacent words, by the public xxHash with seed 42."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    one = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in WORD.findall(text or "")]
+    two = [signed(xxhash.xxh64_intdigest(struct.pack("<q", b), seed=xxhash.xxh64_intdigest(struct.pack("<q", a), seed=42))) for a, b in zip(one, one[1:], strict=False)]
+    return [h % quality.HASHES for h in one], [h % quality.HASHES for h in two]
+
+
 def test_op6_counts_and_scores(spark, docs, texts, labels):
     trusted = labels.filter("quality = 1").select("doc_id")
     weights = quality.train(docs, trusted)
@@ -235,21 +245,27 @@ def test_op6_counts_and_scores(spark, docs, texts, labels):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == quality_counts(t)
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD) or abs(r.score - quality.THRESHOLD) < 1e-3
-    grams = {r.doc_id: r.g for r in docs.select("doc_id", quality.words(F.col("text")).alias("w")).select("doc_id", quality.gram_hashes(F.col("w")).alias("g")).collect()}
+    grams = {i: gram_values(t) for i, t in texts.items()}
     good = {r.doc_id for r in trusted.collect()}
-    raw, target = Counter(h for g in grams.values() for h in g), Counter(h for i, g in grams.items() if i in good for h in g)
-    a, b = sum(raw.values()) + quality.HASHES, sum(target.values()) + quality.HASHES
-    for h in random.Random(0).sample(sorted(raw), 50):
-        assert math.isclose(weights[h], math.log((target[h] + 1) / b) - math.log((raw[h] + 1) / a))
+    for k in range(2):
+        raw, target = Counter(h for g in grams.values() for h in g[k]), Counter(h for i, g in grams.items() if i in good for h in g[k])
+        spread = quality.SMOOTHING * quality.HASHES
+        for h in random.Random(0).sample(sorted(raw), 50):
+            share = (raw[h] + 1) / (sum(raw.values()) + quality.HASHES)
+            assert math.isclose(weights[k][h], math.log((target[h] + spread * share) / (sum(target.values()) + spread)) - math.log(share), abs_tol=1e-9)
     for i, g in grams.items():
-        assert abs(got[i].score - sum(weights[h] for h in g) / (len(g) + quality.PRIOR)) < 2e-3
-
-
-def test_op6_keeps_clean_and_drops_junk(docs, labels):
-    joined = quality.verdicts(docs, labels.filter("quality = 1").select("doc_id")).join(labels, "doc_id").filter("n_words >= 20 AND NOT base_failed").collect()
-    assert all(r.kept for r in joined if r.quality == 1)
-    junk = [r.kept for r in joined if r.quality == 0]
-    assert sum(junk) <= 0.2 * len(junk)
+        assert abs(got[i].score - sum(weights[k][h] for k in range(2) for h in g[k]) / (len(g[0]) + len(g[1]) + quality.PRIOR)) < 2e-3
+
+
+def test_op6_keeps_clean_and_drops_junk(spark):
+    """Trained on two thirds of the trusted documents of sf0.01, judged on the other third."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    judged = quality.verdicts(docs, labels.filter(F.col("quality") == 1).filter(fold != 2).select("doc_id"))
+    joined = judged.join(labels, "doc_id").filter(fold == 2).filter("n_words >= 20 AND NOT base_failed").collect()
+    clean, junk = ([r.kept for r in joined if r.quality == q] for q in (1, 0))
+    assert len(clean) > 80 and sum(clean) >= 0.9 * len(clean)
+    assert len(junk) > 10 and sum(junk) <= 0.15 * len(junk)
 
 
 def test_op6_odd(odd, empty):
