@@ -44,8 +44,11 @@ FOLDS, TEST_FOLD, DELETED_FOLD = 7, 2, 3
 BLOCK = 8 << 20
 _END = np.array([0x454E44], U)
 _SHIFT = U(20)
-#: Log-ratios enter EM rounded to steps of this size.
-_STEP = 0.2
+#: Log-ratios enter EM rounded to steps of this size and at most ``_CENTRE - 1`` steps from 0; with up to 64 levels of context frequency
+#: this bounds what EM gets to 64 * 256 * 256 counts, whatever the corpus.
+_STEP, _CENTRE = 0.2, 128
+#: Hash buckets for each input partition.
+FINER = 4
 
 
 class Table:
@@ -223,7 +226,7 @@ def _level(counts: np.ndarray) -> np.ndarray:
 def _step(ratio: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         x = np.log(ratio)
-    return np.where(np.isfinite(x), np.clip(np.rint(x / _STEP), -500, 500), -512).astype(np.int64) + 512
+    return np.where(np.isfinite(x), np.clip(np.rint(x / _STEP), 1 - _CENTRE, _CENTRE - 1), -_CENTRE).astype(np.int64) + _CENTRE
 
 
 def _context_code(words: Words, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -317,7 +320,7 @@ def learn_weights(codes: np.ndarray, counts: np.ndarray, rounds: int = 40) -> np
     level = codes >> 20
     ratio = np.ones((len(codes), 3))
     for k, step in enumerate(((codes >> 10) & 1023, codes & 1023)):
-        ratio[:, k] = np.where(step > 0, np.exp((step - 512) * _STEP), 0)
+        ratio[:, k] = np.where(step > 0, np.exp((step - _CENTRE) * _STEP), 0)
     for _ in range(rounds):
         share = out[level] * ratio
         share *= (counts / share.sum(axis=1))[:, None]
@@ -359,13 +362,14 @@ def train(docs: DataFrame) -> Model:
     order = np.argsort(key)
     rest = sums.filter(F.col("kind") == PENDING).unionByName(rare).groupBy("bucket").applyInArrow(_complete(shared), _COUNTS)
     pairs = sums.filter(F.col("kind") == CODES).unionByName(rest).select(F.explode(F.arrays_zip("keys", "others")).alias("x"))
-    held = pairs.groupBy("x.keys").agg(F.sum("x.others").alias("number")).toArrow()  # bounded by the rounding
+    held = pairs.groupBy("x.keys").agg(F.sum("x.others").alias("number")).toArrow()  # at most 64 * 256 * 256 rows
+    held = held.sort_by("keys")  # a fixed order of the sums
     weights = learn_weights(held.column("keys").to_numpy().astype(np.int64), held.column("number").to_numpy())
     return Model(words, Table(key[order]), c[order], weights)
 
 
 def _buckets(docs: DataFrame) -> int:
-    return max(fanout(docs.sparkSession), docs.rdd.getNumPartitions())
+    return FINER * max(fanout(docs.sparkSession), docs.rdd.getNumPartitions())
 
 
 #: Kinds above: bigrams to be scored (texts: index * 2 + trained on; RARE_TOKEN has others -1 where the context is rare).  HEAD: a block's texts (ids,
@@ -482,24 +486,24 @@ def _score_buckets(n_buckets: int, shared):
         second, other = np.unique(others, return_inverse=True)
         count, b = _counted(at * max(1, len(second)) + other, trained), others.view(U)
         used, c, per = scatter(_bucket(b, n_buckets), n_buckets, keys=others, others=(word[at] << 32) | count, blocks=block, texts=text)
-        out += [_part(used, PAIR, 0, per, **c), sums.rows(bucket)]
+        out += [_part(used, PAIR, bucket, per, **c), sums.rows(bucket)]
         return pa.concat_tables([pa.Table.from_batches(out), _of_kind(table, HEAD).cast(out[0].schema)])
 
     return run
 
 
-def _score_pairs(shared):
+def _score_pairs(n_buckets: int, shared):
     """In the bucket of the second word, what bigrams of two rare words add to each text."""
 
     def run(table: pa.Table) -> pa.Table:
         model: Model = shared.value
-        words, pairs = _of_kind(table, WORD), _of_kind(table, PAIR)
+        words, pairs = _of_kind(table, WORD), _of_kind(table, PAIR).sort_by("block")  # the bucket it comes from: a fixed order of the sums
         keys, count = _flat(words, "keys"), _flat(words, "others")
         order = np.argsort(keys)
         token = count[order][np.searchsorted(keys, _flat(pairs, "keys"), sorter=order)]
         others, sums = _flat(pairs, "others"), _Sums()
         sums.add(_flat(pairs, "blocks"), _flat(pairs, "texts"), score=model.log10(others >> 32, token, others & ((1 << 32) - 1)))
-        rows = sums.rows(table.column("bucket")[0].as_py())
+        rows = sums.rows(table.column("bucket")[0].as_py() + n_buckets)
         return pa.concat_tables([pa.Table.from_batches([rows]), *(_of_kind(table, k).cast(rows.schema) for k in (HEAD, PART))])
 
     return run
@@ -507,6 +511,7 @@ def _score_pairs(shared):
 
 def _gather(n_train: int, vocabulary: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")  # a fixed order of the sums
         kinds = table.column("kind").to_numpy()
         head, rest = table.filter(pa.array(kinds == HEAD)), table.filter(pa.array(kinds == PART))
         ids = pa.concat_arrays([x.flatten() for x in head.column("keys").chunks])
@@ -527,6 +532,6 @@ def scores(docs: DataFrame) -> DataFrame:
     model = train(docs)
     shared, n = docs.sparkSession.sparkContext.broadcast(model), _buckets(docs)
     parts = _folded(docs).mapInArrow(_score_blocks(n, shared), _PARTS).groupBy("bucket").applyInArrow(_score_buckets(n, shared), _PARTS)
-    parts = parts.groupBy("bucket").applyInArrow(_score_pairs(shared), _PARTS)
+    parts = parts.groupBy("bucket").applyInArrow(_score_pairs(n, shared), _PARTS)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parts.groupBy("block").applyInArrow(_gather(model.words.n, model.words.vocabulary), schema)

@@ -389,7 +389,7 @@ def test_op8_rare_words_keep_their_own_statistics(docs, texts, monkeypatch, most
                 gone.update(both)
                 gone_words.update(t)
     left_n, codes = n - sum(gone_words.values()), Counter()
-    step = lambda p: 512 + max(-500, min(500, round(math.log(p * (v + 1)) / language_model._STEP))) if p else 0
+    step = lambda p: language_model._CENTRE + max(-127, min(127, round(math.log(p * (v + 1)) / language_model._STEP))) if p else 0
     for (a, b), k in gone.items():
         context = c[a] - gone_words[a]
         codes[int(math.log2(context + 1)), step((pairs[a, b] - k) / max(context, 1)), step((c[b] - gone_words[b]) / left_n)] += k
@@ -408,7 +408,7 @@ def test_op8_em_finds_the_mixture():
     rng = np.random.default_rng(0)
     ratio = np.array([[8.0, 0.5, 1], [0.1, 4.0, 1], [0.1, 0.1, 1]])
     draws = rng.choice(3, 30000, p=[0.6, 0.3, 0.1])
-    steps = np.rint(np.log(ratio[draws, :2]) / language_model._STEP).astype(int) + 512
+    steps = np.rint(np.log(ratio[draws, :2]) / language_model._STEP).astype(int) + language_model._CENTRE
     codes, counts = np.unique((3 << 20) | (steps[:, 0] << 10) | steps[:, 1], return_counts=True)
     lam = language_model.learn_weights(codes, counts)[3]
     likelihood = lambda x: float((np.log(ratio[draws] @ x)).sum())
