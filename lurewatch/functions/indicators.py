@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .normalize import v6_groups
+
 # Patterns and word lists of the indicator rules.
 URL_PATTERN = r"(?i)https?://[a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
 IPV4_PATTERN = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
@@ -29,6 +31,13 @@ SPECIAL_V4 = (
 )
 
 
+#: Special IPv6 ranges, as patterns over the eight full groups; the first that fits counts.
+SPECIAL_V6 = (
+    ("loopback", "^(0000:){7}0001$"), ("private", "^(0000:){8}$|^(0000:){7}0000$"), ("private", "^f[cd]"), ("private", "^fe[89ab]"), ("private", "^2001:0db8:"), ("private", "^(0000:){5}ffff:"),
+    ("private", "^0100:(0000:){3}"), ("private", "^2001:000[0-9a-f]:|^2001:0010:"), ("reserved", "^ff"), ("reserved", "^(0[1-9a-f]|[4-9a-e]|f[0-9ab])"), ("reserved", "^00"),
+)
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -107,11 +116,14 @@ def _v4(text: str) -> int:
 
 
 def ip_class(c: Column) -> Column:
-    """Loopback, private, reserved or public; what isn't an IPv4 address is reserved."""
+    """Loopback, private, reserved or public, for IPv4 and IPv6; what is neither is reserved."""
     n, out = v4_number(c), F.lit("public")
     for kind, net, bits in reversed(SPECIAL_V4):
         out = F.when(n.between(_v4(net), _v4(net) + (1 << (32 - bits)) - 1), kind).otherwise(out)
-    return F.when(n.isNull(), "reserved").otherwise(out)
+    groups, six = v6_groups(c), F.lit("public")
+    for kind, pattern in reversed(SPECIAL_V6):
+        six = F.when(groups.rlike(pattern), kind).otherwise(six)
+    return F.when(n.isNotNull(), out).when(groups.isNotNull(), six).otherwise("reserved")
 
 
 def addresses(c: Column) -> Column:
