@@ -117,13 +117,20 @@ def _v4(text: str) -> int:
 
 def ip_class(c: Column) -> Column:
     """Loopback, private, reserved or public, for IPv4 and IPv6; what is neither is reserved."""
-    n, out = v4_number(c), F.lit("public")
-    for kind, net, bits in reversed(SPECIAL_V4):
-        out = F.when(n.between(_v4(net), _v4(net) + (1 << (32 - bits)) - 1), kind).otherwise(out)
-    groups, six = v6_groups(c), F.lit("public")
-    for kind, pattern in reversed(SPECIAL_V6):
-        six = F.when(groups.rlike(pattern), kind).otherwise(six)
-    return F.when(n.isNotNull(), out).when(groups.isNotNull(), six).otherwise("reserved")
+
+    def four(n: Column) -> Column:
+        out = F.lit("public")
+        for kind, net, bits in reversed(SPECIAL_V4):
+            out = F.when(n.between(_v4(net), _v4(net) + (1 << (32 - bits)) - 1), kind).otherwise(out)
+        return F.when(n.isNotNull(), out)
+
+    def six(groups: Column) -> Column:
+        out = F.lit("public")
+        for kind, pattern in reversed(SPECIAL_V6):
+            out = F.when(groups.rlike(pattern), kind).otherwise(out)
+        return F.when(groups.isNotNull(), out)
+
+    return F.coalesce(_let(v4_number(c), four), F.when(F.contains(c, F.lit(":")), _let(v6_groups(c), six)), F.lit("reserved"))
 
 
 def addresses(c: Column) -> Column:

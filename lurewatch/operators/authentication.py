@@ -28,13 +28,18 @@ def _v6_bits(address: Column) -> Column:
 def in_network(ip: Column, network: Column) -> Column:
     """Whether an address lies in a network ``address/bits``, or equals it without bits; false across families and for what can't be read."""
     base, bits = F.split_part(network, F.lit("/"), F.lit(1)), F.split_part(network, F.lit("/"), F.lit(2))
-    width = F.when(bits == "", None).otherwise(bits.try_cast("int"))
-    a, b = v4_number(ip), v4_number(base)
-    n4 = F.coalesce(width, F.when(bits == "", 32))
-    four = n4.between(0, 32) & (F.floor(a / F.pow(F.lit(2.0), 32 - n4)) == F.floor(b / F.pow(F.lit(2.0), 32 - n4)))
-    n6 = F.coalesce(width, F.when(bits == "", 128))
-    six = n6.between(0, 128) & (F.left(_v6_bits(ip), n6) == F.left(_v6_bits(base), n6))
-    return F.coalesce(F.when(a.isNotNull(), four).otherwise(six), F.lit(False))
+    width = lambda full: F.when(bits == "", full).otherwise(bits.try_cast("int"))
+
+    def four(x: Column) -> Column:
+        size = F.pow(F.lit(2.0), 32 - x["n"])
+        return x["n"].between(0, 32) & (F.floor(x["a"] / size) == F.floor(x["b"] / size))
+
+    def six(x: Column) -> Column:
+        return x["n"].between(0, 128) & (F.left(x["a"], x["n"]) == F.left(x["b"], x["n"]))
+
+    once = lambda a, b, n, test: F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), n.alias("n"))), test)[0]
+    is_six = F.contains(ip, F.lit(":"))
+    return F.coalesce(F.when(is_six, once(_v6_bits(ip), _v6_bits(base), width(128), six)).otherwise(once(v4_number(ip), v4_number(base), width(32), four)), F.lit(False))
 
 
 def tags(record: Column, *, lower: bool = True) -> Column:
