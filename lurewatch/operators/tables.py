@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,21 +10,41 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else one beside the warehouse's tables."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else one beside the warehouse's tables.
+
+    Without ``spark.checkpoint.dir`` a warehouse on the machine's own disk will
+    do only if the master is local, too.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if folder.startswith(("file:", "/")) and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("intermediate tables need a folder that driver and executors share: set spark.checkpoint.dir")
+    return f"{folder}/_work"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lurewatch/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the shuffle files of DataFrames that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects their owners, which on a large
+    heap may be long after; call it behind a ``written`` that ends a costly step.
+    """
+    gc.collect()
+    if jvm := getattr(spark, "_jvm", None):
+        jvm.System.gc()
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet, in any case."""
     taken = {c.lower() for c in df.columns}
