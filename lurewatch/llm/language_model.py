@@ -36,19 +36,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fanout, written
+from .common import fanout, release, written
 from .textarrays import Texts, U, lists, mix, pieces, scatter, signed
 
 WORDS, BIGRAMS = 1 << 18, 1 << 20
 FOLDS, TEST_FOLD, DELETED_FOLD = 7, 2, 3
-BLOCK = 8 << 20
+#: Bytes, and texts, of a block; twice the index of a text fits 16 bits.
+BLOCK, MOST_TEXTS = 8 << 20, 1 << 14
 _END = np.array([0x454E44], U)
-_SHIFT = U(20)
+#: A bigram of broadcast words is the context's class, shifted, and the token's: 2 * 19 bits hold at most WORDS + 2 classes each.
+_SHIFT, _CLASS = U(19), U((1 << 19) - 1)
+_PAIR, _ODD = U((1 << 38) - 1), 0x1B5AD4C375
 #: Log-ratios enter EM rounded to steps of this size and at most ``_CENTRE - 1`` steps from 0; with up to 64 levels of context frequency
 #: this bounds what EM gets to 64 * 256 * 256 counts, whatever the corpus.
 _STEP, _CENTRE = 0.2, 128
-#: Hash buckets for each input partition.
-FINER = 4
+#: Hash buckets for each input partition, and at least: with those, what is left of a bigram in its bucket fits 31 bits.
+FINER, LEAST_BUCKETS = 4, 128
 
 
 class Table:
@@ -143,19 +146,33 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((mix(keys) >> U(33)) % U(n)).astype(np.int64)
 
 
-#: Kinds of bigrams: of two frequent words (keys: both classes); of a rare word (its hash) after a frequent one (others: its class); of a rare
-#: word (its hash) before a frequent one (its class) or a rare one (its hash).  COUNTED: rare words (keys), their counts (others) and deleted counts.
+def _fold(pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of a bigram of broadcast words, and the rest that tells it apart there."""
+    x = ((pair ^ (pair >> _SHIFT)) * U(_ODD)) & _PAIR
+    x ^= x >> _SHIFT
+    return (x % U(n)).astype(np.int64), (x // U(n)).astype(np.int32)
+
+
+def _unfold(bucket: int, rest: np.ndarray, n: int) -> np.ndarray:
+    x = rest.astype(U) * U(n) + U(bucket)
+    x = ((x ^ (x >> _SHIFT)) * U(pow(_ODD, -1, 1 << 38))) & _PAIR
+    return x ^ (x >> _SHIFT)
+
+
+#: Kinds of bigrams: of two frequent words (small: what ``_fold`` leaves); of a rare word (keys: its hash) after a frequent one (small: its class); of a
+#: rare word (keys) before a frequent one (small: its class) or a rare one (others: its hash).  COUNTED: rare words (keys), their counts (others) and
+#: deleted counts.
 FREQUENT, RARE_TOKEN, RARE_CONTEXT, RARE_BOTH, COUNTED = range(5)
 #: Results of a bucket: frequent bigrams; deleted tokens by code; and, of a bigram of two rare words, the second's hash, the code without its count.
 FOUND, CODES, PENDING = range(3)
-_COUNTS = "bucket int, kind int, keys array<long>, others array<long>, counts array<int>"
+_COUNTS = "bucket int, kind int, keys array<long>, small array<int>, others array<long>, counts array<int>"
 
 
-def _listed(bucket: np.ndarray, kind: int, per: np.ndarray, keys: np.ndarray, others: np.ndarray | None, counts: np.ndarray | None) -> pa.RecordBatch:
+def _listed(bucket: np.ndarray, kind: int, per: np.ndarray, keys: np.ndarray | None, others: np.ndarray | None, counts: np.ndarray | None, small: np.ndarray | None = None) -> pa.RecordBatch:
     none = np.zeros(len(bucket), np.int64)
     some = lambda x, of: lists(np.zeros(0, np.int64), none, of) if x is None else lists(x, per, of)
-    columns = [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), kind), pa.int32()), lists(keys, per, pa.int64()), some(others, pa.int64()), some(counts, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "keys", "others", "counts"])
+    columns = [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), kind), pa.int32()), some(keys, pa.int64()), some(small, pa.int32()), some(others, pa.int64()), some(counts, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "keys", "small", "others", "counts"])
 
 
 def _kinds(name: np.ndarray, token: np.ndarray, context: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -176,13 +193,15 @@ def _count_bigrams(n_buckets: int, shared):
             key = (context[used].astype(U) << _SHIFT) | token[used].astype(U)
             both, counts = np.unique((key << U(1)) | (of[used] == DELETED_FOLD), return_counts=True)
             key, deleted = both >> U(1), (both & U(1)).astype(bool)
-            names, c, per = scatter(_bucket(key, n_buckets), n_buckets, key=key, count=np.where(deleted, -counts, counts))
-            yield _listed(names, FREQUENT, per, signed(c["key"]), None, c["count"])
+            bucket, rest = _fold(key, n_buckets)
+            names, c, per = scatter(bucket, n_buckets, rest=rest, count=np.where(deleted, -counts, counts))
+            yield _listed(names, FREQUENT, per, None, None, c["count"], c["rest"])
             for kind, at, key, others in _kinds(name, token, context):
                 trained = of[at] != TEST_FOLD
                 key, others, sign = key[trained], others[trained], np.where(of[at[trained]] == DELETED_FOLD, -1, 1)
                 names, c, per = scatter(_bucket(key, n_buckets), n_buckets, key=key, others=others, count=sign)
-                yield _listed(names, kind, per, signed(c["key"]), c["others"], c["count"])
+                wide = kind == RARE_BOTH
+                yield _listed(names, kind, per, signed(c["key"]), c["others"] if wide else None, c["count"], None if wide else c["others"])
 
     return run
 
@@ -269,14 +288,14 @@ def _sum_bigrams(n_buckets: int, shared, most: int):
             part = _of_kind(table, kind)
             keys, counts = _flat(part, "keys").view(U), _flat(part, "counts")
             if kind == FREQUENT:
-                names, c, d = summed(keys, counts)
+                names, c, d = summed(_unfold(table.column("bucket")[0].as_py(), _flat(part, "small"), n_buckets), counts)
                 frequent = c * most >= words.n
                 out.append(_listed(np.zeros(1, int), FOUND, np.array([frequent.sum()]), signed(names[frequent]), c[frequent], None))
                 held = np.flatnonzero(d)
-                add(left[(names[held] >> _SHIFT).astype(np.int64)], c[held] - d[held], left[(names[held] & U((1 << 20) - 1)).astype(np.int64)], d[held])
+                add(left[(names[held] >> _SHIFT).astype(np.int64)], c[held] - d[held], left[(names[held] & _CLASS).astype(np.int64)], d[held])
                 continue
             own, at = np.unique(keys, return_inverse=True)
-            others, width = _flat(part, "others"), 1 << 20
+            others, width = _flat(part, "others" if kind == RARE_BOTH else "small").astype(np.int64), 1 << 20
             if kind == RARE_BOTH:
                 second, others = np.unique(others, return_inverse=True)
                 width = max(1, len(second))
@@ -369,15 +388,15 @@ def train(docs: DataFrame) -> Model:
 
 
 def _buckets(docs: DataFrame) -> int:
-    return FINER * max(fanout(docs.sparkSession), docs.rdd.getNumPartitions())
+    return max(LEAST_BUCKETS, FINER * max(fanout(docs.sparkSession), docs.rdd.getNumPartitions()))
 
 
-#: Kinds above: bigrams to be scored (texts: index * 2 + trained on; RARE_TOKEN has others -1 where the context is rare).  HEAD: a block's texts (ids,
-#: tokens * 2 + held out, known, base, score).  PART: sums by text.  WORD: rare words' counts (others).  PAIR: of bigrams of two rare words the
+#: Kinds above: bigrams to be scored (texts: index * 2 + trained on; RARE_TOKEN has small -1 where the context is rare).  HEAD: a block's texts (ids,
+#: small: tokens * 2 + held out, known, base, score).  PART: sums by text.  WORD: rare words' counts (others).  PAIR: of bigrams of two rare words the
 #: second (keys), the counts of context << 32 | bigram (others), and blocks.
 HEAD, PART, WORD, PAIR = range(5, 9)
-_PARTS = "bucket int, kind int, block long, texts array<int>, keys array<long>, others array<long>, blocks array<long>, known array<int>, base array<double>, score array<double>"
-_TYPES = {"texts": pa.int32(), "keys": pa.int64(), "others": pa.int64(), "blocks": pa.int64(), "known": pa.int32(), "base": pa.float64(), "score": pa.float64()}
+_PARTS = "bucket int, kind int, block long, texts array<short>, keys array<long>, small array<int>, others array<long>, blocks array<long>, known array<int>, base array<double>, score array<double>"
+_TYPES = {"texts": pa.int16(), "keys": pa.int64(), "small": pa.int32(), "others": pa.int64(), "blocks": pa.int64(), "known": pa.int32(), "base": pa.float64(), "score": pa.float64()}
 
 
 def _part(bucket: np.ndarray, kind: int, block: np.ndarray | int, per: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
@@ -391,7 +410,7 @@ def _part(bucket: np.ndarray, kind: int, block: np.ndarray | int, per: np.ndarra
 def _score_blocks(n_buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for i, batch in enumerate(pieces(batches, limit=BLOCK)):
+        for i, batch in enumerate(pieces(batches, limit=BLOCK, most=MOST_TEXTS)):
             block = (TaskContext.get().partitionId() << 32) + i
             texts, fold = Texts(batch.column("text")), batch.column("fold").to_numpy()
             owner, name, token, context = _classes(texts, model.words)
@@ -405,11 +424,15 @@ def _score_blocks(n_buckets: int, shared):
             score = np.bincount(owner[sure], model.log10(counts[context[sure]], counts[token[sure]], model.counts[at[at >= 0]]), minlength=n)
             rare = np.flatnonzero(token == 0)
             rare_token = (RARE_TOKEN, rare, name[rare], np.where(context[rare] > 0, context[rare], -1))
-            for kind, who, keys, others in ((FREQUENT, open_, key[at < 0], None), rare_token, *(x for x in _kinds(name, token, context) if x[0] != RARE_TOKEN)):
-                columns = {"keys": signed(keys), "texts": owner[who] * 2 + trained[owner[who]]} | ({} if others is None else {"others": others})
+            marks = owner * 2 + trained[owner]
+            bucket, rest = _fold(key[at < 0], n_buckets)
+            used, c, per = scatter(bucket, n_buckets, small=rest, texts=marks[open_])
+            yield _part(used, FREQUENT, block, per, **c)
+            for kind, who, keys, others in (rare_token, *(x for x in _kinds(name, token, context) if x[0] != RARE_TOKEN)):
+                columns = {"keys": signed(keys), "texts": marks[who], "others" if kind == RARE_BOTH else "small": others}
                 used, c, per = scatter(_bucket(keys, n_buckets), n_buckets, **columns)
                 yield _part(used, kind, block, per, **c)
-            head = _part(np.array([block % n_buckets]), HEAD, block, np.array([n]), texts=(texts.counts + 1) * 2 + ~trained, known=n_known, base=base, score=score)
+            head = _part(np.array([block % n_buckets]), HEAD, block, np.array([n]), small=(texts.counts + 1) * 2 + ~trained, known=n_known, base=base, score=score)
             ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column("doc_id"))
             yield head.set_column(head.schema.get_field_index("keys"), "keys", ids)
 
@@ -420,8 +443,8 @@ def _messages(table: pa.Table, kind: int) -> tuple[np.ndarray, ...]:
     """Blocks, texts, whether trained on, keys and others of a kind; those of a text in one block stand together."""
     part = _of_kind(table, kind)
     per = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in part.column("texts").chunks)]).astype(np.int64)
-    texts = _flat(part, "texts")
-    return np.repeat(part.column("block").to_numpy(), per), texts >> 1, texts & 1, _flat(part, "keys").view(U), _flat(part, "others")
+    texts = _flat(part, "texts").astype(np.int64)
+    return np.repeat(part.column("block").to_numpy(), per), texts >> 1, texts & 1, _flat(part, "keys").view(U), _flat(part, "others" if kind == RARE_BOTH else "small").astype(np.int64)
 
 
 class _Sums:
@@ -462,8 +485,9 @@ def _score_buckets(n_buckets: int, shared):
         model: Model = shared.value
         counts, sums, out = model.words.counts, _Sums(), []
         bucket = table.column("bucket")[0].as_py()
-        block, text, trained, keys, _ = _messages(table, FREQUENT)
-        context, token = (keys >> _SHIFT).astype(np.int64), (keys & U((1 << 20) - 1)).astype(np.int64)
+        block, text, trained, _, rest = _messages(table, FREQUENT)
+        keys = _unfold(bucket, rest, n_buckets)
+        context, token = (keys >> _SHIFT).astype(np.int64), (keys & _CLASS).astype(np.int64)
         sums.add(block, text, score=model.log10(counts[context], counts[token], _counted(keys, trained)))
 
         block, text, trained, keys, others = _messages(table, RARE_TOKEN)
@@ -504,7 +528,7 @@ def _score_pairs(n_buckets: int, shared):
         others, sums = _flat(pairs, "others"), _Sums()
         sums.add(_flat(pairs, "blocks"), _flat(pairs, "texts"), score=model.log10(others >> 32, token, others & ((1 << 32) - 1)))
         rows = sums.rows(table.column("bucket")[0].as_py() + n_buckets)
-        return pa.concat_tables([pa.Table.from_batches([rows]), *(_of_kind(table, k).cast(rows.schema) for k in (HEAD, PART))])
+        return pa.Table.from_batches([rows])
 
     return run
 
@@ -515,9 +539,9 @@ def _gather(n_train: int, vocabulary: int):
         kinds = table.column("kind").to_numpy()
         head, rest = table.filter(pa.array(kinds == HEAD)), table.filter(pa.array(kinds == PART))
         ids = pa.concat_arrays([x.flatten() for x in head.column("keys").chunks])
-        tokens, known, base, score = (_flat(head, c) for c in ("texts", "known", "base", "score"))
+        tokens, known, base, score = (_flat(head, c) for c in ("small", "known", "base", "score"))
         if rest.num_rows:
-            t = _flat(rest, "texts")
+            t = _flat(rest, "texts").astype(np.int64)
             known, base, score = (x + np.bincount(t, _flat(rest, c), minlength=len(ids)) for x, c in ((known, "known"), (base, "base"), (score, "score")))
         n = (tokens >> 1).astype(np.int64)
         base = base - n * np.log10(n_train + vocabulary + 1)
@@ -530,8 +554,13 @@ def _gather(n_train: int, vocabulary: int):
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs(doc_id, text)``."""
     model = train(docs)
-    shared, n = docs.sparkSession.sparkContext.broadcast(model), _buckets(docs)
+    spark = docs.sparkSession
+    release(spark)
+    shared, n = spark.sparkContext.broadcast(model), _buckets(docs)
     parts = _folded(docs).mapInArrow(_score_blocks(n, shared), _PARTS).groupBy("bucket").applyInArrow(_score_buckets(n, shared), _PARTS)
-    parts = parts.groupBy("bucket").applyInArrow(_score_pairs(n, shared), _PARTS)
+    parts = written(parts, "scored", compression="zstd")
+    release(spark)
+    pairs = parts.filter(F.col("kind").isin(WORD, PAIR)).groupBy("bucket").applyInArrow(_score_pairs(n, shared), _PARTS)
+    parts = parts.filter(F.col("kind").isin(HEAD, PART)).unionByName(pairs)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parts.groupBy("block").applyInArrow(_gather(model.words.n, model.words.vocabulary), schema)

@@ -112,8 +112,8 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about ``limit`` bytes of text, to bound memory."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of at most ``most`` rows with about ``limit`` bytes of text, to bound memory."""
     for batch in batches:
         column = batch.column(text).fill_null("").cast(pa.large_string())
         if not len(column):
@@ -121,7 +121,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
         offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
         i = 0
         while i < len(column):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+            j = min(i + most, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
             yield batch.slice(i, j - i)
             i = j
 
