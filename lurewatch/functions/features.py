@@ -38,8 +38,14 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
-def _count(text: Column, kept: str) -> Column:
-    return F.length(F.regexp_replace(text, kept, ""))
+def _count(text: Column, one: str) -> Column:
+    """How often a character occurs."""
+    return F.length(text) - F.length(F.replace(text, F.lit(one), F.lit("")))
+
+
+def _count_of(text: Column, kind: str) -> Column:
+    """How many characters are of a kind that is rare in text."""
+    return F.length(text) - F.length(F.regexp_replace(text, rf"\p{{{kind}}}+", ""))
 
 
 def domain_of(address: Column) -> Column:
@@ -52,13 +58,12 @@ def display_name(address: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(address, r"^([^<]*)<", 1), '"', ""))
 
 
-def _text_features(body: Column, subject: Column) -> dict[str, Column]:
-    low, combined = F.lower(body), F.lower(F.concat(subject, F.lit(" "), body))
+def _text_features(body: Column, subject: Column, low: Column, combined: Column, words: Column, n_syllables: Column) -> dict[str, Column]:
+    """``low``: the body in lower case, ``combined``: with the subject before it, ``words``: of ``low``; all of them columns that are computed once."""
     n = F.greatest(F.length(body), F.lit(1))
-    words = _words(low)
     n_words = F.size(words)
-    sentences = F.greatest(F.size(F.regexp_extract_all(body, F.lit(r"[.!?]+"), F.lit(0))), F.lit(1))
-    syllables = F.greatest(F.size(F.regexp_extract_all(low, F.lit("[aeiouy]+"), F.lit(0))), n_words)
+    sentences = F.greatest(F.regexp_count(body, F.lit(r"[.!?]+")), F.lit(1))
+    syllables = F.greatest(n_syllables, n_words)
     per_sentence, per_word = n_words / sentences, syllables / n_words
     length = F.length(body).cast("double")
     return {
@@ -66,9 +71,9 @@ def _text_features(body: Column, subject: Column) -> dict[str, Column]:
         "subject_length": F.length(subject).cast("double"),
         "combined_length": F.length(F.concat(subject, F.lit(" "), body)).cast("double"),
         "word_count": n_words.cast("double"), "subject_word_count": F.size(_words(subject)).cast("double"),
-        "uppercase_ratio": _count(body, r"[^\p{Lu}]") / n, "digit_ratio": _count(body, r"[^\p{Nd}]") / n, "space_ratio": _count(body, "[^ ]") / n,
-        "exclamation_count": _count(body, "[^!]").cast("double"), "question_count": _count(body, "[^?]").cast("double"),
-        "dollar_sign_count": _count(body, "[^$]").cast("double"), "at_sign_count": _count(body, "[^@]").cast("double"),
+        "uppercase_ratio": _count_of(body, "Lu") / n, "digit_ratio": _count_of(body, "Nd") / n, "space_ratio": _count(body, " ") / n,
+        "exclamation_count": _count(body, "!").cast("double"), "question_count": _count(body, "?").cast("double"),
+        "dollar_sign_count": _count(body, "$").cast("double"), "at_sign_count": _count(body, "@").cast("double"),
         # our own definition: syllables are vowel groups, at least one a word
         "readability_flesch": F.when(n_words > 0, 206.835 - 1.015 * per_sentence - 84.6 * per_word).otherwise(0.0),
         "readability_grade": F.when(n_words > 0, 0.39 * per_sentence + 11.8 * per_word - 15.59).otherwise(0.0),
@@ -112,10 +117,10 @@ def _auth_features(spf: Column, dkim: Column, dmarc: Column, arc: Column) -> dic
     return {**out, "auth_inconsistency": _flag((spf == "pass") & (dmarc == "fail"))}
 
 
-def _sender_features(sender: Column, reply_to: Column, return_path: Column, body: Column, subject: Column) -> dict[str, Column]:
+def _sender_features(sender: Column, reply_to: Column, return_path: Column, low: Column, subject: Column) -> dict[str, Column]:
     own, reply, back, name = domain_of(sender), domain_of(reply_to), domain_of(return_path), display_name(sender)
     other = (own != "") & (reply != "") & (own != reply)
-    low, title = F.lower(body), F.lower(name)
+    title = F.lower(name)
     return {
         "reply_to_mismatch": _flag(other),
         "from_equals_reply_to": _flag((own != "") & ((reply == "") | (own == reply))),
@@ -132,22 +137,29 @@ def _sender_features(sender: Column, reply_to: Column, return_path: Column, body
     }
 
 
-def features(mails: DataFrame) -> dict[str, Column]:
-    """H8: the feature expressions over a mail table with any of ``TEXTS``, ``NUMBERS`` and ``urls ARRAY<STRING>``."""
+def extract(mails: DataFrame, *keep: str) -> DataFrame:
+    """H8: the columns ``keep`` and all features of each row of a mail table with any of ``TEXTS``, ``NUMBERS`` and ``urls ARRAY<STRING>``, without Python per row.
+
+    Three projections: what several features read, the features, and (H7) 0 for
+    what isn't a finite number.  Columns that are read more than once keep the
+    optimizer from merging them, so texts are lowered, split and counted once.
+    """
     text = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in mails.columns else F.lit("") for c in TEXTS}
     number = {c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in mails.columns else F.lit(0.0) for c in NUMBERS}
     none = F.array().cast("array<string>")
     urls = F.filter(F.transform(F.coalesce(F.col("urls"), none), lambda u: F.trim(u)), lambda u: u != "") if "urls" in mails.columns else none
-    out = {
-        **_text_features(text["body"], text["subject"]),
-        **_url_features(urls),
-        **_auth_features(*(F.lower(text[c]) for c in ("spf", "dkim", "dmarc", "arc"))),
-        **_sender_features(text["sender"], text["reply_to"], text["return_path"], text["body"], text["subject"]),
-        **number,
+    held = {c: f"given_{i}" for i, c in enumerate(keep)}
+    cleaned = mails.select(*(F.col(c).alias(n) for c, n in held.items()), *(c.alias(k) for k, c in text.items()), *(c.alias(k) for k, c in number.items()), urls.alias("urls"))
+    cleaned = cleaned.withColumns({"low": F.lower("body"), "combined": F.lower(F.concat("subject", F.lit(" "), "body"))})
+    cleaned = cleaned.withColumns({"words": _words(F.col("low")), "n_syllables": F.regexp_count("low", F.lit("[aeiouy]+"))})
+    t = F.col
+    features = {
+        **_text_features(t("body"), t("subject"), t("low"), t("combined"), t("words"), t("n_syllables")),
+        **_url_features(t("urls")),
+        **_auth_features(*(F.lower(t(c)) for c in ("spf", "dkim", "dmarc", "arc"))),
+        **_sender_features(t("sender"), t("reply_to"), t("return_path"), t("low"), t("subject")),
+        **{c: t(c) for c in NUMBERS},
     }
-    return {k: F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.coalesce(c, F.lit(0.0))) for k, c in out.items()}  # H7
-
-
-def extract(mails: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and all features of each mail, without Python per row."""
-    return mails.select(*keep, *(c.alias(k) for k, c in features(mails).items()))
+    counted = cleaned.select(*held.values(), *(c.alias(k) for k, c in features.items()))
+    finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    return counted.select(*(F.col(n).alias(c) for c, n in held.items()), *(finite(F.col(k)).alias(k) for k in features))

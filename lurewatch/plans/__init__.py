@@ -1,5 +1,5 @@
 """Registered queries with their SQL."""
 
-from . import campaigns, columns, graph, messages, reports
+from . import campaigns, columns, graph, messages, reports, training
 
-PLANS = (campaigns, columns, graph, messages, reports)
+PLANS = (campaigns, columns, graph, messages, reports, training)
