@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import written
+from .tables import attach, written
 
 #: Weights of the pair similarity and of the confidence, and mail providers that many share.
 PAIR_WEIGHTS = {"ioc": 0.35, "infra": 0.30, "subject": 0.15, "temporal": 0.10, "behaviour": 0.10}
@@ -15,6 +15,8 @@ SHARED_PROVIDERS = ("gmail.com", "outlook.com", "yahoo.com")
 DEFAULT_THRESHOLD = 0.45
 #: Without a shared indicator a pair can't score more.
 UNBLOCKED_MOST = 0.35
+#: Emails of an indicator that one task compares with each other, on average.
+CHUNK = 1024
 
 
 def _set(column: str, when: Column) -> Column:
@@ -59,6 +61,16 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def _closeness(us: Column, other: Column) -> Column:
+    hours = F.abs(us - other) / 3.6e9
+    return F.when(hours.isNull(), 0.5).when(hours <= 1, 1.0).when(hours <= 24, 0.85).when(hours <= 72, 0.6).otherwise(0.3)
+
+
+def _alike(x, y) -> Column:
+    same = lambda c: (x(c) == y(c)) & (x(c) != "unknown")
+    return (same("spf").cast("int") + same("dmarc").cast("int") + (x("classification") == y("classification")).cast("int")) / 3.0
+
+
 def similarity(a: str, b: str) -> dict[str, Column]:
     """The parts of the similarity of rows ``prepared`` under aliases a and b, and ``score``."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
@@ -66,32 +78,53 @@ def similarity(a: str, b: str) -> dict[str, Column]:
     doms = F.filter(shared, lambda v: v.startswith("d:"))
     strong = (F.size(doms) < F.size(shared)) | ((F.size(doms) > 0) & ~F.exists(doms, lambda v: F.substring(v, 3, 300).isin(*SHARED_PROVIDERS)))
     infra = _jaccard(x("place"), y("place"))
-    hours = F.abs(x("us") - y("us")) / 3.6e9
-    same = lambda c: (x(c) == y(c)) & (x(c) != "unknown")
     parts = {
         "ioc": _jaccard(x("payload"), y("payload")),
         "infra": F.when(strong, F.greatest(infra, F.lit(0.8))).otherwise(infra),
         "subject": _jaccard(x("words"), y("words")),
-        "temporal": F.when(hours.isNull(), 0.5).when(hours <= 1, 1.0).when(hours <= 24, 0.85).when(hours <= 72, 0.6).otherwise(0.3),
-        "behaviour": (same("spf").cast("int") + same("dmarc").cast("int") + (x("classification") == y("classification")).cast("int")) / 3.0,
+        "temporal": _closeness(x("us"), y("us")),
+        "behaviour": _alike(x, y),
     }
     total = sum((parts[k] * w for k, w in PAIR_WEIGHTS.items()), F.lit(0.0))
     return {**parts, "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))}
 
 
+def candidate_pairs(ready: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of ``prepared`` emails that share an indicator and whose similarity may reach ``threshold``.
+
+    An indicator's emails are dealt over chunks, and each pair of chunks is a join
+    key of its own, so an indicator that very many emails share becomes many
+    tasks.  The join's condition holds an upper bound of the similarity: the exact
+    time and behaviour parts, the ratio of set sizes for payloads and subjects, and 1
+    for infrastructure; only pairs under it are made distinct.
+    """
+    cheap = {"us": F.col("us"), "spf": F.col("spf"), "dmarc": F.col("dmarc"), "classification": F.col("classification"), "n_payload": F.size("payload"), "n_words": F.size("words")}
+    each = ready.select("email_id", *(c.alias(k) for k, c in cheap.items()), F.explode(F.array_union("payload", "place")).alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    dealt = attach(each, shared, "key", "n", F.col("email_id")).withColumn("chunk", F.pmod(F.xxhash64("email_id"), F.col("chunks")).cast("int"))
+    names = ("email_id", *cheap)
+    left = dealt.select("key", F.col("chunk").alias("i"), F.explode(F.expr("sequence(chunk, chunks - 1)")).alias("j"), *(F.col(c).alias(f"{c}_x") for c in names))
+    right = dealt.select("key", F.explode(F.expr("sequence(0, chunk)")).alias("i"), F.col("chunk").alias("j"), *(F.col(c).alias(f"{c}_y") for c in names))
+    x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
+    ratio = lambda c: F.when(F.least(x(c), y(c)) > 0, F.least(x(c), y(c)) / F.greatest(x(c), y(c))).otherwise(0.0)
+    w = PAIR_WEIGHTS
+    most = w["ioc"] * ratio("n_payload") + w["infra"] + w["subject"] * ratio("n_words") + w["temporal"] * _closeness(x("us"), y("us")) + w["behaviour"] * _alike(x, y)
+    once = (left["i"] < left["j"]) | (x("email_id") < y("email_id"))
+    same = (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    both = left.join(right, same & once & (x("email_id") != y("email_id")) & (most >= threshold - 0.001))
+    return both.select(F.least(x("email_id"), y("email_id")).alias("a"), F.greatest(x("email_id"), y("email_id")).alias("b")).distinct()
+
+
 def similar_pairs(rows: DataFrame, threshold: float = DEFAULT_THRESHOLD, *, allow_cartesian: bool = False) -> DataFrame:
     """Pairs (a, b, a < b) with a score, rounded to 3 digits, of at least ``threshold``, and the parts.
 
-    A pair without a shared indicator scores at most 0.35, so above that an
-    inverted-index join on the indicators finds every pair; its hot keys are
-    split by the run-time skew handling.  Pairs are made distinct as ids, before
-    the wide rows are joined.
+    A pair without a shared indicator scores at most 0.35, so above that a join on
+    the indicators (``candidate_pairs``) finds every pair.  Pairs are made distinct
+    as ids, before the wide rows are joined.
     """
-    ready = prepared(rows)
+    ready = written(prepared(rows), "prepared")
     if threshold > UNBLOCKED_MOST:
-        keys = ready.select("email_id", F.explode(F.array_union("payload", "place")).alias("key"))
-        left, right = keys.select("key", F.col("email_id").alias("a")), keys.select("key", F.col("email_id").alias("b"))
-        pairs = left.join(right, "key").filter("a < b").select("a", "b").distinct()
+        pairs = candidate_pairs(ready, threshold)
     elif allow_cartesian:
         pairs = ready.select(F.col("email_id").alias("a")).join(ready.select(F.col("email_id").alias("b")), F.col("a") < F.col("b"))
     else:

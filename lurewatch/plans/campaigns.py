@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import campaigns as c
+from ..operators.tables import written
 from .fixtures import BASE_SQL, emails, iocs, resolves
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mails = emails(spark, sf_dir)
-    return c.indicator_rows(mails, iocs(mails), resolves(mails))
+    mails = written(emails(spark, sf_dir).drop("body"), "mails")
+    return written(c.indicator_rows(mails, iocs(mails), resolves(mails)), "indicator-rows")
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -33,14 +33,14 @@ def _asn(found):
 
 
 def _graph(spark, sf_dir):
-    mails = emails(spark, sf_dir)
+    mails = written(emails(spark, sf_dir).drop("body"), "mails")
     contained, found = iocs(mails), resolves(mails)
     return mails, contained, found, g.edges(mails, contained, found, _asn(found))
 
 
 def _full(spark, sf_dir):
     mails, contained, found, edges = _graph(spark, sf_dir)
-    rows = camp.indicator_rows(mails, contained, found)
+    rows = written(camp.indicator_rows(mails, contained, found), "indicator-rows")
     return written(edges.unionByName(camp.campaign_edges(rows, camp.members(rows))), "graph-edges")
 
 
