@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import attach, written
+from .tables import pair_chunks, written
 
 #: Weights of the pair similarity and of the confidence, and mail providers that many share.
 PAIR_WEIGHTS = {"ioc": 0.35, "infra": 0.30, "subject": 0.15, "temporal": 0.10, "behaviour": 0.10}
@@ -100,18 +100,12 @@ def candidate_pairs(ready: DataFrame, threshold: float) -> DataFrame:
     """
     cheap = {"us": F.col("us"), "spf": F.col("spf"), "dmarc": F.col("dmarc"), "classification": F.col("classification"), "n_payload": F.size("payload"), "n_words": F.size("words")}
     each = ready.select("email_id", *(c.alias(k) for k, c in cheap.items()), F.explode(F.array_union("payload", "place")).alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    dealt = attach(each, shared, "key", "n", F.col("email_id")).withColumn("chunk", F.pmod(F.xxhash64("email_id"), F.col("chunks")).cast("int"))
-    names = ("email_id", *cheap)
-    left = dealt.select("key", F.col("chunk").alias("i"), F.explode(F.expr("sequence(chunk, chunks - 1)")).alias("j"), *(F.col(c).alias(f"{c}_x") for c in names))
-    right = dealt.select("key", F.explode(F.expr("sequence(0, chunk)")).alias("i"), F.col("chunk").alias("j"), *(F.col(c).alias(f"{c}_y") for c in names))
+    left, right, meet = pair_chunks(each, "key", "email_id", CHUNK)
     x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
     ratio = lambda c: F.when(F.least(x(c), y(c)) > 0, F.least(x(c), y(c)) / F.greatest(x(c), y(c))).otherwise(0.0)
     w = PAIR_WEIGHTS
     most = w["ioc"] * ratio("n_payload") + w["infra"] + w["subject"] * ratio("n_words") + w["temporal"] * _closeness(x("us"), y("us")) + w["behaviour"] * _alike(x, y)
-    once = (left["i"] < left["j"]) | (x("email_id") < y("email_id"))
-    same = (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
-    both = left.join(right, same & once & (x("email_id") != y("email_id")) & (most >= threshold - 0.001))
+    both = left.join(right, meet & (most >= threshold - 0.001))
     return both.select(F.least(x("email_id"), y("email_id")).alias("a"), F.greatest(x("email_id"), y("email_id")).alias("b")).distinct()
 
 

@@ -69,3 +69,21 @@ def attach(left: DataFrame, right: DataFrame, key: str, size: str, spread: Colum
     marked = marked.withColumn(salt, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop(hot)
     copies = right.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return marked.join(copies.drop(size), [key, salt]).drop(salt)
+
+
+def pair_chunks(rows: DataFrame, key: str, spread: str, size: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides, and the condition, of a join of ``rows`` with themselves by ``key`` in which no task holds a whole hot key.
+
+    A key's rows are dealt over chunks of about ``size`` by a hash of ``spread``, and
+    each pair of chunks is a join key of its own.  The sides' columns end in ``_x``
+    and ``_y``; a pair of rows meets once, in either order.  Keys with a single row
+    are dropped.
+    """
+    counted = rows.groupBy(key).agg(F.count("*").alias("n_rows")).filter("n_rows >= 2").withColumn("n_chunks", F.ceil(F.col("n_rows") / size).cast("int"))
+    dealt = attach(rows, counted, key, "n_rows", F.col(spread)).withColumn("chunk", F.pmod(F.xxhash64(spread), F.col("n_chunks")).cast("int"))
+    names = [c for c in rows.columns if c != key]
+    left = dealt.select(F.col(key).alias("key_x"), F.col("chunk").alias("i_x"), F.explode(F.expr("sequence(chunk, n_chunks - 1)")).alias("j_x"), *(F.col(c).alias(f"{c}_x") for c in names))
+    right = dealt.select(F.col(key).alias("key_y"), F.explode(F.expr("sequence(0, chunk)")).alias("i_y"), F.col("chunk").alias("j_y"), *(F.col(c).alias(f"{c}_y") for c in names))
+    same = (F.col("key_x") == F.col("key_y")) & (F.col("i_x") == F.col("i_y")) & (F.col("j_x") == F.col("j_y"))
+    once = (F.col("i_x") < F.col("j_x")) | (F.col(f"{spread}_x") < F.col(f"{spread}_y"))
+    return left, right, same & once & (F.col(f"{spread}_x") != F.col(f"{spread}_y"))
