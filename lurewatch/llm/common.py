@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..operators.tables import attach, own_name, release, work_path, written
+from ..operators.tables import attach, own_name, pair_chunks, release, work_path, written
 
-__all__ = ["SPACE", "attach", "components", "fanout", "lower_ascii", "own_name", "release", "table", "words", "work_path", "written"]
+__all__ = ["SPACE", "attach", "components", "fanout", "lower_ascii", "own_name", "pair_chunks", "release", "table", "words", "work_path", "written"]
 
 #: Characters that separate words; a word is a maximal run of others.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -83,15 +83,15 @@ def budgets(leaves: DataFrame, budget: Column, weights=WEIGHTS, max_epochs: int
     return filled.select(*LEVELS, "tokens", "n_docs", F.floor(F.round("given", 6)).cast("long").alias("budget"))
 
 
-def plan(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = 4, budget_share: float = 1.0, seed: int = 17, domain_of=domain) -> DataFrame:
+def plan(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = 4, budget_share: float = 1.0, seed: int = 17, domain_of=domain, keys: tuple[Column, ...] = ()) -> DataFrame:
     """What to take of each row of ``docs(doc_id, lang, source, text)``.
 
     Returns doc_id, domain, lang, source, n_tokens, leaf_budget, epochs (whole
     passes) and prefix_tokens (tokens taken in the last, partial pass: all of
     them, a cut of the document at the budget's end, or none).  The total budget
-    is ``budget_share`` of all tokens.
+    is ``budget_share`` of all tokens.  ``keys`` are further columns to carry along.
     """
-    sized = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens"))
+    sized = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens"), *keys)
     rows = written(sized, "mix-sizes")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
@@ -111,18 +111,33 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = 4, budget_share:
     before = F.sum("n_tokens").over(Window.partitionBy("leaf").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
     last = last.withColumn("prefix_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("bin_room") - F.coalesce(before, F.lit(0)))))
     rest = placed.filter(~edge).withColumn("prefix_tokens", F.when(F.col("bin_room") > 0, F.col("n_tokens")).otherwise(0))
-    return last.unionByName(rest).select("doc_id", *LEVELS, "n_tokens", "leaf_budget", "epochs", F.col("prefix_tokens").cast("long").alias("prefix_tokens"))
+    carried = rows.columns[5:]
+    return last.unionByName(rest).select("doc_id", *carried, *LEVELS, "n_tokens", "leaf_budget", "epochs", F.col("prefix_tokens").cast("long").alias("prefix_tokens"))
+
+
+def text_prefix(text: Column, k: Column) -> Column:
+    """The text up to the end of its ``k``-th token; it must have more than ``k``."""
+    lead = text.rlike(rf"^{SPACE}").cast("int")
+    rest = F.element_at(F.split(text, SPACE, (k + 1 + lead).cast("int")), -1)
+    return F.regexp_replace(F.left(text, F.length(text) - F.length(rest)), rf"{SPACE}$", "")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in the mix, once for each epoch they are taken in, with their columns.
 
-    A document that the budget's end cuts is taken whole.  Rows are matched by
-    doc_id, so rows that repeat one are taken as often as the most taken of them.
+    The document that a leaf's budget ends in is cut to its first tokens (and so
+    is ``n_chars``, if there is such a column).  Rows that repeat both doc_id and
+    text are taken as often as the most taken of them.
     """
-    taken = (F.col("epochs") + (F.col("prefix_tokens") > 0).cast("long")).alias("times")
-    times = plan(docs, **options).filter(F.col("n_tokens") > 0).select("doc_id", taken).groupBy("doc_id").agg(F.max("times").alias("times")).filter("times > 0")
-    name, key = own_name(docs, "times"), own_name(docs, "key")
-    times = times.select(F.col("doc_id").alias(key), F.col("times").alias(name))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times[key]))
-    return out.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name).cast("int")))).select(*(docs[c] for c in docs.columns))
+    name = {c: own_name(docs, c) for c in ("key_id", "key_text", "times", "prefix", "copy")}
+    digest = F.xxhash64("text").alias("text_key")
+    taken = plan(docs, keys=(digest,), **options).filter("n_tokens > 0 AND (epochs > 0 OR prefix_tokens > 0)")
+    part = F.when(F.col("prefix_tokens") < F.col("n_tokens"), F.col("prefix_tokens")).otherwise(0)
+    most = taken.groupBy("doc_id", "text_key").agg(F.max(F.struct((F.col("epochs") + (F.col("prefix_tokens") > 0).cast("long")).alias("times"), part.alias("prefix"))).alias("m"))
+    most = most.select(F.col("doc_id").alias(name["key_id"]), F.col("text_key").alias(name["key_text"]), F.col("m.times").cast("int").alias(name["times"]), F.col("m.prefix").alias(name["prefix"]))
+    both = docs.join(most, docs["doc_id"].eqNullSafe(F.col(name["key_id"])) & (F.xxhash64(docs["text"]) == F.col(name["key_text"])))
+    both = both.withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["times"]))))
+    cut = (F.col(name["copy"]) == F.col(name["times"])) & (F.col(name["prefix"]) > 0)
+    text = F.when(cut, text_prefix(docs["text"], F.col(name["prefix"]))).otherwise(docs["text"])
+    size = {c: F.when(cut, F.length(text).cast(t)).otherwise(docs[c]) for c, t in docs.dtypes if c == "n_chars"}
+    return both.select(*(text.alias(c) if c == "text" else size[c].alias(c) if c in size else docs[c] for c in docs.columns))

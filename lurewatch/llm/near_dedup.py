@@ -13,7 +13,8 @@ components the pairs across components that were not compared yet are compared
 too, unless a bound rules them out: the common bits of two 1024-bit marks of the
 sets, plus the smaller number of collisions within a set, are at least the
 intersection.  The bound is part of the join's condition, so only pairs close to
-the threshold come out of it, and no pair that shares a bucket is left open;
+the threshold come out of it, and no pair that shares a bucket is left open; a
+bucket with many sets is cut into chunks, and each pair of chunks is a join key;
 (5) components over all links.
 
 With BANDS x ROWS = 48 x 7 a pair with similarity 0.75 shares no bucket with
@@ -36,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, own_name, written
+from .common import attach, components, own_name, pair_chunks, written
 from .textarrays import Texts, U, lists, mix, pieces, signed, windows
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 48, 7
-#: Longs of a set's mark.
-MARK = 16
+#: Longs of a set's mark; sets of a bucket that one task compares with each other, on average.
+MARK, CHUNK = 16, 512
 UNIVERSE = 1 << 20
 SEED = 20
 
@@ -147,13 +148,12 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     placed = written(placed.drop("leader"), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_ = placed.join(mixed, "key").join(sets.select("rep", "mark", "spare"), "rep")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "component", "mark", "spare"))) for s in "xy")
+    left, right, meet = pair_chunks(open_, "key", "rep", CHUNK)
     common = sum((F.bit_count(F.col("mark_x")[i].bitwiseAND(F.col("mark_y")[i])) for i in range(MARK)), F.least("spare_x", "spare_y"))
     most = F.least(common, "n_shingles_x", "n_shingles_y")  # of the intersection
     near = 100 * most >= PERCENT * (F.col("n_shingles_x") + F.col("n_shingles_y") - most)
-    ahead = (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y"))
-    same = x["key"] == y["key"]
-    across = x.join(y, same & ahead & near).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    across = left.join(right, meet & (F.col("component_x") != F.col("component_y")) & near)
+    across = across.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
     across = written(across.join(star, ["a", "b"], "left_anti"), "cross-pairs")
     return found.unionByName(_confirmed(across, sets))
 

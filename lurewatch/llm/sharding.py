@@ -78,9 +78,9 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the rows of ``docs`` to ``path``, one folder and file for each shard."""
-    h, size = own_name(docs, "h"), own_name(docs, "bytes")
+    """Write the rows of ``docs`` to ``path``, one folder and file for each shard; the folders are named ``shard=s<bits>``, with a longer name for ``shard`` if ``docs`` has such a column."""
+    h, size, shard = own_name(docs, "h"), own_name(docs, "bytes"), own_name(docs, "shard")
     marked = docs.withColumns({h: hash_bits(F.col("doc_id"), F.col("text")), size: F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")})
     rows = written(marked, "shard-docs")
-    shards = directory(rows.select(F.col(h).alias("h"), F.col(size).alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes")), limit).select(F.col("h").alias(h), F.concat(F.lit("s"), "shard").alias("shard"))
-    rows.join(shards, h).drop(h, size).repartition("shard").write.partitionBy("shard").parquet(path)
+    shards = directory(rows.select(F.col(h).alias("h"), F.col(size).alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes")), limit).select(F.col("h").alias(h), F.concat(F.lit("s"), "shard").alias(shard))
+    rows.join(shards, h).drop(h, size).repartition(shard).write.partitionBy(shard).parquet(path)

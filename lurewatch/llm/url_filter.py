@@ -24,27 +24,29 @@ from .common import lower_ascii
 #: (action, rule); a rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: The small labelled URL table: words of hosts and paths, unwanted (1) and wanted (0).
+#: The small labelled URL table: words of hosts, unwanted (1) and wanted (0); ordinary words, none of them a host of the given tables.
 UNWANTED_HOSTS = (
-    "spam-farm", "cheap-pills", "casino-bonus", "free-casino", "adult-cams", "xxx-videos", "win-prizes", "click-bait",
-    "fake-watches", "payday-loans", "viagra-store", "lucky-slots", "hot-singles", "buy-followers", "crack-keygen", "bet-now",
-    "malware-drop", "phish-login", "miracle-diet", "get-rich-quick", "porn-tube", "seo-links", "pills-online", "spam-mails",
+    "spam-mails", "spam-kings", "bulk-spam", "pills-online", "diet-pills", "pills-shop", "casino-bonus", "free-casino", "vip-casino", "adult-cams", "adult-dating", "adults-only", "bet-now", "sports-bets", "live-bets",
+    "ads-server", "popup-ads", "ads-click", "xxx-videos", "win-prizes", "click-bait", "fake-watches", "payday-loans", "viagra-store", "lucky-slots", "hot-singles", "buy-followers", "crack-keygen", "malware-drop",
+    "phish-login", "miracle-diet", "get-rich-quick", "porn-tube", "seo-links",
 )
 WANTED_HOSTS = (
-    "news", "library", "museum", "university", "weather", "gardening", "recipes", "history", "science", "travel", "maps",
-    "archive", "cityhall", "health", "school", "forum", "theatre", "river", "mountain", "thenoring", "thandre", "ontiont",
-    "anderin", "erentha",
+    "news", "library", "museum", "university", "weather", "gardening", "recipes", "history", "science", "travel", "maps", "archive", "cityhall", "health", "school", "forum", "theatre", "river", "mountain", "orchestra",
+    "cycling", "bakery", "railway", "harbour", "island", "novels", "painting", "physics", "biology", "chess", "football", "cinema", "furniture", "hospital", "airport", "lighthouse", "village", "market", "kitchen",
+    "astronomy", "geology", "poetry", "engineering", "software", "hardware", "printing", "photography", "architecture",
 )
+#: Weight of a wanted url, so that both labels count alike.
+WANTED_WEIGHT = len(UNWANTED_HOSTS) / len(WANTED_HOSTS)
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A small labelled table (url, label), a few pages for each listed host."""
+    """A small labelled table (url, label, weight), a few pages for each listed host; both labels have the same paths."""
     rows = []
     for label, hosts in ((1, UNWANTED_HOSTS), (0, WANTED_HOSTS)):
         for i, host in enumerate(hosts):
             for j, (pre, end, path) in enumerate((("", "com", f"en/{i * 37 + 11}"), ("www.", "org", f"fr/{i * 53 + 7}/"), ("blog.", "net", f"de/{i * 29 + 3}.html"), ("m.", "com", f"es/{i * 41 + 5}"))):
-                rows.append((f"{'https' if j % 2 else 'http'}://{pre}{host}.example.{end}/{path}", label))
-    return spark.createDataFrame(rows, "url string, label int")
+                rows.append((f"{'https' if j % 2 else 'http'}://{pre}{host}.example.{end}/{path}", label, 1.0 if label else WANTED_WEIGHT))
+    return spark.createDataFrame(rows, "url string, label int, weight double")
 
 
 def host(url: Column) -> Column:
@@ -83,8 +85,8 @@ def features(urls: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, n_features: int = 1 << 16) -> PipelineModel:
-    """Fit on ``labelled(url, label)``, a small table."""
-    stages = [HashingTF(inputCol="grams", outputCol="features", numFeatures=n_features, binary=True), LogisticRegression(maxIter=60, regParam=0.01)]
+    """Fit on ``labelled(url, label)``, a small table, perhaps with a ``weight``."""
+    stages = [HashingTF(inputCol="grams", outputCol="features", numFeatures=n_features, binary=True), LogisticRegression(maxIter=60, regParam=0.01, **({"weightCol": "weight"} if "weight" in labelled.columns else {}))]
     return Pipeline(stages=stages).fit(features(labelled).coalesce(1))
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -95,6 +96,26 @@ def test_op1_odd(odd, empty):
     assert mixing.mixed(odd.withColumn("times", F.lit(1))).columns[-1] == "times"
 
 
+def test_op1_mixed_spends_each_budget(docs, texts):
+    """Every leaf's rows hold as many tokens as its budget buys, the cut document the first of its own, copies as often as planned."""
+    plan = mixing.plan(docs).collect()
+    taken = {r.doc_id: (r.epochs, r.prefix_tokens, r.n_tokens) for r in plan}
+    got = {}
+    for r in mixing.mixed(docs).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    cuts = 0
+    for i, (epochs, prefix, n) in taken.items():
+        words = WORD.findall(texts[i] or "")
+        want = sorted([words] * epochs + ([words[:prefix]] if prefix and n else []))
+        assert sorted(WORD.findall(r.text) for r in got.get(i, [])) == want
+        assert all(r.text == texts[i] or (texts[i].startswith(r.text) and r.n_chars == len(r.text)) for r in got.get(i, []))
+        cuts += 0 < prefix < n
+    assert cuts > 3
+    repeated = docs.limit(20).unionByName(docs.limit(20).withColumn("text", F.concat(F.lit("another "), "text")))
+    wanted = Counter({(r.doc_id, r.text_key): r.epochs + (r.prefix_tokens > 0) for r in mixing.plan(repeated, keys=(F.xxhash64("text").alias("text_key"),)).collect() if r.n_tokens})
+    assert mixing.mixed(repeated).count() == sum(wanted.values())
+
+
 def test_op2_rules_and_model(spark):
     urls = ["http://A.net/x", "https://sub.example.net/en/1", "http://example.com/de/", "http://example.com/de", "http://x.org/fr/?q", "nothing", None, "http://", "ftp://casino-bonus.example.com/en/5", "http://a.net?x=/", "http://net/#"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -104,9 +125,47 @@ def test_op2_rules_and_model(spark):
     assert (got[6].host, got[6].path, got[9].host, got[9].path) == ("", "", "a.net", "")
 
 
-def test_op2_unseen_hosts(spark, data):
-    got = queries.op2_url_filter(spark, data).filter("rule IS NULL").collect()
-    assert len(got) > 20 and all((r.verdict == "block") == bool(re.search("spam|pills|casino|bets|adult|ads-", r.host)) for r in got)
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_op2_unseen_hosts(spark, size):
+    """None of the unwanted names of the pages stands in the labelled table; the rules are left out."""
+    got = queries.op2_url_filter(spark, f"/root/testdata/{size}").filter("rule IS NULL").collect()
+    known = {*url_filter.UNWANTED_HOSTS, *url_filter.WANTED_HOSTS}
+    assert not known & {part for r in got for part in r.host.split(".")}
+    unwanted = [r.verdict for r in got if re.search("spam|pills|casino|bets|adult|ads-", r.host)]
+    clean = [r.verdict for r in got if not re.search("spam|pills|casino|bets|adult|ads-", r.host)]
+    assert len(clean) > 5 and unwanted and clean.count("block") <= 0.01 * len(clean) and unwanted.count("block") >= 0.9 * len(unwanted)
+
+
+def test_op2_every_page(spark, data):
+    """Host, path and rule of all pages by plain string work."""
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        k = next((i for i, ch in enumerate(rest) if ch in "/?#"), len(rest))
+        tail = rest[k:]
+        end = next((i for i, ch in enumerate(tail) if ch in "?#"), len(tail))
+        return rest[:k].translate(LOWER), tail[:end]
+
+    got = {r.page_id: r for r in queries.op2_url_filter(spark, data).collect()}
+    pages = table(spark, data, "pages").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        host, path = parts(p.url)
+        fit = [(len(r), r, a) for a, r in rules for name, slash, rest in [r.partition("/")] if (host == name or host.endswith("." + name)) and path.startswith(slash + rest)]
+        want = max(fit)[1:] if fit else (None, None)
+        assert (got[p.page_id].host, got[p.page_id].path, got[p.page_id].rule) == (host, path, want[0]) and (want[1] is None or got[p.page_id].verdict == want[1])
+
+
+def test_op2_odd(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    long = "http://www." + "x" * 5000 + ".com/" + "y" * 20000
+    pages = spark.createDataFrame([(1, long, "p"), (1, long, "p"), (None, "http://a.org/fr/", "q"), (3, None, None)], "page_id long, url string, host string")
+    got = url_filter.judge(pages, model).collect()
+    assert len(got) == 4 and len({(r.host, r.verdict) for r in got if r.page_id == 1}) == 1 and {r.verdict for r in got} <= {"allow", "block"}
+    assert url_filter.judge(pages.filter("false"), model).isEmpty()
 
 
 def shingles(text):
@@ -217,6 +276,19 @@ def test_op5_every_shard_fits(docs, odd, empty, tmp_path):
     assert sharding.assign(empty).isEmpty()
     sharding.write_shards(odd, str(tmp_path / "shards"), 1000)
     assert odd.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(odd_rows())
+    clash = odd.withColumns({"shard": F.lit("x"), "H": F.lit(1), "bytes": F.lit(2)})
+    sharding.write_shards(clash, str(tmp_path / "clash"), 1000)
+    back = odd.sparkSession.read.parquet(str(tmp_path / "clash"))
+    assert back.count() == len(odd_rows()) and {*clash.columns} < {*back.columns} and back.filter("shard = 'x'").count() == len(odd_rows())
+
+
+def test_op5_matches_sql(spark, data, monkeypatch):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    columns = ["doc_id", "bytes", "shard", "depth", "shard_docs", "shard_bytes", "oversized"]
+    for limit in (sharding.LIMIT, 30_000):
+        ours = sharding.assign(table(spark, data, "documents"), limit).select(columns).collect()
+        assert sorted(map(tuple, ours)) == sorted(con.sql(queries.SQL["op5_sharding"].replace(str(sharding.LIMIT), str(limit))).select(*columns).fetchall())
 
 
 def quality_counts(text):
@@ -439,6 +511,18 @@ def test_op9_index_persists(spark, tmp_path):
     assert again.table().count() == 3
 
 
+def test_op9_batch_again(spark, tmp_path):
+    """A batch that is run again under its name decides as before; under another name nothing of it is new."""
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/again", 4)
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    first, again = (sorted(map(tuple, exact_dedup.deduplicate(rows, index, "one").collect())) for _ in range(2))
+    assert first == again == [(2, "a"), (3, "b")] and index.table().count() == 2
+    assert exact_dedup.deduplicate(rows, index, "two").isEmpty()
+    compact = index.compacted(f"file://{tmp_path}/compact")
+    assert sorted(map(tuple, compact.table().collect())) == sorted(map(tuple, index.table().collect()))
+    index.close()
+
+
 def test_op9_odd(odd, empty):
     kept = exact_dedup.deduplicate(odd.withColumn("digest", F.lit(1)).withColumn("Row", F.lit(2)))
     assert kept.columns[-2:] == ["digest", "Row"]
@@ -447,14 +531,35 @@ def test_op9_odd(odd, empty):
     assert exact_dedup.verdicts(empty).isEmpty() and exact_dedup.deduplicate(empty).isEmpty()
 
 
-def test_op10_held_out_accuracy(docs, labels):
+def test_op10_held_out_accuracy(spark):
+    """Trained on three quarters of the labelled documents of sf0.1, judged on the other quarter."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     rows = labels.withColumn("label", F.col("toxic"))
     model = toxicity.train(docs, rows.filter("doc_id % 4 <> 0"))
     assert (np.diff(model.thresholds) > 0).all()
-    test = toxicity.judge(docs, model).join(labels, "doc_id").filter("doc_id % 4 = 0").collect()
-    assert len(test) > 5
-    clean = [x for x in toxicity.judge(docs, model).withColumnRenamed("toxic", "found").join(labels, "doc_id").collect() if x.toxic == 0]
-    assert sum(x.found for x in clean) <= 0.02 * len(clean)
+    judged = toxicity.judge(docs, model).withColumnRenamed("toxic", "found").join(labels, "doc_id").filter("doc_id % 4 = 0").collect()
+    clean, toxic = ([r.found for r in judged if r.toxic == k] for k in (0, 1))
+    print("op10 held out: toxic", len(toxic), "found", sum(toxic), "clean", len(clean), "found", sum(clean))
+    assert len(toxic) >= 30 and sum(toxic) >= 0.85 * len(toxic)
+    assert len(clean) > 500 and sum(clean) <= 0.02 * len(clean)
+
+
+def test_op10_severity_by_hand(docs, labels):
+    """Severity of every document from the model's own words and weights."""
+    model = toxicity.train(docs, labels.withColumn("label", F.col("toxic")))
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    got = by_id(toxicity.judge(docs, model))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, t in list(texts.items())[:60]:
+        words = {w.translate(LOWER).encode() for w in WORD.findall(t or "")}
+        names = {(k, w if n is None else w[:n]) for w in words for k, n in enumerate((None, *toxicity.PREFIXES))}
+        one = Texts(pa.array([b" ".join(w for _, w in sorted(names)).decode("utf-8", "replace")]))
+        hashes = dict(zip([w for _, w in sorted(names)], one.hashes().tolist(), strict=False)) if len(one.starts) == len(names) else None
+        if hashes is None:
+            continue  # a prefix that cuts a character can't be written as text
+        x = sum(weights.get((h + k) % (1 << 64), 0.0) for (k, w), h in zip(sorted(names), one.hashes().tolist(), strict=True))
+        severity = sum(1 / (1 + math.exp(c - x)) for c in model.thresholds)
+        assert math.isclose(got[i].severity, severity, abs_tol=2e-6)
 
 
 def test_op10_orders_grades():

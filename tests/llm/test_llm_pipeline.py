@@ -1,13 +1,17 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline as cp
-from test_llm_operators import check_packing, odd_rows, SCHEMA, true_components  # noqa: I001
+from test_llm_operators import check_packing, odd_rows, quality_counts, SCHEMA, true_components  # noqa: I001
 from pyspark.sql import functions as F
 
+from lurewatch.llm import mixing, quality
 from lurewatch.llm.common import table
 
+WORDS = r"[^\x20\x09-\x0D]+"
+
 
 def test_stages(spark, data):
     docs = table(spark, data, "documents")
@@ -18,7 +22,9 @@ def test_stages(spark, data):
             assert out.columns == docs.columns
         rows = out.collect()
         if k == 0:
-            assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) >= 20 for r in rows) and 0.6 * len(before) < len(rows) < len(before)
+            judged = {r.doc_id: r for r in quality.verdicts(docs, table(spark, data, "labels").filter("quality = 1").select("doc_id")).collect()}
+            assert {r.doc_id for r in rows} == {i for i, r in judged.items() if not r.base_failed and r.score >= quality.THRESHOLD} and len(rows) < len(before)
+            assert all(judged[i].base_failed == (quality_counts(t)[0] < 20 or 100 * quality_counts(t)[4] > 30 * quality_counts(t)[0]) for i, t in before.items())
         elif k == 1:
             newest = {}
             for i, t in before.items():
@@ -27,11 +33,16 @@ def test_stages(spark, data):
         elif k == 2:
             assert sorted(r.doc_id for r in rows) == sorted(i for i, (_, c) in true_components(before).items() if c == i)
         elif k == 3:
-            assert {r.doc_id for r in rows} <= set(before) and all(r.text == before[r.doc_id] for r in rows)
+            taken = {r.doc_id: (r.epochs, r.prefix_tokens) for r in mixing.plan(docs).collect()}
+            want = Counter()
+            for i, (epochs, prefix) in taken.items():
+                words = re.findall(WORDS, before[i])
+                want.update({(i, len(words)): epochs} | ({(i, prefix): 1} if prefix else {}))
+            assert Counter((r.doc_id, len(re.findall(WORDS, r.text))) for r in rows) == +want
         if k < 4:
             assert rows
             docs = spark.createDataFrame(rows, docs.schema)
-    single = docs.dropDuplicates(["doc_id"])
+    single = docs.dropDuplicates(["doc_id"])  # the check below tells documents apart by doc_id
     check_packing(cp.STAGES[4][1](spark, single, data).collect(), [(r.doc_id, r.text) for r in single.collect()])
 
 
