@@ -239,6 +239,15 @@ def confidence(rows: DataFrame, members: DataFrame) -> DataFrame:
     return out.withColumn("confidence", total).withColumn("level", level)
 
 
+def evidence(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """What speaks for a campaign and what limits that: campaign_id, evidence, limitations."""
+    t = telemetry(rows, members)
+    n = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {text}")))
+    found = (n("n_ip", "shared addresses"), n("n_domain", "shared domains"), n("n_url", "shared links"), n("n_hash", "shared payloads"), F.when(F.col("span_hours") <= 24, "sent within a day"), F.when(F.col("n_classes") == 1, "one classification"), n("spf_bad", "failing SPF"), n("dmarc_bad", "failing DMARC"))
+    limits = (F.when(F.col("n_emails") < 3, "few emails"), F.when(F.col("n_times") < 2, "few times known"), F.when(F.col("n_ip") + F.col("n_hash") == 0, "no shared address or payload"), F.lit("shared infrastructure is no proof of a common author"))
+    return t.select("campaign_id", F.array_compact(F.array(*found)).alias("evidence"), F.array_compact(F.array(*limits)).alias("limitations"))
+
+
 def report(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Campaign details with their confidence."""
     rated = confidence(rows, members).withColumnsRenamed({"confidence": "attribution"}).drop("n_emails")

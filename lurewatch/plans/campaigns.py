@@ -64,12 +64,16 @@ def j21_confidence(spark, sf_dir):
     return c.confidence(*_both(spark, sf_dir)).withColumns({k: F.round(k, 6) for k in parts})
 
 
+def j21_evidence(spark, sf_dir):
+    return c.evidence(*_both(spark, sf_dir))
+
+
 def j22_campaign_report(spark, sf_dir):
     kept = ["campaign_id", "email_count", "infrastructure", "temporal", "behaviour", "content", "level", "attribution"]
     return c.report(*_both(spark, sf_dir)).select(*kept).withColumn("attribution", F.round("attribution", 6)).withColumns({k: F.round(k, 6) for k in kept[2:6]})
 
 
-QUERIES = {f.__name__: f for f in (j13_campaigns, j9_indicator_rows, j10_pair_similarity, j11_similar_pairs, j12_components, j14_campaign_edges, j15_campaign_details, j16_telemetry, j20_subject_likeness, j21_confidence, j22_campaign_report)}
+QUERIES = {f.__name__: f for f in (j13_campaigns, j9_indicator_rows, j10_pair_similarity, j11_similar_pairs, j12_components, j14_campaign_edges, j15_campaign_details, j16_telemetry, j20_subject_likeness, j21_confidence, j21_evidence, j22_campaign_report)}
 
 _ROWS = """
 contained AS (SELECT i.email_id, list(DISTINCT r.ip) FILTER (r.ip IS NOT NULL) AS own, bool_or(r.ip IS NULL) AS open FROM iocs i LEFT JOIN resolves r ON r.domain = i.value WHERE i.kind = 'domain' GROUP BY 1),
@@ -159,5 +163,8 @@ SQL = {
     "j16_telemetry": f"{_M} SELECT * REPLACE (round(span_hours, 6) AS span_hours) FROM tele",
     "j20_subject_likeness": f"{_M} SELECT campaign_id, n_subjects, round(likeness, 6) AS likeness FROM likeness",
     "j21_confidence": f"{_M} SELECT campaign_id, n_emails, {_PARTS4}, round(total, 6) AS confidence, level FROM level",
+    "j21_evidence": f"""{_M} SELECT campaign_id, list_filter([CASE WHEN n_ip > 0 THEN concat(n_ip, ' shared addresses') END, CASE WHEN n_domain > 0 THEN concat(n_domain, ' shared domains') END, CASE WHEN n_url > 0 THEN concat(n_url, ' shared links') END,
+      CASE WHEN n_hash > 0 THEN concat(n_hash, ' shared payloads') END, CASE WHEN span_hours <= 24 THEN 'sent within a day' END, CASE WHEN n_classes = 1 THEN 'one classification' END, CASE WHEN spf_bad > 0 THEN concat(spf_bad, ' failing SPF') END, CASE WHEN dmarc_bad > 0 THEN concat(dmarc_bad, ' failing DMARC') END], lambda x: x IS NOT NULL) AS evidence,
+      list_filter([CASE WHEN n_emails < 3 THEN 'few emails' END, CASE WHEN n_times < 2 THEN 'few times known' END, CASE WHEN n_ip + n_hash = 0 THEN 'no shared address or payload' END, 'shared infrastructure is no proof of a common author'], lambda x: x IS NOT NULL) AS limitations FROM tele""",
     "j22_campaign_report": f"{_M} SELECT campaign_id, n_emails AS email_count, {_PARTS4}, level, round(total, 6) AS attribution FROM level",
 }

@@ -305,3 +305,53 @@ def g13_tally(spark, sf_dir):
 @_query(f"{BASE_SQL} SELECT email_id, list_concat(CASE classification WHEN 'phishing' THEN ['T1566.002', 'T1071.001'] ELSE [] END, CASE WHEN doc_id % 11 = 0 THEN ['T1566.001'] ELSE [] END) AS techniques FROM emails")
 def g14_techniques(spark, sf_dir):
     return emails(spark, sf_dir).select("email_id", sc.techniques(F.col("classification"), (F.col("doc_id") % 11 == 0).cast("int")).alias("techniques"))
+
+
+_V6 = ("2001:4860:4860::8888", "::1", "fe80::1", "ff02::1", "fc00::7", "2001:db8::5", "::", "2606:4700::1111", "not an address")
+_V6_CLASS = ("public", "loopback", "private", "reserved", "private", "private", "private", "public", "reserved")
+
+
+@_query(f"SELECT event_id, [{', '.join(f"'{x}'" for x in _V6)}][event_id % {len(_V6)} + 1] AS ip, [{', '.join(f"'{x}'" for x in _V6_CLASS)}][event_id % {len(_V6)} + 1] AS class FROM events")
+def c10_ipv6_class(spark, sf_dir):
+    ip = F.element_at(F.array(*map(F.lit, _V6)), (F.col("event_id") % len(_V6) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", ip.alias("ip"), ind.ip_class(ip).alias("class"))
+
+
+_FOUND_IPS = f"SELECT email_id, unnest(list_concat(regexp_extract_all(body, '\\[([0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}})\\]', 1), regexp_extract_all(body, '{_V4RE}'))) AS ip, 'body' AS source, 3 AS p FROM emails"
+
+
+@_query(f"{BASE_SQL}, f AS ({_FOUND_IPS} UNION ALL SELECT email_id, concat('198.51.100.', doc_id % 9), 'header', 2 FROM emails UNION ALL SELECT email_id, CASE doc_id % 2 WHEN 0 THEN '10.1.2.3' ELSE '198.51.100.3' END, 'smtp_path', 1 FROM emails) SELECT email_id, ip, arg_min(source, p) AS source FROM f GROUP BY email_id, ip")
+def c9_ip_sources(spark, sf_dir):
+    mails = emails(spark, sf_dir)
+    body = mails.select("email_id", F.explode(ind.ips_in_text(F.col("body"))).alias("ip"), F.lit("body").alias("source"))
+    header = mails.select("email_id", F.concat(F.lit("198.51.100."), (F.col("doc_id") % 9).cast("string")).alias("ip"), F.lit("header").alias("source"))
+    path = mails.select("email_id", F.when(F.col("doc_id") % 2 == 0, "10.1.2.3").otherwise("198.51.100.3").alias("ip"), F.lit("smtp_path").alias("source"))
+    return ind.first_source(body.unionByName(header).unionByName(path), "email_id", "ip", ("smtp_path", "header", "body"))
+
+
+_SUFFIXED = "CASE page_id % 3 WHEN 0 THEN concat(h, '.co.uk') WHEN 1 THEN h ELSE split_part(h, '.', 1) END"
+
+
+@_query(f"SELECT page_id, host, CASE page_id % 3 WHEN 0 THEN 'co.uk' WHEN 1 THEN l[-1] ELSE '' END AS suffix, CASE page_id % 3 WHEN 0 THEN concat(l[-3], '.co.uk') WHEN 1 THEN array_to_string(l[-2:], '.') ELSE '' END AS registered, CASE page_id % 3 WHEN 0 THEN array_to_string(l[:len(l) - 3], '.') WHEN 1 THEN array_to_string(l[:len(l) - 2], '.') ELSE '' END AS subdomain FROM (SELECT page_id, {_SUFFIXED} AS host, string_split({_SUFFIXED}, '.') AS l FROM (SELECT page_id, {_HOST.format('url')} AS h FROM pages))")
+def c12_public_suffix(spark, sf_dir):
+    hosts = table(spark, sf_dir, "pages").select("page_id", ind.host(F.col("url")).alias("h"))
+    host = F.when(F.col("page_id") % 3 == 0, F.concat("h", F.lit(".co.uk"))).when(F.col("page_id") % 3 == 1, F.col("h")).otherwise(F.split_part("h", F.lit("."), F.lit(1)))
+    return hosts.select("page_id", host.alias("host"), ind.split_suffix(host).alias("s")).select("page_id", "host", "s.*")
+
+
+_BRAND_LIST = "[" + ", ".join(f"'{b}'" for b in ind.BRANDS) + "]"
+#: A brand of the table's own choice, changed in one of several ways, or the page's own host name.
+_MUTANT = "CASE page_id % 8 WHEN 0 THEN concat(b, '-login.com') WHEN 1 THEN concat(translate(b, 'oal', '041'), '.net') WHEN 2 THEN concat(substr(b, 1, 1), 'x', substr(b, 3), '.org') WHEN 3 THEN concat(b, 's.com') WHEN 4 THEN concat(b, '.com') WHEN 5 THEN concat('mail.', substr(b, 1, length(b) - 1), '.com') WHEN 6 THEN concat('my-', substr(b, 2), '_x.com') ELSE h END"
+
+
+@_query(f"""WITH d AS (SELECT page_id, {_MUTANT} AS domain FROM (SELECT page_id, {_HOST.format('url')} AS h, {_BRAND_LIST}[page_id % {len(ind.BRANDS)} + 1] AS b FROM pages)),
+n AS (SELECT page_id, domain, CASE WHEN len(l) >= 2 THEN l[-2] ELSE l[1] END AS name FROM (SELECT *, string_split(lower(domain), '.') AS l FROM d)),
+t AS (SELECT page_id, domain, list_distinct(list_prepend(name, list_filter(string_split_regex(name, '[-_.]'), lambda x: length(x) >= 3))) AS tokens FROM n),
+x AS (SELECT page_id, domain, len(tokens) > 1 AS several, unnest(tokens) AS token FROM t),
+y AS (SELECT x.*, translate(token, '10354@8', 'loesaab') AS plain, b, CASE WHEN length(b) <= 5 THEN 1 ELSE 2 END AS most FROM x, unnest({_BRAND_LIST}) AS u(b)),
+z AS (SELECT page_id, bool_or((plain = b AND token <> b) OR (token = b AND several) OR (token <> b AND abs(length(token) - length(b)) <= 2 AND levenshtein(token, b) <= most) OR (plain <> b AND abs(length(plain) - length(b)) <= 2 AND levenshtein(plain, b) <= most)) AS odd FROM y GROUP BY page_id)
+SELECT page_id, domain, odd AND NOT (list_contains([{", ".join(f"'{x}'" for x in ind.BRAND_DOMAINS)}], domain) OR len(list_filter({_BRAND_LIST}, lambda k: ends_with(domain, concat('.', k, '.com')))) > 0) AS typosquat FROM d JOIN z USING (page_id)""")
+def c16_typosquats(spark, sf_dir):
+    brand = F.element_at(F.array(*map(F.lit, ind.BRANDS)), (F.col("page_id") % len(ind.BRANDS) + 1).cast("int"))
+    d = table(spark, sf_dir, "pages").select("page_id", ind.host(F.col("url")).alias("h"), brand.alias("b")).select("page_id", F.expr(_MUTANT).alias("domain"))
+    return d.select("page_id", "domain", ind.is_typosquat(F.col("domain")).alias("typosquat"))
