@@ -50,8 +50,8 @@ _PAIR, _ODD = U((1 << 38) - 1), 0x1B5AD4C375
 #: Log-ratios enter EM rounded to steps of this size and at most ``_CENTRE - 1`` steps from 0; with up to 64 levels of context frequency
 #: this bounds what EM gets to 64 * 256 * 256 counts, whatever the corpus.
 _STEP, _CENTRE = 0.2, 128
-#: Hash buckets for each input partition, and at least: with those, what is left of a bigram in its bucket fits 31 bits.
-FINER, LEAST_BUCKETS = 4, 128
+#: Training tokens for each hash bucket (about 12 MB of messages), and buckets at least: with those, what is left of a bigram in its bucket fits 31 bits.
+BUCKET, LEAST_BUCKETS = 1 << 20, 128
 
 
 class Table:
@@ -59,7 +59,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        bits = max(4, int(np.ceil(np.log2(len(keys) + 1))) + 3)
+        bits = max(4, int(np.ceil(np.log2(len(keys) + 1))) + 2)
         self.shift = U(64 - bits)
         slots = (keys >> self.shift).astype(np.int64)
         sizes = np.bincount(slots, minlength=1 << bits)
@@ -372,14 +372,14 @@ class Model:
 def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     words, rare = count_words(docs)
-    shared, n = spark.sparkContext.broadcast(words), _buckets(docs)
+    shared, n = spark.sparkContext.broadcast(words), _buckets(words)
     rare = rare.mapInArrow(_rare_by_bucket(n), _COUNTS)
     bigrams = _folded(docs).mapInArrow(_count_bigrams(n, shared), _COUNTS).unionByName(rare)
-    sums = written(bigrams.groupBy("bucket").applyInArrow(_sum_bigrams(n, shared, BIGRAMS), _COUNTS), "bigrams")
+    sums = written(_dealt(bigrams, "bucket", words).applyInArrow(_sum_bigrams(n, shared, BIGRAMS), _COUNTS), "bigrams")
     frequent = sums.filter(F.col("kind") == FOUND).select("keys", "others").toArrow()  # at most BIGRAMS bigrams
     key, c = mix(_flat(frequent, "keys").view(U)), _flat(frequent, "others")
     order = np.argsort(key)
-    rest = sums.filter(F.col("kind") == PENDING).unionByName(rare).groupBy("bucket").applyInArrow(_complete(shared), _COUNTS)
+    rest = _dealt(sums.filter(F.col("kind") == PENDING).unionByName(rare), "bucket", words).applyInArrow(_complete(shared), _COUNTS)
     pairs = sums.filter(F.col("kind") == CODES).unionByName(rest).select(F.explode(F.arrays_zip("keys", "others")).alias("x"))
     held = pairs.groupBy("x.keys").agg(F.sum("x.others").alias("number")).toArrow()  # at most 64 * 256 * 256 rows
     held = held.sort_by("keys")  # a fixed order of the sums
@@ -387,8 +387,13 @@ def train(docs: DataFrame) -> Model:
     return Model(words, Table(key[order]), c[order], weights)
 
 
-def _buckets(docs: DataFrame) -> int:
-    return max(LEAST_BUCKETS, FINER * max(fanout(docs.sparkSession), docs.rdd.getNumPartitions()))
+def _buckets(words: Words) -> int:
+    return max(LEAST_BUCKETS, -(-words.n // BUCKET))
+
+
+def _dealt(rows: DataFrame, key: str, words: Words):
+    """``rows`` grouped by ``key``, in as many partitions as their volume asks for."""
+    return rows.repartition(max(fanout(rows.sparkSession), -(-words.n // BUCKET)), key).groupBy(key)
 
 
 #: Kinds above: bigrams to be scored (texts: index * 2 + trained on; RARE_TOKEN has small -1 where the context is rare).  HEAD: a block's texts (ids,
@@ -556,11 +561,11 @@ def scores(docs: DataFrame) -> DataFrame:
     model = train(docs)
     spark = docs.sparkSession
     release(spark)
-    shared, n = spark.sparkContext.broadcast(model), _buckets(docs)
-    parts = _folded(docs).mapInArrow(_score_blocks(n, shared), _PARTS).groupBy("bucket").applyInArrow(_score_buckets(n, shared), _PARTS)
+    shared, n = spark.sparkContext.broadcast(model), _buckets(model.words)
+    parts = _dealt(_folded(docs).mapInArrow(_score_blocks(n, shared), _PARTS), "bucket", model.words).applyInArrow(_score_buckets(n, shared), _PARTS)
     parts = written(parts, "scored", compression="zstd")
     release(spark)
-    pairs = parts.filter(F.col("kind").isin(WORD, PAIR)).groupBy("bucket").applyInArrow(_score_pairs(n, shared), _PARTS)
+    pairs = _dealt(parts.filter(F.col("kind").isin(WORD, PAIR)), "bucket", model.words).applyInArrow(_score_pairs(n, shared), _PARTS)
     parts = parts.filter(F.col("kind").isin(HEAD, PART)).unionByName(pairs)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.groupBy("block").applyInArrow(_gather(model.words.n, model.words.vocabulary), schema)
+    return _dealt(parts, "block", model.words).applyInArrow(_gather(model.words.n, model.words.vocabulary), schema)
