@@ -53,3 +53,30 @@ def test_folders_cases_and_documents(spark, tmp_path):
     assert [r.case_id for r in readers.latest_cases(spark, str(tmp_path / "cases"), schema, 0).collect()] == ["c2"]
     assert readers.case(spark, str(tmp_path / "cases"), schema, "c1").first().score == 1.0
     assert sorted(readers.from_document(readers.to_document(cases), cases.schema).collect()) == sorted(cases.collect())
+
+
+def test_payload_lines_and_files(spark, tmp_path):
+    one, two = ('{"analysis_id": "%s", "email": {"email_id": "%s"}}' % (k, k) for k in "ab")
+    (tmp_path / "lines.json").write_text(one + "\n" + two + "\n")
+    assert sorted(r.analysis_id for r in readers.payloads(spark, str(tmp_path / "lines.json")).collect()) == ["a", "b"]
+    (tmp_path / "file.json").write_text("[" + one.replace(",", ",\n") + ",\n" + two + "]")
+    assert sorted(r.analysis_id for r in readers.payloads(spark, str(tmp_path / "file.json"), whole_files=True).collect()) == ["a", "b"]
+
+
+def test_folder_names_are_labels(spark):
+    cases = {"file:/data/antispam/ham/x": "benign", "file:/d/spam_2/x": "spam", "file:/d/easy-ham/1": "benign", "file:/ham/spam/x.eml": "spam", "file:/d/hamlet/spammers/x": None, "file:/d/x.spam": None}
+    got = spark.createDataFrame(list(cases.items()), "path string, want string").withColumn("got", readers.folder_label(F.col("path"))).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_corpora(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    for name in ("a.eml", "b.txt", "c.pdf", "d"):
+        (tmp_path / "c" / name).write_text("Subject: x\n\nbody")
+    assert sorted(r.path[-1] for r in readers.corpus(spark, "nazario", str(tmp_path / "c")).collect()) == ["d", "l", "t"]
+    (tmp_path / "t.csv").write_text("text,label\nhello,spam\n")
+    assert readers.corpus(spark, "bec", str(tmp_path / "t.csv")).collect()[0].asDict() == {"body_text": "hello", "label": "bec"}
+    rows, counts = readers.labelled_mails(spark, str(tmp_path / "c"), "phishing")
+    assert [r.label for r in rows.collect()] == ["phishing"] and tuple(counts.first()) == (1, 0)
+    with pytest.raises(ValueError):
+        readers.corpus(spark, "none", "x")
