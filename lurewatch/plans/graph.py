@@ -291,3 +291,19 @@ def i14_gates(spark, sf_dir):
 @_query("SELECT doc_id, CASE WHEN k <= floor(total * 0.7::DOUBLE) THEN 'train' WHEN k <= floor(total * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS total FROM labels)")
 def i2_stratified_split(spark, sf_dir):
     return ev.stratified_split(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "quality").select("doc_id", "split")
+
+
+@_query(
+    f"{_E},{_NODES}, page AS (SELECT concat(lower(label), ':', key) AS source FROM (SELECT label, key FROM nodes ORDER BY label, key LIMIT 100 OFFSET 50)), named AS (SELECT concat(lower(src_label), ':', src_key) AS source, concat(lower(dst_label), ':', dst_key) AS target, rel FROM edges) "
+    "SELECT concat('edge:', source, '->', target, ':', rel) AS id, source, target, rel FROM named WHERE source IN (SELECT source FROM page)"
+)
+def j31_export_page_edges(spark, sf_dir):
+    mails, _, _, edges = _graph(spark, sf_dir)
+    return g.export_page(_nodes(mails, edges), edges, 50, 100)[1]
+
+
+@_query(f"{_E},{_NODES} SELECT label, key, count(*) AS n FROM writes GROUP BY ALL HAVING count(*) > 1")
+def j32_repeated_writes(spark, sf_dir):
+    """The same job on the writes before they are merged, where keys do repeat."""
+    mails, _, _, edges = _graph(spark, sf_dir)
+    return g.repeated_keys(g.node_writes(mails, edges))
