@@ -95,16 +95,26 @@ def candidate_pairs(ready: DataFrame, threshold: float) -> DataFrame:
     An indicator's emails are dealt over chunks, and each pair of chunks is a join
     key of its own, so an indicator that very many emails share becomes many
     tasks.  The join's condition holds an upper bound of the similarity: the exact
-    time and behaviour parts, the ratio of set sizes for payloads and subjects, and 1
-    for infrastructure; only pairs under it are made distinct.
+    time and behaviour parts, and for each pair of sets the common bits of two
+    64-bit marks, plus the smaller number of collisions within a set, as the most
+    that they share; only pairs that reach the threshold by it are made distinct.
     """
-    cheap = {"us": F.col("us"), "spf": F.col("spf"), "dmarc": F.col("dmarc"), "classification": F.col("classification"), "n_payload": F.size("payload"), "n_words": F.size("words")}
+    sets = ("payload", "place", "words")
+    mark = {f"mark_{c}": F.expr(f"aggregate({c}, 0L, (a, x) -> a | shiftleft(1L, cast(pmod(xxhash64(x), 64L) AS INT)))") for c in sets}
+    cheap = {"us": F.col("us"), "spf": F.col("spf"), "dmarc": F.col("dmarc"), "classification": F.col("classification"), **{f"n_{c}": F.size(c) for c in sets}, **mark}
     each = ready.select("email_id", *(c.alias(k) for k, c in cheap.items()), F.explode(F.array_union("payload", "place")).alias("key"))
     left, right, meet = pair_chunks(each, "key", "email_id", CHUNK)
     x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
-    ratio = lambda c: F.when(F.least(x(c), y(c)) > 0, F.least(x(c), y(c)) / F.greatest(x(c), y(c))).otherwise(0.0)
+
+    def most_alike(c: str) -> Column:
+        spare = F.least(*(s(f"n_{c}") - F.bit_count(s(f"mark_{c}")) for s in (x, y)))
+        shared = F.least(F.bit_count(x(f"mark_{c}").bitwiseAND(y(f"mark_{c}"))) + spare, x(f"n_{c}"), y(f"n_{c}"))
+        union = x(f"n_{c}") + y(f"n_{c}") - shared
+        return F.when(union > 0, shared / union).otherwise(0.0)
+
     w = PAIR_WEIGHTS
-    most = w["ioc"] * ratio("n_payload") + w["infra"] + w["subject"] * ratio("n_words") + w["temporal"] * _closeness(x("us"), y("us")) + w["behaviour"] * _alike(x, y)
+    infra = F.greatest(F.lit(0.8), most_alike("place"))  # the floor for shared infrastructure is taken for granted
+    most = w["ioc"] * most_alike("payload") + w["infra"] * infra + w["subject"] * most_alike("words") + w["temporal"] * _closeness(x("us"), y("us")) + w["behaviour"] * _alike(x, y)
     both = left.join(right, meet & (most >= threshold - 0.001))
     return both.select(F.least(x("email_id"), y("email_id")).alias("a"), F.greatest(x("email_id"), y("email_id")).alias("b")).distinct()
 
