@@ -31,7 +31,7 @@ EMAIL = {
     "hash": "{sha}",
     "doc_id": "doc_id",
 }
-_SPARK = {"string": "string", "domain": "concat('d', cast(floor(doc_id / 8) as string), '.example.net')", "subject": r"array_join(slice(regexp_extract_all(text, '([^ \\n]+)', 1), 1, 6), ' ')", "sha": "sha2(text, 256)"}
+_SPARK = {"string": "string", "domain": "concat('d', cast(floor(doc_id / 8) as string), '.example.net')", "subject": r"array_join(slice(filter(split(text, '[ \\n]+', 8), w -> w <> ''), 1, 6), ' ')", "sha": "sha2(text, 256)"}
 _DUCK = {"string": "varchar", "domain": "concat('d', cast(doc_id // 8 as varchar), '.example.net')", "subject": r"array_to_string(regexp_extract_all(text, '[^ \n]+')[1:6], ' ')", "sha": "sha256(text)"}
 
 

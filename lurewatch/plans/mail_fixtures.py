@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .fixtures import table
 
 _SPARK = {
-    "words": r"array_join(slice(regexp_extract_all(text, '([^ \\n]+)', 1), 1, 6), ' ')", "div": "floor(doc_id / {})", "s": "string", "b64": "translate(base64(encode({}, 'utf-8')), concat(chr(13), chr(10)), '')",
+    "words": r"array_join(slice(filter(split(text, '[ \\n]+', 8), w -> w <> ''), 1, 6), ' ')", "div": "floor(doc_id / {})", "s": "string", "b64": "translate(base64(encode({}, 'utf-8')), concat(chr(13), chr(10)), '')",
     "rfc": "date_format(timestamp_seconds({}), 'd MMM yyyy HH:mm:ss')", "iso": "date_format(timestamp_seconds({}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", "sha": "sha2({}, 256)",
 }
 _DUCK = {

@@ -1,6 +1,7 @@
 """Campaigns, graph, pivots, components and evaluation on small tables."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lurewatch.operators import campaigns as c
 from lurewatch.operators import evaluation as ev
 from lurewatch.operators import graph as g
+from lurewatch.operators import tables
 from lurewatch.operators.components import components
 from lurewatch.plans import fixtures
 
@@ -87,3 +89,31 @@ def test_perfect_scores(spark):
     assert ev.best_threshold(rows, 0.9).first().threshold == 0.9
     parts = ev.stratified_split(rows, "k", "y").groupBy("y", "split").count().collect()
     assert {(r.y, r.split): r["count"] for r in parts} == {(y, s): n for y in (0, 1) for s, n in (("train", 14), ("validation", 3), ("test", 3))}
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    first = tables.written(spark.range(5).toDF("x"), "to-clear")
+    assert first.count() == 5
+    path = first.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    other = tables.shared_dir
+    tables.shared_dir = lambda spark: path.split("/lurewatch/")[0] + "/unused"
+    try:
+        tables.clear(spark)  # a folder that isn't there
+        assert os.path.exists(path)
+        kept = tables.written(spark.range(3).toDF("x"), "own").inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        tables.clear(spark)
+        assert os.path.exists(path) and not os.path.exists(kept)
+    finally:
+        tables.shared_dir = other
+
+
+def test_machine_local_folders_are_refused_on_a_cluster(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/tmp/warehouse", "spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Session())

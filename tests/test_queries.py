@@ -1,5 +1,6 @@
 """Registered queries against DuckDB on the same tables."""
 
+import functools
 import glob
 import math
 import os
@@ -8,11 +9,21 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lurewatch.plans import PLANS
+from lurewatch.plans import PLANS, campaigns, graph
 
 OWN = sorted(name for plan in PLANS for name in plan.SQL)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_inputs():
+    """Mails, graph, campaigns and their edges are computed once for all queries that begin with them."""
+    patch = pytest.MonkeyPatch()
+    for module, name in ((campaigns, "_rows"), (campaigns, "_both"), (graph, "_graph"), (graph, "_full")):
+        patch.setattr(module, name, functools.cache(getattr(module, name)))
+    yield
+    patch.undo()
+
+
 def plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
