@@ -50,8 +50,8 @@ _PAIR, _ODD = U((1 << 38) - 1), 0x1B5AD4C375
 #: Log-ratios enter EM rounded to steps of this size and at most ``_CENTRE - 1`` steps from 0; with up to 64 levels of context frequency
 #: this bounds what EM gets to 64 * 256 * 256 counts, whatever the corpus.
 _STEP, _CENTRE = 0.2, 128
-#: Training tokens for each hash bucket (about 12 MB of messages), and buckets at least: with those, what is left of a bigram in its bucket fits 31 bits.
-BUCKET, LEAST_BUCKETS = 1 << 20, 128
+#: Buckets at least: with those, what is left of a bigram in its bucket fits 31 bits.
+LEAST_BUCKETS = 128
 
 
 class Table:
@@ -387,19 +387,24 @@ def train(docs: DataFrame) -> Model:
     return Model(words, Table(key[order]), c[order], weights)
 
 
+def _volume(words: Words) -> int:
+    """Parts that the messages about all tokens are cut into: for 2^18 tokens each (3 MB) up to 1,024 parts, larger ones beyond, at most for 2^20 tokens."""
+    return max(min(1024, words.n >> 18), words.n >> 20)
+
+
 def _buckets(words: Words) -> int:
-    return max(LEAST_BUCKETS, -(-words.n // BUCKET))
+    return max(LEAST_BUCKETS, _volume(words))
 
 
 def _dealt(rows: DataFrame, key: str, words: Words):
     """``rows`` grouped by ``key``, in as many partitions as their volume asks for."""
-    return rows.repartition(max(fanout(rows.sparkSession), -(-words.n // BUCKET)), key).groupBy(key)
+    return rows.repartition(max(fanout(rows.sparkSession), _volume(words)), key).groupBy(key)
 
 
 #: Kinds above: bigrams to be scored (texts: index * 2 + trained on; RARE_TOKEN has small -1 where the context is rare).  HEAD: a block's texts (ids,
-#: small: tokens * 2 + held out, known, base, score).  PART: sums by text.  WORD: rare words' counts (others).  PAIR: of bigrams of two rare words the
+#: small: tokens * 2 + held out, known, base, score).  PART: scores by text.  KNOWN: known tokens and base by text.  WORD: rare words' counts (others).  PAIR: of bigrams of two rare words the
 #: second (keys), the counts of context << 32 | bigram (others), and blocks.
-HEAD, PART, WORD, PAIR = range(5, 9)
+HEAD, PART, WORD, PAIR, KNOWN = range(5, 10)
 _PARTS = "bucket int, kind int, block long, texts array<short>, keys array<long>, small array<int>, others array<long>, blocks array<long>, known array<int>, base array<double>, score array<double>"
 _TYPES = {"texts": pa.int16(), "keys": pa.int64(), "small": pa.int32(), "others": pa.int64(), "blocks": pa.int64(), "known": pa.int32(), "base": pa.float64(), "score": pa.float64()}
 
@@ -453,17 +458,16 @@ def _messages(table: pa.Table, kind: int) -> tuple[np.ndarray, ...]:
 
 
 class _Sums:
-    """Sums of what is known, base and score by block and text."""
+    """Sums of some columns by block and text; ``kind`` tells which."""
 
-    def __init__(self):
-        self.parts = []
+    def __init__(self, kind: int, *names: str):
+        self.kind, self.names, self.parts = kind, names, []
 
-    def add(self, block, text, known=None, base=None, score=None):
+    def add(self, block: np.ndarray, text: np.ndarray, *values: np.ndarray):
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (text[1:] != text[:-1])
         at = np.cumsum(new) - 1
-        n = int(new.sum())
-        self.parts.append((block[new], text[new], *(np.zeros(n) if x is None else np.bincount(at, x, minlength=n) for x in (known, base, score))))
+        self.parts.append((block[new], text[new], *(np.bincount(at, x, minlength=int(new.sum())) for x in values)))
 
     def rows(self, bucket: int) -> pa.RecordBatch:
         block, text, *values = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -472,9 +476,11 @@ class _Sums:
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (text[1:] != text[:-1])
         at = np.cumsum(new) - 1
-        known, base, score = (np.bincount(at, x[order], minlength=int(new.sum())) for x in values)
+        sums = {k: np.bincount(at, x[order], minlength=int(new.sum())) for k, x in zip(self.names, values, strict=True)}
+        if "known" in sums:
+            sums["known"] = np.rint(sums["known"]).astype(np.int64)
         blocks, per = np.unique(block[new], return_counts=True)
-        return _part(np.full(len(blocks), bucket), PART, blocks, per, texts=text[new], known=np.rint(known).astype(np.int64), base=base, score=score)
+        return _part(np.full(len(blocks), bucket), self.kind, blocks, per, texts=text[new], **sums)
 
 
 def _counted(pair: np.ndarray, trained: np.ndarray) -> np.ndarray:
@@ -488,34 +494,34 @@ def _score_buckets(n_buckets: int, shared):
 
     def run(table: pa.Table) -> pa.Table:
         model: Model = shared.value
-        counts, sums, out = model.words.counts, _Sums(), []
+        counts, sums, told, out = model.words.counts, _Sums(PART, "score"), _Sums(KNOWN, "known", "base"), []
         bucket = table.column("bucket")[0].as_py()
         block, text, trained, _, rest = _messages(table, FREQUENT)
         keys = _unfold(bucket, rest, n_buckets)
         context, token = (keys >> _SHIFT).astype(np.int64), (keys & _CLASS).astype(np.int64)
-        sums.add(block, text, score=model.log10(counts[context], counts[token], _counted(keys, trained)))
+        sums.add(block, text, model.log10(counts[context], counts[token], _counted(keys, trained)))
 
         block, text, trained, keys, others = _messages(table, RARE_TOKEN)
         own, at = np.unique(keys, return_inverse=True)
         word = np.bincount(at, trained, minlength=len(own)).astype(np.int64)
-        sums.add(block, text, known=word[at] > 0, base=np.log10(word[at] + 1.0))
+        told.add(block, text, word[at] > 0, np.log10(word[at] + 1.0))
         far = np.unique(at[others < 0])
         out.append(_part(np.array([bucket]), WORD, 0, np.array([len(far)]), keys=signed(own[far]), others=word[far]))
         near = others >= 0
         block, text, trained, at, others = (x[near] for x in (block, text, trained, at, others))
-        sums.add(block, text, score=model.log10(counts[others], word[at], _counted((at << 20) | others, trained)))
+        sums.add(block, text, model.log10(counts[others], word[at], _counted((at << 20) | others, trained)))
 
         one, two = _messages(table, RARE_CONTEXT), _messages(table, RARE_BOTH)
         own, at = np.unique(np.concatenate([one[3], two[3]]), return_inverse=True)
         word = np.bincount(at, np.concatenate([one[2], two[2]]), minlength=len(own)).astype(np.int64)
         block, text, trained, keys, others = one
         first, at = at[: len(keys)], at[len(keys) :]
-        sums.add(block, text, score=model.log10(word[first], counts[others], _counted((first << 20) | others, trained)))
+        sums.add(block, text, model.log10(word[first], counts[others], _counted((first << 20) | others, trained)))
         block, text, trained, _, others = two
         second, other = np.unique(others, return_inverse=True)
         count, b = _counted(at * max(1, len(second)) + other, trained), others.view(U)
         used, c, per = scatter(_bucket(b, n_buckets), n_buckets, keys=others, others=(word[at] << 32) | count, blocks=block, texts=text)
-        out += [_part(used, PAIR, bucket, per, **c), sums.rows(bucket)]
+        out += [_part(used, PAIR, bucket, per, **c), sums.rows(bucket), told.rows(bucket)]
         return pa.concat_tables([pa.Table.from_batches(out), _of_kind(table, HEAD).cast(out[0].schema)])
 
     return run
@@ -530,8 +536,8 @@ def _score_pairs(n_buckets: int, shared):
         keys, count = _flat(words, "keys"), _flat(words, "others")
         order = np.argsort(keys)
         token = count[order][np.searchsorted(keys, _flat(pairs, "keys"), sorter=order)]
-        others, sums = _flat(pairs, "others"), _Sums()
-        sums.add(_flat(pairs, "blocks"), _flat(pairs, "texts"), score=model.log10(others >> 32, token, others & ((1 << 32) - 1)))
+        others, sums = _flat(pairs, "others"), _Sums(PART, "score")
+        sums.add(_flat(pairs, "blocks"), _flat(pairs, "texts").astype(np.int64), model.log10(others >> 32, token, others & ((1 << 32) - 1)))
         rows = sums.rows(table.column("bucket")[0].as_py() + n_buckets)
         return pa.Table.from_batches([rows])
 
@@ -542,12 +548,11 @@ def _gather(n_train: int, vocabulary: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket")  # a fixed order of the sums
         kinds = table.column("kind").to_numpy()
-        head, rest = table.filter(pa.array(kinds == HEAD)), table.filter(pa.array(kinds == PART))
+        head, parts, told = (table.filter(pa.array(kinds == k)) for k in (HEAD, PART, KNOWN))
         ids = pa.concat_arrays([x.flatten() for x in head.column("keys").chunks])
         tokens, known, base, score = (_flat(head, c) for c in ("small", "known", "base", "score"))
-        if rest.num_rows:
-            t = _flat(rest, "texts").astype(np.int64)
-            known, base, score = (x + np.bincount(t, _flat(rest, c), minlength=len(ids)) for x, c in ((known, "known"), (base, "base"), (score, "score")))
+        added = lambda rows, c: np.bincount(_flat(rows, "texts").astype(np.int64), _flat(rows, c), minlength=len(ids)) if rows.num_rows else 0
+        known, base, score = known + added(told, "known"), base + added(told, "base"), score + added(parts, "score")
         n = (tokens >> 1).astype(np.int64)
         base = base - n * np.log10(n_train + vocabulary + 1)
         columns = [ids, pa.array((tokens & 1).astype(bool)), pa.array(n), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(n), n_train), pa.int64()), pa.array(base), pa.array(score)]
@@ -566,6 +571,6 @@ def scores(docs: DataFrame) -> DataFrame:
     parts = written(parts, "scored", compression="zstd")
     release(spark)
     pairs = _dealt(parts.filter(F.col("kind").isin(WORD, PAIR)), "bucket", model.words).applyInArrow(_score_pairs(n, shared), _PARTS)
-    parts = parts.filter(F.col("kind").isin(HEAD, PART)).unionByName(pairs)
+    parts = parts.filter(F.col("kind").isin(HEAD, PART, KNOWN)).unionByName(pairs)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return _dealt(parts, "block", model.words).applyInArrow(_gather(model.words.n, model.words.vocabulary), schema)
