@@ -62,7 +62,7 @@ emails AS (
 
 def resolves(emails: DataFrame) -> DataFrame:
     """domain, ip: three sender domains share an address."""
-    d = F.regexp_extract("sender_domain", "d([0-9]+)", 1).cast("long")
+    d = F.regexp_extract("sender_domain", "d([0-9]+)", 1).try_cast("long")
     k = F.floor(d / 3)
     return emails.select(F.col("sender_domain").alias("domain"), F.concat(F.lit("198.51."), (F.floor(k / 256) % 256).cast("string"), F.lit("."), (k % 256).cast("string")).alias("ip")).distinct()
 

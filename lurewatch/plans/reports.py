@@ -36,7 +36,7 @@ _RECORDS = {
 
 
 def _domains(spark, sf_dir) -> DataFrame:
-    d = messages(spark, sf_dir).select(F.regexp_extract("domain", "d([0-9]+)", 1).cast("long").alias("k"), "domain").distinct()
+    d = messages(spark, sf_dir).select(F.regexp_extract("domain", "d([0-9]+)", 1).try_cast("long").alias("k"), "domain").distinct()
     return d.select("k", "domain", *(F.expr(e.format(s="string")).alias(c) for c, e in _RECORDS.items()))
 
 
