@@ -29,7 +29,7 @@ def _query(sql: str | None = None):
 
 
 def _asn(found):
-    return found.select("ip", F.concat(F.lit("6450"), (F.split_part("ip", F.lit("."), F.lit(4)).cast("int") % 7).cast("string")).alias("number")).distinct()
+    return found.select("ip", F.concat(F.lit("6450"), (F.split_part("ip", F.lit("."), F.lit(4)).try_cast("int") % 7).cast("string")).alias("number")).distinct()
 
 
 def _graph(spark, sf_dir):
