@@ -65,7 +65,8 @@ def _decide(rows: DataFrame, index: DigestIndex | None, batch: str | None) -> Da
     index, batch = index or DigestIndex(spark, work_path(spark, "digest-index")), batch or uuid.uuid4().hex
     best = F.max(F.struct("doc_id", "row"))
     groups = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    # written, so that the optimizer can't move the anti-join below the aggregation and send a common text's rows to one task
+    groups = written(groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "digest-groups")
     index.append(groups.select("digest", "keep_id"), batch)
     held = index.table().select("digest", F.col("keep_id").alias("held_id"), (F.col("batch") == batch).alias("new"))
     found = groups.join(held.hint("merge"), "digest")
