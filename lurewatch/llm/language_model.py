@@ -388,8 +388,8 @@ def train(docs: DataFrame) -> Model:
 
 
 def _volume(words: Words) -> int:
-    """Parts that the messages about all tokens are cut into: for 2^18 tokens each (3 MB) up to 1,024 parts, larger ones beyond, at most for 2^20 tokens."""
-    return max(min(1024, words.n >> 18), words.n >> 20)
+    """Parts that the messages about all tokens are cut into: one for 2^20 tokens, about 12 MB."""
+    return -(-words.n >> 20)
 
 
 def _buckets(words: Words) -> int:
