@@ -37,7 +37,8 @@ def test_stages(spark, data):
             want = Counter()
             for i, (epochs, prefix) in taken.items():
                 words = re.findall(WORDS, before[i])
-                want.update({(i, len(words)): epochs} | ({(i, prefix): 1} if prefix else {}))
+                want.update({(i, len(words)): epochs})
+                want.update({(i, prefix): 1} if prefix else {})
             assert Counter((r.doc_id, len(re.findall(WORDS, r.text))) for r in rows) == +want
         if k < 4:
             assert rows
