@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_model, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity, url_filter
+from . import exact_dedup, filter_audit, language_model, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -50,7 +50,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels").withColumn("label", F.col("toxic"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op4_packing, op5_sharding, op6_quality, op7_substring_dedup, op8_language_model, op9_exact_dedup, op10_toxicity)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op4_packing, op5_sharding, op6_quality, op7_substring_dedup, op8_language_model, op9_exact_dedup, op10_toxicity, op12_filter_audit, op13_whitening)}
 
 SQL: dict[str, str] = {}
 SQL["op9_exact_dedup"] = """
@@ -110,3 +118,28 @@ f AS (SELECT *, sum(bytes) OVER (PARTITION BY level, prefix) AS total FROM e),
 g AS (SELECT doc_id, bytes, h, coalesce(min(level) FILTER (total <= {sharding.LIMIT}), {sharding.BITS})::INT AS depth FROM f GROUP BY doc_id, bytes, h),
 s AS (SELECT *, substr(lpad(bin(h), {sharding.BITS}, '0'), 1, depth) AS shard FROM g)
 SELECT doc_id, bytes, shard, depth, count(*) OVER w AS shard_docs, CAST(sum(bytes) OVER w AS BIGINT) AS shard_bytes, sum(bytes) OVER w > {sharding.LIMIT} AS oversized FROM s WINDOW w AS (PARTITION BY shard)"""
+
+SQL["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (
+  SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e
+  FROM w),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+k AS (
+  SELECT part, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+o AS (
+  SELECT p.v || q.v || r.v || s.v || t.v AS filter_order FROM x p, x q, x r, x s, x t
+  WHERE p.v <> q.v AND p.v <> r.v AND p.v <> s.v AND p.v <> t.v AND q.v <> r.v AND q.v <> s.v AND q.v <> t.v AND r.v <> s.v AND r.v <> t.v AND s.v <> t.v),
+j AS (
+  SELECT part, filter_order, step, n, good, toxic, n_fails, fails[filter_order[step]] AS own,
+         len(list_filter(string_split(substr(filter_order, 1, step - 1), ''), lambda v: v <> '' AND fails[v])) > 0 AS gone
+  FROM k, o, range(1, 6) AS r(step))
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (own AND n_fails = 1), 0)::BIGINT AS unique_fails,
+       coalesce(sum(n) FILTER (own AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (own AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // nullif(n_fails, 0)) FILTER (own), 0)::BIGINT AS shapley
+FROM j GROUP BY part, filter_order, step"""
