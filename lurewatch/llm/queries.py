@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, language_model, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity, url_filter, whitening
+from . import exact_dedup, filter_audit, language_model, mixing, near_dedup, ngram_join, packing, quality, sharding, substring_dedup, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels").withColumn("label", F.col("toxic"))))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classified(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op4_packing, op5_sharding, op6_quality, op7_substring_dedup, op8_language_model, op9_exact_dedup, op10_toxicity, op12_filter_audit, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_near_dedup, op4_packing, op5_sharding, op6_quality, op7_substring_dedup, op8_language_model, op9_exact_dedup, op10_toxicity, op11_ngram_join, op12_filter_audit, op13_whitening)}
 
 SQL: dict[str, str] = {}
 SQL["op9_exact_dedup"] = """
