@@ -2,8 +2,8 @@
 
 Steps: (1) one Arrow pass cuts the texts into blocks; a block holds its rows'
 word counts as a CSR matrix over the block's own vocabulary, that vocabulary,
-and what else the filters need of a text; (2) all blocks' words together give
-the dictionary ``(word, code)``, and each block's vocabulary is joined with it;
+and what else the filters need of a text; (2) all blocks' words together are
+ranked, which gives one code to each word, and each block the codes of its own;
 (3) a block and its codes meet in one group, whose CSR shard has global columns;
 row sums are numbers of words (filter A), nonzero counts numbers of distinct
 words (filter B); (4) copies (filter E) are found by the texts' digests, and the
@@ -33,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import attach, fanout, written
 from .textarrays import lists, pieces
 
 FILTERS = "ABCDE"
@@ -44,6 +44,8 @@ LEAST_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 50, 65, 5
 SYMBOLS = b"#$%&*|"
 #: Bytes of text that make up a block, and so a shard.
 BLOCK = 16 << 20
+#: Hash buckets of the dictionary for each shuffle partition.
+BUCKETS = 16
 
 _BLOCKS = "block long, doc_ids array<long>, parts array<string>, digests array<binary>, others array<tinyint>, indptr array<int>, columns array<int>, counts array<int>, words array<string>"
 _ROWS = "doc_id long, part string, digest binary, n_words long, n_distinct long, mask int"
@@ -139,29 +141,38 @@ def blocks(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_cut, _BLOCKS), "audit-blocks", **{"parquet.block.size.row.check.min": "1"})
 
 
-def dictionary(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(word, code)`` with one code for each word of all blocks, as a written table; and each block's ``(of_block, place, code)``."""
-    found = cut.select(F.col("block").alias("of_block"), F.posexplode("words").alias("place", "word"))
-    codes = written(found.select("word").distinct().withColumn("code", F.monotonically_increasing_id()), "audit-dictionary")
-    return codes, found.join(codes, "word").select("of_block", "place", "code")
+def coded(cut: DataFrame) -> DataFrame:
+    """``(of_block, place, word, code)`` of all blocks' words: one code for each word of the table.
+
+    A word's code is its rank among the words of its hash bucket, times the number
+    of buckets, plus the bucket; so one shuffle gives every block its codes.
+    """
+    n = BUCKETS * fanout(cut.sparkSession)
+    found = cut.select(F.col("block").alias("of_block"), F.posexplode("words").alias("place", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(n)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
+    return found.withColumn("code", rank * F.lit(n).cast("long") + F.col("bucket")).drop("bucket")
+
+
+def dictionary(codes: DataFrame) -> DataFrame:
+    """``(word, code)`` of the coded words."""
+    return codes.select("word", "code").distinct()
 
 
 def _met(cut: DataFrame, codes: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
-    return cut.select("block", *columns).groupBy("block").cogroup(codes.groupBy("of_block")).applyInArrow(make, schema)
+    return cut.select("block", *columns).groupBy("block").cogroup(codes.select("of_block", "place", "code").groupBy("of_block")).applyInArrow(make, schema)
 
 
 def matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CSR shards (block, doc_ids, indptr, columns, counts) of ``docs``, and the dictionary of their columns."""
     cut = blocks(docs)
-    words, codes = dictionary(cut)
-    return _met(cut, codes, ["doc_ids", "indptr", "columns", "counts"], _as_shards, _SHARDS), words
+    codes = coded(cut)
+    return _met(cut, codes, ["doc_ids", "indptr", "columns", "counts"], _as_shards, _SHARDS), dictionary(codes)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, part, n_words, n_distinct and mask of each row: bit k of the mask says that it fails filter k of ABCDE."""
     cut = blocks(docs)
-    _, codes = dictionary(cut)
-    rows = _met(cut, codes, ["doc_ids", "parts", "digests", "others", "indptr", "columns", "counts"], _as_rows, _ROWS)
+    rows = _met(cut, coded(cut), ["doc_ids", "parts", "digests", "others", "indptr", "columns", "counts"], _as_rows, _ROWS)
     rows = written(rows, "audit-rows")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
     copy = F.when(F.col("doc_id") > F.col("first"), 16).otherwise(0)

@@ -21,8 +21,8 @@ Defined cases: rows with a null vector, or a null or non-finite entry, are left
 out; so are vectors of another length than most have (of equally many, the
 longer), and empty ones; entries beyond +-2**40 after scaling saturate there;
 null and repeated vec_ids are kept as they are; there are as many components as
-dimensions, 8 at most, and none for eigenvalues that are zero to rounding (one
-vector, or equal ones: an empty result); a deviation beyond a long is null;
+dimensions, 8 at most, and none for eigenvalues of under ZERO of the covariance's
+norm, which rounding blurs (one vector, or equal ones: an empty result); a deviation beyond a long is null;
 no usable vectors give an empty result; further columns are left out.
 """
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCALE, SHIFT = 1024, 100_000
-COMPONENTS = 8
+COMPONENTS, ZERO = 8, 1e-9
 MOST = 1 << 40
 _LIMB = 20
 #: Vectors that are multiplied at once: products of 2 * (_LIMB + 1) bits then add up exactly in a double.
@@ -143,7 +143,7 @@ def _ldl_counts(v: np.ndarray, shift: float) -> tuple[int, int]:
 
 def _refined(v: np.ndarray, low: float, high: float, found: list[np.ndarray], start: np.ndarray) -> tuple[float, np.ndarray]:
     """Rayleigh quotient iteration from ``start``, held in the interval and orthogonal to the vectors found before."""
-    unit = np.eye(len(v))
+    unit, scale = np.eye(len(v)), np.abs(v).max()
 
     def cleaned(x: np.ndarray) -> np.ndarray:
         for _ in range(2):
@@ -152,10 +152,12 @@ def _refined(v: np.ndarray, low: float, high: float, found: list[np.ndarray], st
         return x / np.linalg.norm(x)
 
     def solved(shift: float, x: np.ndarray) -> np.ndarray:
-        try:
-            return np.linalg.solve(v - shift * unit, x)
-        except np.linalg.LinAlgError:
-            return np.linalg.solve(v - (shift + np.finfo(float).eps * 8 * abs(high)) * unit, x)
+        for nudge in (0, 1, 4, 16, 64):  # an exact eigenvalue leaves nothing to divide by
+            try:
+                return np.linalg.solve(v - (shift + nudge * np.finfo(float).eps * scale) * unit, x)
+            except np.linalg.LinAlgError:
+                continue
+        return x
 
     x = cleaned(start)
     for _ in range(4):  # inverse iteration: towards the only eigenvalue of the interval
@@ -172,7 +174,7 @@ def _refined(v: np.ndarray, low: float, high: float, found: list[np.ndarray], st
 
 
 def leading(v: np.ndarray, most: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` largest eigenvalues of the symmetric ``v`` that aren't zero to rounding, and their unit vectors as rows."""
+    """Up to ``most`` largest eigenvalues of the symmetric ``v`` that exceed ZERO of its norm, and their unit vectors as rows."""
     d = len(v)
     scale = float(np.abs(v).sum(axis=1).max()) if d else 0.0
     rounding = 8 * d * np.finfo(float).eps * scale
@@ -180,7 +182,7 @@ def leading(v: np.ndarray, most: int = COMPONENTS) -> tuple[np.ndarray, np.ndarr
     values, vectors = [], []
     rng = np.random.default_rng(13)
     for k in range(1, min(most, d) + 1):
-        low, high = rounding, scale * (1 + 1e-9)  # all eigenvalues lie below the largest row sum
+        low, high = ZERO * scale, scale * (1 + 1e-9)  # all eigenvalues lie below the largest row sum
         if above(low) < k:
             break
         while high - low > rounding:  # more than k - 1 exceed low, at most k - 1 exceed high
