@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalize as norm
+
 # Labels with their key, and relationship types.
 LABELS = {"Email": "email_id", "Domain": "name", "IP": "address", "URL": "url_hash", "Hash": "value", "Campaign": "campaign_id", "ASN": "number"}
 RELATIONSHIPS = ("SENT_FROM", "CONTAINS_DOMAIN", "CONTAINS_URL", "CONTAINS_HASH", "HOSTED_ON_DOMAIN", "RESOLVES_TO", "BELONGS_TO_ASN", "MEMBER_OF", "USES_DOMAIN", "USES_IP", "USES_URL", "USES_HASH", "SAME_INFRASTRUCTURE")
@@ -72,6 +76,42 @@ def node_writes(emails: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(named).unionByName(bare)
 
 
+def payload_graph(payloads: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
+    """J1/J2 of ingest payloads in the standard form (D13): node writes (label, key, risk_score, name, order) and edges.
+
+    Values are normalised (D1-D5); what can't be is left out.  A name resolved to
+    an address, and the network of an address, say nothing about risk.
+    """
+    risk, e = norm.score(F.col("detection.risk_score")), F.col("email")
+    some = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    kinds = {f.name: f.dataType.simpleString() for f in payloads.schema["iocs"].dataType.fields}
+    items = {k: some(f"iocs.{k}", kinds[k]) for k in ("domains", "ips", "urls", "hashes")}
+    sender = F.coalesce(F.nullif(norm.domain(e["sender_domain"]), F.lit("")), norm.address_domain(e["sender"]))
+    rows = payloads.select(
+        order.alias("order"), risk.alias("risk_score"), e["email_id"].alias("email_id"), e["subject"].alias("subject"), sender.alias("sender_domain"),
+        F.transform(items["domains"], lambda d: norm.domain(d["value"])).alias("domains"),
+        F.transform(items["ips"], lambda i: F.struct(norm.ip(i["value"]).alias("ip"), i["asn"].alias("asn"))).alias("ips"),
+        F.transform(items["urls"], lambda u: norm.url_record(u["value"])).alias("urls"), F.transform(items["hashes"], lambda h: norm.hash_value(h["value"])).alias("hashes"),
+        F.transform(F.map_entries(F.coalesce(F.col("iocs.ip_domain_mapping"), F.create_map().cast("map<string,string>"))), lambda m: F.struct(norm.ip(m["key"]).alias("ip"), norm.domain(m["value"]).alias("domain"))).alias("resolved"),
+    )
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    node = lambda label, key, risk=F.col("risk_score"), name=text: F.struct(F.lit(check_label(label)).alias("label"), key.alias("key"), risk.alias("risk_score"), name.alias("name"))
+    each = lambda c, *nodes: F.flatten(F.transform(c, lambda x: F.array(*(n(x) for n in nodes))))
+    found = F.concat(
+        F.array(node("Email", F.col("email_id"), name=F.col("subject")), node("Domain", F.col("sender_domain"))), each("domains", lambda d: node("Domain", d)), each("urls", lambda u: node("URL", u["url_hash"], name=u["value"]), lambda u: node("Domain", u["domain"])),
+        each("ips", lambda i: node("IP", i["ip"]), lambda i: node("ASN", i["asn"], none)), each("resolved", lambda r: node("Domain", r["domain"], none), lambda r: node("IP", r["ip"], none)), each("hashes", lambda h: node("Hash", h)),
+    )
+    nodes = rows.select("order", F.explode(found).alias("n")).select("n.*", "order").filter("coalesce(key, '') <> ''")
+    own = lambda c, name: rows.select("email_id", F.explode(c).alias(name))
+    url, ip, resolved = (rows.select("email_id", F.explode(c).alias("x")).select("email_id", "x.*") for c in ("urls", "ips", "resolved"))
+    parts = [
+        _edges(rows, "Email", F.col("email_id"), "SENT_FROM", "Domain", F.col("sender_domain")), _edges(own("domains", "d"), "Email", F.col("email_id"), "CONTAINS_DOMAIN", "Domain", F.col("d")),
+        _edges(url, "Email", F.col("email_id"), "CONTAINS_URL", "URL", F.col("url_hash")), _edges(url, "URL", F.col("url_hash"), "HOSTED_ON_DOMAIN", "Domain", F.col("domain")),
+        _edges(ip, "IP", F.col("ip"), "BELONGS_TO_ASN", "ASN", F.col("asn")), _edges(resolved, "Domain", F.col("domain"), "RESOLVES_TO", "IP", F.col("ip")), _edges(own("hashes", "h"), "Email", F.col("email_id"), "CONTAINS_HASH", "Hash", F.col("h")),
+    ]
+    return nodes, reduce(DataFrame.unionByName, parts).distinct()
+
+
 def upsert_edges(stored: DataFrame | None, batch: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges whose two ends exist."""
     all_ = batch if stored is None else stored.unionByName(batch)

@@ -102,14 +102,14 @@ def payloads(spark: SparkSession, path: str, *, whole_files: bool = False) -> Da
     return spark.read.schema(PAYLOAD).option("multiLine", whole_files).json(path)
 
 
-def repaired(rows: DataFrame) -> DataFrame:
-    """Payloads in the standard form from nested or flat ones, with any of the columns of either.
+def repaired(rows: DataFrame, *keep: str) -> DataFrame:
+    """Payloads in the standard form from nested or flat ones, with any of the columns of either, and the columns ``keep`` as they are.
 
     Ids that are missing come from each other, at last from a hash of the row; a
     missing detection comes from ``risk_score``; the SPF verdict of a flat payload
     may stand in its headers.
     """
-    types = {f.name.lower(): f.dataType for f in rows.schema.fields}
+    types = {f.name.lower(): f.dataType for f in rows.schema.fields if f.name not in keep}
 
     def field(name: str, inner: str | None = None) -> Column:
         kind = types.get(name)
@@ -120,7 +120,7 @@ def repaired(rows: DataFrame) -> DataFrame:
     def some(*options: Column) -> Column:
         return F.coalesce(*(F.nullif(o.cast("string"), F.lit("")) for o in options))
 
-    own = F.md5(F.to_json(F.struct(*rows.columns)))
+    own = F.md5(F.to_json(F.struct(*(c for c in rows.columns if c not in keep))))
     message = some(field("email", "message_id"), field("message_id"), F.concat(F.lit("msg-"), F.left(own, F.lit(10))))
     analysis = some(field("analysis_id"), field("email", "email_id"), message)
     nested = F.col("email").isNotNull() if "email" in types else F.lit(False)
@@ -137,7 +137,7 @@ def repaired(rows: DataFrame) -> DataFrame:
     has = field("detection", "classification").isNotNull()
     detection = F.when(has, given).otherwise(norm.detection(F.coalesce(field("risk_score").cast("double"), field("detection", "risk_score").cast("double"))))
     rest = [F.col(c) for c in ("iocs", "threat_intel") if c in types]
-    return rows.select(F.coalesce(some(field("schema_version")), F.lit("1.0")).alias("schema_version"), analysis.alias("analysis_id"), email.alias("email"), auth.alias("authentication"), *rest, detection.alias("detection"))
+    return rows.select(F.coalesce(some(field("schema_version")), F.lit("1.0")).alias("schema_version"), analysis.alias("analysis_id"), email.alias("email"), auth.alias("authentication"), *rest, detection.alias("detection"), *keep)
 
 
 def save_cases(cases: DataFrame, path: str) -> None:

@@ -13,19 +13,6 @@ def payload(k, risk, url="http://A.example/x"):
     return {"email": {"email_id": f"e{k}", "subject": f"s{k}", "sender": f"Desk <desk@D{k}.example>", "sender_domain": ""}, "iocs": {"domains": [{"value": "HTTPS://A.example/p", "source": "b"}], "ips": [{"value": "198.51.100.7"}, {"value": "bad"}], "urls": [{"value": url}], "hashes": [{"value": "ABCD"}]}, "detection": {"risk_score": risk}}
 
 
-def test_stream_is_idempotent(spark, tmp_path):
-    inbox, store, state = (str(tmp_path / x) for x in ("inbox", "store", "state"))
-    (tmp_path / "inbox").mkdir()
-    seen = []
-    for n, docs in enumerate(([payload(1, 0.9), payload(2, 1.5)], [payload(1, 0.9)], [payload(1, 0.2)])):
-        (tmp_path / "inbox" / f"{n}.json").write_text("\n".join(map(json.dumps, docs)))
-        ingest.start_ingest(ingest.payload_stream(spark, inbox), store, state).awaitTermination()
-        seen.append({(r.label, r.key): r.risk_score for r in ingest.nodes(spark, store).collect()})
-    assert set(seen[0]) == set(seen[1]) == set(seen[2])
-    assert ("Domain", "d1.example") in seen[0] and ("Domain", "a.example") in seen[0] and ("IP", "198.51.100.7") in seen[0] and ("Hash", "abcd") in seen[0]
-    assert [s["Email", "e1"] for s in seen] == [0.9, 0.9, 0.2] and seen[0]["Email", "e2"] == 1.0
-
-
 def test_hour_windows(spark, data):
     got = ingest.burst_windows(spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id")
     assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
