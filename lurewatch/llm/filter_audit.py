@@ -47,7 +47,7 @@ BLOCK = 16 << 20
 #: Hash buckets of the dictionary for each shuffle partition.
 BUCKETS = 16
 
-_BLOCKS = "block long, doc_ids array<long>, parts array<string>, digests array<binary>, others array<tinyint>, indptr array<int>, columns array<int>, counts array<int>, words array<string>"
+_BLOCKS = "block long, doc_ids array<long>, parts array<string>, digests array<binary>, others array<tinyint>, indptr binary, columns binary, counts binary, words array<string>"
 _ROWS = "doc_id long, part string, digest binary, n_words long, n_distinct long, mask int"
 _SHARDS = "block long, doc_ids array<long>, indptr array<int>, columns array<long>, counts array<int>"
 
@@ -72,6 +72,16 @@ def _csr(codes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray,
     return indptr, cells % max(width, 1), np.diff(starts, append=len(cell))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit values as compressed planes of bytes."""
+    return pa.compress(np.ascontiguousarray(values.astype(np.int32)[:, None].view(np.uint8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32)[:, 0]
+
+
 def _per_text(marked: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Marked bytes of each text."""
     places = np.flatnonzero(marked)
@@ -103,7 +113,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = [pa.array([block], pa.int64())]
         one += [pa.array([x.to_pylist()], pa.list_(kind)) for x, kind in ((batch.column("doc_id"), pa.int64()), (batch.column("part"), pa.string()))]
         one += [pa.array([digests], pa.list_(pa.binary()))]
-        one += [lists(x, np.array([len(x)]), kind) for x, kind in ((bits, pa.int8()), (indptr, pa.int32()), (columns, pa.int32()), (counts, pa.int32()))]
+        one += [lists(bits, np.array([len(bits)]), pa.int8())]
+        one += [pa.array([_packed(x)]) for x in (np.diff(indptr), np.diff(columns, prepend=0), counts)]
         one += [pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))]
         yield pa.RecordBatch.from_arrays(one, names)
         block += 1
@@ -111,10 +122,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shard(block: pa.Table, codes: pa.Table) -> dict[str, np.ndarray]:
     """The block's rows with global columns."""
-    column = {c: np.asarray(block.column(c).combine_chunks().flatten()) for c in ("indptr", "columns", "counts")}
+    packed = {c: block.column(c)[0].as_py() for c in ("indptr", "columns", "counts")}
+    indptr = np.concatenate([[0], np.cumsum(_unpacked(packed["indptr"], len(block.column("doc_ids")[0])))])
     code = np.zeros(codes.num_rows, np.int64)
     code[np.asarray(codes.column("place"))] = np.asarray(codes.column("code"))
-    return column | {"columns": code[column["columns"]] if len(code) else np.zeros(0, np.int64)}
+    return {"indptr": indptr, "columns": code[np.cumsum(_unpacked(packed["columns"], indptr[-1]))], "counts": _unpacked(packed["counts"], indptr[-1])}
 
 
 def _as_shards(block: pa.Table, codes: pa.Table) -> pa.Table:
