@@ -15,21 +15,23 @@ Rare shingles come first: the order is that of a table of CELLS counts of hashed
 shingles, then the hash.  The table's size doesn't grow; it only moves work.
 
 Steps: (1) the count table; (2) one row per distinct set with its first shingles;
-(3) hot columns, which many sets share, are thinned: their sets are compared with
-the least one, and linked ones form groups; (4) the product of the incidence with
-itself, without pairs within such a group, in chunks of a column; overlap counts
-add up by pair and meet the bounds; (5) what is left is confirmed on full sets;
-(6) components of all links; (7) within each component the blocked product of
-full sets, a block of sets by a block of sets and a block of columns at a time,
-counts each set's links.
+(3) hot columns, which many sets share, are thinned: in a few rounds their sets are
+compared with one of them, and those that the second bound lets pass join its team;
+(4) the product of the incidence with itself, without pairs within a team, in chunks
+of a column; overlap counts add up by pair and meet the bound; (5) components of all
+pairs that are left, and of teams, are the blocks of the matrix that can hold links;
+(6) within each the blocked product of full sets, a block of sets by a block of sets
+and a block of columns at a time, gives the links, of which each set's number and a
+spanning forest come out; (7) components of the links.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing,
 as do rows with a null doc_id (component null); rows that repeat a doc_id are one
 node; equal sets under other ids are one class, whose links count once a row; an
 empty table gives an empty result; further columns are left out.
 
-The number of links within a component takes time with its square, in tasks of
-bounded size; columns of over HOT sets that are similar but not linked do, too.
+Step 6 takes time with the square of a component of similar sets, in tasks of
+bounded size; step 4 with that of a column of sets that are similar but in no
+common team.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, components, pair_chunks, written
@@ -47,6 +49,8 @@ from .textarrays import Texts, U, lists, mix, pieces, signed, windows
 WORDS, PERCENT = 3, 90
 #: Counts that order the shingles; sets from which on a column is thinned; sets of a column that one task compares with each other, on average.
 CELLS, HOT, CHUNK = 1 << 16, 32, 512
+#: Times that hot columns are thinned.
+ROUNDS = 3
 #: Sets and shingles of a block of the product within a component, on average; columns of a block.
 BLOCK_SETS, BLOCK_SHINGLES, BLOCK_COLUMNS = 1024, 1 << 20, 2048
 #: Ids of documents that are broadcast, at most; bits of the filter by which texts of candidates are read again.
@@ -130,10 +134,12 @@ def _bloom(ids: DataFrame, key: str) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts; other columns stay."""
     for batch in pieces(batches):
         sets = list(_shingles(Texts(batch.column("text"))))
         flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(flat, np.array([len(s) for s in sets]), pa.int64())], ["rep", "shingles"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), lists(flat, np.array([len(s) for s in sets]), pa.int64())], [*rest, "shingles"])
 
 
 def _sets_of(bloom: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -143,73 +149,72 @@ def _sets_of(bloom: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         bits = np.unpackbits(packed).astype(bool)
         for batch in batches:
             wanted = np.logical_and.reduce([bits[np.asarray(batch.column(f"h{k}"))] for k in range(3)]) if batch.num_rows else np.zeros(0, bool)
-            yield from _sets(iter([batch.filter(pa.array(wanted))]))
+            yield from _sets(iter([batch.filter(pa.array(wanted)).select(["rep", "text"])]))
 
     return run
 
 
-def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The distinct ``(rep, shingles)`` of the documents in ``reps(rep)``, a written table.
+def full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen(rep, component, block, n_blocks, n_docs)`` with the shingles of the documents of these ids.
 
     Up to FEW ids are broadcast and pick the texts in the scan; of more, a bitmap of
     fixed size picks them before the join.  Texts are never shuffled.
     """
-    texts, schema = docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), "rep long, shingles array<long>"
-    ids = written(reps.select("rep").distinct(), "ngram-ids")
-    if ids.count() <= FEW:
-        some = texts.join(F.broadcast(ids), texts["doc_id"] == ids["rep"], "left_semi").mapInArrow(_sets, schema)
-    else:
-        h = [F.pmod(F.xxhash64(F.lit(k), F.col("doc_id")), F.lit(_BLOOM)).alias(f"h{k}") for k in range(3)]
-        some = texts.select("*", *h).mapInArrow(_sets_of(_bloom(ids, "rep")), schema).join(ids, "rep", "left_semi")
-    return written(some.withColumn("mark", F.xxhash64("shingles")).dropDuplicates(["rep", "mark"]).drop("mark"), "ngram-sets")
+    chosen = written(chosen, "ngram-chosen")
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text")
+    if chosen.count() <= FEW:
+        return texts.join(F.broadcast(chosen), "rep").mapInArrow(_sets, "rep long, component long, block int, n_blocks int, n_docs long, shingles array<long>")
+    h = [F.pmod(F.xxhash64(F.lit(k), F.col("rep")), F.lit(_BLOOM)).alias(f"h{k}") for k in range(3)]
+    return texts.select("*", *h).mapInArrow(_sets_of(_bloom(chosen, "rep")), "rep long, shingles array<long>").join(chosen, "rep")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose full sets are linked; a hot side a is salted."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("size"))
-    right = sets.withColumnsRenamed({"rep": "a", "shingles": "set_a"}).join(counts, "a")
-    left = pairs.join(sets.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
-    both = attach(left, right, "a", "size", F.col("b")).withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
-    union = F.size("set_a") + F.size("set_b") - F.col("shared")
-    return both.filter((F.col("shared") > 0) & (100 * F.col("shared") >= PERCENT * union)).select("a", "b").distinct()
-
-
-def _reps(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-
-
-def _fits(n_x: str, n_y: str):
+def _fits(n_x: str, n_y: str) -> Column:
     """Sizes that allow a link at all."""
     return (100 * F.least(n_x, n_y)) >= (PERCENT * F.greatest(n_x, n_y))
 
 
+def _open(shared: Column, n_x: str, n_y: str) -> Column:
+    """Whether sets of these sizes that share so many of their first shingles may be linked."""
+    rest = lambda n: F.expr(f"({n} * {PERCENT} + 99) div 100 - 1")  # noqa: E731  shingles that are none of the first
+    return (100 + PERCENT) * (shared + F.greatest(rest(n_x), rest(n_y))) >= PERCENT * (F.col(n_x) + F.col(n_y))
+
+
 def product(entries: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of ``entries(key, rep, n, team)`` whose overlap counts leave a link possible; none within a team."""
     left, right, meet = pair_chunks(entries, "key", "rep", CHUNK)
     met = left.join(right, meet & (F.col("team_x") != F.col("team_y")) & _fits("n_x", "n_y"))
-    rest = lambda n: F.expr(f"({n} * {PERCENT} + 99) div 100 - 1")  # noqa: E731  shingles that are none of the first
-    pairs = met.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(
-        F.count("*").alias("shared"), F.max(F.greatest(rest("n_x"), rest("n_y"))).alias("rest"), F.min(F.col("n_x") + F.col("n_y")).alias("both")
-    )
-    return pairs.filter((100 + PERCENT) * (F.col("shared") + F.col("rest")) >= PERCENT * F.col("both")).select("a", "b")
-
-
-def links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b)`` between the distinct ``sets``, all but some within groups that other links join; and ``(rep, shingles)`` of all linked ones."""
+    pairs = met.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("n_x", "n_y")).alias("n_a"), F.max(F.greatest("n_x", "n_y")).alias("n_b"))
+    return pairs.filter(_open(F.col("shared"), "n_a", "n_b")).select("a", "b")
+
+
+def _teams(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(rep, team)``: sets of hot columns that may be linked with a set of the team."""
+    hot = written(entries.filter(F.col("n_sets") > HOT).select("key", "rep", "n"), "ngram-hot")
+    firsts = lambda side: sets.select(F.col("rep").alias(side), F.col("firsts").alias(f"firsts_{side}"))
+    edges = hot.sparkSession.createDataFrame([], "a long, b long")
+    for k in range(ROUNDS):
+        teams = components(edges).withColumnsRenamed({"node": "rep", "component": "team"})
+        now = hot.join(teams, "rep", "left").withColumn("team", F.coalesce("team", "rep"))
+        leaders = now.groupBy("key").agg(F.min_by(F.struct("rep", "n", "team"), F.xxhash64(F.lit(k), F.col("team"), F.col("rep"))).alias("l"), F.count("*").alias("size"))
+        star = attach(now, leaders, "key", "size", F.col("rep")).select("rep", "n", "team", "l").filter("team <> l.team").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
+        star = star.filter(_fits("n_a", "n_b")).distinct()
+        sizes = star.groupBy("a").agg(F.count("*").alias("size"))
+        both = attach(star.join(firsts("b"), "b"), firsts("a").join(sizes, "a"), "a", "size", F.col("b"))
+        near = both.filter(_open(F.size(F.array_intersect("firsts_a", "firsts_b")), "n_a", "n_b")).select("a", "b")
+        edges = written(edges.unionByName(near).distinct(), "ngram-star")
+    return components(edges).withColumnsRenamed({"node": "rep", "component": "team"})
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets, whose components hold every link."""
     keyed = sets.select("rep", "n", F.explode("firsts").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n_sets"), F.min(F.struct("n", "rep")).alias("least")).filter("n_sets > 1")
-    entries = written(keyed.join(shared, "key").select("key", "rep", "n", "n_sets", F.col("least.rep").alias("leader"), F.col("least.n").alias("leader_n")), "ngram-entries")
-    star = entries.filter((F.col("n_sets") > HOT) & (F.col("rep") != F.col("leader")) & _fits("n", "leader_n"))
-    star = written(star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "ngram-star")
-    full = full_sets(docs, _reps(star))
-    found = written(_confirmed(star, full), "ngram-star-links")
-    teams = components(found).withColumnsRenamed({"node": "rep", "component": "team"})
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n_sets")).filter("n_sets > 1")
+    entries = written(keyed.join(shared, "key"), "ngram-entries")
+    teams = written(_teams(entries, sets), "ngram-teams")
     teamed = entries.join(teams, "rep", "left").select("key", "rep", "n", F.coalesce("team", "rep").alias("team"))
     mixed = teamed.groupBy("key").agg(F.min("team").alias("low"), F.max("team").alias("high")).filter("low < high").select("key")
-    pairs = product(written(teamed.join(mixed, "key"), "ngram-teamed")).join(star, ["a", "b"], "left_anti")
-    pairs = written(pairs, "ngram-pairs")
-    full = full.unionByName(full_sets(docs, _reps(pairs).join(full.select("rep"), "rep", "left_anti")))
-    return found.unionByName(_confirmed(pairs, full)), full
+    pairs = product(written(teamed.join(mixed, "key"), "ngram-teamed"))
+    return pairs.unionByName(teams.filter("rep <> team").select(F.col("rep").alias("a"), F.col("team").alias("b")))
 
 
 def _overlaps(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
@@ -239,47 +244,63 @@ def _overlaps(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
 
 
 def _linked(group: pa.Table) -> pa.Table:
-    """Links that each set of a block has in another one, and the other way round; a block that meets itself has one side."""
+    """Of each set of two blocks, rows it is linked with across them, and the least of a spanning forest's tree; a block that meets itself has one side."""
     group = group.combine_chunks()
     own = group.column("low")[0] == group.column("high")[0]
     side = np.asarray(group.column("side"))
-    x = group.filter(pa.array(side == 0))
-    y = x if own else group.filter(pa.array(side == 1))
-    sets = [pa.concat_arrays(t.column("shingles").chunks) if t.num_rows else pa.array([], pa.list_(pa.int64())) for t in (x, y)]
-    both = _overlaps(*sets)
-    n_x, n_y = (np.asarray(s.value_lengths()) for s in sets)
-    linked = 100 * both >= PERCENT * (n_x[:, None] + n_y[None, :] - both)
-    rep_x, rep_y = (np.asarray(t.column("rep")) for t in (x, y))
-    linked &= rep_x[:, None] != rep_y[None, :]
-    w_x, w_y = (np.asarray(t.column("n_docs")) for t in (x, y))
-    out_rep, out_n = rep_x, linked @ w_y
-    if not own:
-        out_rep, out_n = np.concatenate([rep_x, rep_y]), np.concatenate([out_n, linked.T @ w_x])
-    return pa.Table.from_arrays([pa.array(out_rep), pa.array(out_n.astype(np.int64))], ["rep", "n_links"])
-
-
-def link_counts(members: DataFrame) -> DataFrame:
-    """``(rep, n_links)``: rows that each set of ``members(component, rep, n_docs, shingles)`` is linked with, by the blocked product within components."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum(F.size("shingles")).alias("volume"))
+
+    def one(k: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        part = group.filter(pa.array(side == k))
+        if not part.num_rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.list_(pa.int64()))
+        sets = pa.concat_arrays(part.column("shingles").chunks)
+        rep, kept, place = np.asarray(part.column("rep")), [], {}
+        for i, r in enumerate(rep.tolist()):  # a repeated row counts once
+            mark = (r, hash(np.asarray(sets[i].values).tobytes()))
+            if place.setdefault(mark, i) == i:
+                kept.append(i)
+        return rep[kept], np.asarray(part.column("n_docs"))[kept], sets.take(pa.array(kept))
+
+    x = one(0)
+    y = x if own else one(1)
+    both = _overlaps(x[2], y[2])
+    n_x, n_y = (np.asarray(t[2].value_lengths()) for t in (x, y))
+    linked = (both > 0) & (100 * both >= PERCENT * (n_x[:, None] + n_y[None, :] - both)) & (x[0][:, None] != y[0][None, :])
+    root_x, root_y, most = x[0], y[0], np.iinfo(np.int64).max
+    while len(x[0]) and len(y[0]):  # least ids spread along links
+        new_x = np.minimum(root_x, np.where(linked, root_y[None, :], most).min(axis=1))
+        new_y = new_x if own else np.minimum(root_y, np.where(linked, new_x[:, None], most).min(axis=0))
+        if (new_x == root_x).all() and (new_y == root_y).all():
+            break
+        root_x, root_y = new_x, new_y
+    out = [(x[0], linked @ y[1], root_x)] + ([] if own else [(y[0], linked.T @ x[1], root_y)])
+    rep, n, root = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.Table.from_arrays([pa.array(rep), pa.array(n.astype(np.int64)), pa.array(root)], ["rep", "n_links", "root"])
+
+
+def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(rep, n_links, root)`` of sets in blocks that may hold links: rows linked with the set in a block, and a set that links lead to; a written table."""
+    groups = written(components(candidates(sets)).withColumnRenamed("node", "rep"), "ngram-groups")
+    known = sets.groupBy("rep").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    known = written(groups.join(known, "rep"), "ngram-known")
+    sizes = known.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("volume"))
     sizes = sizes.withColumn("n_blocks", F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("volume") / BLOCK_SHINGLES)).cast("int"))
-    dealt = attach(members, sizes, "component", "size", F.col("rep")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    dealt = attach(known, sizes.drop("volume"), "component", "size", F.col("rep")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    full = full_sets(docs, dealt.select("rep", "component", "block", "n_blocks", "n_docs"))
     # block i meets block j >= i: as the first side in (i, j), as the second in (j, i)
-    meets = F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other")
-    each = dealt.select("component", "rep", "n_docs", "shingles", "block", meets)
+    each = full.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     each = each.select("component", low, high, F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "n_docs", "shingles")
-    counted = each.groupBy("component", "low", "high").applyInArrow(_linked, "rep long, n_links long")
-    return counted.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    return written(each.groupBy("component", "low", "high").applyInArrow(_linked, "rep long, n_links long, root long"), "ngram-links")
 
 
 def classified(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows linked with it) for each row of ``docs(doc_id, text)``."""
     rows, sets = classes(docs)
-    found, full = links(docs, sets)
-    groups = written(components(found).withColumnRenamed("node", "rep"), "ngram-components")
-    members = full.join(groups, "rep").join(sets.groupBy("rep").agg(F.sum("n_docs").alias("n_docs")), "rep")
-    counts = groups.join(link_counts(members), "rep", "left")
-    named = sets.join(counts, "rep", "left").select("print", "n_docs", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    found = links(docs, sets)
+    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    named = sets.join(groups, "rep", "left").join(counts, "rep", "left").select("print", "n_docs", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
     linked = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
     out = attach(rows.filter(linked), named.withColumn("size", F.col("n_docs")), "print", "size", F.col("doc_id")).select("doc_id", "n_shingles", "component_id", "n_links")
     rest = rows.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
