@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import attach, written
 
 
 def _rel(edges: DataFrame, rels: tuple[str, ...], src: str, dst: str) -> DataFrame:
@@ -82,23 +82,61 @@ def email_paths(edges: DataFrame) -> DataFrame:
     return _with(base.join(sender, "email", "left"), "email", *parts)
 
 
-def neighbourhood(edges: DataFrame, centres: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Nodes (centre, label, key, distance) within ``depth`` (1 to 4) of each row of ``centres(label, key)``, and the edges between them.
+def adjacency(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Each node's ``limit`` first neighbours (node, to, rank_degree), those with the fewest neighbours first; and (node, degree).
 
-    A breadth-first search by at most four joins of the frontier with the
-    undirected edges, for all centres at once.
+    Nodes are structs of label and key.  A node with very many neighbours ranks them
+    in parts first, so no task sorts a hub's whole list.
     """
-    depth = max(1, min(depth, 4))
-    there = edges.select(F.col("src_label").alias("label"), F.col("src_key").alias("key"), F.col("dst_label").alias("to_label"), F.col("dst_key").alias("to_key"))
-    back = edges.select(F.col("dst_label").alias("label"), F.col("dst_key").alias("key"), F.col("src_label").alias("to_label"), F.col("src_key").alias("to_key"))
-    both = there.unionByName(back).distinct()
-    seen = centres.select(F.concat_ws(":", "label", "key").alias("centre"), "label", "key", F.lit(0).alias("distance"))
-    frontier = seen
+    there = edges.select(F.struct(F.col("src_label").alias("label"), F.col("src_key").alias("key")).alias("node"), F.struct(F.col("dst_label").alias("label"), F.col("dst_key").alias("key")).alias("to"))
+    both = there.unionByName(there.select(F.col("to").alias("node"), F.col("node").alias("to"))).filter("node <> to").distinct()
+    both = written(both, "both-ways")
+    degrees = written(both.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    ranked = attach(both, degrees.select(F.col("node").alias("to"), F.col("degree"), F.col("degree").alias("size")), "to", "size", F.col("node"))
+    part = F.pmod(F.xxhash64("to"), F.lit(64))
+    for by in ([F.col("node"), part], [F.col("node")]):
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("degree", "to"))).filter(F.col("place") <= limit)
+    return ranked.select("node", "to", "degree"), degrees
+
+
+#: Bounds of a neighbourhood: depth and nodes, the usual and the most.
+DEPTH, MOST_DEPTH, NODES, MOST_NODES = 2, 4, 50, 100
+
+
+def neighbourhood(edges: DataFrame, centres: DataFrame, depth: int = DEPTH, limit: int = NODES) -> tuple[DataFrame, DataFrame]:
+    """At most ``limit`` nodes (centre, label, key, distance), itself included, within ``depth`` of each row of ``centres(label, key)``, and the edges between them.
+
+    A breadth-first search of all centres at once.  Of a level that doesn't fit, the
+    nodes with the fewest neighbours stay, hubs go first; ties by label and key.
+    A node's first ``limit`` neighbours in that order hold all that any centre can
+    still take from it, so a step joins at most ``limit`` rows a node, and a hub's
+    list is never copied for each centre that reaches it.  An edge is found through
+    that of its ends which has fewer neighbours.  Edges between two nodes of the last
+    level are left out.
+    """
+    depth, limit = max(1, min(depth, MOST_DEPTH)), max(1, min(limit, MOST_NODES))
+    near, degrees = adjacency(edges, limit)
+    near = written(near, "near")
+    lists = near.groupBy("node").agg(F.collect_list(F.struct("degree", "to")).alias("list"))  # at most ``limit`` entries each
+    start = centres.select(F.struct("label", "key").alias("node")).distinct()
+    seen = written(start.select(F.concat_ws(":", "node.label", "node.key").alias("centre"), "node", F.lit(0).alias("distance")), "seen")
     for step in range(1, depth + 1):
-        next_ = frontier.join(both, ["label", "key"]).select("centre", F.col("to_label").alias("label"), F.col("to_key").alias("key"), F.lit(step).alias("distance")).distinct()
-        frontier = written(next_.join(seen.select("centre", "label", "key"), ["centre", "label", "key"], "left_anti"), "frontier")
-        seen = written(seen.unionByName(frontier), "seen")
-    a = seen.select("centre", F.col("label").alias("src_label"), F.col("key").alias("src_key"), F.col("distance").alias("d"))
-    b = seen.select("centre", F.col("label").alias("dst_label"), F.col("key").alias("dst_key"), F.col("distance").alias("e"))
-    inside = edges.join(a, ["src_label", "src_key"]).join(b, ["centre", "dst_label", "dst_key"]).filter(F.least("d", "e") <= depth - 1)
-    return seen, inside.select("centre", "src_label", "src_key", "rel", "dst_label", "dst_key")
+        last = seen.filter(F.col("distance") == step - 1)
+        reached = last.groupBy("node").agg(F.count("*").alias("size"))
+        reached = attach(last.select("centre", "node"), reached.join(lists, "node"), "node", "size", F.col("centre"))
+        found = reached.select("centre", F.explode("list").alias("x")).select("centre", F.col("x.to").alias("node"), F.col("x.degree").alias("degree")).distinct()
+        found = found.join(seen.select("centre", "node"), ["centre", "node"], "left_anti")
+        room = seen.groupBy("centre").agg((F.lit(limit) - F.count("*")).alias("room"))
+        order = Window.partitionBy("centre").orderBy("degree", "node")
+        found = found.withColumn("place", F.row_number().over(order)).join(room, "centre").filter("place <= room")
+        seen = written(seen.unionByName(found.select("centre", "node", F.lit(step).alias("distance"))), "seen")
+    ends = edges.select("*", F.struct(F.col("src_label").alias("label"), F.col("src_key").alias("key")).alias("src"), F.struct(F.col("dst_label").alias("label"), F.col("dst_key").alias("key")).alias("dst"))
+    of = lambda side: degrees.select(F.col("node").alias(side), F.col("degree").alias(f"{side}_degree"), F.col("degree").alias("size"))
+    both = attach(attach(ends, of("src"), "src", "size", F.col("dst")), of("dst"), "dst", "size", F.col("src"))
+    low = F.struct(F.col("src_degree"), F.col("src")) <= F.struct(F.col("dst_degree").alias("src_degree"), F.col("dst").alias("src"))
+    held = both.select("src_label", "src_key", "rel", "dst_label", "dst_key", F.when(low, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("other"))
+    held = held.groupBy("node").agg(F.collect_list(F.struct("other", "src_label", "src_key", "rel", "dst_label", "dst_key")).alias("held"))
+    times = seen.groupBy("node").agg(F.count("*").alias("size"))
+    mine = attach(seen, times.join(held, "node"), "node", "size", F.col("centre")).select("centre", F.col("distance").alias("d"), F.explode("held").alias("e")).select("centre", "d", "e.*")
+    inside = mine.join(seen.select("centre", F.col("node").alias("other"), F.col("distance").alias("e")), ["centre", "other"]).filter(F.least("d", "e") <= depth - 1)
+    return seen.select("centre", "node.label", "node.key", "distance"), inside.select("centre", "src_label", "src_key", "rel", "dst_label", "dst_key")

@@ -85,13 +85,6 @@ def j2_j4_edges(spark, sf_dir):
     return g.upsert_edges(None, edges, _nodes(mails, edges))
 
 
-@_query(f"{_E},{_NODES} SELECT label, count(*) FILTER (NOT old) AS created, count(*) FILTER (old) AS matched FROM (SELECT n.label, n.key, bool_or(coalesce(o.created_seq < 500, false)) AS old FROM nodes n LEFT JOIN (SELECT label, key, min(seq) AS created_seq FROM writes WHERE seq BETWEEN 0 AND 499 GROUP BY ALL) o USING (label, key) GROUP BY ALL) GROUP BY label")
-def j5_ingest_counts(spark, sf_dir):
-    mails, _, _, edges = _graph(spark, sf_dir)
-    writes = written(g.node_writes(mails, edges), "writes")
-    return g.ingest_counts(writes, g.upsert_nodes(None, writes.filter("seq BETWEEN 0 AND 499")))
-
-
 @_query(f"{_E},{_NODES}, middle AS (SELECT (min(doc_id) + max(doc_id)) // 2 AS m FROM emails) SELECT label, count(*) FILTER (NOT old) AS created, count(*) FILTER (old) AS matched FROM (SELECT n.label, n.key, o.key IS NOT NULL AS old FROM nodes n LEFT JOIN (SELECT DISTINCT label, key FROM writes, middle WHERE seq BETWEEN 0 AND m) o USING (label, key)) GROUP BY label")
 def j5_ingest_counts_half(spark, sf_dir):
     """The stored graph is that of the emails up to the middle of the time span, so it grows with the table."""
@@ -167,38 +160,30 @@ def j28_email_paths(spark, sf_dir):
 
 
 _BFS = f"""{_E}, both_ways AS MATERIALIZED (SELECT src_label || ':' || src_key AS a, dst_label || ':' || dst_key AS b FROM edges UNION SELECT dst_label || ':' || dst_key, src_label || ':' || src_key FROM edges),
-c0 AS (SELECT 'Email:' || email_id AS centre FROM emails WHERE doc_id % 100 = 0), d1 AS (SELECT DISTINCT centre, b AS node FROM c0 JOIN both_ways ON a = centre),
-d2 AS (SELECT DISTINCT centre, b AS node FROM d1 JOIN both_ways ON a = node),
-seen AS (SELECT centre, node, min(d) AS distance FROM (SELECT centre, centre AS node, 0 AS d FROM c0 UNION ALL SELECT centre, node, 1 FROM d1 UNION ALL SELECT centre, node, 2 FROM d2) GROUP BY ALL)"""
-
-
-def _centres(spark, sf_dir, every=100):
+ranked AS MATERIALIZED (SELECT w.a, w.b, degree, split_part(w.b, ':', 1) AS label, substr(w.b, strpos(w.b, ':') + 1) AS key FROM both_ways w JOIN (SELECT a AS b, count(*) AS degree FROM both_ways GROUP BY 1) USING (b)),
+c0 AS (SELECT 'Email:' || email_id AS centre FROM emails WHERE doc_id % 20 = 0),
+d1 AS MATERIALIZED (SELECT centre, b AS node FROM (SELECT centre, b, row_number() OVER (PARTITION BY centre ORDER BY degree, label, key) AS k FROM c0 JOIN ranked ON a = centre) WHERE k <= {p.NODES - 1}),
+d2 AS MATERIALIZED (SELECT centre, b AS node FROM (
+    SELECT x.centre, x.b, row_number() OVER (PARTITION BY x.centre ORDER BY degree, label, key) AS k
+    FROM (SELECT DISTINCT d1.centre, b, degree, label, key FROM d1 JOIN ranked ON a = node) x LEFT JOIN d1 o ON o.centre = x.centre AND o.node = x.b WHERE o.node IS NULL AND x.b <> x.centre)
+  JOIN (SELECT centre, count(*) AS n FROM d1 GROUP BY 1) USING (centre) WHERE k <= {p.NODES} - 1 - n),
+seen AS (SELECT centre, centre AS node, 0 AS distance FROM c0 UNION ALL SELECT centre, node, 1 FROM d1 UNION ALL SELECT centre, node, 2 FROM d2)"""
+
+
+def _centres(spark, sf_dir):
+    """Around every email whose id is divisible by 20."""
     mails, _, _, edges = _graph(spark, sf_dir)
-    return p.neighbourhood(written(edges, "edges-in"), mails.filter(F.col("doc_id") % every == 0).select(F.lit("Email").alias("label"), F.col("email_id").alias("key")))
+    return p.neighbourhood(written(edges, "edges-in"), mails.filter("doc_id % 20 = 0").select(F.lit("Email").alias("label"), F.col("email_id").alias("key")))
 
 
 @_query(f"{_BFS} SELECT centre, node, distance FROM seen")
-def j29_neighbourhood(spark, sf_dir):
+def j29_neighbourhood_20(spark, sf_dir):
     return _centres(spark, sf_dir)[0].select("centre", F.concat_ws(":", "label", "key").alias("node"), "distance")
 
 
 @_query(f"{_BFS} SELECT x.centre, e.src_key, e.rel, e.dst_key FROM edges e JOIN seen x ON x.node = e.src_label || ':' || e.src_key JOIN seen y ON y.centre = x.centre AND y.node = e.dst_label || ':' || e.dst_key WHERE least(x.distance, y.distance) <= 1")
-def j29_neighbourhood_edges(spark, sf_dir):
-    return _centres(spark, sf_dir)[1].select("centre", "src_key", "rel", "dst_key")
-
-
-#: The whole set of searches: every email whose id is divisible by 20.
-_WHOLE = {name: SQL[name].replace("WHERE doc_id % 100 = 0", "WHERE doc_id % 20 = 0") for name in ("j29_neighbourhood", "j29_neighbourhood_edges")}
-
-
-@_query(_WHOLE["j29_neighbourhood"])
-def j29_neighbourhood_20(spark, sf_dir):
-    return _centres(spark, sf_dir, 20)[0].select("centre", F.concat_ws(":", "label", "key").alias("node"), "distance")
-
-
-@_query(_WHOLE["j29_neighbourhood_edges"])
 def j29_neighbourhood_edges_20(spark, sf_dir):
-    return _centres(spark, sf_dir, 20)[1].select("centre", "src_key", "rel", "dst_key")
+    return _centres(spark, sf_dir)[1].select("centre", "src_key", "rel", "dst_key")
 
 
 @_query(f"{_E},{_NODES} SELECT lower(label) || ':' || key AS id, label, CASE WHEN label = 'ASN' THEN 'AS' || key ELSE substr(coalesce(name, key), 1, 35) END AS text FROM (SELECT * FROM nodes ORDER BY label, key LIMIT 100 OFFSET 50)")
@@ -217,8 +202,7 @@ _HOPS = "SELECT user_id AS email_id, row_number() OVER (PARTITION BY user_id ORD
 
 
 def _hops(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("lurewatch_events")
-    return spark.sql(_HOPS.replace("FROM events", "FROM lurewatch_events"))
+    return spark.sql(_HOPS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
 @_query(f"SELECT email_id, hop, round(delay, 6) AS delay_s, coalesce(abs(delay) > 300, false) AS time_skew, ts IS NULL AS timestamp_missing FROM (SELECT *, (epoch_us(ts) - epoch_us(last_value(ts IGNORE NULLS) OVER (PARTITION BY email_id ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) / 1e6 AS delay FROM ({_HOPS}))")
@@ -267,8 +251,7 @@ _PER = f"conf AS (SELECT label, guess, count(*) AS n FROM ({_GUESS}) GROUP BY AL
 
 
 def _guess(spark, sf_dir):
-    table(spark, sf_dir, "labels").createOrReplaceTempView("lurewatch_labels")
-    return spark.sql(_GUESS.replace("FROM labels", "FROM lurewatch_labels"))
+    return spark.sql(_GUESS.replace("FROM labels", "FROM {labels}"), labels=table(spark, sf_dir, "labels"))
 
 
 @_query(f"WITH {_PER} SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM per")
