@@ -188,21 +188,22 @@ def product(entries: DataFrame) -> DataFrame:
 
 
 def _teams(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(rep, team)``: sets of hot columns that may be linked with a set of the team."""
+    """``(rep, team)``: sets of hot columns and another set each that they may be linked with."""
     hot = written(entries.filter(F.col("n_sets") > HOT).select("key", "rep", "n"), "ngram-hot")
+    teams = hot.sparkSession.createDataFrame([], "rep long, team long")
     firsts = lambda side: sets.select(F.col("rep").alias(side), F.col("firsts").alias(f"firsts_{side}"))
-    edges = hot.sparkSession.createDataFrame([], "a long, b long")
     for k in range(ROUNDS):
-        teams = components(edges).withColumnsRenamed({"node": "rep", "component": "team"})
-        now = hot.join(teams, "rep", "left").withColumn("team", F.coalesce("team", "rep"))
-        leaders = now.groupBy("key").agg(F.min_by(F.struct("rep", "n", "team"), F.xxhash64(F.lit(k), F.col("team"), F.col("rep"))).alias("l"), F.count("*").alias("size"))
-        star = attach(now, leaders, "key", "size", F.col("rep")).select("rep", "n", "team", "l").filter("team <> l.team").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
+        now = hot.join(teams, "rep", "left_anti")
+        leaders = now.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.xxhash64(F.lit(k), F.col("rep"))).alias("l"), F.count("*").alias("size")).filter("size > 1")
+        if leaders.isEmpty():
+            break
+        star = attach(now, leaders, "key", "size", F.col("rep")).filter("rep <> l.rep").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
         star = star.filter(_fits("n_a", "n_b")).distinct()
         sizes = star.groupBy("a").agg(F.count("*").alias("size"))
         both = attach(star.join(firsts("b"), "b"), firsts("a").join(sizes, "a"), "a", "size", F.col("b"))
-        near = both.filter(_open(F.size(F.array_intersect("firsts_a", "firsts_b")), "n_a", "n_b")).select("a", "b")
-        edges = written(edges.unionByName(near).distinct(), "ngram-star")
-    return components(edges).withColumnsRenamed({"node": "rep", "component": "team"})
+        near = both.filter(_open(F.size(F.array_intersect("firsts_a", "firsts_b")), "n_a", "n_b"))
+        teams = written(teams.unionByName(near.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("team"))), "ngram-teams")
+    return teams
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -210,11 +211,11 @@ def candidates(sets: DataFrame) -> DataFrame:
     keyed = sets.select("rep", "n", F.explode("firsts").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n_sets")).filter("n_sets > 1")
     entries = written(keyed.join(shared, "key"), "ngram-entries")
-    teams = written(_teams(entries, sets), "ngram-teams")
+    teams = _teams(entries, sets)
     teamed = entries.join(teams, "rep", "left").select("key", "rep", "n", F.coalesce("team", "rep").alias("team"))
     mixed = teamed.groupBy("key").agg(F.min("team").alias("low"), F.max("team").alias("high")).filter("low < high").select("key")
     pairs = product(written(teamed.join(mixed, "key"), "ngram-teamed"))
-    return pairs.unionByName(teams.filter("rep <> team").select(F.col("rep").alias("a"), F.col("team").alias("b")))
+    return pairs.unionByName(teams.select(F.col("rep").alias("a"), F.col("team").alias("b")))
 
 
 def _overlaps(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
