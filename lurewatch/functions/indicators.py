@@ -115,6 +115,19 @@ def _v4(text: str) -> int:
     return sum(int(p) << s for p, s in zip(text.split("."), (24, 16, 8, 0), strict=True))
 
 
+def address_bits(c: Column) -> Column:
+    """The family and bits of an address as text, ``4:`` and 32 or ``6:`` and 128 digits; null for what is neither."""
+    six = F.array_join(F.transform(F.split(v6_groups(c), ":"), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    return F.coalesce(F.concat(F.lit("4:"), F.lpad(F.conv(v4_number(F.trim(c)).cast("string"), 10, 2), 32, "0")), F.concat(F.lit("6:"), six))
+
+
+def network_bits(network: Column) -> Column:
+    """The family and the leading bits that a network ``address/n`` fixes, all of them without n; null for what can't be read."""
+    whole = address_bits(F.split_part(network, F.lit("/"), F.lit(1)))
+    n = F.coalesce(F.nullif(F.split_part(network, F.lit("/"), F.lit(2)), F.lit("")).try_cast("int"), F.when(~F.contains(network, F.lit("/")), F.length(whole) - 2))
+    return F.when(n.between(0, F.length(whole) - 2), F.left(whole, n + 2))
+
+
 def ip_class(c: Column) -> Column:
     """Loopback, private, reserved or public, for IPv4 and IPv6; what is neither is reserved."""
 

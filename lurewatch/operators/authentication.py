@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import normalize as norm
-from ..functions.indicators import v4_number
+from ..functions.indicators import address_bits, network_bits
 from .tables import written
 
 #: Look-ups that a record may cost up to the mechanism that decides, and levels of records that are followed.
@@ -19,27 +18,10 @@ RESULTS = {"+": "pass", "-": "fail", "~": "softfail", "?": "neutral"}
 LEGAL = {"spf": ("pass", "fail", "softfail", "neutral", "none", "temperror", "permerror"), "dkim": ("pass", "fail", "none"), "dmarc": ("pass", "fail", "none"), "arc": ("pass", "fail", "none")}
 
 
-def _v6_bits(address: Column) -> Column:
-    """The 128 bits of an IPv6 address as text, null if it isn't one."""
-    groups = F.split(norm.v6_groups(address), ":")
-    return F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
-
-
 def in_network(ip: Column, network: Column) -> Column:
     """Whether an address lies in a network ``address/bits``, or equals it without bits; false across families and for what can't be read."""
-    base, bits = F.split_part(network, F.lit("/"), F.lit(1)), F.split_part(network, F.lit("/"), F.lit(2))
-    width = lambda full: F.when(bits == "", full).otherwise(bits.try_cast("int"))
-
-    def four(x: Column) -> Column:
-        size = F.pow(F.lit(2.0), 32 - x["n"])
-        return x["n"].between(0, 32) & (F.floor(x["a"] / size) == F.floor(x["b"] / size))
-
-    def six(x: Column) -> Column:
-        return x["n"].between(0, 128) & (F.left(x["a"], x["n"]) == F.left(x["b"], x["n"]))
-
-    once = lambda a, b, n, test: F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), n.alias("n"))), test)[0]
-    is_six = F.contains(ip, F.lit(":"))
-    return F.coalesce(F.when(is_six, once(_v6_bits(ip), _v6_bits(base), width(128), six)).otherwise(once(v4_number(ip), v4_number(base), width(32), four)), F.lit(False))
+    held = lambda x: F.startswith(x["ip"], x["net"])
+    return F.coalesce(F.transform(F.array(F.struct(address_bits(ip).alias("ip"), network_bits(network).alias("net"))), held)[0], F.lit(False))
 
 
 def tags(record: Column, *, lower: bool = True) -> Column:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.indicators import ip_class, v4_number
+from ..functions.indicators import address_bits, ip_class, network_bits
+from .tables import attach, written
 
 # Parts of organisation names, bounds of the abuse score, and states that tell nothing.
 CLOUD = ("amazon", "aws", "google", "microsoft", "azure", "digitalocean", "linode", "vultr", "hetzner", "ovh", "cloudflare", "fastly", "akamai", "rackspace", "alibaba", "tencent")
@@ -26,27 +27,33 @@ def _named(org: Column, words: tuple[str, ...]) -> Column:
 
 
 def networks(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``ips(ip)`` -> ip, asn, org, country of the longest IPv4 prefix that holds it.
+    """``ips(ip)`` -> ip, asn, org, country of the longest prefix, IPv4 or IPv6, that holds it; of equal ones the largest ASN text.
 
-    A range join by blocks: a prefix of 16 bits or more lies in one /16 block, a
-    shorter one is repeated for the /8 blocks it covers (at most 256 of them), and
-    an address asks in its /16 and its /8 block.
+    A range join as an equi-join: every distinct address asks with its leading bits
+    for each prefix length that occurs in its family (33 and 129 at most).  A prefix
+    that holds a large share of the addresses, such as a default route, is one row
+    that ``attach`` repeats over salted parts.
     """
-    base, bits = v4_number(F.split_part("network", F.lit("/"), F.lit(1))), F.coalesce(F.nullif(F.split_part("network", F.lit("/"), F.lit(2)), F.lit("")).try_cast("int"), F.lit(32))
-    size = F.pow(F.lit(2.0), 32 - F.col("bits")).cast("long")
-    nets = prefixes.select(base.alias("base"), bits.alias("bits"), "asn", "org", "country").filter("base IS NOT NULL AND bits BETWEEN 0 AND 32")
-    nets = nets.withColumn("low", F.floor(F.col("base") / size) * size).withColumn("high", F.col("low") + size - 1)
-    blocks = F.when(F.col("bits") >= 16, F.array(F.concat(F.lit("16:"), F.floor(F.col("low") / 65536).cast("string")))).otherwise(
-        F.transform(F.sequence(F.floor(F.col("low") / (1 << 24)), F.floor(F.col("high") / (1 << 24))), lambda k: F.concat(F.lit("8:"), k.cast("string")))
-    )
-    nets = nets.withColumn("block", F.explode(blocks))
-    asked = ips.select("ip").distinct().withColumn("n", v4_number(F.col("ip"))).filter("n IS NOT NULL")
-    own = F.array(F.concat(F.lit("16:"), F.floor(F.col("n") / 65536).cast("string")), F.concat(F.lit("8:"), F.floor(F.col("n") / (1 << 24)).cast("string")))
-    inside = asked.withColumn("block", F.explode(own)).join(nets, "block").filter("n BETWEEN low AND high")
-    best = inside.groupBy("ip").agg(F.max_by(F.struct("asn", "org", "country"), F.struct("bits", F.col("asn"))).alias("net"))
+    nets = prefixes.select(network_bits(F.col("network")).alias("lead"), "asn", "org", "country").filter("lead IS NOT NULL")
+    nets = nets.groupBy("lead").agg(F.max_by(F.struct("asn", "org", "country"), F.col("asn")).alias("net"))
+    lengths = {f: sorted(r.n for r in rows) for f, rows in _by_family(nets).items()}
+    asked = ips.select("ip").distinct().withColumn("bits", address_bits(F.col("ip"))).filter("bits IS NOT NULL")
+    leads = lambda f: F.transform(F.array(*map(F.lit, lengths.get(f, []))).cast("array<int>"), lambda n: F.left("bits", n))
+    asked = asked.select("ip", F.explode(F.when(F.startswith("bits", F.lit("4:")), leads("4")).otherwise(leads("6"))).alias("lead"))
+    asked = written(asked.join(nets.select("lead"), "lead", "left_semi"), "asked-prefixes")
+    held = asked.groupBy("lead").agg(F.count("*").alias("size")).join(nets, "lead")
+    best = attach(asked, held, "lead", "size", F.col("ip")).groupBy("ip").agg(F.max_by("net", F.length("lead")).alias("net"))
     return best.select("ip", "net.asn", "net.org", "net.country")
 
 
+def _by_family(nets: DataFrame) -> dict[str, list]:
+    """Lengths of the leads that occur, by family: at most 162 rows."""
+    out: dict[str, list] = {}
+    for r in nets.select(F.left("lead", F.lit(1)).alias("family"), F.length("lead").alias("n")).distinct().collect():
+        out.setdefault(r.family, []).append(r)
+    return out
+
+
 def origin_details(origins: DataFrame, prefixes: DataFrame, geo: DataFrame, reputation: DataFrame) -> DataFrame:
     """``origins(email_id, origin_ip, ...)`` with network, place and abuse; only public addresses are looked up."""
     public = F.coalesce(ip_class(F.col("origin_ip")) == "public", F.lit(False))

@@ -9,6 +9,7 @@ from ..functions import features as feat
 from ..functions import indicators as ind
 from ..functions import normalize as norm
 from ..functions import scoring as sc
+from ..operators.suffixes import split_hosts
 from .fixtures import BASE_SQL, emails, table
 
 QUERIES, SQL = {}, {}
@@ -307,14 +308,16 @@ def g14_techniques(spark, sf_dir):
     return emails(spark, sf_dir).select("email_id", sc.techniques(F.col("classification"), (F.col("doc_id") % 11 == 0).cast("int")).alias("techniques"))
 
 
-_V6 = ("2001:4860:4860::8888", "::1", "fe80::1", "ff02::1", "fc00::7", "2001:db8::5", "::", "2606:4700::1111", "not an address")
-_V6_CLASS = ("public", "loopback", "private", "reserved", "private", "private", "private", "public", "reserved")
+#: An IPv6 address from a digest of the event's content: its first group is any number, of every fifth one of the documentation range.
+_V6 = "CASE WHEN substr(d, 5, 1) < '3' THEN concat('2001:db8:', substr(d, 6, 4), '::', substr(d, 10, 2)) ELSE concat(substr(d, 1, 4), ':', substr(d, 6, 3), '::', substr(d, 10, 4)) END"
 
 
-@_query(f"SELECT event_id, [{', '.join(f"'{x}'" for x in _V6)}][event_id % {len(_V6)} + 1] AS ip, [{', '.join(f"'{x}'" for x in _V6_CLASS)}][event_id % {len(_V6)} + 1] AS class FROM events")
+@_query(f"""SELECT event_id, ip, CASE WHEN substr(d, 5, 1) < '3' OR g BETWEEN {0xfc00} AND {0xfdff} OR g BETWEEN {0xfe80} AND {0xfebf} THEN 'private' WHEN g BETWEEN {0x1000} AND {0x3fff} OR g BETWEEN {0xfe00} AND {0xfeff} THEN 'public' ELSE 'reserved' END AS class
+  FROM (SELECT *, ('0x' || substr(d, 1, 4))::INT AS g, {_V6} AS ip FROM (SELECT event_id, md5(concat(event_type, props, event_id)) AS d FROM events))""")
 def c10_ipv6_class(spark, sf_dir):
-    ip = F.element_at(F.array(*map(F.lit, _V6)), (F.col("event_id") % len(_V6) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", ip.alias("ip"), ind.ip_class(ip).alias("class"))
+    d = table(spark, sf_dir, "events").select("event_id", F.md5(F.concat("event_type", "props", F.col("event_id").cast("string"))).alias("d"))
+    found = d.select("event_id", F.expr(_V6).alias("ip"))
+    return found.select("event_id", "ip", ind.ip_class(F.col("ip")).alias("class"))
 
 
 _FOUND_IPS = f"SELECT email_id, unnest(list_concat(regexp_extract_all(body, '\\[([0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}})\\]', 1), regexp_extract_all(body, '{_V4RE}'))) AS ip, 'body' AS source, 3 AS p FROM emails"
@@ -355,3 +358,22 @@ def c16_typosquats(spark, sf_dir):
     brand = F.element_at(F.array(*map(F.lit, ind.BRANDS)), (F.col("page_id") % len(ind.BRANDS) + 1).cast("int"))
     d = table(spark, sf_dir, "pages").select("page_id", ind.host(F.col("url")).alias("h"), brand.alias("b")).select("page_id", F.expr(_MUTANT).alias("domain"))
     return d.select("page_id", "domain", ind.is_typosquat(F.col("domain")).alias("typosquat"))
+
+
+#: A small snapshot of suffix rules, with a wildcard and an exception.
+_RULES = ("com", "org", "net", "uk", "co.uk", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck")
+_TAILED = "CASE page_id % 7 WHEN 0 THEN concat(h, '.co.uk') WHEN 1 THEN h WHEN 2 THEN concat('mail.', split_part(h, '.', 1), '.kawasaki.jp') WHEN 3 THEN concat(split_part(h, '.', 1), '.city.kawasaki.jp') WHEN 4 THEN concat(split_part(h, '.', 2), '.www.ck') WHEN 5 THEN concat(split_part(h, '.', 2), '.ck') ELSE concat('x.', split_part(h, '.', 1), '.Unknown.') END"
+
+
+@_query(f"""WITH p AS (SELECT page_id, {_TAILED} AS host FROM (SELECT page_id, {_HOST.format('url')} AS h FROM pages)),
+l AS (SELECT DISTINCT host, string_split(lower(rtrim(host, '.')), '.') AS l FROM p),
+t AS (SELECT host, l, n, array_to_string(l[-n:], '.') AS tail FROM l, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS n)),
+r AS (SELECT unnest([{", ".join(f"'{r}'" for r in _RULES)}]) AS rule),
+m AS (SELECT host, CASE WHEN rule LIKE '!%' THEN 1000 + n - 1 WHEN rule LIKE '*.%' THEN n + 1 ELSE n END AS k FROM t JOIN r ON rule = tail OR (rule = '*.' || tail AND n < len(l)) OR rule = '!' || tail),
+k AS (SELECT host, l, coalesce(max(k), 1) % 1000 AS k FROM l LEFT JOIN m USING (host) GROUP BY host, l)
+SELECT page_id, host, array_to_string(l[-k:], '.') AS suffix, CASE WHEN len(l) > k THEN array_to_string(l[-(k + 1):], '.') ELSE '' END AS registered, CASE WHEN len(l) > k + 1 THEN array_to_string(l[:len(l) - k - 1], '.') ELSE '' END AS subdomain FROM p JOIN k USING (host)""")
+def c12_suffix_table(spark, sf_dir):
+    """The suffixes come from a table of rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", ind.host(F.col("url")).alias("h")).select("page_id", F.expr(_TAILED).alias("host"))
+    rules = spark.createDataFrame([(r,) for r in _RULES], "rule string")
+    return pages.join(split_hosts(pages, rules), "host").select("page_id", "host", "suffix", "registered", "subdomain")

@@ -155,6 +155,24 @@ def f3_f5_origins(spark, sf_dir):
     return _origins(spark, sf_dir).select("email_id", "origin_ip", "asn", "country", "cloud", "vpn", "geo_status", "abuse_status", "abuse_score", "abuse_malicious")
 
 
+#: Addresses of both families from a digest of the event's content, and the networks of every second leading group that occurs.
+_BOTH_IPS = "SELECT event_id, substr(d, 1, 1) AS a, substr(d, 2, 2) AS b, CASE WHEN substr(d, 4, 1) < '8' THEN concat('2A0', substr(d, 1, 1), ':', substr(d, 2, 2), '::', substr(d, 4, 4)) ELSE concat('77.', length(d), '.', event_id % 256, '.', event_id % 100) END AS ip FROM {digests}"
+_DIGESTS = "(SELECT event_id, md5(concat(event_type, props, user_id)) AS d FROM events)"
+
+
+@_query(f"""WITH i AS ({_BOTH_IPS.format(digests=_DIGESTS)}), six AS (SELECT ip, contains(ip, ':') AS six, a, b, ('0x' || b)::INT % 2 = 0 AS even FROM i)
+SELECT DISTINCT ip, CASE WHEN NOT six THEN 'AS77' WHEN even THEN concat('AS-', a, b) WHEN a < '8' THEN concat('AS-', a) ELSE 'AS-2A' END AS asn,
+  CASE WHEN NOT six THEN 'Four' WHEN even THEN 'Near' WHEN a < '8' THEN 'Mid' ELSE 'Wide' END AS org FROM six""")
+def f3_both_families(spark, sf_dir):
+    digests = table(spark, sf_dir, "events").select("event_id", F.md5(F.concat("event_type", "props", F.col("user_id").cast("string"))).alias("d"))
+    ips = spark.sql(_BOTH_IPS.format(digests="{digests}"), digests=digests)
+    row = lambda df, net, asn, org: df.select(net.alias("network"), asn.alias("asn"), F.lit(org).alias("org"), F.lit(None).cast("string").alias("country")).distinct()
+    near = row(ips.filter("conv(b, 16, 10) % 2 = 0"), F.concat(F.lit("2a0"), "a", F.lit(":"), "b", F.lit("::/32")), F.concat(F.lit("AS-"), "a", "b"), "Near")
+    mid = row(ips.filter("a < '8'"), F.concat(F.lit("2a0"), "a", F.lit("::/16")), F.concat(F.lit("AS-"), "a"), "Mid")
+    wide = spark.createDataFrame([("2a00::/12", "AS-2A", "Wide", None), ("77.0.0.0/8", "AS77", "Four", None), ("::ffff/128", "AS0", "None", None)], "network string, asn string, org string, country string")
+    return en.networks(ips, near.unionByName(mid).unionByName(wide)).select("ip", "asn", "org")
+
+
 _FILES_SQL = "f AS (SELECT email_id, filename, sha, CASE WHEN doc_id % 9 IN (1, 4) THEN CASE doc_id % 2 WHEN 0 THEN 'available' ELSE 'error' END ELSE 'not_found' END AS status, CASE WHEN doc_id % 9 IN (1, 4) THEN doc_id % 4 ELSE 0 END AS engines FROM mail WHERE kind = 1)"
 
 

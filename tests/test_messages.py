@@ -10,6 +10,7 @@ from lurewatch.functions import signals as sg
 from lurewatch.operators import authentication as au
 from lurewatch.operators import campaigns as camp
 from lurewatch.operators import enrichment as en
+from lurewatch.operators.suffixes import split_hosts
 from lurewatch.operators import messages as m
 from lurewatch.operators import training as tr
 from lurewatch.plans import reports as plans
@@ -110,6 +111,70 @@ def test_longest_prefix_wins(spark):
     assert got == {"8.8.8.8": "AS4", "8.8.8.9": "AS3", "8.8.9.9": "AS2", "9.1.1.1": "AS1"}
 
 
+def test_networks_of_both_families_equal_brute_force(spark):
+    """Random prefixes and addresses, default routes, equal and unreadable networks, an address of every prefix's edge."""
+    import ipaddress
+    import random
+
+    rng = random.Random(8)
+    nets, ips = ["0.0.0.0/0", "::/0", "10.0.0.0/33", "::1/129", "bad/8", "", "2001:db8::/x", "10.1.0.0/"], ["nothing", "", "1.2.3", "::ffff:1.2.3.4"]
+    for _ in range(150):
+        four = rng.random() < 0.5
+        size, kind = (32, ipaddress.IPv4Network) if four else (128, ipaddress.IPv6Network)
+        base = rng.choice([0x0A << 24, 0x55AA << 16]) if four else rng.choice([0x20010DB8 << 96, 0xFD << 120])
+        bits = rng.randrange(1, size + 1)
+        net = kind(((base | rng.getrandbits(size - 8)) >> (size - bits) << (size - bits), bits))
+        nets.append(str(net))
+        ips += [str(x) for x in (net[0], net[-1], net[0] - 1 if int(net[0]) else net[0], type(net[0])(int(net[0]) | rng.getrandbits(size - bits)))]
+    ips.append("2001:0DB8:0:0:0::1")
+    table = [(n, f"AS{k:03d}", "o", "c") for k, n in enumerate(nets)] + [(nets[-1], "AS000", "o", "c")]
+
+    def best(ip):
+        try:
+            x = ipaddress.ip_address(ip)
+        except ValueError:
+            return None
+        found = []
+        for n, asn, *_ in table:
+            try:
+                if "/" in n and x in ipaddress.ip_network(n, strict=False):
+                    found.append((ipaddress.ip_network(n, strict=False).prefixlen, asn))
+            except (ValueError, TypeError):
+                continue
+        return max(found)[1]
+
+    want = {ip: best(ip) for ip in ips if "ffff:1.2" not in ip and best(ip)}
+    frame = spark.createDataFrame([(x,) for x in ips] + [(None,)], "ip string")
+    got = {r.ip: r.asn for r in en.networks(frame, spark.createDataFrame(table, "network string, asn string, org string, country string")).collect()}
+    assert got == want and len({v for v in want.values()}) > 60
+    assert en.networks(frame, spark.createDataFrame([], "network string, asn string, org string, country string")).isEmpty()
+    pairs = [(ip, n) for ip in ips[:60] if "ffff:1.2" not in ip for n in nets[:40]]
+    inside = spark.createDataFrame(pairs, "ip string, net string").select("ip", "net", au.in_network(F.col("ip"), F.col("net")).alias("x")).collect()
+
+    def holds(ip, n):
+        try:
+            return "/" in n and not n.endswith("/") and ipaddress.ip_address(ip) in ipaddress.ip_network(n, strict=False)
+        except (ValueError, TypeError):
+            return False
+
+    assert [r.x for r in inside] == [holds(r.ip, r.net) for r in inside]
+
+
+def test_suffix_rules(spark):
+    rules = ["com", "Co.uk", "uk", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "jp", "a.b.c", ""]
+    cases = {
+        "www.ck": ("ck", "www.ck", ""), "x.www.ck": ("ck", "www.ck", "x"), "foo.ck": ("foo.ck", "", ""), "a.foo.ck": ("foo.ck", "a.foo.ck", ""), "b.a.foo.ck": ("foo.ck", "a.foo.ck", "b"), "ck": ("", "", ""),
+        "city.kawasaki.jp": ("kawasaki.jp", "city.kawasaki.jp", ""), "kawasaki.jp": ("jp", "kawasaki.jp", ""), "x.kawasaki.jp": ("x.kawasaki.jp", "", ""), "y.x.kawasaki.jp": ("x.kawasaki.jp", "y.x.kawasaki.jp", ""),
+        "A.Example.Com": ("com", "example.com", "a"), "shop.co.uk": ("co.uk", "shop.co.uk", ""), "co.uk": ("co.uk", "", ""), "x.uk.": ("uk", "x.uk", ""), "local.unknown": ("unknown", "local.unknown", ""), "b.c": ("c", "b.c", ""), "q.a.b.c": ("a.b.c", "q.a.b.c", ""),
+        "1.2.3.4": ("", "", ""), "::1": ("", "", ""), "localhost": ("", "", ""), "": ("", "", ""), "a..com": ("", "", ""),
+    }
+    hosts = spark.createDataFrame([(h,) for h in cases] * 2 + [(None,)], "host string")
+    found = split_hosts(hosts, spark.createDataFrame([(r,) for r in rules], "rule string")).collect()
+    assert len(found) == len(cases) and {r.host: (r.suffix, r.registered, r.subdomain) for r in found} == cases
+    many = spark.range(5000).select(F.concat(F.col("id").cast("string"), F.lit(".com")).alias("host"))  # one tail that all share
+    assert split_hosts(many, spark.createDataFrame([("com",)], "rule string")).filter("suffix = 'com' AND registered = host").count() == 5000
+
+
 def test_ip_classes(spark):
     cases = {"2001:4860:4860::8888": "public", "::1": "loopback", "fd00::1": "private", "fe80::9": "private", "ff02::1": "reserved", "8.8.8.8": "public", "10.0.0.1": "private", "224.0.0.1": "reserved", "x": "reserved", None: "reserved"}
     got = spark.createDataFrame([(k, v) for k, v in cases.items()], "ip string, want string").withColumn("got", ind.ip_class(F.col("ip"))).collect()
