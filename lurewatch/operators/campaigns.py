@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import pair_chunks, written
+from .tables import attach, pair_chunks, written
 
 #: Weights of the pair similarity and of the confidence, and mail providers that many share.
 PAIR_WEIGHTS = {"ioc": 0.35, "infra": 0.30, "subject": 0.15, "temporal": 0.10, "behaviour": 0.10}
@@ -119,33 +121,93 @@ def candidate_pairs(ready: DataFrame, threshold: float) -> DataFrame:
     return both.select(F.least(x("email_id"), y("email_id")).alias("a"), F.greatest(x("email_id"), y("email_id")).alias("b")).distinct()
 
 
-def similar_pairs(rows: DataFrame, threshold: float = DEFAULT_THRESHOLD, *, allow_cartesian: bool = False) -> DataFrame:
+#: Spans in hours of the time part of the similarity, the part, and the part if a time is unknown.
+CLOSE = ((1, 1.0), (24, 0.85), (72, 0.6), (None, 0.3))
+UNKNOWN_TIME = 0.5
+#: From this threshold on pairs that share neither an indicator nor a subject word lie within 72 hours; below it any two emails of like behaviour qualify.
+LEAST_THRESHOLD = 0.16
+
+
+def unblocked_pairs(ready: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of ``prepared`` emails that may reach ``threshold``, at most 0.35, without a shared indicator.
+
+    Such a pair needs ``0.15 J + 0.10 T + 0.10 B >= threshold`` of its subjects' Jaccard
+    J, time part T and behaviour part B.  For each span of T, with B at its most, that
+    says which J is needed at least.  None: the emails of two neighbouring stretches of
+    time of the span's length meet.  Some: they must share one of the first
+    ``n - ceil(J n) + 1`` of their n subject words, the rarest first, and meet under that
+    word, in the stretch of time if the span has an end.  Every key's emails are dealt
+    over chunks, and the exact parts but J stand in the join's condition.
+    """
+    w = PAIR_WEIGHTS
+    least = threshold - 0.0005  # scores are rounded to 3 digits
+    needed = lambda t: (least - w["temporal"] * t - w["behaviour"]) / w["subject"]
+    rows = ready.select("email_id", "us", "spf", "dmarc", "classification", "words", F.size("words").alias("n_words"))
+    counts = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("size"))
+    each = rows.filter("n_words > 0").select("email_id", F.explode("words").alias("word"))
+    order = attach(each, counts.withColumn("df", F.col("size")), "word", "size", F.col("email_id")).groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("order"))
+    rows = written(rows.join(order, "email_id", "left").withColumn("order", F.transform(F.coalesce("order", F.array().cast("array<struct<df:bigint,word:string>>")), lambda x: x["word"])).drop("words"), "subject-order")
+
+    def stretches(hours: int | None) -> Column:
+        """The email's stretches of time, such that two within the span share one; one for all without a span."""
+        if hours is None:
+            return F.array(F.lit(0).cast("long"))
+        k = F.floor(F.col("us") / int(hours * 3.6e9))
+        return F.array(k, k + 1)
+
+    found = []
+    for hours, t in (*CLOSE, ("unknown", UNKNOWN_TIME)):
+        j = needed(t)
+        if j > 1:
+            continue
+        some = rows if hours == "unknown" else rows.filter("us IS NOT NULL")
+        where = stretches(None if hours == "unknown" else hours)
+        first = F.slice("order", F.lit(1), F.col("n_words") - F.ceil(F.col("n_words") * max(j, 0.0) - 1e-9).cast("int") + 1) if j > 1e-9 else F.array(F.lit(""))
+        keys = F.flatten(F.transform(first, lambda x: F.transform(where, lambda k: F.concat(k.cast("string"), F.lit(" "), x))))  # noqa: B023
+        left, right, meet = pair_chunks(some.select("email_id", "us", "spf", "dmarc", "classification", "n_words", F.explode(keys).alias("key")), "key", "email_id", CHUNK)
+        x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
+        alike = F.least(x("n_words"), y("n_words")) / F.greatest(x("n_words"), y("n_words"), F.lit(1))  # J at its most
+        most = w["subject"] * alike + w["temporal"] * _closeness(x("us"), y("us")) + w["behaviour"] * _alike(x, y)
+        gap = F.abs(x("us") - y("us")) / 3.6e9
+        inside = gap.isNull() if hours == "unknown" else gap.isNotNull() & (F.lit(True) if hours is None else gap <= hours)
+        both = left.join(right, meet & inside & (most >= least - 1e-9))
+        found.append(both.select(F.least(x("email_id"), y("email_id")).alias("a"), F.greatest(x("email_id"), y("email_id")).alias("b")))
+    return reduce(DataFrame.unionByName, found).distinct() if found else ready.select(F.col("email_id").alias("a"), F.col("email_id").alias("b")).limit(0)
+
+
+def similar_pairs(rows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Pairs (a, b, a < b) with a score, rounded to 3 digits, of at least ``threshold``, and the parts.
 
     A pair without a shared indicator scores at most 0.35, so above that a join on
-    the indicators (``candidate_pairs``) finds every pair.  Pairs are made distinct
-    as ids, before the wide rows are joined.
+    the indicators (``candidate_pairs``) finds every pair; from ``LEAST_THRESHOLD`` on
+    subject words and time find the others (``unblocked_pairs``).  Pairs are made
+    distinct as ids, before the wide rows are joined.
     """
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"below a threshold of {LEAST_THRESHOLD} emails that have nothing but their behaviour in common count as similar")
     ready = written(prepared(rows), "prepared")
-    if threshold > UNBLOCKED_MOST:
-        pairs = candidate_pairs(ready, threshold)
-    elif allow_cartesian:
-        pairs = ready.select(F.col("email_id").alias("a")).join(ready.select(F.col("email_id").alias("b")), F.col("a") < F.col("b"))
-    else:
-        raise ValueError(f"a threshold of {UNBLOCKED_MOST} or less compares all pairs; pass allow_cartesian=True")
+    pairs = candidate_pairs(ready, threshold)
+    if threshold <= UNBLOCKED_MOST:
+        pairs = pairs.unionByName(unblocked_pairs(ready, threshold)).distinct()
     both = pairs.join(ready.alias("x"), F.col("a") == F.col("x.email_id")).join(ready.alias("y"), F.col("b") == F.col("y.email_id"))
     parts = similarity("x", "y")
     return both.select("a", "b", *(c.alias(k) for k, c in parts.items())).filter(F.round("score", 3) >= threshold)
 
 
 def members(rows: DataFrame, threshold: float = DEFAULT_THRESHOLD, min_size: int = 2) -> DataFrame:
-    """email_id, component (its least email) and campaign_id of emails in components of ``min_size`` or more."""
+    """email_id, component (its least email) and campaign_id of emails in components of ``min_size`` or more.
+
+    The id is a digest of the component's least email, its size and the sum of its
+    emails' digests: the same for the same emails, and computed without a list of them.
+    """
     if min_size < 2:
         raise ValueError("emails without a similar one form no campaign")
-    found = components(similar_pairs(rows, threshold).select("a", "b")).withColumnRenamed("node", "email_id")
-    ids = found.groupBy("component").agg(F.array_sort(F.collect_list("email_id")).alias("ids")).filter(F.size("ids") >= min_size)
-    named = ids.select("component", F.concat(F.lit("camp-"), F.substring(F.sha2(F.array_join("ids", "-"), 256), 1, 12)).alias("campaign_id"))
-    return written(found.join(named, "component"), "campaign-members")
+    found = written(components(similar_pairs(rows, threshold).select("a", "b")).withColumnRenamed("node", "email_id"), "components")
+    part = F.conv(F.left(F.md5("email_id"), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    ids = found.groupBy("component").agg(F.count("*").alias("size"), F.sum(part).alias("digest")).filter(F.col("size") >= min_size)
+    name = F.concat_ws(":", "component", F.col("size").cast("string"), F.col("digest").cast("string"))
+    named = ids.select("component", "size", F.concat(F.lit("camp-"), F.left(F.sha2(name, 256), F.lit(12))).alias("campaign_id"))
+    return written(attach(found, named, "component", "size", F.col("email_id")).select("email_id", "component", "campaign_id"), "campaign-members")
 
 
 def used_indicators(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -193,15 +255,18 @@ def campaign_edges(rows: DataFrame, members: DataFrame) -> DataFrame:
     return belong.unionByName(use)
 
 
-def details(campaigns: DataFrame, members: DataFrame, campaign_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """Campaigns with their sorted emails, the most confident and earliest first; one, or the first ``limit``."""
-    ids = members.groupBy("campaign_id").agg(F.array_sort(F.collect_list("email_id")).alias("email_ids"))
-    out = campaigns.join(ids, "campaign_id")
-    out = out.filter(F.col("campaign_id") == campaign_id) if campaign_id else out
+def details(campaigns: DataFrame, campaign_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Campaigns, the most confident and earliest first; one, or the first ``limit``.  ``membership`` lists their emails."""
+    out = campaigns.filter(F.col("campaign_id") == campaign_id) if campaign_id else campaigns
     out = out.orderBy(F.desc("confidence"), F.desc("first_seen"), "campaign_id")
     return out.limit(limit) if limit else out
 
 
+def membership(campaigns: DataFrame, members: DataFrame) -> DataFrame:
+    """A row (campaign_id, email_id) for each email of these campaigns."""
+    return members.select("campaign_id", "email_id").join(campaigns.select("campaign_id"), "campaign_id", "left_semi")
+
+
 def telemetry(rows: DataFrame, members: DataFrame) -> DataFrame:
     """What the confidence is computed from, each branch aggregated by itself."""
     joined = rows.join(members.select("email_id", "campaign_id"), "email_id")
@@ -216,16 +281,45 @@ def telemetry(rows: DataFrame, members: DataFrame) -> DataFrame:
     return base.join(used, "campaign_id", "left").fillna(0, [f"n_{k}" for k in ("ip", "domain", "url", "hash")])
 
 
-def subject_likeness(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """campaign_id, number of non-blank subjects n, mean Jaccard of all their pairs; equal subjects are counted, not paired."""
+def _first_shared(key: str) -> Column:
+    """Whether the word of the join's key is the first one that both sides share, so that a pair counts once."""
+    return F.substring_index(F.col("key_x"), "\n", -1) == F.array_min(F.array_intersect(f"{key}_x", f"{key}_y"))
+
+
+def _by_word(rows: DataFrame, words: str) -> DataFrame:
+    """A row per word, keyed by campaign and word."""
+    return rows.select("*", F.explode(words).alias("word")).withColumn("key", F.concat_ws("\n", "campaign_id", "word")).drop("word")
+
+
+def subject_likeness(rows: DataFrame, members: DataFrame, hot: int = 256) -> DataFrame:
+    """campaign_id, number of non-blank subjects n, mean Jaccard of all their pairs; equal subjects are counted, not paired.
+
+    Words that over ``hot`` subjects of a campaign share never make pairs of
+    subjects: subjects are grouped by their hot words and size, and pairs of groups
+    give what all pairs have by hot words alone.  Pairs that share another word are
+    found under it, at most ``hot`` subjects at a time, and add the difference.
+    """
     joined = rows.join(members.select("email_id", "campaign_id"), "email_id").filter(F.size(_subject_words(F.col("subject"))) > 0)
     subjects = joined.groupBy("campaign_id", F.array_sort(_subject_words(F.col("subject"))).alias("words")).agg(F.count("*").cast("double").alias("m"))
+    subjects = written(subjects.withColumns({"sid": F.md5(F.array_join("words", "\n")), "n": F.size("words")}), "subjects")
     own = subjects.groupBy("campaign_id").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"))
-    word = lambda t: t.select("campaign_id", "words", "m", F.explode("words").alias("word"))
-    a, b = word(subjects).alias("x"), word(subjects).alias("y")
-    pairs = a.join(b, (F.col("x.campaign_id") == F.col("y.campaign_id")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.words") < F.col("y.words")))
-    pairs = pairs.select(F.col("x.campaign_id").alias("campaign_id"), F.col("x.words").alias("p"), F.col("y.words").alias("q"), F.col("x.m").alias("m"), F.col("y.m").alias("k")).distinct()
-    crossed = pairs.groupBy("campaign_id").agg(F.sum(_jaccard(F.col("p"), F.col("q")) * F.col("m") * F.col("k")).alias("crossed"))
+    each = subjects.select("campaign_id", "sid", F.explode("words").alias("word"))
+    counts = each.groupBy("campaign_id", "word").agg(F.count("*").alias("size")).withColumn("key", F.concat_ws("\n", "campaign_id", "word"))
+    often = attach(each.withColumn("key", F.concat_ws("\n", "campaign_id", "word")), counts.filter(F.col("size") > hot).select("key", "size"), "key", "size", F.col("sid"))
+    often = often.groupBy("campaign_id", "sid").agg(F.array_sort(F.collect_list("word")).alias("hot"))
+    subjects = written(subjects.join(often, ["campaign_id", "sid"], "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<string>"))), "subjects-hot")
+    size = lambda a, b: F.size(F.array_intersect(a, b))
+    like = lambda shared: shared / (F.col("n_x") + F.col("n_y") - shared)
+    groups = subjects.filter(F.size("hot") > 0).groupBy("campaign_id", "hot", "n").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("squares"))
+    groups = written(groups.withColumn("gid", F.md5(F.concat_ws("\n", F.col("n").cast("string"), "hot"))), "subject-groups")
+    inner = groups.select("campaign_id", ((F.col("m") * F.col("m") - F.col("squares")) / 2 * F.size("hot") / (2 * F.col("n") - F.size("hot"))).alias("part"))
+    left, right, meet = pair_chunks(_by_word(groups, "hot").drop("squares"), "key", "gid", CHUNK)
+    outer = left.join(right, meet).filter(_first_shared("hot")).select(F.col("campaign_id_x").alias("campaign_id"), (F.col("m_x") * F.col("m_y") * like(size("hot_x", "hot_y"))).alias("part"))
+    cold = subjects.withColumn("cold", F.array_except("words", "hot"))
+    left, right, meet = pair_chunks(_by_word(cold, "cold"), "key", "sid", CHUNK)
+    more = like(size("words_x", "words_y")) - like(size("hot_x", "hot_y"))
+    rest = left.join(right, meet).filter(_first_shared("cold")).select(F.col("campaign_id_x").alias("campaign_id"), (F.col("m_x") * F.col("m_y") * more).alias("part"))
+    crossed = inner.unionByName(outer).unionByName(rest).groupBy("campaign_id").agg(F.sum("part").alias("crossed"))
     mean = (F.col("same") + F.coalesce("crossed", F.lit(0.0))) / (F.col("n") * (F.col("n") - 1) / 2)
     return own.join(crossed, "campaign_id", "left").select("campaign_id", F.col("n").alias("n_subjects"), F.when(F.col("n") > 1, mean).otherwise(0.0).alias("likeness"))
 
@@ -261,6 +355,6 @@ def evidence(rows: DataFrame, members: DataFrame) -> DataFrame:
 def report(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Campaign details with their confidence."""
     rated = confidence(rows, members).withColumnsRenamed({"confidence": "attribution"}).drop("n_emails")
-    return details(campaigns(rows, members), members).join(rated, "campaign_id")
+    return details(campaigns(rows, members)).join(rated, "campaign_id")
 
 

@@ -48,7 +48,13 @@ def j14_campaign_edges(spark, sf_dir):
 
 def j15_campaign_details(spark, sf_dir):
     rows, members = _both(spark, sf_dir)
-    return c.details(c.campaigns(rows, members), members, limit=50).select("campaign_id", "email_count", "email_ids", F.round("confidence", 6).alias("confidence"))
+    page = written(c.details(c.campaigns(rows, members), limit=50), "campaign-page")
+    return page.join(c.membership(page, members), "campaign_id").select("campaign_id", "email_count", "email_id", F.round("confidence", 6).alias("confidence"))
+
+
+def j11_low_threshold(spark, sf_dir):
+    """Pairs down to 0.3, of which many share no indicator."""
+    return c.similar_pairs(_rows(spark, sf_dir), 0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def j16_telemetry(spark, sf_dir):
@@ -73,7 +79,7 @@ def j22_campaign_report(spark, sf_dir):
     return c.report(*_both(spark, sf_dir)).select(*kept).withColumn("attribution", F.round("attribution", 6)).withColumns({k: F.round(k, 6) for k in kept[2:6]})
 
 
-QUERIES = {f.__name__: f for f in (j13_campaigns, j9_indicator_rows, j10_pair_similarity, j11_similar_pairs, j12_components, j14_campaign_edges, j15_campaign_details, j16_telemetry, j20_subject_likeness, j21_confidence, j21_evidence, j22_campaign_report)}
+QUERIES = {f.__name__: f for f in (j13_campaigns, j9_indicator_rows, j10_pair_similarity, j11_similar_pairs, j11_low_threshold, j12_components, j14_campaign_edges, j15_campaign_details, j16_telemetry, j20_subject_likeness, j21_confidence, j21_evidence, j22_campaign_report)}
 
 _ROWS = """
 contained AS (SELECT i.email_id, list(DISTINCT r.ip) FILTER (r.ip IS NOT NULL) AS own, bool_or(r.ip IS NULL) AS open FROM iocs i LEFT JOIN resolves r ON r.domain = i.value WHERE i.kind = 'domain' GROUP BY 1),
@@ -109,7 +115,7 @@ _MEMBERS = """
 links AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
 reach(u, v) AS (SELECT DISTINCT u, u FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
 comp AS (SELECT u AS email_id, min(v) AS component FROM reach GROUP BY 1),
-ids AS (SELECT component, 'camp-' || substr(sha256(string_agg(email_id, '-' ORDER BY email_id)), 1, 12) AS campaign_id FROM comp GROUP BY 1),
+ids AS (SELECT component, 'camp-' || substr(sha256(concat_ws(':', component, count(*), sum(('0x' || substr(md5(email_id), 1, 15))::HUGEINT))), 1, 12) AS campaign_id FROM comp GROUP BY 1),
 members AS MATERIALIZED (SELECT email_id, component, campaign_id FROM comp JOIN ids USING (component)),
 joined AS MATERIALIZED (SELECT r.*, m.campaign_id FROM rowset r JOIN members m USING (email_id)),
 flat AS (
@@ -155,11 +161,12 @@ SQL = {
     "j9_indicator_rows": f"{_R} SELECT email_id, domains, urls, hashes, ips FROM rowset",
     "j10_pair_similarity": f"{_R} SELECT a, b, round(ioc, 6) AS ioc, round(infra, 6) AS infra, round(subject, 6) AS subject, round(temporal, 6) AS temporal, round(behaviour, 6) AS behaviour FROM pairs",
     "j11_similar_pairs": f"{_R} SELECT a, b, round(score, 6) AS score FROM pairs",
+    "j11_low_threshold": f"{_R.replace('round(score, 3) >= 0.45', 'round(score, 3) >= 0.3')} SELECT a, b, round(score, 6) AS score FROM pairs",
     "j12_components": f"{_M} SELECT email_id, component FROM members",
     "j13_campaigns": f"{_M} SELECT campaign_id, email_count, first_seen, last_seen, round(mean_risk, 6) AS mean_risk, shared_domains, shared_ips, shared_urls, shared_hashes, round(confidence, 6) AS confidence, reasons FROM camp",
     "j14_campaign_edges": f"""{_M} SELECT 'Email' AS src_label, email_id AS src_key, 'MEMBER_OF' AS rel, 'Campaign' AS dst_label, campaign_id AS dst_key FROM members
         UNION ALL SELECT 'Campaign', campaign_id, 'USES_' || upper(kind), CASE kind WHEN 'domain' THEN 'Domain' WHEN 'ip' THEN 'IP' WHEN 'url' THEN 'URL' ELSE 'Hash' END, CASE WHEN kind = 'url' THEN sha256(value) ELSE value END FROM used""",
-    "j15_campaign_details": f"{_M} SELECT campaign_id, email_count, list_sort(list(m.email_id)) AS email_ids, round(any_value(confidence), 6) AS confidence FROM (SELECT * FROM camp ORDER BY confidence DESC, first_seen DESC, campaign_id LIMIT 50) JOIN members m USING (campaign_id) GROUP BY campaign_id, email_count",
+    "j15_campaign_details": f"{_M} SELECT campaign_id, email_count, m.email_id, round(confidence, 6) AS confidence FROM (SELECT * FROM camp ORDER BY confidence DESC, first_seen DESC, campaign_id LIMIT 50) JOIN members m USING (campaign_id)",
     "j16_telemetry": f"{_M} SELECT * REPLACE (round(span_hours, 6) AS span_hours) FROM tele",
     "j20_subject_likeness": f"{_M} SELECT campaign_id, n_subjects, round(likeness, 6) AS likeness FROM likeness",
     "j21_confidence": f"{_M} SELECT campaign_id, n_emails, {_PARTS4}, round(total, 6) AS confidence, level FROM level",

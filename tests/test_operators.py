@@ -37,14 +37,65 @@ def test_components_equal_union_find(spark):
     assert got == {x: find(x) for x in parent if find(x) != x or any(find(y) == x for y in parent if y != x)}
 
 
-def test_blocked_join_finds_all_pairs(spark, data):
-    rows = _rows(spark, data).filter("doc_id < 60")
-    blocked = {(r.a, r.b) for r in c.similar_pairs(rows, 0.45).collect()}
-    every = c.similar_pairs(rows, 0.2, allow_cartesian=True)
-    assert blocked == {(r.a, r.b) for r in every.filter(F.round("score", 3) >= 0.45).collect()}
-    assert {(r.a, r.b) for r in c.similar_pairs(rows, 0.6).collect()} <= blocked
+def every_pair(rows):
+    """All pairs and their scores, by the product of the emails with themselves."""
+    ready = tables.written(c.prepared(rows), "prepared")
+    both = ready.select(F.col("email_id").alias("a")).join(ready.select(F.col("email_id").alias("b")), F.col("a") < F.col("b"))
+    both = both.join(ready.alias("x"), F.col("a") == F.col("x.email_id")).join(ready.alias("y"), F.col("b") == F.col("y.email_id"))
+    return {(r.a, r.b): r.score for r in both.select("a", "b", F.round(c.similarity("x", "y")["score"], 3).alias("score")).collect()}
+
+
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_blocked_join_finds_all_pairs(spark, data, monkeypatch, chunk):
+    monkeypatch.setattr(c, "CHUNK", chunk)
+    k = F.col("doc_id")
+    subject = F.when(k % 5 == 0, F.concat(F.lit("invoice due "), (k % 3).cast("string"))).when(k % 5 == 1, "").when(k % 5 == 2, F.lit("Invoice")).otherwise(F.col("subject"))
+    ts = F.when(k % 11 == 0, None).when(k % 2 == 0, F.timestamp_seconds(F.unix_timestamp("ts") * 9)).otherwise(F.col("ts"))
+    rows = tables.written(_rows(spark, data).filter("doc_id < 90").withColumns({"subject": subject, "ts": ts}), "rows")
+    scores = every_pair(rows)
+    for threshold in (0.45, 0.35, 0.3, 0.2, 0.16):
+        assert {(r.a, r.b) for r in c.similar_pairs(rows, threshold).collect()} == {p for p, x in scores.items() if x >= threshold}, threshold
     with pytest.raises(ValueError):
-        c.similar_pairs(rows, 0.3)
+        c.similar_pairs(rows, 0.15)
+
+
+def test_campaign_ids_name_their_emails(spark):
+    """The id depends on the set of emails alone; no row lists them."""
+    edges = lambda *pairs: spark.createDataFrame(pairs, "a string, b string")
+    found = {}
+    for name, pairs in {"chain": (("a", "b"), ("b", "c")), "star": (("a", "c"), ("c", "b")), "less": (("a", "b"),), "other": (("a", "b"), ("b", "d"))}.items():
+        patch = pytest.MonkeyPatch()
+        patch.setattr(c, "similar_pairs", lambda rows, threshold, pairs=pairs: edges(*pairs))
+        members = c.members(None)
+        patch.undo()
+        assert members.columns == ["email_id", "component", "campaign_id"] and {r.component for r in members.collect()} == {"a"}
+        (found[name],) = {r.campaign_id for r in members.collect()}
+    assert found["chain"] == found["star"] and len(set(found.values())) == 3
+
+
+def test_subject_likeness_equals_all_pairs(spark):
+    rng = random.Random(9)
+    subjects = [" ".join(rng.choice(("urgent", "invoice", *(f"w{k}" for k in range(30)))) for _ in range(rng.randrange(0, 6))) for _ in range(160)]
+    rows = spark.createDataFrame([(f"e{k}", s, f"c{k % 3}") for k, s in enumerate(subjects)], "email_id string, subject string, campaign_id string")
+
+    def mean(campaign):
+        sets = [set(s.split()) for k, s in enumerate(subjects) if f"c{k % 3}" == campaign and s.split()]
+        pairs = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+        return len(sets), sum(pairs) / len(pairs)
+
+    for hot in (256, 8, 1):
+        got = {r.campaign_id: (r.n_subjects, r.likeness) for r in c.subject_likeness(rows.drop("campaign_id"), rows.select("email_id", "campaign_id"), hot).collect()}
+        assert set(got) == {"c0", "c1", "c2"} and all(got[k][0] == mean(k)[0] and abs(got[k][1] - mean(k)[1]) < 1e-9 for k in got)
+
+
+def test_subject_likeness_of_many_subjects_that_share_words(spark):
+    """20,000 different subjects with one word in common, half of them with another one."""
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").cast("string").alias("email_id"), F.concat(F.lit("urgent "), F.when(F.col("id") % 2 == 0, "invoice ").otherwise(""), F.lit("no"), F.col("id").cast("string")).alias("subject"))
+    (got,) = c.subject_likeness(rows, rows.select("email_id", F.lit("c").alias("campaign_id"))).collect()
+    h = n // 2
+    want = (h * (h - 1) / 2 * 2 / 4 + h * (h - 1) / 2 * 1 / 3 + h * h * 1 / 4) / (n * (n - 1) / 2)
+    assert got.n_subjects == n and abs(got.likeness - want) < 1e-9
 
 
 def test_three_alike_and_one_apart(spark):
@@ -55,7 +106,7 @@ def test_three_alike_and_one_apart(spark):
     iocs = spark.createDataFrame([(f"e{k}", "hash", "ff") for k in range(3)] + [("e9", "hash", "00")], "email_id string, kind string, value string")
     resolves = spark.createDataFrame([("bad.example", "198.51.100.7")], "domain string, ip string")
     ready = c.indicator_rows(mails, iocs, resolves)
-    scores = {(r.a, r.b): r.score for r in c.similar_pairs(ready, 0.1, allow_cartesian=True).collect()}
+    scores = {(r.a, r.b): r.score for r in c.similar_pairs(ready, 0.16).collect()}
     assert all(scores[p] >= 0.70 for p in (("e0", "e1"), ("e0", "e2"), ("e1", "e2"))) and scores.get(("e0", "e9"), 0) < 0.25
     members = c.members(ready)
     assert {r.email_id for r in members.collect()} == {"e0", "e1", "e2"}
