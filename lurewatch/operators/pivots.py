@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,49 +25,84 @@ def _with(base: DataFrame, key: str, *parts: DataFrame) -> DataFrame:
     return base
 
 
-def _strength(**steps: float) -> Column:
-    return F.least(F.lit(1.0), sum((F.size(c) * w for c, w in steps.items()), F.lit(0.0)))
-
-
 def _mails_of_domains(edges: DataFrame) -> DataFrame:
     return _rel(edges, ("SENT_FROM", "CONTAINS_DOMAIN"), "email", "domain").distinct()
 
 
+def _through(pairs: DataFrame, key: str, links: DataFrame, to: str) -> DataFrame:
+    """``pairs`` whose ``key`` is replaced by what it is linked with in ``links(key, to)``; a key that holds most pairs, such as a mail provider, is salted."""
+    sizes = pairs.groupBy(key).agg(F.count("*").alias("size"))
+    lists = links.groupBy(key).agg(F.collect_set(to).alias("list")).join(sizes, key)
+    rest = [c for c in pairs.columns if c != key]
+    return attach(pairs, lists, key, "size", F.struct(*rest)).select(F.explode("list").alias(to), *rest)
+
+
+def _members(entity: str, **parts: DataFrame) -> DataFrame:
+    """Distinct ``(entity, kind, value)`` of tables that hold the entity and one other column."""
+    each = [p.select(F.col(entity), F.lit(kind).alias("kind"), F.col([c for c in p.columns if c != entity][0]).alias("value")) for kind, p in parts.items()]
+    return reduce(DataFrame.unionByName, each).distinct()
+
+
+def ip_members(edges: DataFrame) -> DataFrame:
+    """``(ip, kind, value)``: the domains, emails, campaigns and ASNs of each address."""
+    resolve = _rel(edges, ("RESOLVES_TO",), "domain", "ip").distinct()
+    return _members("ip", domain=resolve, email=_through(_mails_of_domains(edges), "domain", resolve, "ip"), campaign=_rel(edges, ("USES_IP",), "campaign", "ip"), asn=_rel(edges, ("BELONGS_TO_ASN",), "ip", "asn"))
+
+
+def domain_members(edges: DataFrame) -> DataFrame:
+    """``(domain, kind, value)``: addresses, URLs, emails and campaigns."""
+    return _members("domain", ip=_rel(edges, ("RESOLVES_TO",), "domain", "ip"), url=_rel(edges, ("HOSTED_ON_DOMAIN",), "url", "domain"), email=_mails_of_domains(edges), campaign=_rel(edges, ("USES_DOMAIN",), "campaign", "domain"))
+
+
+def hash_members(edges: DataFrame) -> DataFrame:
+    """``(hash, kind, value)``: emails and campaigns."""
+    return _members("hash", email=_rel(edges, ("CONTAINS_HASH",), "email", "hash"), campaign=_rel(edges, ("USES_HASH",), "campaign", "hash"))
+
+
+def asn_members(edges: DataFrame) -> DataFrame:
+    """``(asn, kind, value)``: addresses, domains and emails."""
+    owned = _rel(edges, ("BELONGS_TO_ASN",), "ip", "asn").distinct()
+    resolve = _rel(edges, ("RESOLVES_TO",), "domain", "ip").distinct()
+    domains = _through(resolve, "ip", owned, "asn").distinct()
+    return _members("asn", ip=owned, domain=domains, email=_through(_mails_of_domains(edges), "domain", domains, "asn"))
+
+
+def _counted(base: DataFrame, entity: str, members: DataFrame, *kinds: str) -> DataFrame:
+    """Per entity of ``base`` the number of its distinct members of each kind, added up where they are before anything is shuffled."""
+    counts = members.groupBy(entity).agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in kinds))
+    return base.select(entity).distinct().join(counts, entity, "left").fillna(0, [f"n_{k}s" for k in kinds])
+
+
+def _strength(**steps: float) -> Column:
+    return F.least(F.lit(1.0), sum((F.col(f"n_{c}") * w for c, w in steps.items()), F.lit(0.0)))
+
+
 def ip_pivot(edges: DataFrame) -> DataFrame:
-    """Per address its domains, emails, campaigns, ASN and strength (at least 0.2)."""
-    resolve = _rel(edges, ("RESOLVES_TO",), "domain", "ip")
-    mails = resolve.join(_mails_of_domains(edges), "domain")
-    parts = [_sets(resolve, "ip", "domain", "domains"), _sets(mails, "ip", "email", "emails"), _sets(_rel(edges, ("USES_IP",), "campaign", "ip"), "ip", "campaign", "campaigns"), _sets(_rel(edges, ("BELONGS_TO_ASN",), "ip", "asn"), "ip", "asn", "asns")]
-    out = _with(resolve.select("ip").distinct(), "ip", *parts)
+    """Per address its number of domains, emails, campaigns and ASNs, and strength (at least 0.2); ``ip_members`` lists them."""
+    out = _counted(_rel(edges, ("RESOLVES_TO",), "domain", "ip"), "ip", ip_members(edges), "domain", "email", "campaign", "asn")
     return out.withColumn("strength", F.greatest(F.lit(0.2), _strength(domains=0.25, emails=0.1, campaigns=0.35)))
 
 
 def domain_pivot(edges: DataFrame) -> DataFrame:
     """J24."""
-    base = edges.filter("dst_label = 'Domain'").select(F.col("dst_key").alias("domain")).unionByName(edges.filter("src_label = 'Domain'").select(F.col("src_key").alias("domain"))).distinct()
-    parts = [_sets(_rel(edges, ("RESOLVES_TO",), "domain", "ip"), "domain", "ip", "ips"), _sets(_rel(edges, ("HOSTED_ON_DOMAIN",), "url", "domain"), "domain", "url", "urls"), _sets(_mails_of_domains(edges), "domain", "email", "emails"), _sets(_rel(edges, ("USES_DOMAIN",), "campaign", "domain"), "domain", "campaign", "campaigns")]
-    return _with(base, "domain", *parts).withColumn("strength", F.greatest(F.lit(0.2), _strength(ips=0.3, emails=0.15, campaigns=0.35)))
+    base = edges.filter("dst_label = 'Domain'").select(F.col("dst_key").alias("domain")).unionByName(edges.filter("src_label = 'Domain'").select(F.col("src_key").alias("domain")))
+    return _counted(base, "domain", domain_members(edges), "ip", "url", "email", "campaign").withColumn("strength", F.greatest(F.lit(0.2), _strength(ips=0.3, emails=0.15, campaigns=0.35)))
 
 
 def hash_pivot(edges: DataFrame) -> DataFrame:
     """J25."""
-    held = _rel(edges, ("CONTAINS_HASH",), "email", "hash")
-    parts = [_sets(held, "hash", "email", "emails"), _sets(_rel(edges, ("USES_HASH",), "campaign", "hash"), "hash", "campaign", "campaigns")]
-    return _with(held.select("hash").distinct(), "hash", *parts).withColumn("strength", _strength(emails=0.3, campaigns=0.4))
+    return _counted(_rel(edges, ("CONTAINS_HASH",), "email", "hash"), "hash", hash_members(edges), "email", "campaign").withColumn("strength", _strength(emails=0.3, campaigns=0.4))
 
 
 def asn_pivot(edges: DataFrame) -> DataFrame:
-    """Per ASN its addresses, domains and emails."""
-    owned = _rel(edges, ("BELONGS_TO_ASN",), "ip", "asn")
-    domains = owned.join(_rel(edges, ("RESOLVES_TO",), "domain", "ip"), "ip")
-    mails = domains.join(_mails_of_domains(edges), "domain")
-    return _with(owned.select("asn").distinct(), "asn", _sets(owned, "asn", "ip", "ips"), _sets(domains, "asn", "domain", "domains"), _sets(mails, "asn", "email", "emails"))
+    """Per ASN its number of addresses, domains and emails."""
+    return _counted(_rel(edges, ("BELONGS_TO_ASN",), "ip", "asn"), "asn", asn_members(edges), "ip", "domain", "email")
 
 
 def clusters(edges: DataFrame, limit: int = 20) -> DataFrame:
     """Addresses with two domains or emails or more, the largest first."""
-    out = ip_pivot(edges).filter((F.size("domains") >= 2) | (F.size("emails") >= 2))
-    out = out.select("ip", F.size("domains").alias("n_domains"), F.size("emails").alias("n_emails"), "campaigns", _strength(domains=0.3, emails=0.15, campaigns=0.35).alias("strength"))
+    out = ip_pivot(edges).filter((F.col("n_domains") >= 2) | (F.col("n_emails") >= 2))
+    out = out.select("ip", "n_domains", "n_emails", "n_campaigns", _strength(domains=0.3, emails=0.15, campaigns=0.35).alias("strength"))
     return out.orderBy(F.desc("n_domains"), F.desc("n_emails"), "ip").limit(limit)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lurewatch.operators import campaigns as c
 from lurewatch.operators import evaluation as ev
 from lurewatch.operators import graph as g
+from lurewatch.operators import pivots
 from lurewatch.operators import tables
 from lurewatch.operators.components import components
 from lurewatch.plans import fixtures
@@ -168,3 +169,70 @@ def test_machine_local_folders_are_refused_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         tables.shared_dir(Session())
+
+
+def hub_graph(spark, n):
+    """One domain of n emails, resolved to two addresses of one network; some emails of their own domain."""
+    email = F.concat(F.lit("e"), F.col("id").cast("string"))
+    edge = lambda src, a, rel, dst, b: (F.lit(src).alias("src_label"), a.alias("src_key"), F.lit(rel).alias("rel"), F.lit(dst).alias("dst_label"), b.alias("dst_key"))
+    ids = spark.range(n)
+    out = ids.select(*edge("Email", email, "SENT_FROM", "Domain", F.lit("hub.example")))
+    out = out.unionByName(ids.filter("id % 100 = 0").select(*edge("Email", email, "CONTAINS_DOMAIN", "Domain", F.concat(F.lit("d"), F.col("id").cast("string")))))
+    some = [("Domain", "hub.example", "RESOLVES_TO", "IP", "i1"), ("Domain", "hub.example", "RESOLVES_TO", "IP", "i2"), ("Domain", "d0", "RESOLVES_TO", "IP", "i1"), ("IP", "i1", "BELONGS_TO_ASN", "ASN", "1"), ("IP", "i2", "BELONGS_TO_ASN", "ASN", "1"), ("Campaign", "c", "USES_IP", "IP", "i1"), ("Email", "e1", "CONTAINS_HASH", "Hash", "h"), ("Email", "e2", "CONTAINS_HASH", "Hash", "h"), ("Campaign", "c", "USES_HASH", "Hash", "h")]
+    return tables.written(out.unionByName(spark.createDataFrame(some, out.schema)), "hub-edges")
+
+
+def test_pivots_of_a_mail_provider(spark):
+    """A domain of 200,000 emails: right numbers, all members listed, and no row that grows with them."""
+    n = 200_000
+    edges = hub_graph(spark, n)
+    ips = {r.ip: r for r in pivots.ip_pivot(edges).collect()}
+    assert (ips["i1"].n_domains, ips["i1"].n_emails, ips["i1"].n_campaigns, ips["i1"].n_asns, ips["i1"].strength) == (2, n, 1, 1, 1.0) and (ips["i2"].n_domains, ips["i2"].n_emails) == (1, n)
+    domains = {r.domain: r for r in pivots.domain_pivot(edges).collect()}
+    assert domains["hub.example"].n_emails == n and domains["hub.example"].n_ips == 2 and domains["d100"].n_emails == 1 and domains["d100"].strength == 0.2
+    (asn,) = pivots.asn_pivot(edges).collect()
+    assert (asn.n_ips, asn.n_domains, asn.n_emails) == (2, 2, n)
+    (held,) = pivots.hash_pivot(edges).collect()
+    assert (held.n_emails, held.n_campaigns, round(held.strength, 6)) == (2, 1, 1.0)
+    members = pivots.ip_members(edges)
+    assert members.filter("ip = 'i2' AND kind = 'email'").count() == n and members.select(F.max(F.length(F.to_json(F.struct(*members.columns))))).first()[0] < 200
+    assert [(r.ip, r.n_emails) for r in pivots.clusters(edges, 1).collect()] == [("i1", n)]
+
+
+def test_neighbourhoods_are_bounded(spark):
+    """Against a search by hand: nodes with few neighbours first, at most so many, and the edges between them."""
+    rng = random.Random(12)
+    rows = {("Email", f"e{rng.randrange(30)}", "SENT_FROM", "Domain", f"d{rng.randrange(12)}") for _ in range(60)} | {("Domain", f"d{k}", "RESOLVES_TO", "IP", f"i{k % 3}") for k in range(12)} | {("Email", f"e{k}", "CONTAINS_DOMAIN", "Domain", "d0") for k in range(30)}
+    edges = spark.createDataFrame(sorted(rows), "src_label string, src_key string, rel string, dst_label string, dst_key string")
+    near = {}
+    for a, b, _, c_, d in rows:
+        near.setdefault((a, b), set()).add((c_, d))
+        near.setdefault((c_, d), set()).add((a, b))
+
+    def search(centre, depth, limit):
+        seen = {centre: 0}
+        for step in range(1, depth + 1):
+            found = {x for n, k in seen.items() if k == step - 1 for x in near.get(n, ())} - set(seen)
+            for x in sorted(found, key=lambda x: (len(near[x]), x))[: limit - len(seen)]:
+                seen[x] = step
+        return seen
+
+    for depth, limit in ((2, 50), (2, 6), (4, 12), (1, 1), (9, 500)):
+        centres = [("Email", f"e{k}") for k in range(0, 30, 5)] + [("IP", "i0"), ("Email", "nobody")]
+        nodes, inside = pivots.neighbourhood(edges, spark.createDataFrame(centres, "label string, key string"), depth, limit)
+        want = {f"{a}:{b}": search((a, b), min(depth, 4), min(limit, 100)) for a, b in centres}
+        got = {}
+        for r in nodes.collect():
+            got.setdefault(r.centre, {})[r.label, r.key] = r.distance
+        assert got == want
+        links = {(r.centre, r.src_label, r.src_key, r.rel, r.dst_label, r.dst_key) for r in inside.collect()}
+        assert links == {(k, *e) for k, seen in want.items() for e in rows if (e[0], e[1]) in seen and (e[3], e[4]) in seen and min(seen[e[0], e[1]], seen[e[3], e[4]]) <= min(depth, 4) - 1}
+
+
+def test_neighbourhoods_around_a_hub(spark):
+    """Many centres that all reach one hub: each takes its share, and no join copies the hub's list for each of them."""
+    edges = hub_graph(spark, 20_000)
+    centres = spark.range(0, 20_000, 20).select(F.lit("Email").alias("label"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("key"))
+    nodes, inside = pivots.neighbourhood(edges, centres)
+    assert nodes.groupBy("centre").count().agg(F.max("count"), F.min("count"), F.count("*")).first()[:] == (50, 50, 1000)
+    assert inside.count() >= 1000 * 49
