@@ -6,10 +6,9 @@ bounds that follow from the sizes keep the product small and lose nothing:
 * a set of n shingles needs at least ``o = ceil(n * PERCENT / 100)`` of them in any
   partner, so in one order of all shingles, linked sets share one of their first
   ``n - o + 1``: only these columns of the incidence matrix are multiplied;
-* of a shingle of the first ones, what the partner holds lies among the partner's
-  first ones unless the partner's end before it.  So with s shared first ones at
-  most ``s + max(rest_a, rest_b)`` shingles are common, and pairs whose overlap
-  count s leaves less than ``PERCENT * (n_a + n_b) / (100 + PERCENT)`` are discarded.
+* linked sets of n_a and n_b shingles share ``PERCENT * (n_a + n_b) / (100 + PERCENT)``
+  of them, so m of the first ``n - o + m`` of each, for that o and any m: pairs with
+  a smaller overlap count are discarded.
 
 Rare shingles come first: the order is that of a table of CELLS counts of hashed
 shingles, then the hash.  The table's size doesn't grow; it only moves work.
@@ -180,39 +179,51 @@ def _open(shared: Column, n_x: str, n_y: str) -> Column:
 
 
 def product(entries: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ``entries(key, rep, n, team)`` whose overlap counts leave a link possible; none within a team."""
+    """Pairs ``(a, b)`` of ``entries(key, rep, n, pos, team)`` whose overlap counts leave a link possible; none within a team.
+
+    Linked sets share at least o shingles, so of the first ``n - o + m`` of each they
+    share m.  Half of the largest m that the first ones allow is asked for: fewer
+    products than with all of it, and far fewer pairs than with one.
+    """
     left, right, meet = pair_chunks(entries, "key", "rep", CHUNK)
-    met = left.join(right, meet & (F.col("team_x") != F.col("team_y")) & _fits("n_x", "n_y"))
-    pairs = met.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("n_x", "n_y")).alias("n_a"), F.max(F.greatest("n_x", "n_y")).alias("n_b"))
-    return pairs.filter(_open(F.col("shared"), "n_a", "n_b")).select("a", "b")
+    o = F.expr(f"({PERCENT} * (n_x + n_y) + {99 + PERCENT}) div {100 + PERCENT}")
+    m = F.expr(f"(({PERCENT} * (n_x + n_y) + {99 + PERCENT}) div {100 + PERCENT} - (greatest(n_x, n_y) * {PERCENT} + 99) div 100) div 2 + 1")
+    early = (F.col("pos_x") < F.col("n_x") - o + m) & (F.col("pos_y") < F.col("n_y") - o + m)
+    met = left.join(right, meet & (F.col("team_x") != F.col("team_y")) & _fits("n_x", "n_y") & early)
+    pairs = met.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(F.count("*").alias("shared"), F.min(m).alias("least"))
+    return pairs.filter("shared >= least").select("a", "b")
 
 
 def _teams(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(rep, team)``: sets of hot columns and another set each that they may be linked with."""
-    hot = written(entries.filter(F.col("n_sets") > HOT).select("key", "rep", "n"), "ngram-hot")
-    teams = hot.sparkSession.createDataFrame([], "rep long, team long")
-    firsts = lambda side: sets.select(F.col("rep").alias(side), F.col("firsts").alias(f"firsts_{side}"))
+    """``(rep, team)``: sets of hot columns and another set each that they may be linked with.
+
+    A column's leader is the set that has most hot columns among its first ones: a
+    text that others were made from has more of them than its changed copies, whose
+    own shingles are rare.
+    """
+    hot = entries.filter(F.col("n_sets") > HOT).select("key", "rep", "n")
+    hot = written(hot.join(hot.groupBy("rep").agg(F.count("*").alias("n_hot")), "rep"), "ngram-hot")
+    teams, firsts = None, lambda side: sets.select(F.col("rep").alias(side), F.col("firsts").alias(f"firsts_{side}"))
     for k in range(ROUNDS):
-        now = hot.join(teams, "rep", "left_anti")
-        leaders = now.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.xxhash64(F.lit(k), F.col("rep"))).alias("l"), F.count("*").alias("size")).filter("size > 1")
-        if leaders.isEmpty():
-            break
+        now = hot if teams is None else hot.join(teams, "rep", "left_anti")
+        order = F.struct(-F.col("n_hot"), F.xxhash64(F.lit(k), F.col("rep")))
+        leaders = now.groupBy("key").agg(F.min_by(F.struct("rep", "n"), order).alias("l"), F.count("*").alias("size")).filter("size > 1")
         star = attach(now, leaders, "key", "size", F.col("rep")).filter("rep <> l.rep").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
-        star = star.filter(_fits("n_a", "n_b")).distinct()
+        star = written(star.filter(_fits("n_a", "n_b")).distinct(), "ngram-star")
         sizes = star.groupBy("a").agg(F.count("*").alias("size"))
         both = attach(star.join(firsts("b"), "b"), firsts("a").join(sizes, "a"), "a", "size", F.col("b"))
-        near = both.filter(_open(F.size(F.array_intersect("firsts_a", "firsts_b")), "n_a", "n_b"))
-        teams = written(teams.unionByName(near.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("team"))), "ngram-teams")
+        near = both.filter(_open(F.size(F.array_intersect("firsts_a", "firsts_b")), "n_a", "n_b")).groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("team"))
+        teams = written(near if teams is None else teams.unionByName(near), "ngram-teams")
     return teams
 
 
 def candidates(sets: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of sets, whose components hold every link."""
-    keyed = sets.select("rep", "n", F.explode("firsts").alias("key"))
+    keyed = sets.select("rep", "n", F.posexplode("firsts").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n_sets")).filter("n_sets > 1")
     entries = written(keyed.join(shared, "key"), "ngram-entries")
     teams = _teams(entries, sets)
-    teamed = entries.join(teams, "rep", "left").select("key", "rep", "n", F.coalesce("team", "rep").alias("team"))
+    teamed = entries.join(teams, "rep", "left").select("key", "rep", "n", "pos", F.coalesce("team", "rep").alias("team"))
     mixed = teamed.groupBy("key").agg(F.min("team").alias("low"), F.max("team").alias("high")).filter("low < high").select("key")
     pairs = product(written(teamed.join(mixed, "key"), "ngram-teamed"))
     return pairs.unionByName(teams.select(F.col("rep").alias("a"), F.col("team").alias("b")))

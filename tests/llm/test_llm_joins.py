@@ -99,7 +99,7 @@ def test_op11_product_keeps_every_link(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     _, sets = ngram_join.classes(docs)
     reps = {r.rep for r in sets.collect()}
-    pairs = {(r.a, r.b) for r in ngram_join.product(sets.select(F.explode("firsts").alias("key"), "rep", "n", F.col("rep").alias("team"))).collect()}
+    pairs = {(r.a, r.b) for r in ngram_join.product(sets.select(F.posexplode("firsts").alias("pos", "key"), "rep", "n", F.col("rep").alias("team"))).collect()}
     sets = {i: shingle_set(texts[i]) for i in reps}
     linked = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
     assert linked and linked <= pairs and len(pairs) <= 3 * len(linked)
