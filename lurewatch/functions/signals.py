@@ -7,7 +7,7 @@ from_address, display_name, to ARRAY, reply_to, return_path, reply_to_mismatch,
 ``hops ARRAY<STRUCT<hop, from_host, from_ip, by_host, protocol, delay_s, ts, flags>>``, ``urls ARRAY<STRUCT<url, domain, defanged, source, suspicious>>``,
 ``domains ARRAY<STRUCT<domain, homoglyph, typosquat>>``, ``ips ARRAY<STRING>``, ``attachments ARRAY<STRUCT<filename, content_type, size, sha256, executable, archive, office>>``,
 ``origin STRUCT<ip, asn, org, isp, country, city, cloud, vpn, tor>``, ``model STRUCT<label, confidence>``,
-``abuse STRUCT<status, score>``, ``link_hits, link_seen, file_hits, file_seen, sandbox_hits INT`` (confirmed and answered look-ups).
+``abuse STRUCT<status, score>``, optionally ``assessment STRUCT<status, label, confidence>``, ``link_hits, link_seen, file_hits, file_seen, sandbox_hits INT`` (confirmed and answered look-ups).
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ POINTS = {
     "spf_fail": 15, "spf_softfail": 8, "dkim_fail": 15, "dmarc_fail": 15, "reply_to_mismatch": 10, "return_path_mismatch": 8, "display_name_spoofing": 12, "spam_flagged": 12, "high_priority": 5,
     "suspicious_url": 10, "homoglyph_domain": 12, "typosquat_domain": 12, "executable_attachment": 20, "model_threat": 20, "model_spam": 15, "content_urgency": 8, "credential_prompt": 10,
     "tor_exit": 15, "vpn": 8, "abuse_malicious": 15, "abuse_suspicious": 8, "link_verdict": 20, "file_verdict": 20, "sandbox_verdict": 15,
+    "assessment_sure": 15, "assessment_other": 10,
 }
+ASSESSED, ASSESSED_SURE, SURE_LEAST = ("phishing", "bec", "malware", "social_engineering", "suspicious"), ("phishing", "malware"), 0.8
 MOST_URL_POINTS, MODEL_LEAST, SPAM_SCORE_LEAST, SOURCES = 20, 0.6, 5.0, 6
 VERDICTS = {
     "critical_malicious": "CRITICAL RISK - CONFIRMED MALICIOUS INDICATORS", "critical_other": "CRITICAL RISK - MULTIPLE AUTH & INFRASTRUCTURE ANOMALIES",
@@ -116,8 +118,17 @@ def _factor(when: Column, name: str, category: str, points=None) -> Column:
     return F.when(_is(when) & (points > 0), F.struct(F.lit(name).alias("factor"), F.lit(category).alias("category"), points.cast("int").alias("points")))
 
 
-def score_factors(credential_hits: Column | None = None) -> Column:
-    """Array of struct(factor, category, points) in order; ``credential_hits`` (H1) is off unless given."""
+def _assessed(column: str) -> tuple[Column, Column]:
+    """Whether a supporting assessment, struct(status, label, confidence), calls the mail a threat, and whether it is sure; confidences over 1 are per cent."""
+    label, conf = F.lower(_C(column)["label"]), _C(column)["confidence"]
+    conf = F.when(conf > 1, conf / 100).otherwise(conf)
+    threat = _is((_C(column)["status"] == "available") & label.isin(*ASSESSED))
+    return threat, threat & _is(label.isin(*ASSESSED_SURE) & (conf >= SURE_LEAST))
+
+
+def score_factors(credential_hits: Column | None = None, assessment: str | None = None) -> Column:
+    """Array of struct(factor, category, points) in order; ``credential_hits`` (H1) and the column of a supporting ``assessment`` are off unless given."""
+    threat, certain = _assessed(assessment) if assessment else (F.lit(False), F.lit(False))
     conf, label = _C("model.confidence"), _C("model.label")
     sure = _is(conf >= MODEL_LEAST)
     share = lambda name: F.least(F.lit(float(POINTS[name])), F.bround(conf * POINTS[name]))
@@ -139,13 +150,14 @@ def score_factors(credential_hits: Column | None = None) -> Column:
         _factor(worst, "abuse_malicious", "origin"), _factor(odd, "abuse_suspicious", "origin"),
         _factor(_C("link_hits") > 0, "link_verdict", "threat_intel"), _factor(_C("file_hits") > 0, "file_verdict", "threat_intel"),
         _factor((_C("sandbox_hits") > 0) & ~_is(_C("link_hits") > 0), "sandbox_verdict", "threat_intel"),
+        _factor(certain, "assessment_sure", "threat_intel"), _factor(threat & ~certain, "assessment_other", "threat_intel"),
     )
 
 
-def telemetry_confidence() -> Column:
-    """Answered sources of six, between 0.2 and 1, rounded to 2 digits."""
+def telemetry_confidence(assessment: str | None = None) -> Column:
+    """Answered sources, a supporting assessment of a threat among them, by six, between 0.2 and 1, rounded to 2 digits."""
     told = F.lower(_C("abuse.status")).isin("available", "confirmed_malicious", "suspicious")
-    answers = (_C("spf").isin("pass", "fail", "softfail"), _C("dkim").isin("pass", "fail"), _C("dmarc").isin("pass", "fail"), told, (_C("link_hits") > 0) | (_C("link_seen") > 0), (_C("file_hits") > 0) | (_C("file_seen") > 0))
+    answers = (_C("spf").isin("pass", "fail", "softfail"), _C("dkim").isin("pass", "fail"), _C("dmarc").isin("pass", "fail"), told, (_C("link_hits") > 0) | (_C("link_seen") > 0), (_C("file_hits") > 0) | (_C("file_seen") > 0), *([_assessed(assessment)[0]] if assessment else []))
     return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.2), sum((_is(a).cast("int") for a in answers), F.lit(0)) / SOURCES)), 2)
 
 
@@ -174,10 +186,10 @@ def actions(risk: Column, factors: Column) -> Column:
     return F.when(risk.isin("CRITICAL", "HIGH"), urgent).when(risk == "MEDIUM", some).otherwise(F.array(F.lit("no action needed"), F.lit("usual care with links and attachments")))
 
 
-def explained(factors: Column) -> dict[str, Column]:
+def explained(factors: Column, assessment: str | None = None) -> dict[str, Column]:
     """G3-G6 from a column of ``score_factors``: risk_score, risk_level, telemetry, verdict, actions."""
     total = F.least(F.lit(100), F.aggregate(factors, F.lit(0), lambda a, f: a + f["points"]))
-    return {"risk_score": total, "risk_level": level(total), "telemetry": telemetry_confidence(), "verdict": verdict(level(total), factors), "actions": actions(level(total), factors)}
+    return {"risk_score": total, "risk_level": level(total), "telemetry": telemetry_confidence(assessment), "verdict": verdict(level(total), factors), "actions": actions(level(total), factors)}
 
 
 def timeline() -> Column:

@@ -112,6 +112,21 @@ def payload_graph(payloads: DataFrame, order: Column) -> tuple[DataFrame, DataFr
     return nodes, reduce(DataFrame.unionByName, parts).distinct()
 
 
+def payload_tables(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What campaigns are computed from, out of payloads in the standard form (one for each email): emails, ``iocs(email_id, kind, value)`` and ``resolves(domain, ip)``.
+
+    A URL's value is its hash, as in the graph.
+    """
+    e, none = F.col("email"), F.lit(None).cast("int")
+    status = lambda k: norm.auth_status(F.col(f"authentication.{k}")).alias(k)
+    sender = F.coalesce(F.nullif(norm.domain(e["sender_domain"]), F.lit("")), norm.address_domain(e["sender"]))
+    emails = payloads.select(e["email_id"].alias("email_id"), e["subject"].alias("subject"), sender.alias("sender_domain"), norm.timestamp(e["timestamp"]).alias("ts"), *map(status, ("spf", "dkim", "dmarc")), F.col("detection.classification").alias("classification"), norm.score(F.col("detection.risk_score")).alias("risk_score"))
+    _, edges = payload_graph(payloads, none)
+    kind = F.when(F.col("rel") == "CONTAINS_DOMAIN", "domain").when(F.col("rel") == "CONTAINS_URL", "url").when(F.col("rel") == "CONTAINS_HASH", "hash")
+    iocs = edges.select(F.col("src_key").alias("email_id"), kind.alias("kind"), F.col("dst_key").alias("value")).filter("kind IS NOT NULL")
+    return emails, iocs, edges.filter("rel = 'RESOLVES_TO'").select(F.col("src_key").alias("domain"), F.col("dst_key").alias("ip"))
+
+
 def upsert_edges(stored: DataFrame | None, batch: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges whose two ends exist."""
     all_ = batch if stored is None else stored.unionByName(batch)

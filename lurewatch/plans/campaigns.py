@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import campaigns as c
-from ..operators.tables import written
+from ..operators.graph import payload_tables
+from ..operators.tables import work_path, written
+from ..sources.readers import PAYLOAD, repaired
+from ..streaming.ingest import ingest_batch
+from ..streaming.store import GraphStore
 from .fixtures import BASE_SQL, emails, iocs, resolves
 
 
@@ -42,6 +46,33 @@ def j13_campaigns(spark, sf_dir):
     return found.withColumns({k: F.round(k, 6) for k in ("mean_risk", "confidence")})
 
 
+def payload_documents(spark, sf_dir) -> DataFrame:
+    """Each email as an ingest payload in JSON: json."""
+    mails = written(emails(spark, sf_dir).drop("body"), "mails")
+    held = iocs(mails).groupBy("email_id").agg(*(F.collect_list(F.when(F.col("kind") == k, F.struct(F.col("value")))).alias(f"{k}s") for k in ("domain", "url")), F.collect_list(F.when(F.col("kind") == "hash", F.struct(F.col("value")))).alias("hashes"))
+    rows = mails.join(held, "email_id", "left").join(resolves(mails).withColumnRenamed("domain", "sender_domain"), "sender_domain", "left")
+    email = F.struct("email_id", "subject", "sender", "sender_domain", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+    found = F.struct("domains", "urls", "hashes", F.when(F.col("ip").isNotNull(), F.create_map("ip", "sender_domain")).alias("ip_domain_mapping"))
+    return rows.select(F.to_json(F.struct(email.alias("email"), F.struct("spf", "dkim", "dmarc").alias("authentication"), found.alias("iocs"), F.struct("classification", "risk_score", F.lit(0.9).alias("confidence")).alias("detection"))).alias("json"))
+
+
+def k1_payloads_to_campaigns(spark, sf_dir):
+    """JSON payloads, repaired and normalised, to graph tables and campaigns in one job."""
+    payloads = payload_documents(spark, sf_dir).select(F.from_json("json", PAYLOAD).alias("p")).select("p.*")
+    rows = written(c.indicator_rows(*payload_tables(written(repaired(payloads), "payloads"))), "indicator-rows")
+    return c.members(rows)
+
+
+def k1_stored_graph(spark, sf_dir):
+    """The edges of the keyed store after the payloads came in three batches, the second of them twice."""
+    payloads = payload_documents(spark, sf_dir).select(F.from_json("json", PAYLOAD).alias("p"), F.pmod(F.xxhash64("json"), F.lit(3)).alias("batch")).select("p.*", "batch")
+    payloads = written(payloads, "payloads")
+    store = GraphStore(spark, work_path(spark, "graph-store"), buckets=16)
+    for batch in (0, 1, 1, 2):
+        ingest_batch(store, payloads.filter(F.col("batch") == batch).drop("batch").withColumn("place", F.lit(0)), batch)
+    return store.edges().select("src_label", "src_key", "rel", "dst_label", "dst_key")
+
+
 def j14_campaign_edges(spark, sf_dir):
     return c.campaign_edges(*_both(spark, sf_dir))
 
@@ -79,7 +110,7 @@ def j22_campaign_report(spark, sf_dir):
     return c.report(*_both(spark, sf_dir)).select(*kept).withColumn("attribution", F.round("attribution", 6)).withColumns({k: F.round(k, 6) for k in kept[2:6]})
 
 
-QUERIES = {f.__name__: f for f in (j13_campaigns, j9_indicator_rows, j10_pair_similarity, j11_similar_pairs, j11_low_threshold, j12_components, j14_campaign_edges, j15_campaign_details, j16_telemetry, j20_subject_likeness, j21_confidence, j21_evidence, j22_campaign_report)}
+QUERIES = {f.__name__: f for f in (j13_campaigns, j9_indicator_rows, j10_pair_similarity, j11_similar_pairs, j11_low_threshold, j12_components, k1_payloads_to_campaigns, k1_stored_graph, j14_campaign_edges, j15_campaign_details, j16_telemetry, j20_subject_likeness, j21_confidence, j21_evidence, j22_campaign_report)}
 
 _ROWS = """
 contained AS (SELECT i.email_id, list(DISTINCT r.ip) FILTER (r.ip IS NOT NULL) AS own, bool_or(r.ip IS NULL) AS open FROM iocs i LEFT JOIN resolves r ON r.domain = i.value WHERE i.kind = 'domain' GROUP BY 1),
@@ -162,6 +193,15 @@ SQL = {
     "j10_pair_similarity": f"{_R} SELECT a, b, round(ioc, 6) AS ioc, round(infra, 6) AS infra, round(subject, 6) AS subject, round(temporal, 6) AS temporal, round(behaviour, 6) AS behaviour FROM pairs",
     "j11_similar_pairs": f"{_R} SELECT a, b, round(score, 6) AS score FROM pairs",
     "j11_low_threshold": f"{_R.replace('round(score, 3) >= 0.45', 'round(score, 3) >= 0.3')} SELECT a, b, round(score, 6) AS score FROM pairs",
+    "k1_payloads_to_campaigns": f"""{_M.replace("'url', url FROM emails", "'url', regexp_replace(regexp_replace(url, '#.*$', ''), '^([a-z]+://[^/?]*)([?]|$)', '\\1/\\2') FROM emails")} SELECT email_id, component, campaign_id FROM members""",
+    "k1_stored_graph": f"""{BASE_SQL}, u AS (SELECT email_id, value, regexp_replace(value, '#.*$', '') AS clean FROM iocs WHERE kind = 'url'),
+      v AS (SELECT email_id, regexp_replace(clean, '^([a-z]+://[^/?]*)([?]|$)', '\\1/\\2') AS url FROM u)
+      SELECT DISTINCT * FROM (
+        SELECT 'Email' AS src_label, email_id AS src_key, 'SENT_FROM' AS rel, 'Domain' AS dst_label, sender_domain AS dst_key FROM emails
+        UNION ALL SELECT 'Email', email_id, 'CONTAINS_' || upper(kind), CASE kind WHEN 'hash' THEN 'Hash' ELSE 'Domain' END, value FROM iocs WHERE kind <> 'url'
+        UNION ALL SELECT 'Email', email_id, 'CONTAINS_URL', 'URL', sha256(url) FROM v
+        UNION ALL SELECT 'URL', sha256(url), 'HOSTED_ON_DOMAIN', 'Domain', regexp_replace(regexp_extract(url, '^[a-z]+://([^/?:]*)', 1), '^www\\.', '') FROM v
+        UNION ALL SELECT 'Domain', domain, 'RESOLVES_TO', 'IP', ip FROM resolves)""",
     "j12_components": f"{_M} SELECT email_id, component FROM members",
     "j13_campaigns": f"{_M} SELECT campaign_id, email_count, first_seen, last_seen, round(mean_risk, 6) AS mean_risk, shared_domains, shared_ips, shared_urls, shared_hashes, round(confidence, 6) AS confidence, reasons FROM camp",
     "j14_campaign_edges": f"""{_M} SELECT 'Email' AS src_label, email_id AS src_key, 'MEMBER_OF' AS rel, 'Campaign' AS dst_label, campaign_id AS dst_key FROM members

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as sg
 from ..functions.scoring import techniques
+from ..operators import analysis as an
 from ..operators import authentication as au
 from ..operators import enrichment as en
 from .fixtures import table
@@ -402,3 +403,34 @@ def g17_graph_nodes(spark, sf_dir):
 @_query(f"{_GRAPH_SQL} SELECT DISTINCT email_id, source, target, rel FROM links")
 def g17_graph_links(spark, sf_dir):
     return _graph(spark, sf_dir).select("email_id", F.explode("links").alias("n")).select("email_id", "n.*")
+
+
+# ---- the whole job, from raw messages
+
+#: (condition, factor, points) of the derived messages; networks and reputations go by the last two numbers of the relay's address.
+_RULES = (
+    ("spf = 'fail'", "spf_fail", 15), ("spf = 'softfail'", "spf_softfail", 8), ("dkim = 'fail'", "dkim_fail", 15), ("dmarc = 'fail'", "dmarc_fail", 15), ("doc_id % 5 = 0", "reply_to_mismatch", 10), ("doc_id % 4 = 0", "return_path_mismatch", 8), ("doc_id % 4 = 1", "display_name_spoofing", 12),
+    ("spam_status LIKE 'Yes%' OR spam_header IS NOT NULL", "spam_flagged", 12), ("doc_id % 8 = 0", "high_priority", 5), ("kind = 1 AND doc_id % 5 = 0", "executable_attachment", 20), ("doc_id % 8 = 0", "content_urgency", 8), ("y % 50 = 0", "tor_exit", 15), ("k % 3 <> 0 AND k % 4 = 1", "vpn", 8),
+    ("y % 2 = 0 AND y % 101 >= 75", "abuse_malicious", 15), ("y % 2 = 0 AND y % 101 BETWEEN 25 AND 74", "abuse_suspicious", 8), ("doc_id % 10 = 7", "assessment_sure", 15), ("doc_id % 10 = 8", "assessment_other", 10),
+)
+
+
+@_query(f"""{MAIL_SQL}, r AS (SELECT email_id, doc_id, kind, hop_ip, spam_status, spam_header, doc_id % 250 AS k, doc_id % 200 AS y, spf, CASE WHEN kind = 2 THEN 'none' ELSE dkim END AS dkim, CASE WHEN kind = 2 THEN 'none' ELSE dmarc END AS dmarc, domain FROM mail)
+SELECT email_id, spf, dkim, dmarc, hop_ip AS origin_ip, CASE WHEN k % 3 <> 0 THEN concat('AS', k) ELSE 'AS9000' END AS asn, domain AS sender_domain, 3 AS n_hops, (kind = 1)::INT AS n_attachments,
+  list_filter([{", ".join(f"CASE WHEN {c} THEN '{f}' END" for c, f, _ in _RULES)}], lambda x: x IS NOT NULL) AS factors, ({" + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, _, p in _RULES)})::INT AS points,
+  round_even(least(1.0, greatest(0.2, ((spf IN ('pass', 'fail', 'softfail'))::INT + (dkim <> 'none')::INT + (dmarc <> 'none')::INT + (y % 2 = 0)::INT + (doc_id % 10 IN (7, 8))::INT) / 6.0)), 2)::DOUBLE AS telemetry FROM r""")
+def g_raw_to_verdict(spark, sf_dir):
+    """The points of all factors but the classifier's, whose features have queries of their own."""
+    mails = messages(spark, sf_dir)
+    y = F.split_part("ip", F.lit("."), F.lit(4)).cast("int")
+    ips = mails.select(F.col("hop_ip").alias("ip")).distinct()
+    abuse = ips.filter(y % 2 == 0).select("ip", (y % 101).cast("int").alias("abuse_score"), F.lit(3).alias("reports"), (y % 50 == 0).alias("tor"))
+    last = F.col("doc_id") % 10
+    told = mails.filter(last.isin(7, 8, 9)).select("email_id", F.when(last == 9, "error").otherwise("available").alias("status"), F.when(last == 7, "Malware").otherwise("suspicious").alias("label"), F.when(last == 7, 85.0).otherwise(0.9).alias("confidence"))
+    known = an.snapshots(spark, prefixes=_nets(spark, sf_dir), reputation=abuse, assessments=told)
+    found = an.analyze(mails.select("email_id", "content"), known, "2024-06-01T00:00:00Z")
+    rules = F.filter("factors", lambda f: ~f["factor"].startswith("model"))
+    return found.select(
+        "email_id", "spf", "dkim", "dmarc", "origin.ip", "origin.asn", "answer.sender_domain", F.size("hops").alias("n_hops"), F.size("attachments").alias("n_attachments"), F.transform(rules, lambda f: f["factor"]).alias("factors"),
+        F.aggregate(rules, F.lit(0), lambda a, f: a + f["points"]).alias("points"), "telemetry",
+    ).withColumnRenamed("ip", "origin_ip")
