@@ -9,6 +9,10 @@ from . import exact_dedup, filter_audit, language_model, mixing, near_dedup, ngr
 from .common import table
 
 
+#: Bytes of a shard of the query: small, so that small tables split, too.
+SHARD_LIMIT = 16 << 10
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +123,9 @@ SQL["op5_sharding"] = f"""
 WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, ('0x' || substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')))), 1, {sharding.BITS // 4}))::BIGINT AS h FROM documents),
 e AS (SELECT d.*, level, h >> ({sharding.BITS} - level) AS prefix FROM d, range(0, {sharding.BITS} + 1) AS r(level)),
 f AS (SELECT *, sum(bytes) OVER (PARTITION BY level, prefix) AS total FROM e),
-g AS (SELECT doc_id, bytes, h, coalesce(min(level) FILTER (total <= {sharding.LIMIT}), {sharding.BITS})::INT AS depth FROM f GROUP BY doc_id, bytes, h),
+g AS (SELECT doc_id, bytes, h, coalesce(min(level) FILTER (total <= {SHARD_LIMIT}), {sharding.BITS})::INT AS depth FROM f GROUP BY doc_id, bytes, h),
 s AS (SELECT *, substr(lpad(bin(h), {sharding.BITS}, '0'), 1, depth) AS shard FROM g)
-SELECT doc_id, bytes, shard, depth, count(*) OVER w AS shard_docs, CAST(sum(bytes) OVER w AS BIGINT) AS shard_bytes, sum(bytes) OVER w > {sharding.LIMIT} AS oversized FROM s WINDOW w AS (PARTITION BY shard)"""
+SELECT doc_id, bytes, shard, depth, count(*) OVER w AS shard_docs, CAST(sum(bytes) OVER w AS BIGINT) AS shard_bytes, sum(bytes) OVER w > {SHARD_LIMIT} AS oversized FROM s WINDOW w AS (PARTITION BY shard)"""
 
 SQL["op12_filter_audit"] = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),

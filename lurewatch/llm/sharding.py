@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name, written
+from .common import attach, own_name, written
 
 LIMIT = 8 << 20
 STEP = 14
@@ -73,7 +73,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = written(docs.select("doc_id", hash_bits(F.col("doc_id"), F.col("text")).alias("h"), size.alias("bytes")), "shard-rows")
     placed = directory(rows, limit)
     shards = placed.groupBy("shard").agg(F.count("*").alias("shard_docs"), F.sum("bytes").alias("shard_bytes"))
-    out = placed.join(shards, "shard")
+    out = attach(placed, shards.withColumn("size", F.col("shard_docs")), "shard", "size", F.col("h"))  # an oversized shard of repeated rows may hold any number
     return out.select("doc_id", "bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_docs", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
 
 

@@ -26,9 +26,9 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 #: The small labelled URL table: words of hosts, unwanted (1) and wanted (0); ordinary words, none of them a host of the given tables.
 UNWANTED_HOSTS = (
-    "spam-mails", "spam-kings", "bulk-spam", "pills-online", "diet-pills", "pills-shop", "casino-bonus", "free-casino", "vip-casino", "adult-cams", "adult-dating", "adults-only", "bet-now", "sports-bets", "live-bets",
-    "ads-server", "popup-ads", "ads-click", "xxx-videos", "win-prizes", "click-bait", "fake-watches", "payday-loans", "viagra-store", "lucky-slots", "hot-singles", "buy-followers", "crack-keygen", "malware-drop",
-    "phish-login", "miracle-diet", "get-rich-quick", "porn-tube", "seo-links",
+    "spam-mails", "pills-online", "casino-bonus", "adult-cams", "live-bets", "ads-server", "xxx-videos", "win-prizes", "click-bait", "fake-watches", "payday-loans", "viagra-store", "lucky-slots", "hot-singles", "buy-followers", "crack-keygen",
+    "malware-drop", "phish-login", "miracle-diet", "get-rich-quick", "porn-tube", "seo-links", "replica-bags", "crypto-doubler", "lottery-winner", "escort-agency", "warez-download", "torrent-leaks", "hacked-accounts", "steroid-market",
+    "pyramid-income", "trojan-update", "poker-jackpot", "essay-mill", "ringtone-trap", "secret-inheritance", "debt-eraser", "toolbar-bundle", "survey-reward", "clone-cards",
 )
 WANTED_HOSTS = (
     "news", "library", "museum", "university", "weather", "gardening", "recipes", "history", "science", "travel", "maps", "archive", "cityhall", "health", "school", "forum", "theatre", "river", "mountain", "orchestra",

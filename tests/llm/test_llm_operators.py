@@ -127,13 +127,29 @@ def test_op2_rules_and_model(spark):
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_op2_unseen_hosts(spark, size):
-    """None of the unwanted names of the pages stands in the labelled table; the rules are left out."""
+    """None of the unwanted names of the pages stands in the labelled table, which has one entry for each theme; the rules are left out."""
     got = queries.op2_url_filter(spark, f"/root/testdata/{size}").filter("rule IS NULL").collect()
     known = {*url_filter.UNWANTED_HOSTS, *url_filter.WANTED_HOSTS}
     assert not known & {part for r in got for part in r.host.split(".")}
     unwanted = [r.verdict for r in got if re.search("spam|pills|casino|bets|adult|ads-", r.host)]
     clean = [r.verdict for r in got if not re.search("spam|pills|casino|bets|adult|ads-", r.host)]
-    assert len(clean) > 5 and unwanted and clean.count("block") <= 0.01 * len(clean) and unwanted.count("block") >= 0.9 * len(unwanted)
+    assert len(clean) > 5 and unwanted and clean.count("block") <= 0.01 * len(clean) and unwanted.count("block") >= 0.6 * len(unwanted)
+
+
+STEMS = {"adult": "adult", "ads": "ads-", "casino": "casino", "pills": "pills", "bets": "bets", "spam": "spam"}
+
+
+def test_op2_leave_one_stem_out(spark):
+    """What a classifier that never saw a stem finds of it, and one that saw each stem once; the figures stand in the README."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    assert all(sum(stem.strip("-") in re.split("-", h) for h in url_filter.UNWANTED_HOSTS) == 1 for stem in STEMS.values())
+    for name, stem in {"nothing": "@", **STEMS}.items():
+        labelled = url_filter.labelled_urls(spark).filter(~F.col("url").contains(stem))
+        judged = url_filter.judge(pages, url_filter.train(labelled)).filter("rule IS NULL").collect()
+        own = [r.verdict == "block" for r in judged if re.search("spam|pills|casino|bets|adult|ads-" if stem == "@" else stem, r.host)]
+        clean = [r.verdict == "block" for r in judged if not re.search("spam|pills|casino|bets|adult|ads-", r.host)]
+        print(f"op2 without {name}: {sum(own)} of {len(own)} found, {sum(clean)} of {len(clean)} clean ones blocked")
+        assert sum(clean) <= 0.01 * len(clean) and (stem != "@" or sum(own) >= 0.8 * len(own))
 
 
 def test_op2_small_table(spark, data):
@@ -291,9 +307,15 @@ def test_op5_matches_sql(spark, data, monkeypatch):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
     columns = ["doc_id", "bytes", "shard", "depth", "shard_docs", "shard_bytes", "oversized"]
-    for limit in (sharding.LIMIT, 30_000):
+    for limit in (queries.SHARD_LIMIT, 30_000, 8 << 20):
         ours = sharding.assign(table(spark, data, "documents"), limit).select(columns).collect()
-        assert sorted(map(tuple, ours)) == sorted(con.sql(queries.SQL["op5_sharding"].replace(str(sharding.LIMIT), str(limit))).select(*columns).fetchall())
+        assert sorted(map(tuple, ours)) == sorted(con.sql(queries.SQL["op5_sharding"].replace(str(queries.SHARD_LIMIT), str(limit))).select(*columns).fetchall())
+
+
+def test_op5_query_splits_a_small_table(spark):
+    """Shards of several depths, over more than one step of the directory."""
+    got = queries.op5_sharding(spark, "/root/testdata/sf0.01").groupBy("shard", "depth").count().collect()
+    assert len(got) >= 100 and len({r.depth for r in got}) >= 4 and max(r.depth for r in got) > sharding.STEP
 
 
 def quality_counts(text):
@@ -545,9 +567,9 @@ def test_op10_held_out_accuracy(spark):
     """Trained on three quarters of the labelled documents of sf0.1, judged on the other quarter."""
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     rows = labels.withColumn("label", F.col("toxic"))
-    model = toxicity.train(docs, rows.filter("doc_id % 4 <> 0"))
+    model = toxicity.train(docs, rows.filter("doc_id % 4 <> 1"))  # 0.35 was chosen on those with 0
     assert (np.diff(model.thresholds) > 0).all()
-    judged = toxicity.judge(docs, model).withColumnRenamed("toxic", "found").join(labels, "doc_id").filter("doc_id % 4 = 0").collect()
+    judged = toxicity.judge(docs, model).withColumnRenamed("toxic", "found").join(labels, "doc_id").filter("doc_id % 4 = 1").collect()
     clean, toxic = ([r.found for r in judged if r.toxic == k] for k in (0, 1))
     print("op10 held out: toxic", len(toxic), "found", sum(toxic), "clean", len(clean), "found", sum(clean))
     assert len(toxic) >= 30 and sum(toxic) >= 0.8 * len(toxic)
@@ -555,8 +577,8 @@ def test_op10_held_out_accuracy(spark):
 
 
 def test_op10_leaves_clean_documents_alone(docs, labels):
-    model = toxicity.train(docs, labels.withColumn("label", F.col("toxic")).filter("doc_id % 4 <> 0"))
-    clean = [x for x in toxicity.judge(docs, model).withColumnRenamed("toxic", "found").join(labels, "doc_id").collect() if x.toxic == 0]
+    model = toxicity.train(docs, labels.withColumn("label", F.col("toxic")).filter("doc_id % 4 <> 1"))
+    clean = [x for x in toxicity.judge(docs, model).withColumnRenamed("toxic", "found").join(labels, "doc_id").filter("doc_id % 4 = 1").collect() if x.toxic == 0]
     assert sum(x.found for x in clean) <= 0.02 * len(clean)
 
 
