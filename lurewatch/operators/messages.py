@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ NAMED_X_HEADERS = ("x-originating-ip", "x-mailer", "x-spam-status", "x-spam-scor
 #: Zone names of mail dates; others are read as UTC offsets or not at all.
 ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
+DECODED_BYTES = 8 << 20
 _HEADER = pa.struct([("name", pa.string()), ("raw", pa.string()), ("value", pa.string())])
 _PART = pa.struct([("filename", pa.string()), ("content_type", pa.string()), ("content", pa.binary())])
 _PARTS = {"headers": pa.list_(_HEADER), "text_plain": pa.string(), "text_html": pa.string(), "attachments": pa.list_(_PART), "error": pa.string()}
@@ -86,8 +88,19 @@ def decoded(raw: DataFrame) -> DataFrame:
     A message that can't be read has an error and nothing else; no row is lost.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of messages of about ``DECODED_BYTES``, so that no more of them are held decoded at once."""
         for batch in batches:
+            start, held = 0, 0
+            for i, n in enumerate(pc.binary_length(batch.column("content").fill_null(b"")).to_pylist()):
+                if held and held + n > DECODED_BYTES:
+                    yield batch.slice(start, i - start)
+                    start, held = i, 0
+                held += n
+            yield batch.slice(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(batches):
             rows = []
             for content in batch.column("content"):
                 try:

@@ -100,7 +100,9 @@ def i4_i10_training(spark, sf_dir):
 def i9_bec_detector(spark, sf_dir):
     mails = emails(spark, sf_dir)
     rows = tr.training_rows(mails.select("body", "subject", "sender", "reply_to", "return_path", F.col("email_id").alias("label")))
-    rows = rows.withColumn("is_target", (F.col("body_wire_transfer_mention") * F.col("display_name_privileged")).cast("int"))
+    # a label of the documents that no feature is made of
+    classes = mails.select(F.col("email_id").alias("label"), (F.col("classification") == "phishing").cast("int").alias("is_target"))
+    rows = rows.join(classes, "label")
     return tr.fit_bec(rows).probabilities(rows).select(F.col("label").alias("email_id"), "is_target", F.round("p_bec", 4).alias("p_bec"), "is_bec")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import normalize as norm
 from ..operators.messages import decoded, mail_rows, ml_rows
+from ..operators.tables import written
 
 #: The ingest payload, read with an explicit schema.
 PAYLOAD = """
@@ -56,7 +57,7 @@ def mail_folder(spark: SparkSession, path: str, label: str | None = None, *, pat
 
 def labelled_mails(spark: SparkSession, path: str, label: str) -> tuple[DataFrame, DataFrame]:
     """A2: the readable messages of a folder as ML rows with ``label``, and a row (read, failed) with their counts."""
-    rows = mail_rows(decoded(mail_folder(spark, path, label, pattern="*.eml")))
+    rows = written(mail_rows(decoded(mail_folder(spark, path, label, pattern="*.eml"))), "labelled-mails")  # decoded once, for rows and counts
     counts = rows.agg(F.count_if(F.col("error").isNull()).alias("read"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     return ml_rows(rows.filter("error IS NULL").withColumn("label", F.lit(label))), counts
 

@@ -224,3 +224,25 @@ def test_bad_rows_are_isolated(spark):
     rows = spark.createDataFrame([("a", "hello", "3"), ("b", "urgent password", "many"), ("c", None, None)], "email_id string, body string, ip_count string")
     got = {r.email_id: r for r in tr.predict(rows, "email_id").collect()}
     assert got["b"].error == "ip_count is not a number" and got["b"].label is None and got["a"].error is None and got["a"].label == "benign" and got["c"].score is not None
+
+
+def test_bec_detector_on_mails_it_has_not_seen(spark):
+    """Trained on half of the mails, whose label is no feature: money asked for in an executive's name, in words that vary, with one label in twenty wrong."""
+    import random
+
+    rng = random.Random(5)
+    ask = ("please wire the transfer today", "process this wire transfer before noon", "buy gift cards for the clients", "urgent payment, send the gift cards codes")
+    talk = ("minutes of the meeting attached", "lunch on friday", "the report is ready", "please review the draft", "wire the new lamp", "payment reminder for the club")
+    rows = []
+    for k in range(400):
+        bad = rng.random() < 0.4
+        name = rng.choice(("Chief Executive Officer", "CEO John", "President", "Ann", "Bob")) if bad else rng.choice(("Ann", "Bob", "Desk", "President"))
+        sender = f"{name} <{name.split()[0].lower()}@corp.example>"
+        reply = rng.choice(("x@freemail.example", "boss@gmail.com")) if bad and rng.random() < 0.8 else ""
+        body = f"{rng.choice(ask if bad else talk)} no {k}"
+        rows.append((k, body, rng.choice(("urgent request", "quick task", "hello")) if bad else rng.choice(("hello", "notes", "quick task")), sender, reply, "", str(k), int(bad) if rng.random() < 0.95 else 1 - int(bad), int(bad)))
+    mails = spark.createDataFrame(rows, "k int, body string, subject string, sender string, reply_to string, return_path string, label string, noisy int, truth int")
+    table = tr.training_rows(mails.select("body", "subject", "sender", "reply_to", "return_path", "label")).join(mails.select("label", "k", "noisy", "truth"), "label")
+    model = tr.fit_bec(table.filter("k % 2 = 0").withColumn("is_target", F.col("noisy")))
+    judged = model.probabilities(table.filter("k % 2 = 1")).select("truth", "p_bec").collect()
+    assert len(judged) == 200 and sum((r.p_bec >= 0.5) == bool(r.truth) for r in judged) >= 180

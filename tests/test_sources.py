@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lurewatch.operators import messages
 from lurewatch.sources import readers
+from lurewatch.sources.cases import CaseStore
 from lurewatch.streaming import ingest
 
 
@@ -67,3 +69,31 @@ def test_corpora(spark, tmp_path):
     assert [r.label for r in rows.collect()] == ["phishing"] and tuple(counts.first()) == (1, 0)
     with pytest.raises(ValueError):
         readers.corpus(spark, "none", "x")
+
+
+def test_a_look_up_reads_one_bucket(spark, tmp_path):
+    schema = "case_id string, created_at string, score double"
+    store = CaseStore(spark, str(tmp_path / "store"), schema, buckets=8)
+    rows = [(f"c{k}", f"2024-01-{k % 28 + 1:02d}T00:00:00", float(k)) for k in range(300)]
+    assert store.case("c1").isEmpty()
+    store.save(spark.createDataFrame(rows[:200], schema))
+    store = CaseStore(spark, str(tmp_path / "store"), schema, buckets=99)  # the number that it was made with counts
+    store.save(spark.createDataFrame(rows[200:], schema))
+    assert store.buckets == 8 and store.table().count() == 300
+    one = store.case("c250")
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket#" in plan and "EqualTo(case_id,c250)" in plan and len({f.rsplit("/", 1)[0] for f in store.table().inputFiles()}) == 8
+    one.collect()
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numPartitions").value() == 1
+    assert one.collect()[0].score == 250.0 and store.case("nothing").isEmpty()
+    assert [r.created_at for r in store.latest(2).collect()] == ["2024-01-28T00:00:00"] * 2 and len(store.latest(0).collect()) == 1
+    store.export(str(tmp_path / "json"))
+    assert sorted(r.case_id for r in readers.latest_cases(spark, str(tmp_path / "json"), schema, 200).collect())[:1] and spark.read.json(str(tmp_path / "json")).count() == 300
+
+
+def test_messages_are_decoded_in_runs(spark):
+    """A batch of many messages is cut by bytes; every message keeps its row."""
+    rows = [(str(k), bytearray(b"Subject: s%d\n\n" % k + b"x" * (1 << 20))) for k in range(20)] + [("none", None), ("empty", bytearray(b""))]
+    got = {r.email_id: r for r in messages.decoded(spark.createDataFrame(rows, "email_id string, content binary").coalesce(1)).collect()}
+    assert set(got) == {i for i, _ in rows} and all(len(got[str(k)].text_plain) == 1 << 20 and got[str(k)].headers[0].value == f"s{k}" for k in range(20))
