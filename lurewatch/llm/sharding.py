@@ -4,7 +4,8 @@ A directory is indexed by the first ``depth`` bits of a document's hash.  All
 documents start in one shard; a shard over the byte limit is split on its next
 hash bit, the others stay whole, until every shard fits.  Splits are decided on
 byte sums by directory cell (at most ``2 ** STEP`` rows); cells still over the
-limit are looked at again, ``STEP`` bits further on, with only their documents.
+limit are looked at again, ``NEXT`` bits further on at a time, with only their
+documents; a cell of a single hash goes to the last bit at once.
 
 Defined cases: null and empty texts have no bytes but belong to a shard; a
 document over the limit ends in a shard of its own, as do rows that no hash bit
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import attach, own_name, written
 
 LIMIT = 8 << 20
-STEP = 14
+STEP, NEXT = 14, 4
 BITS = 56
 
 
@@ -31,17 +32,22 @@ def hash_bits(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
 
 
+def _bits(done: int) -> int:
+    """Bits of the next step: few after the first, since cells then are nearly as many as documents."""
+    return min(NEXT if done else STEP, BITS - done)
+
+
 def _split(rows: DataFrame, done: int, limit: int) -> DataFrame:
     """``rows(h, bytes)`` with equal first ``done`` bits per cell: depth of each directory cell's shard, -1 if deeper than this step."""
-    bits = min(STEP, BITS - done)
+    bits = _bits(done)
     cell = F.shiftright("h", BITS - done - bits)
-    cells = rows.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"))
+    cells = rows.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), (F.min("h") == F.max("h")).alias("alone"))
     levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
     prefix = F.expr(f"shiftright(cell, {bits} - level)")
     sums = levels.groupBy("level", prefix.alias("prefix")).agg(F.sum("bytes").alias("total"))
     fits = levels.withColumn("prefix", prefix).join(sums.filter(F.col("total") <= limit), ["level", "prefix"])
     depth = fits.groupBy("cell").agg(F.min("level").alias("level"))
-    return cells.select("cell").join(depth, "cell", "left").select("cell", F.coalesce(F.col("level") + done, F.lit(-1)).alias("depth"))
+    return cells.select("cell", "alone").join(depth, "cell", "left").select("cell", F.coalesce(F.col("level") + done, F.when(F.col("alone"), BITS), F.lit(-1)).alias("depth"))
 
 
 def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -49,11 +55,11 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     done, left, parts = 0, rows, []
     while True:
         cells = _split(left, done, limit)
-        shift = BITS - done - min(STEP, BITS - done)
+        shift = BITS - done - _bits(done)
         # at most 2 ** STEP cells in the first round; later rounds hold the cells of oversized ones only
         side = F.broadcast(cells) if done == 0 else cells
         placed = left.withColumn("cell", F.shiftright("h", shift)).join(side, "cell").drop("cell")
-        done = min(done + STEP, BITS)
+        done += _bits(done)
         deeper = written(placed.filter("depth < 0").drop("depth"), "shard-deeper")
         last = done == BITS
         parts.append(placed.withColumn("depth", F.when(F.col("depth") < 0, done).otherwise(F.col("depth"))) if last else placed.filter("depth >= 0"))
