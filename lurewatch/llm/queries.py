@@ -10,7 +10,7 @@ from .common import table
 
 
 #: Bytes of a shard of the query: small, so that small tables split, too.
-SHARD_LIMIT = 16 << 10
+SHARD_LIMIT = 64 << 10
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
