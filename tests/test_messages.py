@@ -246,3 +246,10 @@ def test_bec_detector_on_mails_it_has_not_seen(spark):
     model = tr.fit_bec(table.filter("k % 2 = 0").withColumn("is_target", F.col("noisy")))
     judged = model.probabilities(table.filter("k % 2 = 1")).select("truth", "p_bec").collect()
     assert len(judged) == 200 and sum((r.p_bec >= 0.5) == bool(r.truth) for r in judged) >= 180
+
+
+def test_networks_of_large_ids(spark, tmp_path):
+    """Ids of more than 16 bits make IPv6 addresses of several groups, all inside their network."""
+    ids = [0, 9, 65_535, 65_536, 5_999_999, 2**31, 2**50 + 7]
+    spark.createDataFrame([(k, k % 300) for k in ids], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.six for r in plans.e4_networks(spark, str(tmp_path)).collect()] == [True] * len(ids)
