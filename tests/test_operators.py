@@ -236,3 +236,40 @@ def test_neighbourhoods_around_a_hub(spark):
     nodes, inside = pivots.neighbourhood(edges, centres)
     assert nodes.groupBy("centre").count().agg(F.max("count"), F.min("count"), F.count("*")).first()[:] == (50, 50, 1000)
     assert inside.count() >= 1000 * 49
+
+
+def test_pivots_list_their_members(spark):
+    """Every member stands in the pivot's row itself, as many as are counted."""
+    edges = hub_graph(spark, 3000)
+    mails = sorted(f"e{k}" for k in range(3000))
+    ips = {r.ip: r for r in pivots.ip_lists(edges).collect()}
+    assert (ips["i1"].domains, ips["i1"].emails, ips["i1"].campaigns, ips["i1"].asns) == (["d0", "hub.example"], mails, ["c"], ["1"]) and ips["i2"].campaigns == []
+    domains = {r.domain: r for r in pivots.domain_lists(edges).collect()}
+    assert domains["hub.example"].emails == mails and domains["d100"].emails == ["e100"] and domains["d100"].urls == []
+    (asn,), (held,), (first,) = pivots.asn_lists(edges).collect(), pivots.hash_lists(edges).collect(), pivots.cluster_lists(edges, 1).collect()
+    assert (asn.ips, asn.domains, asn.emails) == (["i1", "i2"], ["d0", "hub.example"], mails)
+    assert (held.emails, held.campaigns) == (["e1", "e2"], ["c"]) and (first.ip, first.n_emails, first.campaigns) == ("i1", 3000, ["c"])
+
+
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_whole_neighbourhoods(spark, monkeypatch, chunk):
+    """No node is left out, however many there are, and no edge of a node that isn't of the last level."""
+    monkeypatch.setattr(pivots, "CHUNK", chunk)
+    edges = hub_graph(spark, 300)
+    rows = {tuple(r) for r in edges.collect()}
+    near = {}
+    for a, b, _, c_, d in rows:
+        near.setdefault((a, b), set()).add((c_, d))
+        near.setdefault((c_, d), set()).add((a, b))
+    for depth in (1, 2, 3):
+        want, links = {}, set()
+        for k in range(0, 300, 60):
+            seen = {("Email", f"e{k}"): 0}
+            for step in range(1, depth + 1):
+                seen.update({x: step for n, at in list(seen.items()) if at == step - 1 for x in near[n] if x not in seen})
+            want |= {(f"Email:e{k}", *n): at for n, at in seen.items()}
+            links |= {(f"Email:e{k}", *e) for e in rows if min(seen.get(e[:2], 9), seen.get(e[3:], 9)) < depth}
+        nodes, inside = pivots.whole_neighbourhood(edges, spark.createDataFrame([("Email", f"e{k}") for k in range(0, 300, 60)], "label string, key string"), depth)
+        assert {(r.centre, r.label, r.key): r.distance for r in nodes.collect()} == want and (depth < 2 or len(want) > 5 * 300)
+        found = [tuple(r) for r in inside.collect()]
+        assert set(found) == links and len(found) == len(links)
