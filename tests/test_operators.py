@@ -273,3 +273,28 @@ def test_whole_neighbourhoods(spark, monkeypatch, chunk):
         assert {(r.centre, r.label, r.key): r.distance for r in nodes.collect()} == want and (depth < 2 or len(want) > 5 * 300)
         found = [tuple(r) for r in inside.collect()]
         assert set(found) == links and len(found) == len(links)
+
+
+@pytest.mark.parametrize(("hot", "threshold"), [(3, 0.45), (3, 0.42), (3, 0.62)])
+def test_hot_indicators_lose_no_pair(spark, data, monkeypatch, hot, threshold):
+    """Indicators that stand for narrower keys: the same pairs as by the product, and the same campaigns from the links."""
+    monkeypatch.setattr(c, "HOT", hot)
+    k = F.col("doc_id")
+    subject = F.when(k % 5 == 0, F.concat(F.lit("invoice due "), (k % 3).cast("string"))).when(k % 5 == 1, "").when(k % 5 == 2, F.lit("Invoice")).otherwise(F.col("subject"))
+    ts = F.when(k % 11 == 0, None).when(k % 2 == 0, F.timestamp_seconds(F.unix_timestamp("ts") * 9)).otherwise(F.col("ts"))
+    domains = F.array_union("domains", F.when(k % 4 == 0, F.array(F.lit("gmail.com"))).otherwise(F.array(F.lit("shared.example"))))
+    rows = tables.written(_rows(spark, data).filter("doc_id < 90").withColumns({"subject": subject, "ts": F.when(F.lit(threshold == 0.42), F.col("ts")).otherwise(ts), "domains": domains}), "rows")
+    want = {p for p, x in every_pair(rows).items() if x >= threshold}
+    assert {(r.a, r.b) for r in c.similar_pairs(rows, threshold).collect()} == want and want
+    linked = tables.written(c.links(rows, threshold), "links")
+    assert {(r.a, r.b) for r in linked.collect()} <= want
+    assert sorted(map(tuple, c.members(rows, threshold, linked=linked).collect())) == sorted(map(tuple, c.members(rows, threshold).collect()))
+
+
+def test_copies_of_a_subject_at_a_hot_host_are_not_paired(spark):
+    """2,000 emails of one host and subject, weeks apart: one campaign, from links of their number and not of its square."""
+    n = 2000
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 1_000_000)
+    rows = spark.range(n).select(F.concat(F.lit("e"), "id").alias("email_id"), F.lit("Weekly offer for you").alias("subject"), F.lit("").alias("sender_domain"), ts.alias("ts"), F.array(F.lit("hub.example")).alias("domains"), *(F.array().cast("array<string>").alias(x) for x in ("urls", "hashes", "ips")), F.lit("unknown").alias("spf"), F.lit("unknown").alias("dmarc"), F.lit("phishing").alias("classification"))
+    linked = tables.written(c.links(rows), "links")
+    assert linked.count() == n - 1 and c.members(rows, linked=linked).groupBy("campaign_id").count().collect()[0]["count"] == n
