@@ -124,6 +124,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter((F.col("shared") > 0) & (100 * F.col("shared") >= PERCENT * union)).select("a", "b").distinct()
 
 
+def _marked(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """One row per set of ``placed(rep, n_shingles, component, key)`` with its keys, at most ``BANDS``, and its mark, which is joined once and not for each key."""
+    return placed.groupBy("rep", "n_shingles", "component").agg(F.collect_list("key").alias("keys")).join(sets.select("rep", "mark", "spare"), "rep")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and one row per distinct set: print, rep (least doc_id), n_docs, n_shingles, bands."""
     rows = docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, bands array<long>")
@@ -147,7 +152,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     placed = members.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = written(placed.drop("leader"), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_ = placed.join(mixed, "key").join(sets.select("rep", "mark", "spare"), "rep")
+    open_ = _marked(placed.join(mixed, "key"), sets).withColumn("key", F.explode("keys")).drop("keys")
     left, right, meet = pair_chunks(open_, "key", "rep", CHUNK)
     common = sum((F.bit_count(F.col("mark_x")[i].bitwiseAND(F.col("mark_y")[i])) for i in range(MARK)), F.least("spare_x", "spare_y"))
     most = F.least(common, "n_shingles_x", "n_shingles_y")  # of the intersection

@@ -620,3 +620,11 @@ def test_op10_odd(odd, empty, spark):
     few = spark.createDataFrame([(4, 0), (5, 1), (5, 0), (None, 1), (99, 1), (7, None)], "doc_id long, label int")
     assert len(toxicity.judge(odd, toxicity.train(odd, few)).collect()) == len(odd_rows())
     assert toxicity.judge(empty, toxicity.train(odd, few)).isEmpty()
+
+
+def test_op3_marks_are_joined_once_for_each_set(spark):
+    """A set that stands in many open buckets meets its mark once; the join's rows don't grow with the buckets."""
+    placed = spark.range(40 * near_dedup.BANDS).selectExpr("id % 40 AS rep", "9L AS n_shingles", "id % 40 AS component", "id AS key")
+    sets = spark.range(50).selectExpr("id AS rep", "array(id) AS shingles", "array(id) AS mark", "0 AS spare")
+    got = near_dedup._marked(placed, sets).collect()
+    assert len(got) == 40 and all(len(set(r["keys"])) == near_dedup.BANDS and r["mark"] == [r["rep"]] and {k % 40 for k in r["keys"]} == {r["rep"]} for r in got)
