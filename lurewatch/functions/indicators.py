@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .normalize import let as _let
 from .normalize import v6_groups
 
 # Patterns and word lists of the indicator rules.
@@ -123,9 +124,12 @@ def address_bits(c: Column) -> Column:
 
 def network_bits(network: Column) -> Column:
     """The family and the leading bits that a network ``address/n`` fixes, all of them without n; null for what can't be read."""
-    whole = address_bits(F.split_part(network, F.lit("/"), F.lit(1)))
-    n = F.coalesce(F.nullif(F.split_part(network, F.lit("/"), F.lit(2)), F.lit("")).try_cast("int"), F.when(~F.contains(network, F.lit("/")), F.length(whole) - 2))
-    return F.when(n.between(0, F.length(whole) - 2), F.left(whole, n + 2))
+
+    def of(whole: Column) -> Column:
+        n = F.coalesce(F.nullif(F.split_part(network, F.lit("/"), F.lit(2)), F.lit("")).try_cast("int"), F.when(~F.contains(network, F.lit("/")), F.length(whole) - 2))
+        return _let(n, lambda n: F.when(n.between(0, F.length(whole) - 2), F.left(whole, n + 2)))
+
+    return _let(address_bits(F.split_part(network, F.lit("/"), F.lit(1))), of)
 
 
 def ip_class(c: Column) -> Column:
@@ -168,11 +172,6 @@ def leet(c: Column) -> Column:
     return F.translate(c, LEET_FROM, LEET_TO)
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is read."""
-    return F.transform(F.array(value), use)[0]
-
-
 def is_typosquat(domain: Column, registered: Column | None = None) -> Column:
     """A token of the domain's name resembles a brand, and the domain isn't a brand's own."""
     brands = F.array(*map(F.lit, BRANDS))

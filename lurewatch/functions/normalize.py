@@ -18,34 +18,48 @@ def domain(c: Column) -> Column:
     return F.split_part(F.split_part(bare, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1))
 
 
-def _v6_parts(c: Column) -> tuple[Column, Column]:
-    """The eight groups of an IPv6 address without an embedded IPv4 part, as written, and whether it is one."""
-    text = F.lower(c)
-    sides = F.split(text, "::")
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda's variable, since an expression that is read often is evaluated as often."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _v6_parts(c: Column) -> Column:
+    """The eight groups of an IPv6 address without an embedded IPv4 part, as written; null if it isn't one."""
     groups = lambda s: F.array_remove(F.split(s, ":"), "")
-    head, tail = groups(sides[0]), groups(F.coalesce(F.get(sides, 1), F.lit("")))
-    missing = F.lit(8) - F.size(head) - F.size(tail)
-    whole = F.when(F.size(sides) == 2, F.concat(head, F.array_repeat(F.lit("0"), missing), tail)).otherwise(head)
-    ok = text.rlike("^[0-9a-f:]+$") & F.contains(text, F.lit(":")) & F.forall(whole, lambda g: F.length(g).between(1, 4)) & (F.size(whole) == 8) & (F.size(sides) <= 2)
-    return whole, ok
+
+    def filled(p: Column) -> Column:
+        missing = F.lit(8) - F.size(p["head"]) - F.size(p["tail"])
+        return F.when(p["n"] == 2, F.concat(p["head"], F.array_repeat(F.lit("0"), missing), p["tail"])).otherwise(p["head"])
+
+    def of(text: Column) -> Column:
+        parts = let(F.split(text, "::"), lambda s: F.struct(groups(F.get(s, 0)).alias("head"), groups(F.coalesce(F.get(s, 1), F.lit(""))).alias("tail"), F.size(s).alias("n")))
+        good = lambda whole: F.forall(whole, lambda g: F.length(g).between(1, 4)) & (F.size(whole) == 8)
+        whole = let(parts, lambda p: F.when(p["n"] <= 2, let(filled(p), lambda w: F.when(good(w), w))))
+        return F.when(text.rlike("^[0-9a-f:]+$") & F.contains(text, F.lit(":")), whole)
+
+    return let(F.lower(c), of)
 
 
 def v6_groups(c: Column) -> Column:
     """An IPv6 address as eight groups of four digits with colons, null if it isn't one."""
-    whole, ok = _v6_parts(F.trim(_blank(c)))
-    return F.when(ok, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ":"))
+    return let(_v6_parts(F.trim(_blank(c))), lambda whole: F.when(whole.isNotNull(), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ":")))
 
 
 def _v6(c: Column) -> Column:
     """Canonical text of an IPv6 address without an embedded IPv4 part, else null."""
-    whole, ok = _v6_parts(c)
-    short = F.transform(whole, lambda g: F.when(F.ltrim(g, F.lit("0")) == "", "0").otherwise(F.ltrim(g, F.lit("0"))))
-    joined = F.concat(F.lit(":"), F.array_join(short, ":"), F.lit(":"))
     runs = [":" + "0:" * n for n in range(8, 1, -1)]
-    cut = joined
-    for run in reversed(runs):  # the longest run of zeros wins, the first of equal ones
-        cut = F.when(F.contains(joined, F.lit(run)), F.concat(F.substring_index(joined, run, 1), F.lit("::"), F.substring(joined, F.locate(run, joined) + len(run), F.lit(99)))).otherwise(cut)
-    return F.when(ok, F.regexp_replace(F.regexp_replace(cut, "^:(?!:)", ""), "(?<!:):$", ""))
+
+    def cut(joined: Column) -> Column:
+        out = joined
+        for run in reversed(runs):  # the longest run of zeros wins, the first of equal ones
+            out = F.when(F.contains(joined, F.lit(run)), F.concat(F.substring_index(joined, run, 1), F.lit("::"), F.substring(joined, F.locate(run, joined) + len(run), F.lit(99)))).otherwise(out)
+        return F.regexp_replace(F.regexp_replace(out, "^:(?!:)", ""), "(?<!:):$", "")
+
+    def text(whole: Column) -> Column:
+        short = F.transform(whole, lambda g: F.when(F.ltrim(g, F.lit("0")) == "", "0").otherwise(F.ltrim(g, F.lit("0"))))
+        return F.when(whole.isNotNull(), let(F.concat(F.lit(":"), F.array_join(short, ":"), F.lit(":")), cut))
+
+    return let(_v6_parts(c), text)
 
 
 def ip(c: Column) -> Column:

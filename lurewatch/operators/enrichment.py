@@ -34,14 +34,15 @@ def networks(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
     that holds a large share of the addresses, such as a default route, is one row
     that ``attach`` repeats over salted parts.
     """
-    nets = prefixes.select(network_bits(F.col("network")).alias("lead"), "asn", "org", "country").filter("lead IS NOT NULL")
-    nets = nets.groupBy("lead").agg(F.max_by(F.struct("asn", "org", "country"), F.col("asn")).alias("net"))
+    # both sides are written before anything is filtered: a filter on the bits would be pushed below the distinct, to every row
+    nets = prefixes.select(network_bits(F.col("network")).alias("lead"), "asn", "org", "country")
+    nets = written(nets.groupBy("lead").agg(F.max_by(F.struct("asn", "org", "country"), F.col("asn")).alias("net")), "prefixes").filter("lead IS NOT NULL")
     lengths = {f: sorted(r.n for r in rows) for f, rows in _by_family(nets).items()}
-    asked = ips.select("ip").distinct().withColumn("bits", address_bits(F.col("ip"))).filter("bits IS NOT NULL")
+    asked = written(ips.select("ip").distinct().withColumn("bits", address_bits(F.col("ip"))), "addresses").filter("bits IS NOT NULL")
     leads = lambda f: F.transform(F.array(*map(F.lit, lengths.get(f, []))).cast("array<int>"), lambda n: F.left("bits", n))
     asked = asked.select("ip", F.explode(F.when(F.startswith("bits", F.lit("4:")), leads("4")).otherwise(leads("6"))).alias("lead"))
     asked = written(asked.join(nets.select("lead"), "lead", "left_semi"), "asked-prefixes")
-    held = asked.groupBy("lead").agg(F.count("*").alias("size")).join(nets, "lead")
+    held = written(asked.groupBy("lead").agg(F.count("*").alias("size")).join(nets, "lead"), "held-prefixes")
     best = attach(asked, held, "lead", "size", F.col("ip")).groupBy("ip").agg(F.max_by("net", F.length("lead")).alias("net"))
     return best.select("ip", "net.asn", "net.org", "net.country")
 

@@ -56,3 +56,11 @@ def test_html_links(spark):
 
 def test_ip_classes(spark):
     assert ask(spark, ind.ip_class, "8.8.8.8", "10.1.1.1", "127.0.0.1", "224.0.0.1", "203.0.113.9", "x") == ["public", "private", "loopback", "reserved", "private", "reserved"]
+
+
+def test_an_address_is_taken_apart_once(spark):
+    """Each evaluation of the groups of an address costs as often as its text is read, and nested ones multiply."""
+    given = lambda c: str(c).count("given")
+    assert given(norm.v6_groups(F.col("given"))) == 1
+    assert given(ind.address_bits(F.col("given"))) <= 4
+    assert given(ind.network_bits(F.col("given"))) <= 6
