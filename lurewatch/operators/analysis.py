@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators as ind
 from ..functions import scoring
 from ..functions import signals as sg
+from ..functions.normalize import let
 from . import authentication as auth
 from . import enrichment, relay
 from . import messages as m
@@ -56,8 +57,12 @@ def snapshots(spark: SparkSession, **known: DataFrame) -> Snapshots:
 def _first_wins(*sources: tuple[str, Column]) -> Column:
     """Array of struct(value, source) with each value once, under the first source that has it."""
     each = F.concat(*(F.transform(F.array_distinct(values), lambda v, name=name: F.struct(v.alias("value"), F.lit(name).alias("source"))) for name, values in sources))
-    values = F.array_distinct(F.filter(F.transform(each, lambda e: e["value"]), lambda v: F.coalesce(v, F.lit("")) != ""))
-    return F.transform(values, lambda v: F.struct(v.alias("value"), F.get(F.filter(each, lambda e: e["value"] == v), 0)["source"].alias("source")))
+
+    def of(each: Column) -> Column:
+        values = F.array_distinct(F.filter(F.transform(each, lambda e: e["value"]), lambda v: F.coalesce(v, F.lit("")) != ""))
+        return F.transform(values, lambda v: F.struct(v.alias("value"), F.get(F.filter(each, lambda e: e["value"] == v), 0)["source"].alias("source")))
+
+    return let(each, of)  # texts are searched once, not once for each value
 
 
 def _content(messages: DataFrame) -> DataFrame:

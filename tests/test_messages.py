@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.functions import indicators as ind
 from lurewatch.functions import signals as sg
+from lurewatch.operators import analysis as an
 from lurewatch.operators import authentication as au
 from lurewatch.operators import campaigns as camp
 from lurewatch.operators import enrichment as en
@@ -260,3 +261,7 @@ def test_graph_is_exploded_from_a_table(spark, data):
     for f in (plans.g17_graph_nodes, plans.g17_graph_links):
         plan = f(spark, data)._jdf.queryExecution().optimizedPlan().toString()
         assert "sha2" not in plan and "doc_id" not in plan
+
+
+def test_sources_of_indicators_are_read_once(spark):
+    assert str(an._first_wins(("header", F.col("given")), ("body", F.col("other")))).count("given") == 1
