@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +71,15 @@ def _filled(rows: DataFrame, numbers: list[str]) -> DataFrame:
     return rows.withColumns({"body": body, **{c: number(c) for c in numbers}})
 
 
+def vocabulary(terms: DataFrame, n: int) -> list[str]:
+    """The ``TERMS`` terms that occur most often in ``n`` rows ``terms(terms ARRAY<STRING>)``, of equal ones the first; without those of over ``MOST_TEXTS`` of the rows."""
+    occurrences = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(False).alias("first")))
+    texts = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("first")))
+    each = terms.select(F.explode(F.concat(occurrences, texts)).alias("x")).select("x.*")
+    counts = each.groupBy("term").agg(F.count_if(~F.col("first")).alias("n"), F.count_if("first").alias("df")).filter(F.col("df") <= MOST_TEXTS * n)
+    return [r.term for r in counts.orderBy(F.desc("n"), "term").limit(TERMS).collect()]
+
+
 def fit(rows: DataFrame, label: str = "label", numbers: list[str] | None = None) -> ThreatModel:
     """I4: train on ``rows(body, label, numeric features)``; ham counts as benign."""
     text = F.lower(F.trim(F.col(label).cast("string")))
@@ -80,17 +89,22 @@ def fit(rows: DataFrame, label: str = "label", numbers: list[str] | None = None)
     indexer = StringIndexer(inputCol="class", outputCol="class_index", stringOrderType="alphabetAsc").fit(weighted)
     if len(indexer.labels) < 2:
         raise ValueError(f"training needs two classes, got {indexer.labels}")
-    stages = [
+    given = indexer.transform(_filled(weighted, numbers)).select("body", "class_index", "weight", *numbers)
+    words = [
         RegexTokenizer(inputCol="body", outputCol="tokens", pattern=r"\b\w\w+\b", gaps=False), StopWordsRemover(inputCol="tokens", outputCol="words"), NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"), CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=TERMS, maxDF=MOST_TEXTS),
-        IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="text_vector"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
     ]
+    terms = PipelineModel(words).transform(given)
+    words.append(CountVectorizerModel.from_vocabulary(vocabulary(terms.select("terms"), n), inputCol="terms", outputCol="counts"))
+    # what the other stages read, so that texts aren't taken apart again for each of them
+    counted = written(words[-1].transform(terms).select("counts", "class_index", "weight", *numbers), "term-counts")
+    stages = [IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="text_vector")]
     if numbers:
         stages += [VectorAssembler(inputCols=numbers, outputCol="numbers", handleInvalid="keep"), StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True), VectorAssembler(inputCols=["text_vector", "scaled"], outputCol="features")]
     else:
         stages += [VectorAssembler(inputCols=["text_vector"], outputCol="features")]
     stages.append(LogisticRegression(featuresCol="features", labelCol="class_index", weightCol="weight", family="multinomial", maxIter=100, regParam=1.0 / max(n, 1), standardization=False))
-    return ThreatModel(Pipeline(stages=stages).fit(indexer.transform(_filled(weighted, numbers))), list(indexer.labels), numbers)
+    return ThreatModel(PipelineModel([*words, *Pipeline(stages=stages).fit(counted).stages]), list(indexer.labels), numbers)
 
 
 @dataclass
@@ -113,7 +127,7 @@ def fit_bec(rows: DataFrame, target: str = "is_target") -> BecModel:
     if weighted.select(target).distinct().count() < 2:
         return BecModel(None)
     stages = [VectorAssembler(inputCols=list(BEC_FEATURES), outputCol="features", handleInvalid="keep"), LogisticRegression(labelCol=target, weightCol="weight", maxIter=500, regParam=1.0 / max(n, 1), standardization=False)]
-    return BecModel(Pipeline(stages=stages).fit(_filled(weighted, list(BEC_FEATURES)).withColumn(target, F.col(target).cast("double"))))
+    return BecModel(Pipeline(stages=stages).fit(_filled(weighted, list(BEC_FEATURES)).withColumn(target, F.col(target).cast("double")).select(target, "weight", *BEC_FEATURES)))
 
 
 def training_rows(mails: DataFrame, label: str = "label") -> DataFrame:
@@ -128,7 +142,7 @@ def training_rows(mails: DataFrame, label: str = "label") -> DataFrame:
 
 def run_training(mails: DataFrame, path: str, label: str = "label") -> tuple[ThreatModel, DataFrame]:
     """Clean, extract, split, fit, save to ``path``, and evaluate: a row (part, n, accuracy, macro_f1, weighted_f1, roc_auc) for validation and test."""
-    rows = ev.stratified_split(training_rows(mails, label), "key", label)
+    rows = written(ev.stratified_split(training_rows(mails, label), "key", label), "split-rows")  # each stage reads them
     numbers = [c for c in rows.columns if c not in ("key", "body", label, "split")]
     model = fit(rows.filter("split = 'train'").drop("key", "split"), label, numbers)
     model.save(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import training as tr
-from ..operators.tables import work_path
+from ..operators.tables import work_path, written
 from ..sources import readers
 from . import columns
 from .fixtures import BASE_SQL, emails, table
@@ -102,7 +102,7 @@ def i9_bec_detector(spark, sf_dir):
     rows = tr.training_rows(mails.select("body", "subject", "sender", "reply_to", "return_path", F.col("email_id").alias("label")))
     # a label of the documents that no feature is made of
     classes = mails.select(F.col("email_id").alias("label"), (F.col("classification") == "phishing").cast("int").alias("is_target"))
-    rows = rows.join(classes, "label")
+    rows = written(rows.drop("body", "key").join(classes, "label"), "bec-rows")
     return tr.fit_bec(rows).probabilities(rows).select(F.col("label").alias("email_id"), "is_target", F.round("p_bec", 4).alias("p_bec"), "is_bec")
 
 

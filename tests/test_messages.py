@@ -265,3 +265,18 @@ def test_graph_is_exploded_from_a_table(spark, data):
 
 def test_sources_of_indicators_are_read_once(spark):
     assert str(an._first_wins(("header", F.col("given")), ("body", F.col("other")))).count("given") == 1
+
+
+def test_vocabulary_counts_terms_and_texts(spark, monkeypatch):
+    monkeypatch.setattr(tr, "TERMS", 3)
+    texts = [["the", "b", "b", "a"], ["the", "a", "c"], ["the", "d"], ["the"]]
+    assert tr.vocabulary(spark.createDataFrame([(t,) for t in texts], "terms array<string>"), 4) == ["a", "b", "c"]
+
+
+def test_stages_of_the_classifier_read_term_counts(spark, monkeypatch):
+    """Texts are taken apart for the vocabulary and once more for a table of counts, not for each stage that is fitted."""
+    seen = []
+    monkeypatch.setattr(tr, "written", lambda df, name, keep=tr.written: seen.append((name, df.columns)) or keep(df, name))
+    rows = spark.createDataFrame([("wire the money", "spam", 1.0), ("see you soon", "ham", 0.0)] * 4, "body string, label string, x double")
+    assert tr.fit(rows, "label", ["x"]).classes == ["benign", "spam"]
+    assert seen == [("term-counts", ["counts", "class_index", "weight", "x"])]
