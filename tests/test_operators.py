@@ -298,3 +298,16 @@ def test_copies_of_a_subject_at_a_hot_host_are_not_paired(spark):
     rows = spark.range(n).select(F.concat(F.lit("e"), "id").alias("email_id"), F.lit("Weekly offer for you").alias("subject"), F.lit("").alias("sender_domain"), ts.alias("ts"), F.array(F.lit("hub.example")).alias("domains"), *(F.array().cast("array<string>").alias(x) for x in ("urls", "hashes", "ips")), F.lit("unknown").alias("spf"), F.lit("unknown").alias("dmarc"), F.lit("phishing").alias("classification"))
     linked = tables.written(c.links(rows), "links")
     assert linked.count() == n - 1 and c.members(rows, linked=linked).groupBy("campaign_id").count().collect()[0]["count"] == n
+
+
+def test_pairs_are_judged_where_they_meet(spark, data):
+    """No pair is shuffled, each comes once, and its parts and score are those of the product."""
+    rows = tables.written(_rows(spark, data).filter("doc_id < 90"), "rows")
+    scores = every_pair(rows)
+    for threshold in (0.45, 0.3):
+        found = c.similar_pairs(rows, threshold)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "HashJoin" in plan
+        assert "hashpartitioning(a#" not in plan and "hashpartitioning(b#" not in plan
+        got = [((r.a, r.b), round(r.score, 3)) for r in found.collect()]
+        assert dict(got) == {p: x for p, x in scores.items() if x >= threshold} and len(dict(got)) == len(got)
