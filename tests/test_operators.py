@@ -275,6 +275,45 @@ def test_whole_neighbourhoods(spark, monkeypatch, chunk):
         assert set(found) == links and len(found) == len(links)
 
 
+@pytest.mark.parametrize("listed", [0, 3, 32])
+def test_whole_neighbourhoods_of_any_graph(spark, monkeypatch, listed):
+    """Loops, several links between two nodes, repeated edges, hubs and a centre of its own, with and without the short lists."""
+    monkeypatch.setattr(pivots, "LISTED", listed)
+    monkeypatch.setattr(pivots, "CHUNK", 4)
+    rng = random.Random(7)
+    name = lambda k: ("A" if k % 2 else "B", f"n{k}")
+    rows = [(*name(rng.randrange(24)), rng.choice(("R", "S")), *name(rng.choice((0, rng.randrange(24))))) for _ in range(40)] + [("A", "n1", "R", "A", "n1"), ("A", "n1", "S", "A", "n1")]
+    edges = spark.createDataFrame(rows * 2, "src_label string, src_key string, rel string, dst_label string, dst_key string")
+    centres = [*map(name, range(0, 24, 5)), ("A", "n1"), ("A", "alone")]
+    near = {}
+    for a, b, _, c_, d in rows:
+        near.setdefault((a, b), set()).add((c_, d))
+        near.setdefault((c_, d), set()).add((a, b))
+    for depth in (1, 2) if listed else (2,):
+        want, links = {}, set()
+        for centre in centres:
+            seen = {centre: 0}
+            for step in range(1, depth + 1):
+                seen.update({x: step for n, at in list(seen.items()) if at == step - 1 for x in near.get(n, ()) if x not in seen})
+            want |= {(":".join(centre), *n): at for n, at in seen.items()}
+            links |= {(":".join(centre), *e) for e in rows if min(seen.get(e[:2], 9), seen.get(e[3:], 9)) < depth}
+        nodes, inside = pivots.whole_neighbourhood(edges, spark.createDataFrame(centres, "label string, key string"), depth)
+        got, found = nodes.collect(), [tuple(r) for r in inside.collect()]
+        assert {(r.centre, r.label, r.key): r.distance for r in got} == want and len(got) == len(want)
+        assert set(found) == links and len(found) == len(links)
+
+
+def test_whole_neighbourhoods_are_not_written(spark, monkeypatch):
+    """150 centres that share a hub of 300: their 45,000 nodes are returned, and neither they nor a part that grows like them are written before."""
+    kept = []
+    monkeypatch.setattr(pivots, "written", lambda df, name: kept.append(tables.written(df, name)) or kept[-1])
+    edges = hub_graph(spark, 300)
+    centres = edges.filter("rel = 'SENT_FROM' AND cast(substr(src_key, 2) AS INT) % 2 = 0").select(F.col("src_label").alias("label"), F.col("src_key").alias("key"))
+    nodes, inside = pivots.whole_neighbourhood(edges, centres)
+    assert nodes.count() > 150 * 300 < inside.count()
+    assert max(t.count() for t in kept) < 1000
+
+
 @pytest.mark.parametrize(("hot", "threshold"), [(3, 0.45), (3, 0.42), (3, 0.62)])
 def test_hot_indicators_lose_no_pair(spark, data, monkeypatch, hot, threshold):
     """Indicators that stand for narrower keys: the same pairs as by the product, and the same campaigns from the links."""
